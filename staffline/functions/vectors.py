@@ -131,7 +131,7 @@ def sparse_kl(pairs: Column, p_sum: Column, q_sum: Column, bins: int, floor: flo
     Bins filled by neither side only add the floor to both normalisers, so
     nothing dense is built.
     """
-    lift = lambda v, s: F.greatest(v / s, F.lit(floor))
+    lift = lambda v, s: F.greatest(F.coalesce(F.try_divide(v, s), F.lit(0.0)), F.lit(floor))
     absent = (F.lit(bins) - F.size(pairs)) * floor
     zp = F.aggregate(pairs, F.lit(0.0), lambda a, e: a + lift(e["p"], p_sum)) + absent
     zq = F.aggregate(pairs, F.lit(0.0), lambda a, e: a + lift(e["q"], q_sum)) + absent

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from staffline.functions import taps, words
 from staffline.keys import BAR, INSTRUMENTS, PITCHES, STEPS, STEPS_PER_BEAT, TRACK
+from staffline.operators.layout import by_bar
 from staffline.operators.numbering import exact_sample
 
 DEFAULT_TICKS = 480
@@ -139,7 +140,7 @@ def bar_pieces(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None)
     if n_bars is not None:
         pieces = pieces.filter(F.col("bar_index") < n_bars)
     start = F.col("bar_index") * steps
-    return (
+    combined = (
         pieces.select(
             *BAR,
             F.col("pitch").cast("int").alias("pitch"),
@@ -149,8 +150,8 @@ def bar_pieces(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None)
         )
         .groupBy(*BAR, "pitch", "on", "off")
         .agg(F.max("stamp").alias("stamp"))
-        .repartition(*BAR)
     )
+    return by_bar(combined)
 
 
 def notes_to_cells(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from staffline.functions import vectors as V
 from staffline.functions import words
 from staffline.keys import BAR, PITCHES, STEPS, TRACK
 from staffline.operators.ingest import activity
+from staffline.operators.layout import by_bar
 from staffline.operators.numbering import sequence_next
 
 INTERVAL_BINS = 25
@@ -33,10 +34,10 @@ def compact_notes(notes: DataFrame) -> DataFrame:
     Combining runs before the bar shuffle, so a bar with very many notes sends only
     its distinct ones.
     """
-    return (
-        notes.groupBy(*BAR, "pitch", "onset", "offset", "velocity")
-        .agg(F.count(F.lit(1)).cast("int").alias("n"))
-        .repartition(*BAR)
+    return by_bar(
+        notes.groupBy(*BAR, "pitch", "onset", "offset", "velocity").agg(
+            F.count(F.lit(1)).cast("int").alias("n")
+        )
     )
 
 
