@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("ingest", "notes", "render", "images")
+_MODULES = ("ingest", "notes", "render", "images", "detection", "vectors", "sequences")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
