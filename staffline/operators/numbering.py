@@ -161,6 +161,14 @@ def first_k(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], k:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
+def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows labelled with the range they fall into; the labels are written down once.
+
+    Range bounds come from a sample, so the labels must not be computed twice.
+    """
+    return durable(df.repartitionByRange(*order).withColumn("_block", F.spark_partition_id()))
+
+
 def ordered_limit(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows by ``order`` (a total order).
 
@@ -169,19 +177,28 @@ def ordered_limit(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """
     if n <= TOP_N_ROWS:
         return df.orderBy(*order).limit(n)
-    ranged = df.repartitionByRange(*order).withColumn("_block", F.spark_partition_id())
-    # Range bounds are sampled, so the block labels are written down before they are counted.
-    ranged = durable(ranged)
-    offsets = _offsets(ranged, [], "_block").filter(F.col("_before") < n)
+    return global_position(df, order, "_pos").filter(F.col("_pos") < n).drop("_pos")
+
+
+def global_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
+    """Zero-based position of each row in the whole table."""
+    ranged = _ranged(df, order)
     w = Window.partitionBy("_block").orderBy(*order)
     return (
-        ranged.join(offsets, "_block")
-        .withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_before") + F.col("_rn") <= n)
-        .drop("_block", "_n", "_before", "_rn")
+        ranged.join(F.broadcast(_offsets(ranged, [], "_block")), "_block")  # a row per range
+        .withColumn(name, F.col("_before") + F.row_number().over(w) - 1)
+        .drop("_block", "_n", "_before")
     )
 
 
+def with_chunk(df: DataFrame, order: Sequence[str], size: int, limit: int | None = None) -> DataFrame:
+    """Chunk number of each row: ``size`` consecutive rows per chunk, optionally capped."""
+    placed = global_position(df, order, "_pos")
+    if limit is not None:
+        placed = placed.filter(F.col("_pos") < limit)
+    return placed.withColumn("chunk", F.floor(F.col("_pos") / size)).drop("_pos")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the session's checkpoint folder."""
     spark = df.sparkSession

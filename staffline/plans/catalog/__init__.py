@@ -17,7 +17,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("ingest", "notes", "render", "images", "detection", "vectors", "sequences")
+_MODULES = (
+    "ingest", "selection", "render", "notes", "images", "detection", "vectors", "sequences", "experiments",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -19,7 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    return notes_of(table(spark, sf_dir, "lineitem"))
+
+
+def notes_of(li: DataFrame) -> DataFrame:
     part, order, line = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
     raw = li.select(
         F.col("l_suppkey").alias("song_id"),
