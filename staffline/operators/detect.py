@@ -20,9 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staffline.functions import words
 from staffline.keys import BAR, PITCHES, STEPS, VELOCITY_MAX
-from staffline.operators.ingest import activity
 
 DEFAULT_THRESHOLD = 0.5
 
@@ -372,12 +370,12 @@ class HmmParams:
 
 
 def fit_hmm(
-    plane: DataFrame, cells: DataFrame, n_bars: int | None = None, height: int = PITCHES, width: int = STEPS, steps: int = STEPS
+    plane: DataFrame, true: DataFrame, n_bars: int | None = None, height: int = PITCHES, width: int = STEPS, steps: int = STEPS
 ) -> HmmParams:
-    """Emission and transition parameters from planes labelled by the true cells.
+    """Emission and transition parameters from planes labelled by the true segments.
 
-    Totals of the silent majority follow from the image size; transitions are counted
-    on step words. A handful of sums comes back to the driver.
+    Totals of the silent majority follow from the image size; transitions follow from the
+    segments' ends. A handful of sums comes back to the driver.
     """
     span = min(width, steps)
     pitch_rows: list[list[int]] = [[] for _ in range(PITCHES)]
@@ -385,14 +383,14 @@ def fit_hmm(
         p = 0 if height == 1 else int(np.round(r * (PITCHES - 1) / (height - 1)))
         pitch_rows[p].append(r)
     table = F.array(*[F.array(*[F.lit(r) for r in rows]).cast("array<int>") for rows in pitch_rows])
-    labelled = cells.filter(F.col("step") < span)
-    if height != PITCHES:
-        labelled = labelled.withColumn("row", F.explode(F.get(table, F.col("pitch"))))
-    else:
-        labelled = labelled.withColumn("row", F.col("pitch"))
+    labelled = true.filter(F.col("on") < span).withColumn("off", F.least(F.col("off"), F.lit(span)))
+    row = F.col("pitch") if height == PITCHES else F.explode(F.get(table, F.col("pitch")))
+    labelled = labelled.withColumn("row", row)
     zero = F.lit(0.0)
     joint = plane.filter(F.col("step") < span).select(*BAR, "row", "step", "value", F.lit(0).alias("t")).unionByName(
-        labelled.select(*BAR, "row", "step", zero.alias("value"), F.lit(1).alias("t"))
+        labelled.select(
+            *BAR, "row", F.explode(F.sequence("on", F.col("off") - 1)).alias("step"), zero.alias("value"), F.lit(1).alias("t")
+        )
     ).groupBy(*BAR, "row", "step").agg(F.sum("value").alias("v"), F.max("t").alias("t"))
     on = F.col("t") == 1
     v = F.col("v")
@@ -401,22 +399,18 @@ def fit_hmm(
         F.sum(F.when(on, 0.0).otherwise(v)).alias("s0"), F.sum(F.when(on, 0.0).otherwise(v * v)).alias("q0"),
     ).first()
     bars = n_bars if n_bars is not None else (
-        plane.select(*BAR).unionByName(cells.select(*BAR)).distinct().count()
+        plane.select(*BAR).unionByName(true.select(*BAR)).distinct().count()
     )
-    rows = activity(labelled.select(*BAR, F.col("row").alias("pitch"), "step"), span)
-    a, o = words.columns("a", span), words.columns("o", span)
-    first = F.getbit(a[0], F.lit(0))
-    last = F.getbit(a[(span - 1) // words.WIDTH], F.lit((span - 1) % words.WIDTH))
-    tr = rows.agg(
-        F.sum(words.count(words.intersect(a, words.shift_up(a, 1)))).alias("stay"),
-        F.sum(words.count(a)).alias("on"), F.sum(last.cast("int")).alias("last"),
-        F.sum(words.count(o)).alias("onsets"), F.sum(first.cast("int")).alias("first"),
+    length = F.col("off") - F.col("on")
+    tr = labelled.agg(
+        F.sum(length).alias("on"), F.count_if("starts").alias("onsets"),
+        F.count_if(F.col("off") == span).alias("last"), F.count_if(F.col("starts") & (F.col("on") == 0)).alias("first"),
     ).first()
     p = HmmParams()
     n1, n0 = s["n1"] or 0, bars * height * span - (s["n1"] or 0)
-    stay = tr["stay"] or 0
-    on_off = (tr["on"] or 0) - (tr["last"] or 0) - stay
-    off_on = (tr["onsets"] or 0) - (tr["first"] or 0)
+    stay = (tr["on"] or 0) - tr["onsets"]  # every step of a run but its first
+    on_off = tr["onsets"] - tr["last"]
+    off_on = tr["onsets"] - tr["first"]
     off_stay = bars * height * (span - 1) - stay - on_off - off_on
     eps = 1e-6
     spread = lambda q, m, n: max(math.sqrt(max(q / n - m * m, 0.0)), 0.05)

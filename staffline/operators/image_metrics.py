@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from staffline.functions import taps
 from staffline.functions import vectors as V
-from staffline.keys import BAR, PITCHES, STEPS
+from staffline.keys import BAR, PITCHES, STEPS, VELOCITY_MAX
 from staffline.operators.render import CHANNELS
 
 SPARSITY_LEVEL = 0.05
@@ -44,7 +44,7 @@ def pixel_scores(true: DataFrame, recon: DataFrame, height: int = PITCHES, width
 
 
 def row_scores(
-    cells: DataFrame, plane: DataFrame, height: int = PITCHES, width: int = STEPS, steps: int = STEPS
+    true: DataFrame, plane: DataFrame, height: int = PITCHES, width: int = STEPS, steps: int = STEPS
 ) -> DataFrame:
     """Pitch entropies, KL of pitch distributions and activation sparsity.
 
@@ -53,7 +53,8 @@ def row_scores(
     (such bars have no cells) and infinite for a silent reconstruction.
     """
     zero, none = F.lit(0.0), F.lit(0)
-    t = cells.select(*BAR, F.col("pitch").alias("row"), F.lit(1.0).alias("t"), zero.alias("p"), none.alias("a"))
+    length = (F.col("off") - F.col("on")).cast("double")
+    t = true.select(*BAR, F.col("pitch").alias("row"), length.alias("t"), zero.alias("p"), none.alias("a"))
     active = F.when(F.col("value") < SPARSITY_LEVEL, 0).otherwise(1)
     p = plane.select(*BAR, "row", zero.alias("t"), F.col("value").alias("p"), active.alias("a"))
     same = height == PITCHES
@@ -98,8 +99,21 @@ def _binned(index: Column, size: int, bins: int) -> Column:
     return F.floor(index / max(1, size // bins)).cast("int")
 
 
+def _segment_bins(true: DataFrame, steps: int, bins: int) -> DataFrame:
+    """(bar, pitch, bin, n): steps of each segment inside each time bin it touches."""
+    size = max(1, steps // bins)
+    spread = true.select(
+        *BAR, "pitch", "on", "off",
+        F.explode(F.sequence(
+            F.floor(F.col("on") / size).cast("int"), F.floor((F.col("off") - 1) / size).cast("int")
+        )).alias("bin"),
+    )
+    n = F.least(F.col("off"), (F.col("bin") + 1) * size) - F.greatest(F.col("on"), F.col("bin") * size)
+    return spread.select(*BAR, "pitch", "bin", n.cast("bigint").alias("n"))
+
+
 def mutual_information(
-    cells: DataFrame, plane: DataFrame, pitch_bins: int = 16, time_bins: int = 16,
+    true: DataFrame, plane: DataFrame, pitch_bins: int = 16, time_bins: int = 16,
     height: int = PITCHES, width: int = STEPS, steps: int = STEPS,
 ) -> DataFrame:
     """Mutual information of binned pitch and time, of the truth and of the reconstruction.
@@ -109,9 +123,9 @@ def mutual_information(
     beyond the last whole bin are left out.
     """
     zero = F.lit(0.0)
-    t = cells.select(
-        *BAR, _binned(F.col("pitch"), PITCHES, pitch_bins).alias("pb"), _binned(F.col("step"), steps, time_bins).alias("tb"),
-        F.lit(1.0).alias("t"), zero.alias("p"),
+    t = _segment_bins(true, steps, time_bins).select(
+        *BAR, _binned(F.col("pitch"), PITCHES, pitch_bins).alias("pb"), F.col("bin").alias("tb"),
+        F.col("n").cast("double").alias("t"), zero.alias("p"),
     )
     p = plane.select(
         *BAR, _binned(F.col("row"), height, pitch_bins).alias("pb"), _binned(F.col("step"), width, time_bins).alias("tb"),
@@ -142,13 +156,15 @@ def mutual_information(
     )
 
 
-def binned_marginal(cells: DataFrame, axis: str = "pitch", bins: int = 32, steps: int = STEPS) -> DataFrame:
+def binned_marginal(true: DataFrame, axis: str = "pitch", bins: int = 32, steps: int = STEPS) -> DataFrame:
     """(bar, bin, share): coarse distribution of active cells over pitch or time."""
-    size = PITCHES if axis == "pitch" else steps
-    binned = cells.select(*BAR, _binned(F.col("pitch" if axis == "pitch" else "step"), size, bins).alias("bin")).filter(
-        F.col("bin") < bins
-    )
-    counts = binned.groupBy(*BAR, "bin").agg(F.count(F.lit(1)).alias("n"))
+    if axis == "pitch":
+        binned = true.select(
+            *BAR, _binned(F.col("pitch"), PITCHES, bins).alias("bin"), (F.col("off") - F.col("on")).cast("bigint").alias("n")
+        )
+    else:
+        binned = _segment_bins(true, steps, bins)
+    counts = binned.filter(F.col("bin") < bins).groupBy(*BAR, "bin").agg(F.sum("n").alias("n"))
     # At most `bins` rows per bar meet here.
     packed = counts.groupBy(*BAR).agg(F.sum("n").alias("all"), F.collect_list(F.struct("bin", "n")).alias("b"))
     return packed.select(*BAR, "all", F.inline("b")).select(*BAR, "bin", (F.col("n") / F.col("all")).alias("share"))
@@ -157,12 +173,13 @@ def binned_marginal(cells: DataFrame, axis: str = "pitch", bins: int = 32, steps
 def bar_nll(true: DataFrame, recon: DataFrame, height: int = PITCHES, width: int = STEPS, min_sigma: float = MIN_SIGMA) -> DataFrame:
     """Gaussian negative log-likelihood of the reconstructed plane under the true plane's mean and spread."""
     zero, n = F.lit(0.0), float(height * width)
-    stacked = true.select(*BAR, F.col("value").alias("t"), zero.alias("p")).unionByName(
-        recon.select(*BAR, zero.alias("t"), F.col("value").alias("p"))
-    )
+    level, length = F.col("velocity") / VELOCITY_MAX, F.col("off") - F.col("on")
+    value = F.col("value")
+    stacked = true.select(
+        *BAR, (level * length).alias("t"), (level * level * length).alias("tt"), zero.alias("p"), zero.alias("pp")
+    ).unionByName(recon.select(*BAR, zero.alias("t"), zero.alias("tt"), value.alias("p"), (value * value).alias("pp")))
     bar = stacked.groupBy(*BAR).agg(
-        F.sum("t").alias("t"), F.sum(F.col("t") * F.col("t")).alias("tt"),
-        F.sum("p").alias("p"), F.sum(F.col("p") * F.col("p")).alias("pp"),
+        F.sum("t").alias("t"), F.sum("tt").alias("tt"), F.sum("p").alias("p"), F.sum("pp").alias("pp")
     ).filter("t > 0")
     mu = F.col("t") / n
     sigma = F.greatest(F.sqrt(F.greatest(F.lit(0.0), (F.col("tt") - n * mu * mu) / (n - 1))), F.lit(min_sigma))

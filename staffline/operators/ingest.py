@@ -1,8 +1,11 @@
-"""Note events to piano-roll cells, masks and bars.
-
-Cells are sparse: only (pitch, step) positions with velocity > 0 have a row, and
-the frame is hash-partitioned by bar so that every per-bar operator downstream
-runs without another shuffle.
+"""Note events to piano-roll segments, cells, masks and bars.
+
+A piano roll is kept as ``segments``: (bar, pitch, on, off, velocity, starts), the
+intervals of constant note with velocity > 0, disjoint on each pitch and
+hash-partitioned by bar so that per-bar operators run without another shuffle.
+``starts`` is false when the pitch already sounds on the step before. One row stands
+for tens of cells, and most scores need sums over intervals only; ``cells``, with a
+row per (pitch, step), are made from segments where single positions matter.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staffline.functions import taps, words
+from staffline.functions import taps
 from staffline.keys import BAR, INSTRUMENTS, PITCHES, STEPS, STEPS_PER_BEAT, TRACK
 from staffline.operators.layout import by_bar
 from staffline.operators.numbering import exact_sample
@@ -154,69 +157,96 @@ def bar_pieces(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None)
     return by_bar(combined)
 
 
-def notes_to_cells(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None) -> DataFrame:
-    """Sparse piano roll (bar, pitch, step, velocity > 0), partitioned by bar.
+def notes_to_segments(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None) -> DataFrame:
+    """Sparse piano roll as disjoint intervals, partitioned by bar.
 
-    On one (pitch, step) the note with the highest ``note_ord`` wins. Without
-    ``n_bars`` a track keeps floor((last offset + 1) / steps) bars: an incomplete
-    last bar is dropped.
+    On one (pitch, step) the note with the highest ``note_ord`` wins. Pieces that
+    overlap no other piece of their pitch are segments as they are; only contested
+    ones are spread over steps and run-length coded again. Without ``n_bars`` a track
+    keeps floor((last offset + 1) / steps) bars: an incomplete last bar is dropped.
     """
-    cells = (
-        bar_pieces(notes, steps, n_bars)
-        .select(*BAR, "pitch", "stamp", F.explode(F.sequence("on", F.col("off") - 1)).alias("step"))
-        .groupBy(*BAR, "pitch", "step")
-        .agg(F.max("stamp").alias("stamp"))
-        .select(*BAR, "pitch", "step", (F.col("stamp") % 128).cast("int").alias("velocity"))
+    row = [*BAR, "pitch"]
+    w = Window.partitionBy(*row).orderBy("on", "off", "stamp")
+    before = F.max("off").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = bar_pieces(notes, steps, n_bars).withColumn(
+        "contested", (F.coalesce(before, F.lit(0)) > F.col("on")) | (F.coalesce(F.lead("on").over(w), F.lit(steps)) < F.col("off"))
+    )
+    clear = pieces.filter(~F.col("contested")).select(*row, "on", "off", "stamp")
+    winners = (
+        pieces.filter("contested")
+        .select(*row, "stamp", F.explode(F.sequence("on", F.col("off") - 1)).alias("step"))
+        .groupBy(*row, "step").agg(F.max("stamp").alias("stamp"))
+    )
+    island = F.col("step") - F.row_number().over(Window.partitionBy(*row, "stamp").orderBy("step"))
+    rebuilt = winners.withColumn("_i", island).groupBy(*row, "stamp", "_i").agg(
+        F.min("step").alias("on"), (F.max("step") + 1).alias("off")
+    ).select(*row, "on", "off", "stamp")
+    segments = _with_starts(
+        clear.unionByName(rebuilt)
+        .select(*row, "on", "off", (F.col("stamp") % 128).cast("int").alias("velocity"))
         .filter(F.col("velocity") > 0)
     )
     if n_bars is not None:
-        return cells
-    lengths = notes.groupBy(*TRACK).agg(
-        F.floor((F.max("offset_step") + 1) / steps).cast("int").alias("_bars")
+        return segments
+    # Only a track's last bar can be incomplete, so the join names that bar.
+    incomplete = notes.groupBy(*TRACK).agg(
+        F.floor((F.max("offset_step") + 1) / steps).cast("int").alias("bar_index")
     )
-    # Only a track's last bar can be incomplete, so the join carries bars, not cells.
-    incomplete = (
-        lengths.select(*TRACK, F.col("_bars").alias("bar_index"))
+    return segments.join(incomplete, list(BAR), "left_anti")
+
+
+def _with_starts(segments: DataFrame) -> DataFrame:
+    w = Window.partitionBy(*BAR, "pitch").orderBy("on")
+    return segments.withColumn("starts", F.coalesce(F.lag("off").over(w) != F.col("on"), F.lit(True)))
+
+
+def segments_to_cells(segments: DataFrame) -> DataFrame:
+    """(bar, pitch, step, velocity, is_onset, is_sustain): a row per sounding position."""
+    cells = segments.select(
+        *BAR, "pitch", "velocity", "starts", "on", F.explode(F.sequence("on", F.col("off") - 1)).alias("step")
     )
-    return cells.join(incomplete, list(BAR), "left_anti")
+    onset = F.col("starts") & (F.col("step") == F.col("on"))
+    return cells.select(*BAR, "pitch", "step", "velocity", onset.alias("is_onset"), (~onset).alias("is_sustain"))
 
 
-def activity(cells: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(bar, pitch, a0.., o0..): active and onset steps of each pitch row as words.
+def notes_to_cells(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None) -> DataFrame:
+    return segments_to_cells(notes_to_segments(notes, steps, n_bars))
 
-    An onset is an active step whose predecessor in the bar is inactive; the first
-    step of a bar counts. No sort is needed.
-    """
-    grouped = cells.groupBy(*BAR, "pitch").agg(*words.named(words.collect_words(F.col("step"), steps), "a"))
-    active = words.columns("a", steps)
-    onset = words.minus(active, words.shift_up(active, 1))
-    return grouped.select(*BAR, "pitch", *words.named(active, "a"), *words.named(onset, "o"))
+
+def cells_to_segments(cells: DataFrame) -> DataFrame:
+    """Run-length code cells of equal velocity; the frame should be partitioned by bar."""
+    row = [*BAR, "pitch"]
+    island = F.col("step") - F.row_number().over(Window.partitionBy(*row, "velocity").orderBy("step"))
+    runs = cells.select(*row, "step", "velocity").withColumn("_i", island).groupBy(*row, "velocity", "_i").agg(
+        F.min("step").cast("int").alias("on"), (F.max("step") + 1).cast("int").alias("off")
+    )
+    return _with_starts(runs.select(*row, "on", "off", "velocity"))
 
 
 def with_masks(cells: DataFrame) -> DataFrame:
-    """Add is_onset and is_sustain to each cell."""
+    """Add is_onset and is_sustain to cells that come without segments.
+
+    An onset is an active step whose predecessor in the bar is inactive; the first
+    step of a bar counts.
+    """
     w = Window.partitionBy(*BAR, "pitch").orderBy("step")
     before = F.lag("step").over(w)
     onset = F.coalesce(before != F.col("step") - 1, F.lit(True))
     return cells.withColumn("is_onset", onset).withColumn("is_sustain", ~F.col("is_onset"))
 
 
-def bar_note_counts(cells: DataFrame, steps: int = STEPS) -> DataFrame:
+def bar_note_counts(segments: DataFrame) -> DataFrame:
     """(bar, note_count): onset cells per bar; back-to-back notes of one pitch merge."""
-    return (
-        activity(cells, steps)
-        .groupBy(*BAR)
-        .agg(F.sum(words.count(words.columns("o", steps))).cast("int").alias("note_count"))
-    )
+    return segments.groupBy(*BAR).agg(F.count_if("starts").cast("int").alias("note_count"))
 
 
-def valid_bars(cells: DataFrame, min_notes: int = 2, steps: int = STEPS) -> DataFrame:
-    return bar_note_counts(cells, steps).filter(F.col("note_count") >= min_notes)
+def valid_bars(segments: DataFrame, min_notes: int = 2) -> DataFrame:
+    return bar_note_counts(segments).filter(F.col("note_count") >= min_notes)
 
 
-def keep_valid(cells: DataFrame, min_notes: int = 2, steps: int = STEPS) -> DataFrame:
-    """Cells of the bars that pass the note-count threshold."""
-    return cells.join(valid_bars(cells, min_notes, steps).select(*BAR), list(BAR), "left_semi")
+def keep_valid(segments: DataFrame, min_notes: int = 2) -> DataFrame:
+    """Segments of the bars that pass the note-count threshold."""
+    return segments.join(valid_bars(segments, min_notes).select(*BAR), list(BAR), "left_semi")
 
 
 def cap_bars(

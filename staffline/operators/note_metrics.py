@@ -1,7 +1,7 @@
-"""Per-bar and per-sequence scores of detected notes against the true cells.
+"""Per-bar and per-sequence scores of detected notes against the true bars.
 
-Inputs are ``cells`` (bar, pitch, step, velocity), partitioned by bar, and
-``pred`` from :func:`compact_notes`. The two sides are stacked rather than
+Inputs are ``true`` segments (bar, pitch, on, off, velocity, starts), partitioned by
+bar, and ``pred`` from :func:`compact_notes`. The two sides are stacked rather than
 joined: a stack of two frames partitioned by bar stays partitioned by bar, so
 each score is a chain of hash aggregates without a further shuffle or sort.
 
@@ -13,13 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staffline.functions import vectors as V
 from staffline.functions import words
 from staffline.keys import BAR, PITCHES, STEPS, TRACK
-from staffline.operators.ingest import activity
 from staffline.operators.layout import by_bar
 from staffline.operators.numbering import sequence_next
 
@@ -49,41 +48,45 @@ def _both_sides() -> Column:
     return F.col("has_t") & F.col("has_p")
 
 
-def _steps_covered(on: Column, off: Column) -> Column:
-    """Steps of [on, off) or NULL when empty; used with explode_outer to keep the bar."""
-    return F.when(off > on, F.sequence(on, off - 1))
+def step_profiles(true: DataFrame, pred: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Correlation of polyphony per step, and MSE and correlation of mean velocity per step.
 
-
-def step_profiles(cells: DataFrame, pred: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Correlation of polyphony per step, and MSE and correlation of mean velocity per step."""
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    t = cells.select(
-        *BAR, "step", F.lit(True).alias("is_t"),
-        one.alias("tn"), F.col("velocity").cast("bigint").alias("tv"), zero.alias("pn"), zero.alias("pv"),
-    )
+    Both profiles are step functions that change only where a note begins or ends. The
+    changes are summed per step, accumulated inside the bar (at most ``steps`` rows) and
+    weighted by the distance to the next change; no note is spread over its steps.
+    """
+    zero = F.lit(0).cast("bigint")
+    change = lambda at, n, v: F.struct(at.alias("step"), n.cast("bigint").alias("n"), v.cast("bigint").alias("v"))
+    velocity, one = F.col("velocity"), F.lit(1)
+    t = true.select(*BAR, F.inline(F.array(
+        change(F.col("on"), one, velocity), change(F.col("off"), -one, -velocity)
+    ))).select(*BAR, "step", F.col("n").alias("tn"), F.col("v").alias("tv"), zero.alias("pn"), zero.alias("pv"), F.lit(True).alias("is_t"))
     on, off = F.greatest(F.lit(0), F.col("onset")), F.least(F.lit(steps), F.col("offset"))
-    p = pred.select(
-        *BAR, "n", "velocity", F.explode_outer(_steps_covered(on, off)).alias("step")
-    ).select(
-        *BAR, "step", F.lit(False).alias("is_t"), zero.alias("tn"), zero.alias("tv"),
-        F.when(F.col("step").isNull(), 0).otherwise(F.col("n")).cast("bigint").alias("pn"),
-        F.when(F.col("step").isNull(), 0).otherwise(F.col("n") * F.col("velocity")).cast("bigint").alias("pv"),
-    )
-    by_step = _stack(t, p).groupBy(*BAR, "step").agg(
+    n, nv = F.col("n"), F.col("n") * velocity
+    inside = F.array(change(on, n, nv), change(off, -n, -nv))
+    outside = F.array(change(F.lit(0), F.lit(0), F.lit(0)))  # keeps the bar of a note beyond it
+    p = pred.select(*BAR, F.inline(F.when(off > on, inside).otherwise(outside))).select(
+        *BAR, "step", zero.alias("tn"), zero.alias("tv"), F.col("n").alias("pn"), F.col("v").alias("pv"), F.lit(False).alias("is_t")
+    )
+    changes = _stack(t, p).groupBy(*BAR, "step").agg(
         F.sum("tn").alias("tn"), F.sum("tv").alias("tv"), F.sum("pn").alias("pn"), F.sum("pv").alias("pv"),
         F.bool_or("is_t").alias("has_t"), F.bool_or(~F.col("is_t")).alias("has_p"),
     )
-    mean = lambda v, n: F.when(n > 0, v / n).otherwise(0.0)
-    by_step = by_step.withColumn("a", mean(F.col("tv"), F.col("tn"))).withColumn(
-        "b", mean(F.col("pv"), F.col("pn"))
+    w = Window.partitionBy(*BAR).orderBy("step")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    level = changes.select(
+        *BAR, "has_t", "has_p", (F.lead("step", 1, steps).over(w) - F.col("step")).alias("len"),
+        *[F.sum(c).over(so_far).alias(c) for c in ("tn", "tv", "pn", "pv")],
     )
-    tn, pn, a, b = (F.col(c) for c in ("tn", "pn", "a", "b"))
-    bar = by_step.groupBy(*BAR).agg(
+    mean = lambda v, c: F.when(c > 0, v / c).otherwise(0.0)
+    level = level.withColumns({"a": mean(F.col("tv"), F.col("tn")), "b": mean(F.col("pv"), F.col("pn"))})
+    tn, pn, a, b, k = (F.col(c) for c in ("tn", "pn", "a", "b", "len"))
+    bar = level.groupBy(*BAR).agg(
         F.bool_or("has_t").alias("has_t"), F.bool_or("has_p").alias("has_p"),
-        F.sum(tn).alias("x"), F.sum(pn).alias("y"), F.sum(tn * tn).alias("xx"),
-        F.sum(pn * pn).alias("yy"), F.sum(tn * pn).alias("xy"),
-        F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(a * a).alias("aa"),
-        F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab"), F.sum((a - b) * (a - b)).alias("dd"),
+        F.sum(k * tn).alias("x"), F.sum(k * pn).alias("y"), F.sum(k * tn * tn).alias("xx"),
+        F.sum(k * pn * pn).alias("yy"), F.sum(k * tn * pn).alias("xy"),
+        F.sum(k * a).alias("a"), F.sum(k * b).alias("b"), F.sum(k * a * a).alias("aa"),
+        F.sum(k * b * b).alias("bb"), F.sum(k * a * b).alias("ab"), F.sum(k * (a - b) * (a - b)).alias("dd"),
     )
     r = lambda *c: V.pearson(steps, *[F.col(i) for i in c])
     return bar.filter(_both_sides()).select(
@@ -94,16 +97,16 @@ def step_profiles(cells: DataFrame, pred: DataFrame, steps: int = STEPS) -> Data
     )
 
 
-def pitch_class_counts(cells: DataFrame, pred: DataFrame) -> DataFrame:
+def pitch_class_counts(true: DataFrame, pred: DataFrame) -> DataFrame:
     """(bar, pc, t, p): active cells and predicted notes per pitch class."""
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    zero, length = F.lit(0).cast("bigint"), (F.col("off") - F.col("on")).cast("bigint")
     pc = (F.col("pitch") % 12).alias("pc")
-    t = cells.select(*BAR, pc, one.alias("t"), zero.alias("p"))
+    t = true.select(*BAR, pc, length.alias("t"), zero.alias("p"))
     p = pred.select(*BAR, pc, zero.alias("t"), F.col("n").cast("bigint").alias("p"))
     return _stack(t, p).groupBy(*BAR, "pc").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
 
 
-def pitch_class_scores(cells: DataFrame, pred: DataFrame) -> DataFrame:
+def pitch_class_scores(true: DataFrame, pred: DataFrame) -> DataFrame:
     """Pitch-class correlation, cosine alignment and entropies of one bar.
 
     Bars without predicted notes are kept: their correlation is NULL (the score
@@ -111,7 +114,7 @@ def pitch_class_scores(cells: DataFrame, pred: DataFrame) -> DataFrame:
     """
     t, p = F.col("t").cast("double"), F.col("p").cast("double")
     clog = lambda c: F.sum(F.when(c > 0, c * F.log(c)).otherwise(0.0))
-    bar = pitch_class_counts(cells, pred).groupBy(*BAR).agg(
+    bar = pitch_class_counts(true, pred).groupBy(*BAR).agg(
         F.sum(t).alias("x"), F.sum(p).alias("y"), F.sum(t * t).alias("xx"),
         F.sum(p * p).alias("yy"), F.sum(t * p).alias("xy"),
         clog(t).alias("xl"), clog(p).alias("yl"),
@@ -132,30 +135,50 @@ def pitch_class_scores(cells: DataFrame, pred: DataFrame) -> DataFrame:
     )
 
 
-def interval_scores(cells: DataFrame, pred: DataFrame, bins: int = INTERVAL_BINS) -> DataFrame:
+def interval_scores(true: DataFrame, pred: DataFrame, bins: int = INTERVAL_BINS) -> DataFrame:
     """Correlation of histograms of intervals between simultaneous pitches.
 
     The pitches of a step form a 128-bit set P; the pairs at distance d number
-    |P & (P << d)|. Pairs at or beyond the last bin are the rest of n(n-1)/2, so
-    no pair is ever written out. Predicted steps are not clipped to the bar.
+    |P & (P << d)|. Pairs at or beyond the last bin are the rest of n(n-1)/2, so no pair
+    is ever written out. The set changes only where a note begins or ends: toggled bits
+    are combined with XOR per step and accumulated inside the bar, and each set counts as
+    often as it lasts. Predicted notes are not clipped to the bar.
     """
-    t = cells.select(*BAR, "step", "pitch", F.lit(True).alias("is_t"))
-    p = pred.select(
-        *BAR, "pitch", F.explode_outer(_steps_covered(F.col("onset"), F.col("offset"))).alias("step")
-    ).select(*BAR, "step", "pitch", F.lit(False).alias("is_t"))
-    pitch = F.col("pitch")
-    sets = _stack(t, p).groupBy(*BAR, "step").agg(
-        *words.named(words.collect_words(pitch, PITCHES, F.col("is_t")), "t"),
-        *words.named(words.collect_words(pitch, PITCHES, ~F.col("is_t") & F.col("step").isNotNull()), "p"),
+    row = Window.partitionBy(*BAR, "pitch").orderBy("onset", "offset")
+    reach = F.max("offset").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    merged = (
+        pred.filter("offset > onset").withColumn("_new", F.when(F.col("onset") <= reach, 0).otherwise(1))
+        .withColumn("_g", F.sum("_new").over(row))
+        .groupBy(*BAR, "pitch", "_g").agg(F.min("onset").alias("on"), F.max("offset").alias("off"))
+    )
+    ends = F.explode(F.array("on", "off")).alias("step")
+    toggles = _stack(
+        true.select(*BAR, "pitch", ends, F.lit(True).alias("is_t")),
+        merged.select(*BAR, "pitch", ends, F.lit(False).alias("is_t")),
+    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("pitch") % words.WIDTH)
+    none = F.lit(0).cast("bigint")
+    names = [(side, i) for side in "tp" for i in range(words.word_count(PITCHES))]
+    part = lambda side, i: F.when(
+        (F.col("is_t") == F.lit(side == "t")) & (F.floor(F.col("pitch") / words.WIDTH) == i), bit
+    ).otherwise(none)
+    changes = toggles.groupBy(*BAR, "step").agg(
+        *[F.bit_xor(part(s, i)).alias(f"{s}{i}") for s, i in names],
         F.bool_or("is_t").alias("has_t"), F.bool_or(~F.col("is_t")).alias("has_p"),
     )
+    w = Window.partitionBy(*BAR).orderBy("step")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    sets = changes.select(
+        *BAR, "has_t", "has_p", F.coalesce(F.lead("step").over(w) - F.col("step"), F.lit(0)).alias("len"),
+        *[F.bit_xor(f"{s}{i}").over(so_far).alias(f"{s}{i}") for s, i in names],
+    )
     sums = []
     for side in "tp":
         w = words.columns(side, PITCHES)
         n = words.count(w).cast("bigint")
-        sums.append(F.sum(F.floor(n * (n - 1) / 2)).alias(f"{side}_all"))
+        sums.append(F.sum(F.col("len") * F.floor(n * (n - 1) / 2)).alias(f"{side}_all"))
         for d in range(1, bins - 1):
-            sums.append(F.sum(words.count(words.intersect(w, words.shift_up(w, d)))).alias(f"{side}_{d}"))
+            sums.append(F.sum(F.col("len") * words.count(words.intersect(w, words.shift_up(w, d)))).alias(f"{side}_{d}"))
     bar = sets.groupBy(*BAR).agg(
         F.bool_or("has_t").alias("has_t"), F.bool_or("has_p").alias("has_p"), *sums
     )
@@ -174,10 +197,10 @@ def interval_scores(cells: DataFrame, pred: DataFrame, bins: int = INTERVAL_BINS
     return bar.select(*BAR, score.alias("interval_histogram_correlation"))
 
 
-def velocity_histogram_kl(cells: DataFrame, pred: DataFrame, bins: int = VELOCITY_BINS) -> DataFrame:
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+def velocity_histogram_kl(true: DataFrame, pred: DataFrame, bins: int = VELOCITY_BINS) -> DataFrame:
+    zero, length = F.lit(0).cast("bigint"), (F.col("off") - F.col("on")).cast("bigint")
     b = F.floor(F.col("velocity") * bins / 128).cast("int").alias("b")
-    t = cells.select(*BAR, b, one.alias("t"), zero.alias("p"))
+    t = true.select(*BAR, b, length.alias("t"), zero.alias("p"))
     p = pred.select(*BAR, b, zero.alias("t"), F.col("n").cast("bigint").alias("p"))
     pairs = _stack(t, p).groupBy(*BAR, "b").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
     bar = pairs.groupBy(*BAR).agg(
@@ -188,10 +211,10 @@ def velocity_histogram_kl(cells: DataFrame, pred: DataFrame, bins: int = VELOCIT
     return bar.filter("x > 0 AND y > 0").select(*BAR, V.plus_zero(score).alias("velocity_histogram_kl"))
 
 
-def onset_arrays(cells: DataFrame, pred: DataFrame, steps: int = STEPS, how: str = "inner") -> DataFrame:
+def onset_arrays(true: DataFrame, pred: DataFrame, steps: int = STEPS, how: str = "inner") -> DataFrame:
     """(bar, t_on, p_on): ascending distinct onset steps of both sides, at most one per step."""
-    t = activity(cells, steps).groupBy(*BAR).agg(
-        *[F.bit_or(f"o{i}").alias(f"o{i}") for i in range(words.word_count(steps))]
+    t = true.groupBy(*BAR).agg(
+        *words.named(words.collect_words(F.col("on"), steps, F.col("starts")), "o")
     ).select(*BAR, words.members(words.columns("o", steps), steps).alias("t_on"))
     p = pred.groupBy(*BAR).agg(F.array_sort(F.collect_set("onset")).alias("p_on"))
     return t.join(p, list(BAR), how)
@@ -311,13 +334,13 @@ def groove_scores(onsets: DataFrame, steps: int = STEPS) -> DataFrame:
     return o.select(*BAR, F.when(flat, 0.0).otherwise(r).alias("groove_consistency"))
 
 
-def dominant_pitch_class(cells: DataFrame, pred: DataFrame) -> DataFrame:
+def dominant_pitch_class(true: DataFrame, pred: DataFrame) -> DataFrame:
     """(bar, pc): most frequent pitch class of the notes, of the true cells without notes.
 
     The lowest class wins a tie; the packed code makes that a plain ``max``.
     """
     code = lambda c: F.max(F.col(c) * 16 + (11 - F.col("pc")))
-    bar = pitch_class_counts(cells, pred).groupBy(*BAR).agg(
+    bar = pitch_class_counts(true, pred).groupBy(*BAR).agg(
         F.sum("t").alias("x"), F.sum("p").alias("y"), code("t").alias("tc"), code("p").alias("pcode")
     )
     best = F.when(F.col("y") > 0, F.col("pcode")).otherwise(F.col("tc"))
@@ -375,9 +398,9 @@ def sequence_groove(onsets: DataFrame, by: Sequence[str] = TRACK, steps: int = S
     )
 
 
-def pitch_class_kl(cells: DataFrame, pred: DataFrame, by: Sequence[str] = TRACK) -> DataFrame:
+def pitch_class_kl(true: DataFrame, pred: DataFrame, by: Sequence[str] = TRACK) -> DataFrame:
     """KL of summed per-bar pitch-class histograms (each bar normalised first)."""
-    bars = pitch_class_counts(cells, pred).groupBy(*BAR).agg(
+    bars = pitch_class_counts(true, pred).groupBy(*BAR).agg(
         F.sum("t").alias("x"), F.sum("p").alias("y"), F.collect_list(F.struct("pc", "t", "p")).alias("bins")
     ).filter("x > 0")
     share = lambda v, s: F.when(F.col(s) > 0, F.col(v) / F.col(s)).otherwise(0.0)

@@ -66,7 +66,7 @@ def render(cells: DataFrame, strategy: str = "velocity_only", pitch_axis: str =
         planes = cells.withColumn("p", F.struct(F.lit(0).alias("channel"), velocity.alias("level")))
         copies = CHANNELS
     else:
-        masked = with_masks(cells)
+        masked = cells if "is_onset" in cells.columns else with_masks(cells)
         second = [F.struct(F.lit(1).alias("channel"), F.when(F.col("is_onset"), one).alias("level"))]
         if strategy == "vos":
             second.append(F.struct(F.lit(2).alias("channel"), F.when(F.col("is_sustain"), one).alias("level")))

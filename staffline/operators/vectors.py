@@ -194,9 +194,9 @@ def probe_accuracy(
         rows.unpersist()
 
 
-def dominant_pitch_label(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+def dominant_pitch_label(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, label): pitch class of the most active pitch, the lowest pitch on a tie."""
-    counts = cells.groupBy(*keys, "pitch").agg(F.count(F.lit(1)).alias("n"))
+    counts = segments.groupBy(*keys, "pitch").agg(F.sum(F.col("off") - F.col("on")).alias("n"))
     best = counts.groupBy(*keys).agg(F.max(F.col("n") * 128 + (127 - F.col("pitch"))).alias("c"))
     return best.select(*keys, ((127 - F.col("c") % 128) % 12).cast("int").alias("label"))
 

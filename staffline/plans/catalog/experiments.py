@@ -54,10 +54,10 @@ FLAGSHIP = ("onset_f1", "note_density_pearson", "pitch_class_histogram_correlati
 )
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean onset F1, density and pitch-class correlation and velocity error per instrument."""
-    cells, pred = sides(spark, sf_dir)
-    onset = note_metrics.onset_scores(note_metrics.onset_arrays(cells, pred))
-    steps = note_metrics.step_profiles(cells, pred)
-    classes = note_metrics.pitch_class_scores(cells, pred)
+    true, pred = sides(spark, sf_dir)
+    onset = note_metrics.onset_scores(note_metrics.onset_arrays(true, pred))
+    steps = note_metrics.step_profiles(true, pred)
+    classes = note_metrics.pitch_class_scores(true, pred)
     bars = onset.join(steps, list(BAR)).join(classes, list(BAR)).withColumn("instrument", instrument_name())
     return bars.groupBy("instrument").agg(
         F.count(F.lit(1)).alias("bars"), *[F.avg(m).alias(m) for m in FLAGSHIP]
@@ -74,7 +74,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def match_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = derived.rec_notes(spark, sf_dir).withColumn("bar_index", F.col("bar_index") + F.col("note_ord") % 2)
-    return match_report(derived.cells(spark, sf_dir), shifted)
+    return match_report(derived.segments(spark, sf_dir), shifted)
 
 
 @query(
@@ -83,8 +83,8 @@ def match_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def evaluate_harmony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric names to long rows to means per track; each number has its own checked query."""
-    cells, pred = sides(spark, sf_dir)
-    long = evaluate(Tables(cells, pred), ["harmony", "dynamics", "-interval_histogram_correlation"])
+    true, pred = sides(spark, sf_dir)
+    long = evaluate(Tables(true, pred), ["harmony", "dynamics", "-interval_histogram_correlation"])
     return rounded(X.summarise(long, ["track_idx"]))
 
 
@@ -339,11 +339,11 @@ def stream_bounded_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _work_folder(spark)
     schema = derived.table(spark, sf_dir, "lineitem").schema.simpleString()[len("struct<"):-1].replace(":", " ")
     raw = streams.read_files(spark, sf_dir, schema.replace(",", ", "), pattern="lineitem.parquet")
-    sink = streams.batch_folder_sink(f"{folder}/cells")
+    sink = streams.batch_folder_sink(f"{folder}/segments")
 
     def ingest_batch(batch: DataFrame, batch_id: int) -> None:
         sink(pipeline.ingest(derived.notes_of(batch), n_bars=derived.N_BARS), batch_id)
 
     streams.run_available(raw, ingest_batch, f"{folder}/state")
-    cells = spark.read.parquet(f"{folder}/cells")
-    return cells.groupBy("song_id", "track_idx").agg(F.count(F.lit(1)).alias("n_cells"))
+    segments = spark.read.parquet(f"{folder}/segments")
+    return segments.groupBy("song_id", "track_idx").agg(F.sum(F.col("off") - F.col("on")).alias("n_cells"))

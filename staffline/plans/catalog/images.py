@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from staffline.keys import BAR
 from staffline.operators import image_metrics as M
 from staffline.operators import render
+from staffline.operators.ingest import segments_to_cells, with_masks
 from staffline.plans import derived
 from staffline.plans.catalog import query, rounded, stable
 from staffline.plans.derived import with_tables
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return derived.cells(spark, sf_dir), derived.recon_plane(spark, sf_dir)
+    return derived.segments(spark, sf_dir), derived.recon_plane(spark, sf_dir)
 
 
 _PAIRED = """
@@ -34,7 +35,7 @@ pair AS (SELECT song_id, track_idx, bar_index, "row", step, sum(t) AS t, sum(p)
 )
 def pixel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, plane = _sides(spark, sf_dir)
-    return rounded(M.pixel_scores(render.render(c), render.plane_pixels(plane)), BAR)
+    return rounded(M.pixel_scores(render.render(segments_to_cells(c)), render.plane_pixels(plane)), BAR)
 
 
 @query(
@@ -53,13 +54,11 @@ def pixel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixel_scores_vo_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, plane = _sides(spark, sf_dir)
     recon = two_channel_recon(plane)
-    return rounded(M.pixel_scores(render.render(c, "vo_split"), recon), BAR)
+    return rounded(M.pixel_scores(render.render(segments_to_cells(c), "vo_split"), recon), BAR)
 
 
 def two_channel_recon(plane: DataFrame) -> DataFrame:
     """A two-channel reconstruction: the plane, and its values at onsets as the second channel."""
-    from staffline.operators.ingest import with_masks
-
     first = render.plane_pixels(plane, 0, 1)
     marked = with_masks(plane.withColumnRenamed("row", "pitch")).filter("is_onset")
     second = render.plane_pixels(marked.withColumnRenamed("pitch", "row"), 1, 1)
@@ -125,7 +124,7 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT song_id, track_idx, bar_index, step // 3 AS bin, count(*) AS n FROM cells GROUP BY ALL)"""),
 )
 def binned_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = derived.cells(spark, sf_dir)
+    c = derived.segments(spark, sf_dir)
     both = [M.binned_marginal(c, axis).withColumn("axis", F.lit(axis)) for axis in ("pitch", "time")]
     return rounded(both[0].unionByName(both[1]), BAR)
 
@@ -141,11 +140,11 @@ def binned_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bar_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, plane = _sides(spark, sf_dir)
-    return rounded(M.bar_nll(render.velocity_plane(c), plane), BAR)
+    return rounded(M.bar_nll(c, plane), BAR)
 
 
 @query("ssim")
 def ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL twin: a windowed two-dimensional convolution; checked against brute force in the tests."""
     c, plane = _sides(spark, sf_dir)
-    return rounded(M.ssim(render.render(c), render.plane_pixels(plane)), BAR)
+    return rounded(M.ssim(render.render(segments_to_cells(c)), render.plane_pixels(plane)), BAR)

@@ -31,7 +31,7 @@ def instrument_name():
     GROUP BY 1"""),
 )
 def bars_per_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = ingest.valid_bars(derived.cells(spark, sf_dir))
+    bars = ingest.valid_bars(derived.segments(spark, sf_dir))
     return (
         bars.withColumn("instrument", instrument_name())
         .groupBy("instrument")
@@ -250,7 +250,7 @@ def cells_complete_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM onset_cells GROUP BY ALL"""),
 )
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = ingest.with_masks(derived.cells(spark, sf_dir))
+    m = derived.cells(spark, sf_dir)
     place = (F.col("pitch") + 1) * (F.col("step") + 1)
     return m.groupBy(*BAR).agg(
         F.count_if("is_onset").alias("onset_cells"),
@@ -268,7 +268,7 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM onset_cells WHERE is_onset GROUP BY ALL HAVING count(*) >= 2"""),
 )
 def bar_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = ingest.valid_bars(derived.cells(spark, sf_dir)).withColumn("instrument", instrument_name())
+    bars = ingest.valid_bars(derived.segments(spark, sf_dir)).withColumn("instrument", instrument_name())
     return bars.withColumn("bar_id", ingest.bar_id()).select(
         *BAR, "note_count", "bar_id", F.substring(F.sha2("bar_id", 256), 1, 16).alias("content_key")
     )
@@ -283,7 +283,7 @@ def bar_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                                ORDER BY md5(concat('42:', song_id, ':', track_idx, ':', bar_index))) <= 3"""),
 )
 def bars_capped_per_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = ingest.valid_bars(derived.cells(spark, sf_dir)).select(*BAR)
+    bars = ingest.valid_bars(derived.segments(spark, sf_dir)).select(*BAR)
     return ingest.cap_bars(bars, 3)
 
 

@@ -13,7 +13,7 @@ from staffline.plans.derived import with_tables
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return derived.cells(spark, sf_dir), M.compact_notes(derived.rec_notes(spark, sf_dir))
+    return derived.segments(spark, sf_dir), M.compact_notes(derived.rec_notes(spark, sf_dir))
 
 
 BOTH = """

@@ -94,7 +94,7 @@ def collection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY song_id, track_idx, bar_index LIMIT 1000"""),
 )
 def bars_global_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbering.ordered_limit(valid_bars(derived.cells(spark, sf_dir)).select(*BAR), BAR, 1000)
+    return numbering.ordered_limit(valid_bars(derived.segments(spark, sf_dir)).select(*BAR), BAR, 1000)
 
 
 @query(

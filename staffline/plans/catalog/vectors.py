@@ -137,7 +137,7 @@ def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT song_id, track_idx, bar_index, CAST(arg_max(pitch, n * 128 + 127 - pitch) % 12 AS INT) AS label FROM n GROUP BY 1, 2, 3"""),
 )
 def dominant_pitch_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.dominant_pitch_label(derived.cells(spark, sf_dir), BAR)
+    return M.dominant_pitch_label(derived.segments(spark, sf_dir), BAR)
 
 
 @query("disentanglement")

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffline.keys import BAR, STEPS, TRACK
-from staffline.operators.ingest import instrument_position, notes_to_cells, program_instrument
+from staffline.operators.ingest import (
+    instrument_position,
+    notes_to_cells,
+    notes_to_segments,
+    program_instrument,
+    segments_to_cells,
+)
 
 N_BARS = 8
 
@@ -52,8 +58,12 @@ def notes_of(li: DataFrame) -> DataFrame:
     )
 
 
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes_to_segments(notes(spark, sf_dir), STEPS, N_BARS)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes_to_cells(notes(spark, sf_dir), STEPS, N_BARS)
+    return segments_to_cells(segments(spark, sf_dir))
 
 
 def rec_notes(spark: SparkSession, sf_dir: str) -> DataFrame:

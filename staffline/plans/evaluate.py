@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staffline.keys import BAR, PITCHES, STEPS
-from staffline.operators import image_metrics, note_metrics, render
-from staffline.operators.ingest import bar_note_counts
+from staffline.operators import image_metrics, note_metrics
 from staffline.plans.experiment import to_long
 
 log = logging.getLogger(__name__)
@@ -22,11 +21,11 @@ log = logging.getLogger(__name__)
 class Tables:
     """Inputs of an evaluation; an absent frame switches its metrics off.
 
-    ``cells`` and ``plane`` are partitioned by bar, ``pred`` comes from
+    ``true`` holds segments; it and ``plane`` are partitioned by bar, ``pred`` comes from
     ``compact_notes``. Persist them when several families are scored.
     """
 
-    cells: DataFrame
+    true: DataFrame
     pred: DataFrame | None = None
     plane: DataFrame | None = None
     true_pixels: DataFrame | None = None
@@ -46,23 +45,23 @@ class Metric:
 
 
 def _onsets(t: Tables) -> DataFrame:
-    return note_metrics.onset_arrays(t.cells, t.pred, t.steps)
+    return note_metrics.onset_arrays(t.true, t.pred, t.steps)
 
 
 def _steps(t: Tables) -> DataFrame:
-    return note_metrics.step_profiles(t.cells, t.pred, t.steps)
+    return note_metrics.step_profiles(t.true, t.pred, t.steps)
 
 
 def _classes(t: Tables) -> DataFrame:
-    return note_metrics.pitch_class_scores(t.cells, t.pred)
+    return note_metrics.pitch_class_scores(t.true, t.pred)
 
 
 def _intervals(t: Tables) -> DataFrame:
-    return note_metrics.interval_scores(t.cells, t.pred)
+    return note_metrics.interval_scores(t.true, t.pred)
 
 
 def _velocities(t: Tables) -> DataFrame:
-    return note_metrics.velocity_histogram_kl(t.cells, t.pred)
+    return note_metrics.velocity_histogram_kl(t.true, t.pred)
 
 
 def _onset(t: Tables) -> DataFrame:
@@ -86,15 +85,15 @@ def _ssim(t: Tables) -> DataFrame:
 
 
 def _rows(t: Tables) -> DataFrame:
-    return image_metrics.row_scores(t.cells, t.plane, t.height, t.steps, t.steps)
+    return image_metrics.row_scores(t.true, t.plane, t.height, t.steps, t.steps)
 
 
 def _mi(t: Tables) -> DataFrame:
-    return image_metrics.mutual_information(t.cells, t.plane, height=t.height, width=t.steps, steps=t.steps)
+    return image_metrics.mutual_information(t.true, t.plane, height=t.height, width=t.steps, steps=t.steps)
 
 
 def _nll(t: Tables) -> DataFrame:
-    return image_metrics.bar_nll(render.velocity_plane(t.cells), t.plane, t.height, t.steps)
+    return image_metrics.bar_nll(t.true, t.plane, t.height, t.steps)
 
 
 NOTES, IMAGE, PLANE = frozenset({"pred"}), frozenset({"true_pixels", "recon_pixels"}), frozenset({"plane"})
@@ -196,9 +195,9 @@ def evaluate(tables: Tables, names: Sequence[str] = ("all",), exclude: Sequence[
     return reduce(DataFrame.unionByName, parts)
 
 
-def match_report(cells: DataFrame, recon_bars: DataFrame) -> DataFrame:
+def match_report(true: DataFrame, recon_bars: DataFrame) -> DataFrame:
     """One row: reconstructed bars, those with a true bar, and those without."""
-    truth = bar_note_counts(cells).select(*BAR, F.lit(True).alias("_true"))
+    truth = true.select(*BAR).distinct().withColumn("_true", F.lit(True))
     marked = recon_bars.select(*BAR).distinct().join(truth, list(BAR), "left")
     return marked.agg(
         F.count(F.lit(1)).alias("reconstructed"),

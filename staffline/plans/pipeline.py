@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from staffline.keys import BAR, PITCHES, STEPS
 from staffline.operators import codec, detect, image_metrics, note_metrics, render
-from staffline.operators.ingest import keep_valid, notes_to_cells, track_name
+from staffline.operators.ingest import keep_valid, notes_to_segments, segments_to_cells, track_name
 
 Detector = Callable[[DataFrame], DataFrame]
 
 
 def ingest(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None, min_notes: int = 0) -> DataFrame:
-    cells = notes_to_cells(notes, steps, n_bars)
-    return keep_valid(cells, min_notes, steps) if min_notes > 0 else cells
+    """Segments of the bars that pass the note-count threshold."""
+    segments = notes_to_segments(notes, steps, n_bars)
+    return keep_valid(segments, min_notes) if min_notes > 0 else segments
 
 
 def reconstruct(cells: DataFrame, size: tuple[int, int] = (PITCHES, STEPS)) -> DataFrame:
@@ -32,14 +33,15 @@ def run(
     notes: DataFrame, detector: Detector | None = None, n_bars: int | None = None, min_notes: int = 2
 ) -> DataFrame:
     """Means of the main scores per instrument for one condition."""
-    cells = ingest(notes, STEPS, n_bars, min_notes)
+    true = ingest(notes, STEPS, n_bars, min_notes)
+    cells = segments_to_cells(true)
     plane = reconstruct(cells)
     found = (detector or (lambda p: detect.global_threshold(p, 0.05)))(plane)
     pred = found.withColumn("n", F.lit(1))  # detectors emit each note once, already by bar
     pixels = image_metrics.pixel_scores(render.render(cells), render.plane_pixels(plane))
-    rows = image_metrics.row_scores(cells, plane)
-    steps = note_metrics.step_profiles(cells, pred)
-    onset = note_metrics.onset_scores(note_metrics.onset_arrays(cells, pred))
+    rows = image_metrics.row_scores(true, plane)
+    steps = note_metrics.step_profiles(true, pred)
+    onset = note_metrics.onset_scores(note_metrics.onset_arrays(true, pred))
     keys = list(BAR)
     bars = pixels.join(rows, keys, "left").join(steps, keys, "left").join(onset, keys, "left")
     names = (
