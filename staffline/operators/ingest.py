@@ -160,31 +160,31 @@ def bar_pieces(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None)
 def notes_to_segments(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None) -> DataFrame:
     """Sparse piano roll as disjoint intervals, partitioned by bar.
 
-    On one (pitch, step) the note with the highest ``note_ord`` wins. Pieces that
-    overlap no other piece of their pitch are segments as they are; only contested
-    ones are spread over steps and run-length coded again. Without ``n_bars`` a track
-    keeps floor((last offset + 1) / steps) bars: an incomplete last bar is dropped.
+    On one (pitch, step) the note with the highest ``note_ord`` wins. A piece that
+    overlaps no other piece of its pitch passes as one row; only contested pieces are
+    spread over their steps before the winner is taken, and equal neighbours are joined
+    again. Without ``n_bars`` a track keeps floor((last offset + 1) / steps) bars: an
+    incomplete last bar is dropped.
     """
     row = [*BAR, "pitch"]
     w = Window.partitionBy(*row).orderBy("on", "off", "stamp")
     before = F.max("off").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    pieces = bar_pieces(notes, steps, n_bars).withColumn(
-        "contested", (F.coalesce(before, F.lit(0)) > F.col("on")) | (F.coalesce(F.lead("on").over(w), F.lit(steps)) < F.col("off"))
+    contested = (F.coalesce(before, F.lit(0)) > F.col("on")) | (
+        F.coalesce(F.lead("on").over(w), F.lit(steps)) < F.col("off")
+    )
+    single = F.array(F.struct(F.col("on").alias("on"), F.col("off").alias("off")))
+    spread = F.transform(
+        F.sequence("on", F.col("off") - 1), lambda t: F.struct(t.alias("on"), (t + 1).alias("off"))
+    )
+    parts = bar_pieces(notes, steps, n_bars).withColumn("_c", contested).select(
+        *row, "stamp", F.inline(F.when(F.col("_c"), spread).otherwise(single))
     )
-    clear = pieces.filter(~F.col("contested")).select(*row, "on", "off", "stamp")
     winners = (
-        pieces.filter("contested")
-        .select(*row, "stamp", F.explode(F.sequence("on", F.col("off") - 1)).alias("step"))
-        .groupBy(*row, "step").agg(F.max("stamp").alias("stamp"))
+        parts.groupBy(*row, "on").agg(F.max("stamp").alias("stamp"), F.max("off").alias("off"))
+        .filter(F.col("stamp") % 128 > 0)
     )
-    island = F.col("step") - F.row_number().over(Window.partitionBy(*row, "stamp").orderBy("step"))
-    rebuilt = winners.withColumn("_i", island).groupBy(*row, "stamp", "_i").agg(
-        F.min("step").alias("on"), (F.max("step") + 1).alias("off")
-    ).select(*row, "on", "off", "stamp")
-    segments = _with_starts(
-        clear.unionByName(rebuilt)
-        .select(*row, "on", "off", (F.col("stamp") % 128).cast("int").alias("velocity"))
-        .filter(F.col("velocity") > 0)
+    segments = _join_neighbours(winners, "stamp").select(
+        *row, "on", "off", (F.col("stamp") % 128).cast("int").alias("velocity"), "starts"
     )
     if n_bars is not None:
         return segments
@@ -195,9 +195,22 @@ def notes_to_segments(notes: DataFrame, steps: int = STEPS, n_bars: int | None =
     return segments.join(incomplete, list(BAR), "left_anti")
 
 
-def _with_starts(segments: DataFrame) -> DataFrame:
+def _join_neighbours(parts: DataFrame, same: str) -> DataFrame:
+    """Join adjacent intervals of a pitch that agree in ``same``; add ``starts``."""
     w = Window.partitionBy(*BAR, "pitch").orderBy("on")
-    return segments.withColumn("starts", F.coalesce(F.lag("off").over(w) != F.col("on"), F.lit(True)))
+    apart = F.coalesce(F.lag("off").over(w) != F.col("on"), F.lit(True))
+    new = apart | (F.lag(same).over(w) != F.col(same))
+    marked = parts.withColumns({"_apart": apart, "_new": new})
+    island = F.sum(F.when(F.col("_new"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        marked.withColumn("_i", island)
+        .groupBy(*BAR, "pitch", "_i")
+        .agg(
+            F.min("on").cast("int").alias("on"), F.max("off").cast("int").alias("off"),
+            F.max(same).alias(same), F.bool_or(F.col("_new") & F.col("_apart")).alias("starts"),
+        )
+        .drop("_i")
+    )
 
 
 def segments_to_cells(segments: DataFrame) -> DataFrame:
@@ -215,12 +228,8 @@ def notes_to_cells(notes: DataFrame, steps: int = STEPS, n_bars: int | None = No
 
 def cells_to_segments(cells: DataFrame) -> DataFrame:
     """Run-length code cells of equal velocity; the frame should be partitioned by bar."""
-    row = [*BAR, "pitch"]
-    island = F.col("step") - F.row_number().over(Window.partitionBy(*row, "velocity").orderBy("step"))
-    runs = cells.select(*row, "step", "velocity").withColumn("_i", island).groupBy(*row, "velocity", "_i").agg(
-        F.min("step").cast("int").alias("on"), (F.max("step") + 1).cast("int").alias("off")
-    )
-    return _with_starts(runs.select(*row, "on", "off", "velocity"))
+    steps = cells.select(*BAR, "pitch", F.col("step").alias("on"), (F.col("step") + 1).alias("off"), "velocity")
+    return _join_neighbours(steps, "velocity").select(*BAR, "pitch", "on", "off", "velocity", "starts")
 
 
 def with_masks(cells: DataFrame) -> DataFrame:

@@ -217,7 +217,7 @@ def onset_arrays(true: DataFrame, pred: DataFrame, steps: int = STEPS, how: str
         *words.named(words.collect_words(F.col("on"), steps, F.col("starts")), "o")
     ).select(*BAR, words.members(words.columns("o", steps), steps).alias("t_on"))
     p = pred.groupBy(*BAR).agg(F.array_sort(F.collect_set("onset")).alias("p_on"))
-    return t.join(p, list(BAR), how)
+    return t.join(p, list(BAR), how)  # both sides are partitioned by bar: no shuffle
 
 
 def _inside(onsets: Column, steps: int) -> Column:

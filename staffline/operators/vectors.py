@@ -264,14 +264,18 @@ def smoothness(df: DataFrame, by: Sequence[str], order: str, z: str = "z") -> Da
     )
 
 
-def self_similarity(df: DataFrame, by: Sequence[str], z: str = "z", split: Column | None = None) -> DataFrame:
+def self_similarity(
+    df: DataFrame, by: Sequence[str], order: str, z: str = "z", block: int = 1024
+) -> DataFrame:
     """Mean and spread of the cosine over all pairs of a sequence, without pairs.
 
     With unit vectors u and G = sum u u': the sum of cosines over ordered pairs is
     |sum u|^2 - n', the sum of their squares is |G|^2 - n', n' counting the non-zero
-    vectors. Linear in the rows. ``split`` spreads a hot sequence over tasks.
+    vectors. Linear in the rows. A sequence is cut along ``order`` into blocks of
+    ``block`` positions, so a hot one is spread over tasks.
     """
-    rows = df.select(*by, V.unit(doubles(z)).alias("u"), (split if split is not None else F.lit(0)).alias("_split"))
+    cut = F.floor(F.col(order) / block).alias("_split")
+    rows = df.select(*by, V.unit(doubles(z)).alias("u"), cut)
     sums = rows.select(*by, F.posexplode("u").alias("i", "v")).groupBy(*by, "i").agg(F.sum("v").alias("s"))
     mean_part = sums.groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
     sizes = rows.groupBy(*by).agg(

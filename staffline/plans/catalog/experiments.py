@@ -330,6 +330,21 @@ def stream_running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(streams.latest(spark, f"{folder}/out"))
 
 
+@query(
+    "stream_transitions",
+    """WITH e AS (SELECT event_type, user_id % 12 AS pc, lead(user_id % 12) OVER (PARTITION BY event_type ORDER BY event_id) AS next_pc FROM events)
+    SELECT event_type AS sequence_id, CAST(pc AS INT) AS pc, CAST(next_pc AS INT) AS next_pc, count(*) AS n FROM e WHERE next_pc IS NOT NULL GROUP BY ALL""",
+)
+def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successive classes per sequence, kept across batches of a file stream."""
+    folder = _work_folder(spark)
+    raw = streams.read_files(spark, sf_dir, "event_id BIGINT, event_type STRING, user_id BIGINT", pattern="events.parquet")
+    bars = raw.selectExpr("event_type AS sequence_id", "event_id AS bar_index", "CAST(user_id % 12 AS INT) AS pc")
+    streams.run_available(bars, streams.transition_sink(f"{folder}/out", f"{folder}/carry"), f"{folder}/state")
+    moves = spark.read.parquet(f"{folder}/out")
+    return moves.groupBy("sequence_id", "pc", "next_pc").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "stream_bounded_ingest",
     with_tables("""SELECT song_id, track_idx, count(*) AS n_cells FROM cells GROUP BY ALL"""),

@@ -67,8 +67,7 @@ def latent_channel_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat = latents(spark, sf_dir)
-    split = F.floor(F.col("bar_index") / 1024)
-    return rounded(M.self_similarity(lat, ["song_id"], split=split))
+    return rounded(M.self_similarity(lat, ["song_id"], "bar_index"))
 
 
 @query(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from staffline.operators.numbering import sequence_next
 
 FILES_PER_BATCH = 100
 RELAY_SCHEMA = "condition_label STRING, rank INT, metrics_summary MAP<STRING, STRING>, _corrupt_record STRING"
@@ -95,25 +95,23 @@ def relay(spark: SparkSession, folder: str, max_files: int = FILES_PER_BATCH) ->
     )
 
 
-def pitch_class_transitions(bars: DataFrame, key: str = "sequence_id") -> DataFrame:
-    """Stream of (sequence, pc, next_pc) from a stream of (sequence, bar_index, pc).
+def transition_sink(out: str, carry: str, key: str = "sequence_id") -> Callable[[DataFrame, int], None]:
+    """Sink of (sequence, bar_index, pc) batches: appends (sequence, pc, next_pc).
 
-    The state of a sequence is its last bar, so batches of one sequence join up. Rows of
-    a batch are ordered by bar; later batches must hold later bars.
+    The last bar of each sequence is carried to the next batch (one small row per
+    sequence), so transitions join up across batches; a batch must hold later bars than
+    the ones before it. Successors are found block-wise, so one busy sequence does not
+    fill a task. Folders are named by batch: a repeated batch writes the same rows again.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in bars.schema.fields}
-    out = f"{key} {kinds[key]}, pc int, next_pc int"
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # A sequence sends one small row per bar of this batch.
-        rows = pd.concat(list(frames)).sort_values("bar_index")
-        pcs = rows["pc"].astype(int).tolist()
-        before = [state.get[0]] if state.exists else []
-        chain = before + pcs
-        if pcs:
-            state.update((chain[-1],))
-        yield pd.DataFrame({key: [group[0]] * (len(chain) - 1), "pc": chain[:-1], "next_pc": chain[1:]})
-
-    return bars.groupBy(key).applyInPandasWithState(
-        step, out, "pc int", "append", GroupStateTimeout.NoTimeout
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(key, "bar_index", "pc")
+        if batch_id > 0:
+            rows = rows.unionByName(spark.read.parquet(f"{carry}/batch={batch_id - 1}"))
+        moves = sequence_next(rows, [key], "bar_index", ["pc"]).filter(F.col("next_pc").isNotNull())
+        moves.select(key, "pc", "next_pc").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last = rows.groupBy(key).agg(F.max("bar_index").alias("bar_index"), F.max_by("pc", "bar_index").alias("pc"))
+        last.write.mode("overwrite").parquet(f"{carry}/batch={batch_id}")
+
+    return write

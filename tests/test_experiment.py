@@ -84,7 +84,7 @@ def test_transitions_join_up_across_batches(spark, tmp_path):
     schema = "sequence_id STRING, bar_index INT, pc INT"
     rows = [("a", i, (i * 5) % 12) for i in range(9)] + [("b", 0, 1), ("b", 1, 1)]
     run = lambda: T.run_available(
-        T.pitch_class_transitions(T.read_files(spark, str(src), schema)), T.batch_folder_sink(out), state
+        T.read_files(spark, str(src), schema), T.transition_sink(out, str(tmp_path / "carry")), state
     )
     spark.createDataFrame([r for r in rows if r[1] < 4], schema).coalesce(1).write.parquet(str(src))
     run()

@@ -46,7 +46,7 @@ def test_self_similarity_equals_pairs(spark):
     x[3] = 0  # a zero vector
     song = [0] * 50 + [1] * 9 + [2]
     df = table(spark, x, song=song)
-    got = {r["song"]: r for r in M.self_similarity(df, ["song"], split=F.col("id") % 3).collect()}
+    got = {r["song"]: r for r in M.self_similarity(df, ["song"], "id", block=7).collect()}
     for s in (0, 1):
         sims = pairs(x[np.array(song) == s])
         assert got[s]["self_similarity_mean"] == pytest.approx(sims.mean(), abs=1e-9)
