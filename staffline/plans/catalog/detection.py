@@ -123,9 +123,27 @@ def detect_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(detect.by_row_threshold(plane, thresholds))
 
 
-@query("detect_hmm")
+# Viterbi with the default parameters; the survivor paths of both states are kept as bit strings.
+_HMM = f"""WITH RECURSIVE act_rows AS (SELECT song_id, track_idx, bar_index, "row", map_from_entries(list((step, value))) AS m FROM recon_plane GROUP BY ALL),
+    v(song_id, track_idx, bar_index, "row", m, t, f, n, pf, pn) AS (
+      SELECT song_id, track_idx, bar_index, "row", m, 0,
+             ln(0.7::DOUBLE) - 0.5 * pow((coalesce(m[0], 0) - 0.15::DOUBLE) / 0.1::DOUBLE, 2), ln(0.3::DOUBLE) - 0.5 * pow((coalesce(m[0], 0) - 0.75::DOUBLE) / 0.1::DOUBLE, 2),
+             0::HUGEINT, 1::HUGEINT FROM act_rows
+      UNION ALL
+      SELECT song_id, track_idx, bar_index, "row", m, t + 1,
+             greatest(f + ln(0.9::DOUBLE), n + ln(0.2::DOUBLE)) - 0.5 * pow((coalesce(m[t + 1], 0) - 0.15::DOUBLE) / 0.1::DOUBLE, 2),
+             greatest(f + ln(0.1::DOUBLE), n + ln(0.8::DOUBLE)) - 0.5 * pow((coalesce(m[t + 1], 0) - 0.75::DOUBLE) / 0.1::DOUBLE, 2),
+             CASE WHEN n + ln(0.2::DOUBLE) > f + ln(0.9::DOUBLE) THEN pn ELSE pf END * 2,
+             CASE WHEN n + ln(0.8::DOUBLE) > f + ln(0.1::DOUBLE) THEN pn ELSE pf END * 2 + 1
+      FROM v WHERE t < 95),
+    fin AS (SELECT song_id, track_idx, bar_index, "row", m, CASE WHEN n > f THEN pn ELSE pf END AS p FROM v WHERE t = 95),
+    act AS (SELECT song_id, track_idx, bar_index, "row", CAST(s AS INT) AS step, coalesce(m[CAST(s AS INT)], 0) AS value FROM fin, range(96) r(s)
+            WHERE ((p >> CAST(95 - s AS INT)) & 1::HUGEINT) = 1), {_runs_sql('act')}"""
+
+
+@query("detect_hmm", _digest_sql(_HMM))
 def detect_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Viterbi with default parameters; checked against exhaustive search in the tests."""
+    """Viterbi with default parameters."""
     return digest(detect.hmm_tracker(derived.recon_plane(spark, sf_dir)))
 
 

@@ -12,7 +12,7 @@ from staffline.keys import BAR
 from staffline.operators import note_metrics
 from staffline.plans import derived, pipeline
 from staffline.plans import experiment as X
-from staffline.plans.catalog import query, rounded, stable
+from staffline.plans.catalog import ORACLES, query, rounded, stable
 from staffline.plans.catalog.ingest import INSTRUMENT_SQL, instrument_name
 from staffline.plans.catalog.notes import _ONSETS, BOTH, _pearson, sides
 from staffline.plans.derived import with_tables
@@ -77,15 +77,27 @@ def match_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_report(derived.segments(spark, sf_dir), shifted)
 
 
+_EVALUATED = {
+    "onset_scores": ("onset_precision", "onset_recall", "onset_f1"),
+    "step_profiles": ("note_density_pearson", "velocity_mse", "velocity_correlation"),
+    "pitch_class_scores": ("pitch_class_histogram_correlation",),
+}
+
+
 @query(
     "evaluate_harmony",
-    None,
+    "SELECT track_idx, metric, round(avg(value) + 1e-10, 4) AS value, count(value) AS n FROM ("
+    + " UNION ALL ".join(
+        f"SELECT track_idx, '{m}' AS metric, {m} AS value FROM ({ORACLES[q]}) {q}_{i}"
+        for q, names in _EVALUATED.items() for i, m in enumerate(names)
+    )
+    + ") WHERE value IS NOT NULL GROUP BY 1, 2",
 )
 def evaluate_harmony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric names to long rows to means per track; each number has its own checked query."""
+    """Metric names to long rows to means per track."""
     true, pred = sides(spark, sf_dir)
     long = evaluate(Tables(true, pred), ["harmony", "dynamics", "-interval_histogram_correlation"])
-    return rounded(X.summarise(long, ["track_idx"]))
+    return rounded(X.summarise(long, ["track_idx"]), digits=4)
 
 
 # --- metric tables: order lines as scores of conditions ---------------------------------------
