@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from staffline.keys import BAR
 from staffline.operators import note_metrics
-from staffline.plans import derived, pipeline
+from staffline.plans import derived, job
 from staffline.plans import experiment as X
 from staffline.plans.catalog import ORACLES, query, rounded, stable
 from staffline.plans.catalog.ingest import INSTRUMENT_SQL, instrument_name
@@ -317,10 +317,10 @@ def job_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the whole job and streams ---------------------------------------------------------------
 
 
-@query("full_pipeline")
-def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("whole_experiment")
+def whole_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes to cells, valid bars, pooling codec, detection, metrics, means per instrument."""
-    out = pipeline.run(derived.notes(spark, sf_dir), n_bars=derived.N_BARS)
+    out = job.run(derived.notes(spark, sf_dir), n_bars=derived.N_BARS)
     return rounded(out, digits=5)
 
 
@@ -369,7 +369,7 @@ def stream_bounded_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = streams.batch_folder_sink(f"{folder}/segments")
 
     def ingest_batch(batch: DataFrame, batch_id: int) -> None:
-        sink(pipeline.ingest(derived.notes_of(batch), n_bars=derived.N_BARS), batch_id)
+        sink(job.ingest(derived.notes_of(batch), n_bars=derived.N_BARS), batch_id)
 
     streams.run_available(raw, ingest_batch, f"{folder}/state")
     segments = spark.read.parquet(f"{folder}/segments")

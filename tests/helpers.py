@@ -1,7 +1,5 @@
 """Small frames in the library's table shapes."""
 
-from pyspark.sql import functions as F
-
 from staffline.operators.layout import by_bar
 
 NOTE = "song_id BIGINT, track_idx INT, pitch INT, onset_step INT, offset_step INT, velocity INT, note_ord BIGINT"
@@ -36,6 +34,3 @@ def one(df):
 def found(df):
     return sorted((r["pitch"], r["onset"], r["offset"], r["velocity"]) for r in df.collect())
 
-
-def total(column):
-    return F.sum(column)

@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
-from helpers import NOTE, found, notes, plane
+from helpers import found, notes, plane
 
 from staffline.operators import detect as D
 from staffline.operators import ingest
@@ -181,4 +181,3 @@ def test_strategy_lookup(spark):
     bars = spark.createDataFrame([(1, 0, 0), (1, 0, 1)], "song_id BIGINT, track_idx INT, bar_index INT")
     known = spark.createDataFrame([(1, 0, 1, "vos")], "song_id BIGINT, track_idx INT, bar_index INT, strategy STRING")
     assert [r["strategy"] for r in D.with_strategy(bars, known).orderBy("bar_index").collect()] == ["velocity_only", "vos"]
-    assert NOTE
