@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -219,18 +220,20 @@ class ByteBpe:
         if len(self.known) + len(self.first) > CACHED_WORDS:
             self._reset()
         chunks = [self._chunks(t) if t else [] for t in texts]
-        starts = {c[0] for c in chunks if c} - self.first.keys()
-        words = {w for c in chunks for w in c[1:]} - self.known.keys()
-        if starts or words:
-            at, starts, words = len(self.starts), list(starts), list(words)
-            self._learn(starts + [" " + w for w in words])
-            self.first.update(zip(starts, range(at, at + len(starts))))
-            self.known.update(zip(words, range(at + len(starts), at + len(starts) + len(words))))
-        get = self.known.__getitem__
+        heads, words = [c[0] for c in chunks if c], list(chain.from_iterable(c[1:] for c in chunks))
+        new_heads, new_words = list(set(heads) - self.first.keys()), list(set(words) - self.known.keys())
+        if new_heads or new_words:
+            at = len(self.starts)
+            self._learn(new_heads + [" " + w for w in new_words])
+            self.first.update(zip(new_heads, range(at, at + len(new_heads))))
+            self.known.update(zip(new_words, range(at + len(new_heads), at + len(new_heads) + len(new_words))))
         sizes = np.array([len(c) for c in chunks], dtype=np.int64)
-        used = np.fromiter(
-            (x for c in chunks if c for x in (self.first[c[0]], *map(get, c[1:]))), dtype=np.int64, count=int(sizes.sum())
-        )
+        used = np.empty(int(sizes.sum()), dtype=np.int64)
+        inner = np.ones(len(used), dtype=bool)
+        begins = (np.cumsum(sizes) - sizes)[sizes > 0]
+        inner[begins] = False
+        used[begins] = np.fromiter(map(self.first.__getitem__, heads), dtype=np.int64, count=len(heads))
+        used[inner] = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
         ids = self.pool[spread(self.starts[used], self.lengths[used])]
         ends = np.concatenate([[0], np.cumsum(self.lengths[used])])
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])

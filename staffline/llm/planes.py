@@ -30,7 +30,8 @@ from staffline.llm.common import durable, groups, open_folder, shared_folder, sp
 MAGIC = b"IDPLANE1"
 CHUNK_IDS = 1 << 15
 FILE_IDS = 1 << 25
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+TAIL_MARKS = ".,!?;:%$&*#"
 
 
 # -- planes ----------------------------------------------------------------------------------------
@@ -126,49 +127,81 @@ class PlaneReader:
 
 # -- encoding --------------------------------------------------------------------------------------
 
+class Pool:
+    """Ids of strings, one after the other, and where each string's are; number 0 is the empty string."""
+
+    def __init__(self) -> None:
+        self.number = {"": 0}
+        self.ids, self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, base = len(self.starts), len(self.ids)
+        self.number.update(zip(names, range(at, at + len(names))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, names), dtype=np.int64, count=len(names))
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        return self.ids[spread(self.starts[numbers], self.lengths[numbers])]
+
+
+def stem_and_tail(word: str) -> tuple[str, str]:
+    """A word as two strings whose ids follow each other: closing marks are a run of their own for the tokenizer, and
+    ASCII capitals count as small letters. Words that could hold a special string stay whole."""
+    if "<|" in word:
+        return word, ""
+    stem = word.rstrip(TAIL_MARKS)
+    if not stem or not stem[-1].isalpha():
+        stem = word
+    tail = word[len(stem) :]
+    return (stem.lower() if stem.isascii() else stem), tail
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str):
     """Function from texts to (ids one after the other, counts).
 
     For tokenizers that split at white space and drop it, a text's ids are those of its words, so
-    distinct words are encoded in batches and kept. ``path`` must name such a tokenizer.
+    distinct words are encoded in batches and kept. ``path`` must name such a tokenizer, one that makes
+    letters small and parts letters from marks.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import tokenizers
 
     coder = tokenizers.Tokenizer.from_file(path)
-    for left, right in (("a", "b"), ("1", "1"), ("b", "."), (".", "a"), ("é", "'s")):
-        if coder.encode(f"{left} {right}", add_special_tokens=False).ids != sum(
-            (coder.encode(x, add_special_tokens=False).ids for x in (left, right)), []
-        ):
-            raise ValueError("this tokenizer does not drop white space; texts can't be cut at spaces")
-    state = {"known": {}}
-
-    def reset() -> None:
-        state.update(known={"": 0}, pool=np.zeros(0, np.int64), starts=np.zeros(1, np.int64), lengths=np.zeros(1, np.int64))
-
-    reset()
-
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(state["known"]) > CACHED_WORDS:
-            reset()
-        words = [t.split(" ") for t in texts]
-        missing = list({w for ws in words for w in ws} - state["known"].keys())
+    ids_of = lambda text: coder.encode(text, add_special_tokens=False).ids
+    for text, own in (("a b", "a|b"), ("1 1", "1|1"), ("b .", "b|."), ("é 's", "é|'s"), ("Word,.", "word|,."), ("é!", "é|!")):
+        if ids_of(text) != sum(map(ids_of, own.split("|")), []):
+            raise ValueError("this tokenizer does not treat words one by one")
+    pools = {"words": Pool(), "stems": Pool()}
+
+    def learn(words: list[str]) -> None:
+        if len(pools["stems"].number) > CACHED_WORDS:
+            pools["stems"] = Pool()
+        stems = pools["stems"]
+        pairs = [x for w in words for x in stem_and_tail(w)]
+        missing = list(set(pairs) - stems.number.keys())
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
             found = [e.ids for e in coder.encode_batch_fast(part, add_special_tokens=False)]
-            lengths = np.array([len(x) for x in found], dtype=np.int64)
-            at, base = len(state["starts"]), len(state["pool"])
-            state["known"].update(zip(part, range(at, at + len(part))))
-            state["pool"] = np.concatenate([state["pool"], np.array([y for x in found for y in x], dtype=np.int64)])
-            state["starts"] = np.concatenate([state["starts"], base + np.cumsum(lengths) - lengths])
-            state["lengths"] = np.concatenate([state["lengths"], lengths])
-        get = state["known"].__getitem__
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        used = np.fromiter((x for ws in words for x in map(get, ws)), dtype=np.int64, count=int(sizes.sum()))
-        ids = state["pool"][spread(state["starts"][used], state["lengths"][used])]
-        ends = np.concatenate([[0], np.cumsum(state["lengths"][used])])
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+            stems.add(part, np.array([y for x in found for y in x], dtype=np.int64), np.array([len(x) for x in found], dtype=np.int64))
+        used = stems.numbers(pairs)
+        pools["words"].add(words, stems.take(used), stems.lengths[used].reshape(-1, 2).sum(axis=1))
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(pools["words"].number) > CACHED_WORDS:
+            pools["words"] = Pool()
+        pool, words = pools["words"], " ".join(texts).split(" ")
+        missing = list(set(words) - pool.number.keys())
+        if missing:
+            learn(missing)
+        used = pool.numbers(words)
+        ends = np.concatenate([[0], np.cumsum(pool.lengths[used])])
+        cuts = np.cumsum([0] + [t.count(" ") + 1 for t in texts])
+        return pool.take(used), np.diff(ends[cuts])
 
     return encode
 
