@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staffline.llm.common import durable
+from staffline.llm.common import durable, fresh
 from staffline.llm.text import plain_words
 
 WINDOW = 10
@@ -41,8 +41,9 @@ def _key(id_col: str, text_col: str) -> list[Column]:
 def blocks(docs: DataFrame, id_col: str, text_col: str, margin: int = 0, block: int = BLOCK) -> DataFrame:
     """(doc, text_key, first, words): blocks of words with ``margin`` more words at either side; ``first`` is the
     position of the block's own first word. A long document becomes many rows."""
-    words = docs.select(*_key(id_col, text_col), plain_words(F.col(text_col)).alias("all_words")).where(F.size("all_words") > 0)
-    cut = words.select("doc", "text_key", "all_words", F.explode(F.sequence(F.lit(0), F.size("all_words") - 1, F.lit(block))).alias("first"))
+    words = docs.select(*_key(id_col, text_col), plain_words(F.col(text_col)).alias("all_words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("all_words") - 1, F.lit(0)), F.lit(block))
+    cut = words.select("doc", "text_key", "all_words", F.explode(starts).alias("first"))
     low = F.greatest(F.col("first") - margin, F.lit(0))
     return cut.select("doc", "text_key", "first", low.alias("low"), F.slice("all_words", low + 1, F.col("first") + block + margin - low).alias("words"))
 
@@ -163,3 +164,12 @@ def contamination(
         rows[id_col].alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **item_columns: str) -> DataFrame:
+    """The rows of ``docs`` in which no window of a test item occurs, with the columns of ``docs``; edge cases as in ``contamination``."""
+    index = build_index(docs, items, size, id_col=id_col, text_col=text_col, **item_columns)
+    hit = durable(exact_matches(index).select("doc", "text_key").distinct(), "contaminated").withColumnRenamed("text_key", "hit_key")
+    key, = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    return keyed.join(hit, keyed[id_col].eqNullSafe(hit["doc"]) & (keyed[key] == hit["hit_key"]), "left_anti").select(*docs.columns)

@@ -153,9 +153,18 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFr
     base rules. Repeated rows are judged alike. An empty table gives an empty one.
     """
     out, names, hashes = base_columns(docs, text_col)
-    score, failed, kept = fresh(out, "score", "base_failed", "kept")
-    n_words, repeats = F.col(names[0]), F.col(names[4])
+    score, failed, kept, measured = fresh(out, "score", "base_failed", "kept", "measured")
     out = out.withColumn(score, model.score(F.col(hashes)))
+    # A generated row is computed once: filters on it are not pushed into the expressions it is made of.
+    once = F.explode(F.array(F.struct(*names, score))).alias(measured)
+    out = out.select(*docs.columns, once).select(*docs.columns, *[F.col(f"{measured}.{c}").alias(c) for c in (*names, score)])
+    n_words, repeats = F.col(names[0]), F.col(names[4])
     out = out.withColumn(failed, (n_words < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * n_words))
     out = out.withColumn(kept, ~F.col(failed) & (F.round(F.col(score), 6) >= F.lit(model.threshold))).drop(hashes)
     return out, [*names, score, failed, kept]
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``; edge cases as in ``judge``."""
+    judged, names = judge(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col)
+    return judged.where(F.col(names[-1])).select(*docs.columns)

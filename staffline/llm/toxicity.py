@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staffline.llm.common import GROUP_BYTES
+from staffline.llm.common import GROUP_BYTES, fresh
 
 WORD = r"[^\W\d_]+"
 #: Words and ends of sentences.
@@ -232,3 +232,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         id_col, "held_out", F.col("_found.score").alias("score"),
         (F.col("_found.score") >= threshold).cast("int").alias("predicted"), F.col("_found.sentences").alias("sentences"),
     )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **bounds: int) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with the columns of ``docs``; edge cases as in ``toxicity``."""
+    model = fit(docs, labels.where(~held_out(id_col)), id_col=id_col, text_col=text_col, **bounds)
+    found, = fresh(docs, "toxic_score")
+    scored = docs.withColumn(found, score(F.col(text_col), model, threshold=2.0))
+    return scored.where(F.col(f"{found}.score") < threshold).select(*docs.columns)
