@@ -100,14 +100,22 @@ def global_threshold(plane: DataFrame, threshold: float = DEFAULT_THRESHOLD, min
     )
 
 
+def _bar_count(n_bars: int | None, bars: DataFrame) -> int:
+    return n_bars if n_bars is not None else bars.select(*BAR).distinct().count()
+
+
 def fit_adaptive(
-    plane: DataFrame, k_sigma: float = 1.0, n_bars: int | None = None, height: int = PITCHES, steps: int = STEPS
+    plane: DataFrame, k_sigma: float = 1.0, n_bars: int | None = None, height: int = PITCHES, steps: int = STEPS,
+    bars: DataFrame | None = None,
 ) -> list[float]:
     """Per-row threshold clip(mean + k * population std, 0, 1) over all pixels, zeros included.
 
+    A plane has no rows for silent bars, so their number comes from ``n_bars`` or from ``bars``, the table of
+    reconstructed bars; without either, bars without a pixel are not counted.
+
     One aggregate with a row per image row comes back to the driver.
     """
-    count = n_bars if n_bars is not None else plane.select(*BAR).distinct().count()
+    count = _bar_count(n_bars, plane if bars is None else bars)
     stats = {
         r["row"]: (r["s"], r["ss"])
         for r in plane.groupBy("row").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")).collect()
@@ -262,7 +270,7 @@ class Mixture:
 
 def fit_mixture(
     plane: DataFrame, n_components: int = 2, n_bars: int | None = None, height: int = PITCHES, steps: int = STEPS,
-    max_iter: int = 100, tol: float = 1e-3, floor: float = 1e-6, hard_steps: int = 8,
+    max_iter: int = 100, tol: float = 1e-3, floor: float = 1e-6, hard_steps: int = 8, bars: DataFrame | None = None,
 ) -> Mixture:
     """EM for the one-dimensional mixtures of all rows at once.
 
@@ -271,7 +279,7 @@ def fit_mixture(
     A few hard-assignment steps from equally spaced means come first. Rows with fewer
     than 2 * components values are left unfitted.
     """
-    count = n_bars if n_bars is not None else plane.select(*BAR).distinct().count()
+    count = _bar_count(n_bars, plane if bars is None else bars)
     counts = plane.groupBy("row", "value").agg(F.count(F.lit(1)).cast("double").alias("n")).persist()
     try:
         filled = {r["row"]: r for r in counts.groupBy("row").agg(
@@ -370,14 +378,19 @@ class HmmParams:
 
 
 def fit_hmm(
-    plane: DataFrame, true: DataFrame, n_bars: int | None = None, height: int = PITCHES, width: int = STEPS, steps: int = STEPS
+    plane: DataFrame, true: DataFrame, n_bars: int | None = None, height: int = PITCHES, width: int = STEPS, steps: int = STEPS,
+    bars: DataFrame | None = None,
 ) -> HmmParams:
     """Emission and transition parameters from planes labelled by the true segments.
 
+    With ``bars``, the table of reconstructed bars, only these take part, silent ones included.
+
     Totals of the silent majority follow from the image size; transitions follow from the
     segments' ends. A handful of sums comes back to the driver.
     """
     span = min(width, steps)
+    if bars is not None:
+        plane, true = (df.join(bars.select(*BAR).distinct(), list(BAR), "left_semi") for df in (plane, true))
     pitch_rows: list[list[int]] = [[] for _ in range(PITCHES)]
     for r in range(height):
         p = 0 if height == 1 else int(np.round(r * (PITCHES - 1) / (height - 1)))
@@ -398,20 +411,18 @@ def fit_hmm(
         F.count_if(on).alias("n1"), F.sum(F.when(on, v).otherwise(0.0)).alias("s1"), F.sum(F.when(on, v * v).otherwise(0.0)).alias("q1"),
         F.sum(F.when(on, 0.0).otherwise(v)).alias("s0"), F.sum(F.when(on, 0.0).otherwise(v * v)).alias("q0"),
     ).first()
-    bars = n_bars if n_bars is not None else (
-        plane.select(*BAR).unionByName(true.select(*BAR)).distinct().count()
-    )
+    count = _bar_count(n_bars, plane.select(*BAR).unionByName(true.select(*BAR)) if bars is None else bars)
     length = F.col("off") - F.col("on")
     tr = labelled.agg(
         F.sum(length).alias("on"), F.count_if("starts").alias("onsets"),
         F.count_if(F.col("off") == span).alias("last"), F.count_if(F.col("starts") & (F.col("on") == 0)).alias("first"),
     ).first()
     p = HmmParams()
-    n1, n0 = s["n1"] or 0, bars * height * span - (s["n1"] or 0)
+    n1, n0 = s["n1"] or 0, count * height * span - (s["n1"] or 0)
     stay = (tr["on"] or 0) - tr["onsets"]  # every step of a run but its first
     on_off = tr["onsets"] - tr["last"]
     off_on = tr["onsets"] - tr["first"]
-    off_stay = bars * height * (span - 1) - stay - on_off - off_on
+    off_stay = count * height * (span - 1) - stay - on_off - off_on
     eps = 1e-6
     spread = lambda q, m, n: max(math.sqrt(max(q / n - m * m, 0.0)), 0.05)
     mu_on = s["s1"] / n1 if n1 else p.mu_on

@@ -107,8 +107,12 @@ def song_signatures(songs: DataFrame, events: DataFrame, key: str = "song_id") -
 
 
 def song_tempo(songs: DataFrame, events: DataFrame, key: str = "song_id") -> DataFrame:
-    """(song, tempo): first tempo event, 120 without one. ``events`` has (song, tick, qpm)."""
-    first = events.groupBy(key).agg(F.min_by("qpm", "tick").alias("_q"))
+    """(song, tempo): first tempo event, 120 without one. ``events`` has (song, tick, qpm) and perhaps ``ord``.
+
+    Events of one tick are taken in their order ``ord``, or by tempo where there is none.
+    """
+    order = F.struct("tick", "ord" if "ord" in events.columns else "qpm")
+    first = events.groupBy(key).agg(F.min_by("qpm", order).alias("_q"))
     return songs.select(key).join(first, key, "left").select(
         key, F.coalesce(F.col("_q").cast("double"), F.lit(DEFAULT_TEMPO)).alias("tempo")
     )
@@ -166,6 +170,23 @@ def notes_to_segments(notes: DataFrame, steps: int = STEPS, n_bars: int | None =
     again. Without ``n_bars`` a track keeps floor((last offset + 1) / steps) bars: an
     incomplete last bar is dropped.
     """
+    segments = pieces_to_segments(bar_pieces(notes, steps, n_bars), steps)
+    if n_bars is not None:
+        return segments
+    # Only a track's last bar can be incomplete, so the join names that bar.
+    incomplete = notes.groupBy(*TRACK).agg(
+        F.floor((F.max("offset_step") + 1) / steps).cast("int").alias("bar_index")
+    )
+    return segments.join(incomplete, list(BAR), "left_anti")
+
+
+def merge_pieces(pieces: DataFrame) -> DataFrame:
+    """Pieces from several batches as those of one: equal intervals combined, partitioned by bar."""
+    return by_bar(pieces.groupBy(*BAR, "pitch", "on", "off").agg(F.max("stamp").alias("stamp")))
+
+
+def pieces_to_segments(pieces: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Resolve overlaps between all pieces of a bar; ``pieces`` are partitioned by bar."""
     row = [*BAR, "pitch"]
     w = Window.partitionBy(*row).orderBy("on", "off", "stamp")
     before = F.max("off").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -176,23 +197,16 @@ def notes_to_segments(notes: DataFrame, steps: int = STEPS, n_bars: int | None =
     spread = F.transform(
         F.sequence("on", F.col("off") - 1), lambda t: F.struct(t.alias("on"), (t + 1).alias("off"))
     )
-    parts = bar_pieces(notes, steps, n_bars).withColumn("_c", contested).select(
+    parts = pieces.withColumn("_c", contested).select(
         *row, "stamp", F.inline(F.when(F.col("_c"), spread).otherwise(single))
     )
     winners = (
         parts.groupBy(*row, "on").agg(F.max("stamp").alias("stamp"), F.max("off").alias("off"))
         .filter(F.col("stamp") % 128 > 0)
     )
-    segments = _join_neighbours(winners, "stamp").select(
+    return _join_neighbours(winners, "stamp").select(
         *row, "on", "off", (F.col("stamp") % 128).cast("int").alias("velocity"), "starts"
     )
-    if n_bars is not None:
-        return segments
-    # Only a track's last bar can be incomplete, so the join names that bar.
-    incomplete = notes.groupBy(*TRACK).agg(
-        F.floor((F.max("offset_step") + 1) / steps).cast("int").alias("bar_index")
-    )
-    return segments.join(incomplete, list(BAR), "left_anti")
 
 
 def _join_neighbours(parts: DataFrame, same: str) -> DataFrame:

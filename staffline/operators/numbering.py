@@ -8,14 +8,13 @@ all rows is still spread over many tasks.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
-# Largest limit that is left to the built-in top-n, whose last step is one task.
-TOP_N_ROWS = 100_000
 # Fixed by the size of a hash prefix: 3 hex digits give 4096 buckets.
 HASH_DIGITS = 3
 
@@ -172,11 +171,9 @@ def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
 def ordered_limit(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows by ``order`` (a total order).
 
-    A small ``n`` uses the built-in top-n. A large one sorts the keys by range,
-    counts rows per range and ranks only inside ranges, so no task sees ``n`` rows.
+    Keys are sorted by range, rows are counted per range and ranked only inside ranges, so
+    no task sees ``n`` rows, whatever ``n``.
     """
-    if n <= TOP_N_ROWS:
-        return df.orderBy(*order).limit(n)
     return global_position(df, order, "_pos").filter(F.col("_pos") < n).drop("_pos")
 
 
@@ -199,15 +196,17 @@ def with_chunk(df: DataFrame, order: Sequence[str], size: int, limit: int | None
     return placed.withColumn("chunk", F.floor(F.col("_pos") / size)).drop("_pos")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the session's checkpoint folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+def shared_folder(spark) -> str:
+    """The folder that executors share: ``spark.checkpoint.dir``; only a local session may make up one."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not folder:
-            import tempfile
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
 
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint in the folder that executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

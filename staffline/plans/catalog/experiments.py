@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffline.keys import BAR
-from staffline.operators import note_metrics
+from staffline.operators import note_metrics, numbering
 from staffline.plans import derived, job
 from staffline.plans import experiment as X
 from staffline.plans.catalog import ORACLES, query, rounded, stable
@@ -102,22 +101,23 @@ def evaluate_harmony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- metric tables: order lines as scores of conditions ---------------------------------------
 
-_SCORES = """scores AS (
+_SCORES = """all_scores AS (
   SELECT 'codec' || l_suppkey % 6 AS codec, CASE l_linenumber % 3 WHEN 0 THEN 'velocity_only' WHEN 1 THEN 'vo_split' ELSE 'vos' END AS strategy,
          l_returnflag AS detector, l_orderkey AS bar,
          CASE l_partkey % 4 WHEN 0 THEN 'onset_f1' WHEN 1 THEN 'psnr' WHEN 2 THEN 'pixel_mse' ELSE 'velocity_mse' END AS metric,
-         l_quantity + l_discount AS value, l_orderkey * 8 + l_linenumber AS ord FROM lineitem
-  WHERE NOT (l_suppkey % 6 = 5 AND l_partkey % 4 = 3))"""
+         CASE WHEN NOT (l_suppkey % 6 = 5 AND l_partkey % 4 = 3) THEN l_quantity + l_discount END AS value,
+         l_orderkey * 8 + l_linenumber AS ord FROM lineitem
+), scores AS (SELECT * FROM all_scores WHERE value IS NOT NULL)"""
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = derived.table(spark, sf_dir, "lineitem").filter("NOT (l_suppkey % 6 = 5 AND l_partkey % 4 = 3)")
-    return raw.selectExpr(
+    """Every order line as a score; one condition has no value for one metric, as absent data arrives."""
+    return derived.table(spark, sf_dir, "lineitem").selectExpr(
         "'codec' || l_suppkey % 6 AS codec",
         "CASE l_linenumber % 3 WHEN 0 THEN 'velocity_only' WHEN 1 THEN 'vo_split' ELSE 'vos' END AS strategy",
         "l_returnflag AS detector", "l_orderkey AS bar",
         "CASE l_partkey % 4 WHEN 0 THEN 'onset_f1' WHEN 1 THEN 'psnr' WHEN 2 THEN 'pixel_mse' ELSE 'velocity_mse' END AS metric",
-        "l_quantity + l_discount AS value", "l_orderkey * 8 + l_linenumber AS ord",
+        "CASE WHEN NOT (l_suppkey % 6 = 5 AND l_partkey % 4 = 3) THEN l_quantity + l_discount END AS value", "l_orderkey * 8 + l_linenumber AS ord",
     ).withColumn("condition", X.condition_label("codec", "strategy", "detector"))
 
 
@@ -126,7 +126,7 @@ METRIC_NAMES = ("onset_f1", "pixel_mse", "psnr", "velocity_mse")
 
 @query(
     "condition_grid",
-    f"""WITH {_SCORES}, c AS (SELECT DISTINCT codec FROM scores)
+    f"""WITH {_SCORES}, c AS (SELECT DISTINCT codec FROM all_scores)
     SELECT codec, strategy, detector, codec || '__' || strategy || '__' || detector AS condition
     FROM c, (VALUES ('velocity_only'), ('vo_split'), ('vos')) s(strategy), (VALUES ('global_threshold'), ('hysteresis'), ('gmm')) d(detector)""",
 )
@@ -211,9 +211,9 @@ def normalised_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "missing_conditions",
-    f"""WITH {_SCORES}, c AS (SELECT DISTINCT codec FROM scores),
+    f"""WITH {_SCORES}, c AS (SELECT DISTINCT codec FROM all_scores),
     g AS (SELECT codec || '__' || s || '__' || d AS condition FROM c, (VALUES ('velocity_only'), ('vos'), ('other')) s(s), (VALUES ('A'), ('N'), ('X')) d(d)),
-    a AS (SELECT DISTINCT codec || '__' || strategy || '__' || detector AS condition FROM scores)
+    a AS (SELECT DISTINCT codec || '__' || strategy || '__' || detector AS condition FROM all_scores)
     SELECT condition FROM g WHERE condition NOT IN (SELECT condition FROM a)""",
 )
 def missing_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +224,7 @@ def missing_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "example_bars",
-    f"""WITH {_SCORES}, d AS (SELECT DISTINCT codec, bar FROM scores)
+    f"""WITH {_SCORES}, d AS (SELECT DISTINCT codec, bar FROM all_scores)
     SELECT codec, bar FROM d QUALIFY row_number() OVER (PARTITION BY codec ORDER BY bar) <= 4""",
 )
 def example_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,8 +325,7 @@ def whole_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _work_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/staffline-{uuid.uuid4().hex}"
+    return f"{numbering.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(
@@ -338,7 +337,7 @@ def stream_running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _work_folder(spark)
     raw = streams.read_files(spark, sf_dir, "event_type STRING, value DOUBLE", pattern="events.parquet")
     means = streams.running_means(raw.withColumnRenamed("event_type", "metric"), ["metric"])
-    streams.run_available(means, streams.replace_sink(f"{folder}/out"), f"{folder}/state", mode="complete")
+    streams.run_available(means, streams.batch_folder_sink(f"{folder}/out"), f"{folder}/state", mode="complete")
     return rounded(streams.latest(spark, f"{folder}/out"))
 
 
@@ -352,7 +351,7 @@ def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _work_folder(spark)
     raw = streams.read_files(spark, sf_dir, "event_id BIGINT, event_type STRING, user_id BIGINT", pattern="events.parquet")
     bars = raw.selectExpr("event_type AS sequence_id", "event_id AS bar_index", "CAST(user_id % 12 AS INT) AS pc")
-    streams.run_available(bars, streams.transition_sink(f"{folder}/out", f"{folder}/carry"), f"{folder}/state")
+    streams.run_available(bars, streams.transition_sink(f"{folder}/out", f"{folder}/carry", f"{folder}/late"), f"{folder}/state")
     moves = spark.read.parquet(f"{folder}/out")
     return moves.groupBy("sequence_id", "pc", "next_pc").agg(F.count(F.lit(1)).alias("n"))
 
@@ -362,15 +361,11 @@ def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_tables("""SELECT song_id, track_idx, count(*) AS n_cells FROM cells GROUP BY ALL"""),
 )
 def stream_bounded_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounded file batches through ingest; each batch is written once."""
+    """Bounded file batches through ingest: pieces land once per batch, overlaps are resolved over all."""
     folder = _work_folder(spark)
     schema = derived.table(spark, sf_dir, "lineitem").schema.simpleString()[len("struct<"):-1].replace(":", " ")
     raw = streams.read_files(spark, sf_dir, schema.replace(",", ", "), pattern="lineitem.parquet")
-    sink = streams.batch_folder_sink(f"{folder}/segments")
-
-    def ingest_batch(batch: DataFrame, batch_id: int) -> None:
-        sink(job.ingest(derived.notes_of(batch), n_bars=derived.N_BARS), batch_id)
-
-    streams.run_available(raw, ingest_batch, f"{folder}/state")
-    segments = spark.read.parquet(f"{folder}/segments")
+    sink = streams.pieces_sink(f"{folder}/pieces", derived.notes_of, n_bars=derived.N_BARS)
+    streams.run_available(raw, sink, f"{folder}/state")
+    segments = streams.landed_segments(spark, f"{folder}/pieces")
     return segments.groupBy("song_id", "track_idx").agg(F.sum(F.col("off") - F.col("on")).alias("n_cells"))

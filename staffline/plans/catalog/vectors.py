@@ -84,15 +84,15 @@ def interpolation_smoothness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "silhouette",
-    f"""WITH {_LAT}, s AS (SELECT * FROM lat ORDER BY md5(concat('42:', vec_id)) LIMIT 1000),
-    d AS (SELECT a.vec_id, a.label AS own, b.label AS other, list_distance(a.z, b.z) AS d, a.vec_id = b.vec_id AS self FROM s a, s b),
+    f"""WITH {_LAT}, s AS (SELECT * FROM lat),
+    d AS (SELECT a.vec_id, a.label AS own, b.label AS other, list_distance(a.z, b.z) * list_distance(a.z, b.z) AS d, a.vec_id = b.vec_id AS self FROM s a, s b),
     m AS (SELECT vec_id, own, other, sum(CASE WHEN self THEN 0 ELSE d END) AS t, count(*) AS n FROM d GROUP BY ALL),
     ab AS (SELECT vec_id, max(CASE WHEN own = other AND n > 1 THEN t / (n - 1) END) AS a,
                   min(CASE WHEN own <> other THEN t / n END) AS b FROM m GROUP BY 1)
     SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) + 1e-10, 6) + 0.0 AS silhouette_score FROM ab""",
 )
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.silhouette(latents(spark, sf_dir), ["vec_id"], "label"))
+    return rounded(M.silhouette_squared(latents(spark, sf_dir), ["vec_id"], "label"))
 
 
 @query(
@@ -142,7 +142,7 @@ def dominant_pitch_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("disentanglement")
 def disentanglement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pairs; the draws depend on this engine's hash, so no SQL twin."""
-    return rounded(M.disentanglement(latents(spark, sf_dir), "vec_id", "label"))
+    return rounded(M.disentanglement(latents(spark, sf_dir), "vec_id", "label", max_pairs=2000))
 
 
 @query("reparameterised_sample")

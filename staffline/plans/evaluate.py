@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -22,7 +22,10 @@ class Tables:
     """Inputs of an evaluation; an absent frame switches its metrics off.
 
     ``true`` holds segments; it and ``plane`` are partitioned by bar, ``pred`` comes from
-    ``compact_notes``. Persist them when several families are scored.
+    ``compact_notes``. Persist them when several families are scored. ``bars`` lists the
+    reconstructed bars, silent ones included: a true bar that is not among them is not scored,
+    one that is there without notes or pixels is scored as silent. Without ``bars`` every true bar counts
+    as reconstructed.
     """
 
     true: DataFrame
@@ -30,10 +33,21 @@ class Tables:
     plane: DataFrame | None = None
     true_pixels: DataFrame | None = None
     recon_pixels: DataFrame | None = None
+    bars: DataFrame | None = None
     height: int = PITCHES
     steps: int = STEPS
 
 
+def matched(tables: Tables) -> Tables:
+    """Every frame cut to the reconstructed bars; frames that lie by bar are not moved for it."""
+    if tables.bars is None:
+        return tables
+    bars = tables.bars.select(*BAR).distinct()
+    names = ("true", "pred", "plane", "true_pixels", "recon_pixels")
+    frames = {n: getattr(tables, n) for n in names}
+    return replace(tables, **{n: f.join(bars, list(BAR), "left_semi") for n, f in frames.items() if f is not None})
+
+
 Family = Callable[[Tables], DataFrame]
 
 
@@ -176,8 +190,10 @@ def evaluate(tables: Tables, names: Sequence[str] = ("all",), exclude: Sequence[
 
     Each family of metrics is one job over frames already partitioned by bar. Metrics
     without their inputs, unknown names and metrics of whole tables or sequences (those
-    have their own functions) are skipped with a note in the log.
+    have their own functions) are skipped with a note in the log. True and reconstructed bars are
+    paired: see ``Tables.bars``.
     """
+    tables = matched(tables)
     chosen: dict[Family, list[str]] = {}
     for name in select_metrics(names, exclude):
         metric = METRICS.get(name)

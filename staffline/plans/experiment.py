@@ -35,8 +35,8 @@ def to_long(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str] | None
 
 
 def summarise(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, metric, value, n): mean of each metric over the rows that have it."""
-    return metrics.groupBy(*by, "metric").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
+    """(by, metric, value, n): mean of each metric over the rows that have it; NULL is absent, NaN is a value."""
+    return metrics.filter(F.col("value").isNotNull()).groupBy(*by, "metric").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 
 def flatten_summary(summary: DataFrame) -> DataFrame:

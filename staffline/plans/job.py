@@ -30,13 +30,17 @@ def reconstruct(cells: DataFrame, size: tuple[int, int] = (PITCHES, STEPS)) -> D
 
 
 def run(
-    notes: DataFrame, detector: Detector | None = None, n_bars: int | None = None, min_notes: int = 2
+    notes: DataFrame, detector: Detector | None = None, n_bars: int | None = None, min_notes: int = 2, threshold: float = 0.05
 ) -> DataFrame:
-    """Means of the main scores per instrument for one condition."""
+    """Means of the main scores per instrument for one condition.
+
+    Without a ``detector`` a global ``threshold`` is used, below the detector's own default because the pooling codec
+    spreads a note's level over its neighbours.
+    """
     true = ingest(notes, STEPS, n_bars, min_notes)
     cells = segments_to_cells(true)
     plane = reconstruct(cells)
-    found = (detector or (lambda p: detect.global_threshold(p, 0.05)))(plane)
+    found = (detector or (lambda p: detect.global_threshold(p, threshold)))(plane)
     pred = found.withColumn("n", F.lit(1))  # detectors emit each note once, already by bar
     pixels = image_metrics.pixel_scores(render.render(cells), render.plane_pixels(plane))
     rows = image_metrics.row_scores(true, plane)

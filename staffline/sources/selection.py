@@ -44,12 +44,14 @@ def _relative(path: Column, root: str) -> Column:
     return F.when(path.startswith(base), F.substring(path, F.lit(len(base) + 1), F.length(path)))
 
 
-def resolved(path: Column, depth: int = 16) -> Column:
-    """Remove ``.`` and up to ``depth`` ``..`` components."""
-    out = F.regexp_replace(F.regexp_replace(path, "/(\\./)+", "/"), "/+", "/")
-    for _ in range(depth):
-        out = F.regexp_replace(out, "/(?!\\.\\./)[^/]+/\\.\\./", "/")
-    return out
+def resolved(path: Column) -> Column:
+    """Absolute path without ``.``, ``..`` and empty components, however many; ``..`` at the root stays there."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", up(a)).otherwise(F.array_append(a, p))
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
 def read_allow_list(spark: SparkSession, path: str, root: str) -> DataFrame:

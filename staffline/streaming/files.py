@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from staffline.keys import STEPS
+from staffline.operators.ingest import bar_pieces, merge_pieces, pieces_to_segments
 from staffline.operators.numbering import sequence_next
 
 FILES_PER_BATCH = 100
@@ -46,17 +48,21 @@ def batch_folder_sink(path: str, fmt: str = "parquet") -> Callable[[DataFrame, i
     return write
 
 
-def replace_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Keep the latest complete result; readers take the folder of the highest batch."""
+def pieces_sink(
+    path: str, to_notes: Callable[[DataFrame], DataFrame], steps: int = STEPS, n_bars: int | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Land the bar pieces of each batch of notes; :func:`landed_segments` resolves overlaps over all of them."""
+    write = batch_folder_sink(path)
+    return lambda batch, batch_id: write(bar_pieces(to_notes(batch), steps, n_bars), batch_id)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return write
+def landed_segments(spark: SparkSession, path: str, steps: int = STEPS) -> DataFrame:
+    """Segments of everything landed so far, the same however notes were dealt to batches."""
+    return pieces_to_segments(merge_pieces(spark.read.parquet(path)), steps)
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the highest batch written by :func:`replace_sink`."""
+    """Rows of the highest batch written by :func:`batch_folder_sink`, for streams in complete mode."""
     rows = spark.read.parquet(path)
     last = rows.agg(F.max("batch").alias("b")).first()["b"]
     return rows.filter(F.col("batch") == last).drop("batch")
@@ -95,12 +101,12 @@ def relay(spark: SparkSession, folder: str, max_files: int = FILES_PER_BATCH) ->
     )
 
 
-def transition_sink(out: str, carry: str, key: str = "sequence_id") -> Callable[[DataFrame, int], None]:
+def transition_sink(out: str, carry: str, late: str, key: str = "sequence_id") -> Callable[[DataFrame, int], None]:
     """Sink of (sequence, bar_index, pc) batches: appends (sequence, pc, next_pc).
 
     The last bar of each sequence is carried to the next batch (one small row per
-    sequence), so transitions join up across batches; a batch must hold later bars than
-    the ones before it. Successors are found block-wise, so one busy sequence does not
+    sequence), so transitions join up across batches. A bar that is not later than the carried one would
+    change transitions already written: such rows go to ``late`` and count nowhere. Successors are found block-wise, so one busy sequence does not
     fill a task. Folders are named by batch: a repeated batch writes the same rows again.
     """
 
@@ -108,7 +114,11 @@ def transition_sink(out: str, carry: str, key: str = "sequence_id") -> Callable[
         spark = batch.sparkSession
         rows = batch.select(key, "bar_index", "pc")
         if batch_id > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{carry}/batch={batch_id - 1}"))
+            carried = spark.read.parquet(f"{carry}/batch={batch_id - 1}")
+            seen = rows.join(carried.select(key, F.col("bar_index").alias("_seen")), key, "left")
+            behind = F.col("bar_index") <= F.col("_seen")
+            seen.where(behind).drop("_seen").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+            rows = seen.where(~F.coalesce(behind, F.lit(False))).drop("_seen").unionByName(carried)
         moves = sequence_next(rows, [key], "bar_index", ["pc"]).filter(F.col("next_pc").isNotNull())
         moves.select(key, "pc", "next_pc").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         last = rows.groupBy(key).agg(F.max("bar_index").alias("bar_index"), F.max_by("pc", "bar_index").alias("pc"))

@@ -73,7 +73,7 @@ def test_streamed_means_equal_batch(spark, tmp_path):
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("metric"), F.col("id").cast("double").alias("value"))
     df.repartition(6).write.parquet(src)
     means = T.running_means(T.read_files(spark, src, "metric STRING, value DOUBLE", max_files=2), ["metric"])
-    T.run_available(means, T.replace_sink(out), state, mode="complete")
+    T.run_available(means, T.batch_folder_sink(out), state, mode="complete")
     got = T.latest(spark, out)
     want = T.running_means(df, ["metric"])
     assert got.exceptAll(want).count() == 0 and got.count() == 3
@@ -84,12 +84,33 @@ def test_transitions_join_up_across_batches(spark, tmp_path):
     schema = "sequence_id STRING, bar_index INT, pc INT"
     rows = [("a", i, (i * 5) % 12) for i in range(9)] + [("b", 0, 1), ("b", 1, 1)]
     run = lambda: T.run_available(
-        T.read_files(spark, str(src), schema), T.transition_sink(out, str(tmp_path / "carry")), state
+        T.read_files(spark, str(src), schema), T.transition_sink(out, str(tmp_path / "carry"), str(tmp_path / "late")), state
     )
     spark.createDataFrame([r for r in rows if r[1] < 4], schema).coalesce(1).write.parquet(str(src))
     run()
-    spark.createDataFrame([r for r in rows if r[1] >= 4], schema).coalesce(1).write.mode("append").parquet(str(src))
+    more = [r for r in rows if r[1] >= 4] + [("a", 2, 11), ("c", 0, 3)]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(str(src))
     run()
+    assert [tuple(r)[:3] for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [("a", 2, 11)]
     got = sorted((r["sequence_id"], r["pc"], r["next_pc"]) for r in spark.read.parquet(out).collect())
     pcs = [(i * 5) % 12 for i in range(9)]
     assert got == sorted([("a", x, y) for x, y in zip(pcs, pcs[1:])] + [("b", 1, 1)])
+
+
+def test_ingest_in_many_batches_equals_one(spark, tmp_path):
+    """Notes of one song lie in three files and overlap across them."""
+    from helpers import NOTE
+
+    from staffline.operators.ingest import notes_to_segments
+
+    data = [(s, t, 40 + (i * 7) % 5, (i * 11) % 300, (i * 11) % 300 + 1 + i % 120, 1 + i % 127, i) for i in range(240) for s, t in [(i % 2, i % 3)]]
+    notes = spark.createDataFrame(data, NOTE)
+    for part in range(3):
+        notes.where(f"note_ord % 3 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+    raw = T.read_files(spark, str(tmp_path / "src"), NOTE, max_files=1)
+    pieces = str(tmp_path / "pieces")
+    T.run_available(raw, T.pieces_sink(pieces, lambda b: b, n_bars=8), str(tmp_path / "state"))
+    assert spark.read.parquet(pieces).select("batch").distinct().count() == 3
+    columns = ["song_id", "track_idx", "bar_index", "pitch", "on", "off", "velocity", "starts"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    assert rows(T.landed_segments(spark, pieces)) == rows(notes_to_segments(notes, n_bars=8))

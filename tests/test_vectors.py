@@ -82,9 +82,26 @@ def test_silhouette_and_its_limits(spark):
         b = min(d[i][label == k].mean() for k in set(label.tolist()) if k != label[i])
         s.append((b - a) / max(a, b))
     df = table(spark, x, label)
-    assert one(M.silhouette(df, ["id"], "label"))["silhouette_score"] == pytest.approx(np.mean(s), abs=1e-6)
+    assert one(M.silhouette(df, ["id"], "label", rows=1000))["silhouette_score"] == pytest.approx(np.mean(s), abs=1e-6)
     assert not math.isnan(one(M.silhouette(df, ["id"], "label", rows=20))["silhouette_score"])
-    assert math.isnan(one(M.silhouette(df.filter("label = '1'"), ["id"], "label"))["silhouette_score"])
+    assert math.isnan(one(M.silhouette(df.filter("label = '1'"), ["id"], "label", rows=1000))["silhouette_score"])
+
+
+def test_squared_silhouette_reads_every_row(spark):
+    rng = np.random.default_rng(5)
+    label = rng.integers(0, 3, 60)
+    label[0] = 7
+    x = rng.normal(size=(60, 4)) + label[:, None]
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    s = []
+    for i in range(60):
+        own = label == label[i]
+        a = d[i][own].sum() / max(own.sum() - 1, 1)
+        b = min(d[i][label == k].mean() for k in set(label.tolist()) if k != label[i])
+        s.append((b - a) / max(a, b) if own.sum() > 1 else 0.0)
+    df = table(spark, x, label)
+    assert one(M.silhouette_squared(df, ["id"], "label"))["silhouette_score"] == pytest.approx(np.mean(s))
+    assert math.isnan(one(M.silhouette_squared(df.filter("label = '1'"), ["id"], "label"))["silhouette_score"])
 
 
 def test_probe(spark):
@@ -100,13 +117,13 @@ def test_disentanglement(spark):
     rng = np.random.default_rng(5)
     label = np.arange(200) % 4
     x = rng.normal(size=(200, 6)) * 0.1 + 10 * np.eye(6)[label]
-    r = one(M.disentanglement(table(spark, x, label), "id", "label"))
+    r = one(M.disentanglement(table(spark, x, label), "id", "label", max_pairs=2000))
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
     same = (label[:, None] == label[None]) & ~np.eye(200, dtype=bool)
     assert r["intra_class_distance"] == pytest.approx(d[same].mean(), rel=0.05)
     assert r["inter_class_distance"] == pytest.approx(d[label[:, None] != label[None]].mean(), rel=0.01)
     assert r["disentanglement_score"] == pytest.approx(1 - r["intra_class_distance"] / r["inter_class_distance"])
-    assert math.isnan(one(M.disentanglement(table(spark, x, [0] * 200), "id", "label"))["disentanglement_score"])
+    assert math.isnan(one(M.disentanglement(table(spark, x, [0] * 200), "id", "label", max_pairs=2000))["disentanglement_score"])
 
 
 def test_channel_statistics(spark):
