@@ -81,10 +81,6 @@ def render(cells: DataFrame, strategy: str = "velocity_only", pitch_axis: str =
     )
 
 
-def transpose(pixels: DataFrame) -> DataFrame:
-    return pixels.withColumns({"row": F.col("col"), "col": F.col("row")})
-
-
 def flip_rows(pixels: DataFrame, height: int = PITCHES) -> DataFrame:
     """Turn the pitch axis upside down."""
     return pixels.withColumn("row", F.lit(height - 1) - F.col("row"))

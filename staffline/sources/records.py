@@ -45,8 +45,3 @@ def write_records(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 def read_records(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)
-
-
-def write_vectors(df: DataFrame, path: str) -> None:
-    """Latents or images: array columns in Parquet."""
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
