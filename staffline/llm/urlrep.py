@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffline.llm.common import ascii_lower
@@ -57,16 +57,24 @@ def levels(host: Column) -> tuple[Column, Column]:
     return F.when(double, F.substring_index(host, ".", -3)).otherwise(two), F.when(double, two).otherwise(F.substring_index(host, ".", -1))
 
 
-def _strength(rate: Column, mean: Column, n: Column, by: Sequence[str]) -> Column:
-    """Strength of a group's prior from the spread of its members' rates; exact in the order of sums up to rounding."""
-    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    members = F.sum(F.when(n > 0, 1).otherwise(0)).over(over)
-    spread = F.sum(n * (rate - mean) * (rate - mean)).over(over) / F.greatest(F.sum(n).over(over), F.lit(1))
-    # Of the spread, what chance alone would make among members of mean size is left out.
-    chance = mean * (1 - mean) * members / F.greatest(F.sum(n).over(over), F.lit(1))
-    true = spread - chance
-    found = F.when((members > 1) & (true > 0), F.try_divide(mean * (1 - mean), true) - 1).otherwise(F.lit(STRONGEST))
-    return F.round(F.least(F.greatest(F.coalesce(found, F.lit(STRONGEST)), F.lit(WEAKEST)), F.lit(STRONGEST)), 6)
+def _shrunk(members: DataFrame, by: str) -> DataFrame:
+    """``members`` (by, n, bad, prior) with the strength of their group's prior and their own shrunk rate.
+
+    The strength follows from how far the members' rates lie from the prior, beyond what chance makes of their sizes. Groups
+    are summed before they are shuffled, so a domain of millions of hosts is no large task.
+    """
+    n, prior = F.col("n"), F.col("prior")
+    own = F.coalesce(F.try_divide("bad", n), F.lit(0.0))
+    sums = members.groupBy(by).agg(
+        F.sum(n * (own - prior) * (own - prior)).alias("_spread"), F.greatest(F.sum(n), F.lit(1)).alias("_n"),
+        F.count_if(n > 0).alias("_members"), F.max(prior).alias("_prior"),
+    )
+    chance = F.col("_prior") * (1 - F.col("_prior"))
+    true = F.col("_spread") / F.col("_n") - chance * F.col("_members") / F.col("_n")
+    found = F.when((F.col("_members") > 1) & (true > 0), F.try_divide(chance, true) - 1).otherwise(F.lit(STRONGEST))
+    strength = F.round(F.least(F.greatest(F.coalesce(found, F.lit(STRONGEST)), F.lit(WEAKEST)), F.lit(STRONGEST)), 6)
+    joined = members.join(sums.select(by, strength.alias("strength")), by)
+    return joined.withColumn("rate", F.round((F.col("bad") + prior * F.col("strength")) / (n + F.col("strength")), 6))
 
 
 def reputation(outcomes: DataFrame, sure: float = SURE, limit: float = LIMIT) -> DataFrame:
@@ -79,19 +87,13 @@ def reputation(outcomes: DataFrame, sure: float = SURE, limit: float = LIMIT) ->
     hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    n, bad = F.col("n"), F.col("bad")
-    rate = F.coalesce(F.try_divide(bad, n), F.lit(0.0))
-    total = Window.partitionBy(F.lit(1))
     # All pages: a rate from counts plus one page of each kind.
-    top = F.round((F.sum("bad").over(total) + 1) / (F.sum("n").over(total) + 2), 6)
-
-    def shrunk(df: DataFrame, by: Sequence[str], mean: Column) -> DataFrame:
-        df = df.withColumn("prior", mean).withColumn("strength", _strength(rate, F.col("prior"), n, by))
-        return df.withColumn("rate", F.round((bad + F.col("prior") * F.col("strength")) / (n + F.col("strength")), 6))
-
-    suffixes = shrunk(suffixes, [], top)
-    domains = shrunk(domains.join(suffixes.select("suffix", F.col("rate").alias("above")), "suffix"), ["suffix"], F.col("above"))
-    hosts = shrunk(hosts.join(domains.select("domain", F.col("rate").alias("above")), "domain"), ["domain"], F.col("above"))
+    suffixes = suffixes.withColumn("root", F.lit(0))
+    top = suffixes.groupBy("root").agg(F.round((F.sum("bad") + 1) / (F.sum("n") + 2), 6).alias("prior"))
+    suffixes = _shrunk(suffixes.join(top, "root"), "root")
+    domains = _shrunk(domains.join(suffixes.select("suffix", F.col("rate").alias("prior")), "suffix"), "suffix")
+    hosts = _shrunk(hosts.join(domains.select("domain", F.col("rate").alias("prior")), "domain"), "domain")
+    n = F.col("n")
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (n + F.col("strength") + 1))
     lower = F.round(F.col("rate") - sure * spread, 6)
     return hosts.select("host", "n", "bad", "rate", lower.alias("lower"), (lower > limit).alias("blocked"))

@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from staffline.llm.common import durable, open_folder, shared_folder
 
