@@ -14,7 +14,7 @@ star contraction over those forests, so a group of thousands of near copies cost
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import comb, log2
 
@@ -117,10 +117,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int, check_radius: int | None) -> tuple[np.ndarray, np.ndarray]:
+def forest(
+    left: np.ndarray, right: np.ndarray | None, radius: int, check_radius: int | None, earlier: Sequence[int] = (),
+) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest, as index pairs, of the links between two tiles or within one (``right`` is None).
 
-    Tiles are arrays (n, 2) of fingerprints and check words. Indices count through ``left`` and then ``right``.
+    Tiles are arrays (n, 2) of fingerprints and check words. Indices count through ``left`` and then ``right``. Pairs that
+    agree on one of the ``earlier`` masks are left to the tiles of that mask, where they meet as well.
     """
     n, other = len(left), left if right is None else right
     shift = 0 if right is None else n
@@ -136,6 +139,11 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int, check_radius
         if check_radius is not None and len(a):
             total = np.bitwise_count(left[a] ^ other[b]).sum(axis=1, dtype=np.int64)
             a, b = a[total <= check_radius], b[total <= check_radius]
+        for mask in earlier:
+            if not len(a):
+                break
+            own = ((left[a, 0] ^ other[b, 0]) & np.uint64(mask)) != 0
+            a, b = a[own], b[own]
         pairs_a.append(a)
         pairs_b.append(b + shift)
     a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
@@ -160,7 +168,7 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int, check_radius
 
 
 def tile_pairs(prints: DataFrame, radius: int, check_radius: int | None = None, tile: int = TILE, share: int | None = None) -> DataFrame:
-    """(left, right): tiles to compare, as arrays of (fp, check_word, rep); ``right`` is null for a tile with itself.
+    """(grid, left, right): tiles to compare and the number of their mask, as arrays of (fp, check_word, rep); ``right`` is null for a tile with itself.
 
     ``prints`` holds distinct (fp, check_word, rep). All fingerprints of a cell that fits one tile are together;
     a larger cell is cut by population count and hash, and tiles whose counts differ by more than the radius
@@ -201,12 +209,18 @@ def tile_pairs(prints: DataFrame, radius: int, check_radius: int | None = None,
             F.collect_list(F.when(~F.col("first"), F.col("item"))).alias("right"),
         )
         .where(F.size("left") + F.size("right") > 1)
-        .select("left", "right")
+        .select("grid", "left", "right")
     )
 
 
 def links(prints: DataFrame, radius: int, check_radius: int | None = None, tile: int = TILE, share: int | None = None) -> DataFrame:
-    """(hi, lo): a spanning forest of the near pairs of every pair of tiles, as representatives with hi > lo."""
+    """(hi, lo): a spanning forest of the near pairs of every pair of tiles, as representatives with hi > lo.
+
+    A pair counts in the tiles of the first mask on which it agrees only, so no link is found twice.
+    """
+    share = share or plan_share(prints.count(), radius, tile)
+    masks = block_masks(radius, share)
+
     def rows_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = lists.flatten()
         fields = [np.asarray(flat.field(i)) for i in range(3)]
@@ -215,12 +229,13 @@ def links(prints: DataFrame, radius: int, check_radius: int | None = None, tile:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (lw, lr, le), (rw, rr, re) = rows_of(batch.column(0)), rows_of(batch.column(1))
+            grids = batch.column(0).to_pylist()
+            (lw, lr, le), (rw, rr, re) = rows_of(batch.column(1)), rows_of(batch.column(2))
             hi, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(batch.num_rows):
                 left, right = lw[le[k] : le[k + 1]], rw[re[k] : re[k + 1]]
                 reps = np.concatenate([lr[le[k] : le[k + 1]], rr[re[k] : re[k + 1]]])
-                a, b = forest(left, right if len(right) else None, radius, check_radius)
+                a, b = forest(left, right if len(right) else None, radius, check_radius, masks[: grids[k]])
                 hi.append(np.maximum(reps[a], reps[b]))
                 lo.append(np.minimum(reps[a], reps[b]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo))], names=["hi", "lo"])
