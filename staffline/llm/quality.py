@@ -12,6 +12,7 @@ one row per bin, and ratios and threshold return as constants of bounded size.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,8 @@ SMOOTHING = 1.0
 MAX_TRUSTED, MAX_JUDGED = 20_000, 5_000
 SYMBOLS = "#*$%&|<>"
 SLACK = 0.01
+#: Repeated windows of a text that are looked up one by one; with more they are sorted.
+SHORT_LIST = 24
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
 
@@ -35,11 +38,24 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a one-element array stands for a variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _bin(h: Column, bins: int) -> Column:
+    return F.pmod(h, F.lit(bins)).cast("int")
+
+
+def _pair(hashes: Column, h: Column, i: Column) -> Column:
+    """Hash of a word and the one before it."""
+    return F.xxhash64(F.get(hashes, i - 1), h)
+
+
 def _bins(hashes: Column, bins: int) -> Column:
-    """Bins of single words and of neighbouring pairs, one array."""
-    single = F.transform(hashes, lambda h: F.pmod(h, F.lit(bins)).cast("int"))
-    pairs = F.transform(hashes, lambda h, i: F.when(i > 0, F.pmod(F.xxhash64(F.get(hashes, i - 1), h), F.lit(bins)).cast("int")))
-    return F.concat(single, F.slice(pairs, 2, F.greatest(F.size(hashes), F.lit(1))))
+    """Bins of single words and of neighbouring pairs, one array; the first word has no pair and a null."""
+    pairs = F.transform(hashes, lambda h, i: F.when(i > 0, _bin(_pair(hashes, h, i), bins)))
+    return F.concat(F.transform(hashes, lambda h: _bin(h, bins)), pairs)
 
 
 def with_words(docs: DataFrame, text_col: str, words: str, hashes: str) -> DataFrame:
@@ -59,20 +75,24 @@ def base_columns(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, li
     out = out.withColumn(chars, F.length(without(text, BLANKS)).cast("long"))
     out = out.withColumn(symbols, (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"))
     full = F.filter(F.split(text, "\n"), lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0)
-    # A one-element array stands for a variable that is used twice.
-    twice = F.get(F.transform(F.array(full), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0))
+    twice = _once(full, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     out = out.withColumn(lines, twice.cast("long"))
-    # Windows of three words as (hash, position), in order of hash: equal windows are neighbours.
+    # Windows of three words by their hashes; most texts repeat none or a few, which are then looked up in a short list.
     last = F.size(h) - 3
     positions = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    gram = lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("h"), i.alias("i"))
-    out = out.withColumn(grams, F.sort_array(F.transform(positions, gram)))
+    out = out.withColumn(grams, F.transform(positions, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))))
     g = F.col(grams)
-    same = lambda x, k: F.coalesce(F.get(g, k)["h"] == x["h"], F.lit(False))
-    found = F.filter(g, lambda x, k: same(x, k + 1) | (F.when(k > 0, same(x, k - 1)).otherwise(F.lit(False))))
-    out = out.withColumn(spots, F.sort_array(F.transform(found, lambda x: x["i"])))
-    s = F.col(spots)
-    covered = F.transform(s, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(s, k + 1) - p, F.lit(3))))
+    ordered = F.sort_array(g)
+    twice = _once(ordered, lambda o: F.array_distinct(F.filter(o, lambda x, k: (k > 0) & (F.get(o, k - 1) == x))))
+    out = out.withColumn(spots, F.when(F.size(F.array_distinct(g)) < F.size(g), twice).otherwise(F.array().cast("array<bigint>")))
+    few = _once(F.col(spots), lambda d: F.filter(positions, lambda i: F.array_contains(d, F.get(g, i))))
+    # Many repeated windows: sorted with their positions, equal ones are neighbours.
+    paired = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    same = lambda a, x, k: F.coalesce(F.get(a, k)["h"] == x["h"], F.lit(False))
+    equal = _once(paired, lambda a: F.filter(a, lambda x, k: same(a, x, k + 1) | F.when(k > 0, same(a, x, k - 1)).otherwise(F.lit(False))))
+    many = F.sort_array(F.transform(equal, lambda x: x["i"]))
+    found = F.when(F.size(spots) == 0, F.array().cast("array<int>")).when(F.size(spots) <= SHORT_LIST, few).otherwise(many)
+    covered = _once(found, lambda s: F.transform(s, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(s, k + 1) - p, F.lit(3)))))
     out = out.withColumn(repeats, F.aggregate(covered, F.lit(0), lambda a, x: a + x).cast("long"))
     return out.drop(words, grams, spots), [n_words, chars, symbols, lines, repeats], hashes
 
@@ -90,7 +110,10 @@ class Model:
         """Mean log ratio of the n-grams of a row; 0 without words."""
         # One constant of the plan, not an expression per bin.
         ratio = F.from_json(F.lit(json.dumps(self.ratios)), "array<double>")
-        total = F.aggregate(_bins(hashes, len(self.ratios)), F.lit(0.0), lambda a, b: a + F.get(ratio, b))
+        bins = len(self.ratios)
+        pair = lambda h, i: F.when(i > 0, F.get(ratio, _bin(_pair(hashes, h, i), bins))).otherwise(F.lit(0.0))
+        each = F.transform(hashes, lambda h, i: F.get(ratio, _bin(h, bins)) + pair(h, i))
+        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
         return F.when(F.size(hashes) > 0, total / (2 * F.size(hashes) - 1)).otherwise(F.lit(0.0))
 
 
@@ -117,12 +140,12 @@ def fit(
     judged = durable(judged, "judged")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     marked = rows.join(F.broadcast(trusted), rows["id"] == trusted["known"], "left")
-    spread = with_words(marked, "body", "w", "h").select(F.col("known").isNotNull().cast("long").alias("target"), F.explode(_bins(F.col("h"), bins)).alias("bin"))
+    spread = with_words(marked, "body", "w", "h").select(F.col("known").isNotNull().cast("long").alias("target"), F.explode(_bins(F.col("h"), bins)).alias("bin")).where("bin IS NOT NULL")
     counts = durable(spread.groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target")), "bins")
-    totals = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("all_raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("all_target"))
-    whole = docs.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").join(F.broadcast(totals))
-    part = lambda c: F.log((F.coalesce(c, F.lit(0)) + SMOOTHING) / (F.col(f"all_{c}") + SMOOTHING * bins))
-    each = whole.select("bin", F.when(F.col("all_target") > 0, part("target") - part("raw")).otherwise(0.0).alias("ratio"))
+    all_raw, all_target = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
+    whole = docs.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left")
+    part = lambda c, n: F.log((F.coalesce(c, F.lit(0)) + SMOOTHING) / F.lit(n + SMOOTHING * bins))
+    each = whole.select("bin", (part("target", all_target) - part("raw", all_raw) if all_target else F.lit(0.0)).alias("ratio"))
     ratios = tuple(r["ratio"] for r in each.orderBy("bin").collect())
     model = Model(ratios, float("-inf"))
     shown = rows.join(F.broadcast(judged), rows["id"] == judged["known"])
