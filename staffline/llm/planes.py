@@ -32,6 +32,8 @@ CHUNK_IDS = 1 << 15
 FILE_IDS = 1 << 25
 CACHED_WORDS = 600_000
 TAIL_MARKS = ".,!?;:%$&*#"
+#: How vocabularies of this kind mark the last piece of a word.
+WORD_END = "</w>"
 
 
 # -- planes ----------------------------------------------------------------------------------------
@@ -151,10 +153,13 @@ class Pool:
 def stem_and_tail(word: str) -> tuple[str, str]:
     """A word as two strings whose ids follow each other: closing marks are a run of their own for the tokenizer, and
     ASCII capitals count as small letters. Words that could hold a special string stay whole."""
+    if word.isalpha():
+        return (word.lower() if word.isascii() else word), ""
     if "<|" in word:
         return word, ""
     stem = word.rstrip(TAIL_MARKS)
-    if not stem or not stem[-1].isalpha():
+    # Only after a Latin letter: elsewhere a letter's small or composed form can end in a mark, as that of İ does.
+    if not stem or not stem[-1].isalpha() or stem[-1] >= "\u0250" or stem[-1] == "İ":
         stem = word
     tail = word[len(stem) :]
     return (stem.lower() if stem.isascii() else stem), tail
@@ -177,17 +182,39 @@ def word_encoder(path: str):
         if ids_of(text) != sum(map(ids_of, own.split("|")), []):
             raise ValueError("this tokenizer does not treat words one by one")
     pools = {"words": Pool(), "stems": Pool()}
+    # Ids that end a word: with them, words of letters alone can be told apart in one text.
+    word_end = np.zeros(coder.get_vocab_size(), dtype=bool)
+    word_end[[i for name, i in coder.get_vocab().items() if name.endswith(WORD_END)]] = True
+
+    def add_joined(words: list[str]) -> None:
+        """Encode words as texts of many; a text with another number of word ends is left out."""
+        for i in range(0, len(words), 20_000):
+            batch = []
+            parts = [words[k : k + 200] for k in range(i, min(i + 20_000, len(words)), 200)]
+            for part, found in zip(parts, coder.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+                ids = np.array(found.ids, dtype=np.int64)
+                ends = np.flatnonzero(word_end[ids]) + 1
+                if len(ends) == len(part) and ends[-1] == len(ids):
+                    batch.append((part, ids, np.diff(ends, prepend=0)))
+            if batch:
+                pools["stems"].add([w for p, _, _ in batch for w in p], *(np.concatenate([b[k] for b in batch]) for k in (1, 2)))
+
+    def add_each(words: list[str]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            found = [e.ids for e in coder.encode_batch_fast(part, add_special_tokens=False)]
+            lengths = np.array([len(x) for x in found], dtype=np.int64)
+            pools["stems"].add(part, np.array([y for x in found for y in x], dtype=np.int64), lengths)
 
     def learn(words: list[str]) -> None:
         if len(pools["stems"].number) > CACHED_WORDS:
             pools["stems"] = Pool()
         stems = pools["stems"]
         pairs = [x for w in words for x in stem_and_tail(w)]
-        missing = list(set(pairs) - stems.number.keys())
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            found = [e.ids for e in coder.encode_batch_fast(part, add_special_tokens=False)]
-            stems.add(part, np.array([y for x in found for y in x], dtype=np.int64), np.array([len(x) for x in found], dtype=np.int64))
+        missing = set(pairs) - stems.number.keys()
+        letters = [x for x in missing if x.isalpha()] if word_end.any() else []
+        add_joined(letters)
+        add_each([x for x in missing if x not in stems.number])
         used = stems.numbers(pairs)
         pools["words"].add(words, stems.take(used), stems.lengths[used].reshape(-1, 2).sum(axis=1))
 

@@ -36,7 +36,7 @@ def reference():
 @settings(max_examples=300, deadline=None)
 @given(texts=st.lists(ODD, min_size=1, max_size=4))
 def test_encoders_equal_the_libraries_on_any_text(reference, texts):
-    texts = [*texts, "<|endoftext|> a<|startoftext|>, <s> </s>"]
+    texts = [*texts, "<|endoftext|> a<|startoftext|>, <s> </s>", "aİ. ǅİ.. İ, İs 한국, ﬁx. Σ'bİ.. ⑳ᅣଢ଼.,"]
     ids, counts = bpe.bpe(RANKS, P.PATTERN).encode(texts)
     want = [reference["bpe"].encode_ordinary(t) for t in texts]
     assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
