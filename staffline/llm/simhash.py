@@ -10,11 +10,15 @@ with more fingerprints than a tile holds is cut by population count and by hash
 
 A pair of tiles returns a spanning forest of its links, not the links, and components are found by
 star contraction over those forests, so a group of thousands of near copies costs no square of rows.
+
+``drop_near_duplicates`` takes these components as candidates only: inside each of them shingle sets are compared
+exactly, block by block, and the forests of the pairs that are similar enough decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 from itertools import combinations
 from math import comb, log2
 
@@ -33,6 +37,12 @@ SEED = 42
 #: Fingerprints in a tile.
 TILE = 1024
 HASHES_AT_ONCE = 1 << 15
+#: From this radius on population counts keep nearly no tiles apart, and large cells are cut by hash alone.
+WIDE = 12
+#: About how many fingerprints a tile of wide radius holds, and how many shingles and sets a block holds that is compared exactly.
+WIDE_TILE, BLOCK_SHINGLES, BLOCK_SETS = 4096, 1 << 18, 512
+#: Columns of a dense matrix of sets by shingles.
+COLUMNS = 2048
 
 
 # -- fingerprints ----------------------------------------------------------------------------------
@@ -53,28 +63,44 @@ def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: str, shingle: int, check: bool = False) -> tuple[int, int]:
-    """(fingerprint, check word) of a text, zero without words; the check word is zero unless asked for."""
+def shingle_hashes(text: str, shingle: int) -> list[np.ndarray]:
+    """Hashes of all shingles of a text, in arrays of bounded length; none without words."""
     words = text.encode().translate(BYTES_LOWER).split()
     if not words:
-        return 0, 0
+        return []
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     n = len(words) - k + 1
     starts, ends = starts[:n].tolist(), ends[k - 1 :].tolist()
-    first, second = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_intdigest
-    for i in range(0, n, HASHES_AT_ONCE):
-        part = [digest(line[a:b], SEED) for a, b in zip(starts[i : i + HASHES_AT_ONCE], ends[i : i + HASHES_AT_ONCE])]
-        h = np.array(part, dtype=np.uint64)
+    return [
+        np.array([digest(line[a:b], SEED) for a, b in zip(starts[i : i + HASHES_AT_ONCE], ends[i : i + HASHES_AT_ONCE])], dtype=np.uint64)
+        for i in range(0, n, HASHES_AT_ONCE)
+    ]
+
+
+def _both_words(parts: list[np.ndarray], check: bool) -> tuple[int, int]:
+    first, second = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64)
+    for h in parts:
         first += _ones(h)
         if check:
             second += _ones(_mix(h))
+    n = sum(map(len, parts))
     return _majority(first, n), _majority(second, n) if check else 0
 
 
+def fingerprint(text: str, shingle: int, check: bool = False) -> tuple[int, int]:
+    """(fingerprint, check word) of a text, zero without words; the check word is zero unless asked for."""
+    return _both_words(shingle_hashes(text, shingle), check)
+
+
+def shingle_set(parts: list[np.ndarray]) -> np.ndarray:
+    """Distinct hashes in ascending order."""
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, check: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, check_word, n_words) of every row; words and shingles as in ``near_duplicates``."""
     schema = T.StructType([
@@ -92,6 +118,24 @@ def fingerprints(docs: DataFrame, shingle: int = 4, check: bool = False, id_col:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def named_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, key, fp, check_word, node) of ``docs`` (id, key, text): ``node`` is a hash of the set of shingles."""
+    schema = T.StructType([*docs.schema.fields[:2], *[T.StructField(c, T.LongType()) for c in ("fp", "check_word", "node")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in groups(batch, "text"):
+                made = []
+                for text in texts:
+                    parts = shingle_hashes(text, shingle)
+                    made.append((*_both_words(parts, True), xxhash.xxh64_intdigest(shingle_set(parts).tobytes(), SEED)))
+                made = np.array(made, dtype=np.uint64).reshape(-1, 3).view(np.int64)
+                own = [batch.column(i).slice(first, len(texts)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(made[:, i]) for i in range(3)]], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 # -- the grid --------------------------------------------------------------------------------------
 
 def plan_share(n: int, radius: int, tile: int = TILE) -> int:
@@ -146,8 +190,11 @@ def forest(
             a, b = a[own], b[own]
         pairs_a.append(a)
         pairs_b.append(b + shift)
-    a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-    size = n + (0 if right is None else len(right))
+    return _spanning(np.concatenate(pairs_a), np.concatenate(pairs_b), n + (0 if right is None else len(right)))
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every index below ``size`` that the links (a, b) tie to a smaller one, and the smallest one it is tied to."""
     label = np.arange(size)
     while len(a):
         low = np.minimum(label[a], label[b])
@@ -172,13 +219,13 @@ def tile_pairs(prints: DataFrame, radius: int, check_radius: int | None = None,
 
     ``prints`` holds distinct (fp, check_word, rep). All fingerprints of a cell that fits one tile are together;
     a larger cell is cut by population count and hash, and tiles whose counts differ by more than the radius
-    do not meet.
+    do not meet; from radius ``WIDE`` on it is cut by hash alone.
     """
     share = share or plan_share(prints.count(), radius, tile)
     masks = [_signed(m) for m in block_masks(radius, share)]
     cells = prints.select(
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"), "fp", "check_word", "rep",
-    ).withColumn("pop", F.bit_count("fp"))
+    ).withColumn("pop", F.bit_count("fp") if radius < WIDE else F.lit(0))
     # Only cells above one tile are listed with their cuts; all others are one tile.
     sizes = cells.groupBy("grid", "cell", "pop").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.groupBy("grid", "cell").agg(F.sum("n").alias("cell_n"), F.collect_list(F.struct("pop", "n")).alias("pops"))
@@ -297,18 +344,113 @@ def near_duplicates(
     )
 
 
+# -- exact comparison ------------------------------------------------------------------------------
+
+def similar(sets: list[np.ndarray], split: int | None, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the sets whose Jaccard similarity is ``least`` or more: all pairs, or only those across ``split``.
+
+    Sets hold distinct values. Common values are counted by matrix products over a bounded number of values at a time.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    value, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)[1:]
+    shared = times[value] > 1
+    owner, value = owner[shared], (np.cumsum(times > 1) - 1)[value[shared]]
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    left, right = (slice(None), slice(None)) if split is None else (slice(0, split), slice(split, None))
+    common = np.zeros((len(sizes[left]), len(sizes[right])), np.int64)
+    for start in range(0, int(value[-1]) + 1 if len(value) else 0, COLUMNS):
+        a, b = np.searchsorted(value, [start, start + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, int(value[-1]) + 1 - start)), np.float32)
+        has[owner[a:b], value[a:b] - start] = 1
+        common += (has[left] @ has[right].T).astype(np.int64)
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    a, b = np.nonzero(least.denominator * common >= least.numerator * union)
+    return (a[a < b], b[a < b]) if split is None else (a, b + split)
+
+
+def exact_links(docs: DataFrame, shingle: int, similarity: float, most_shingles: int = BLOCK_SHINGLES, most_sets: int = BLOCK_SETS) -> DataFrame:
+    """(hi, lo): links of ``docs`` (root, node, text) with one root whose sets of shingles have this Jaccard similarity or more.
+
+    Texts of one root are together where they fit a block; more are dealt to blocks by hash, and every pair of blocks
+    returns a spanning forest of its links.
+    """
+    least = Fraction(str(similarity))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in groups(batch, "text"):
+                made = [shingle_set(shingle_hashes(t, shingle)) for t in texts]
+                own = [batch.column(i).slice(first, len(texts)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([m.tobytes() for m in made], pa.binary())], names=["root", "node", "shingles"])
+
+    sets = durable(docs.select("root", "node", "text").mapInArrow(make, "root long, node long, shingles binary"), "sets")
+    sizes = sets.groupBy("root").agg(
+        F.greatest(F.ceil(F.sum(F.length("shingles")) / (8 * most_shingles)), F.ceil(F.count(F.lit(1)) / most_sets)).cast("int").alias("blocks")
+    )
+    dealt = sets.join(sizes.where("blocks > 1"), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high, item = F.least("own", "other"), F.greatest("own", "other"), F.struct("node", "shingles")
+    pairs = (
+        dealt.select("root", low.alias("low"), high.alias("high"), (F.col("own") == low).alias("first"), item.alias("item"))
+        .groupBy("root", "low", "high")
+        .agg(F.collect_list(F.when(F.col("first"), F.col("item"))).alias("left"), F.collect_list(F.when(~F.col("first"), F.col("item"))).alias("right"))
+        .where(F.size("left") + F.size("right") > 1)
+        .select("left", "right")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hi, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(batch.num_rows):
+                sides = [batch.column(i)[k].values for i in (0, 1)]
+                nodes = np.concatenate([np.asarray(side.field(0)) for side in sides])
+                items = [np.frombuffer(x.as_buffer(), np.uint64) for side in sides for x in side.field(1)]
+                a, b = _spanning(*similar(items, len(sides[0]) if len(sides[1]) else None, least), len(items))
+                hi.append(np.maximum(nodes[a], nodes[b]))
+                lo.append(np.minimum(nodes[a], nodes[b]))
+            hi, lo = np.concatenate(hi), np.concatenate(lo)
+            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], names=["hi", "lo"])
+
+    return pairs.mapInArrow(compare, "hi long, lo long")
+
+
+def near_copies(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, check_radius: int = 30, tile: int = WIDE_TILE,
+) -> DataFrame:
+    """(id, key, root) of every row of ``docs`` (id, key, text): rows with one root are near copies or tied by near copies.
+
+    Rows are linked if the sets of their shingles have a Jaccard similarity of ``similarity`` or more; texts without words
+    have equal sets. Only rows that fingerprints within the two radii tie together, directly or through others, are
+    compared. An id and a key name one text. Sets of shingles are known by hashes of 64 bits.
+    """
+    known = durable(named_sets(docs.select("id", "key", "text"), shingle), "fingerprints")
+    nodes = known.groupBy("node").agg(F.min("fp").alias("fp"), F.min("check_word").alias("check_word"), F.min(F.struct("id", "key")).alias("row"))
+    nodes = durable(nodes, "prints")
+    # Texts with one set but other repeats differ in their fingerprints; each fingerprint stands for the set.
+    prints = known.select("fp", "check_word", F.col("node").alias("rep")).distinct()
+    loose = durable(components(links(durable(prints, "prints"), radius, check_radius, tile).where("hi <> lo")), "candidates")
+    members = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
+    members = members.join(nodes, "node").select("root", "node", "row.id", "row.key")
+    texts = docs.join(members, ["id", "key"]).select("root", "node", "text").dropDuplicates(["node"])
+    roots = components(exact_links(texts, shingle, similarity))
+    return known.join(roots, "node", "left").select("id", "key", F.coalesce("root", "node").alias("root"))
+
+
 def drop_near_duplicates(
-    docs: DataFrame, shingle: int = 5, radius: int = 10, check_radius: int | None = 21, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, check_radius: int = 30, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies, the one with the smallest id.
 
-    The defaults stand for five words and a similarity of about 0.8: shingle sets of that Jaccard similarity have a cosine
-    of 0.89, which differ in about 19 of 128 bits. Of repeated rows with one id one stays; rows with a
+    Near copies are tied by links of a Jaccard similarity of ``similarity`` or more between the sets of their shingles, see
+    ``near_copies``. Of repeated rows with one id one stays; rows with a
     null id can't be named and all stay. Columns are those of ``docs``.
     """
-    found = near_duplicates(docs, shingle, radius, check_radius, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    found = near_copies(named.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")), shingle, similarity, radius, check_radius)
+    kept = found.groupBy("root").agg(F.min("id").alias(id_col)).select(id_col).distinct()
     turn, = fresh(docs, "turn")
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
-    once = named.withColumn(turn, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where(F.col(turn) == 1)
+    once = named.join(kept, id_col, "left_semi").withColumn(turn, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where(F.col(turn) == 1)
     return once.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

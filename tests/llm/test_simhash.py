@@ -96,3 +96,47 @@ def test_one_of_each_group_stays(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(None) == 2 and 9 not in ids and 5 in ids and len([i for i in ids if i in (2, 3, 4)]) == 1
     assert simhash.drop_near_duplicates(empty(docs)).count() == 0
+
+
+def plain_jaccard(a, b, shingle=5):
+    sets = []
+    for text in (a, b):
+        words = text.encode().lower().split()
+        sets.append({tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1])) if any(sets) else 1.0
+
+
+def edited(rng, words, spots):
+    words = list(words)
+    for at in rng.choice(len(words), spots, replace=False):
+        words[at] = f"new{rng.integers(1 << 30)}"
+    return words
+
+
+def near_and_far_copies(n=40):
+    """Texts with copies that differ in 1 to 14 of 200 words: similarities from 0.5 to 0.95."""
+    rng = np.random.default_rng(11)
+    texts = {}
+    for i in range(n):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+        for k, spots in enumerate((0, 1 + i % 14, 2 + i % 5)):
+            texts[10 * i + k] = " ".join(edited(rng, base, spots))
+    return texts
+
+
+def test_shingle_similarity_decides_on_near_copies(spark):
+    texts = near_and_far_copies()
+    want = plain_components(texts, lambda a, b: plain_jaccard(a, b) >= 0.8)
+    between = [s for i in range(40) if 0.5 <= (s := plain_jaccard(texts[10 * i], texts[10 * i + 1])) < 0.85]
+    assert len([s for s in between if s >= 0.8]) >= 3 and len([s for s in between if s < 0.8]) >= 10
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id BIGINT, text STRING"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_exact_links_equal_all_pairs_for_any_block(spark):
+    texts = near_and_far_copies(12)
+    frame = spark.createDataFrame([(0, i, t) for i, t in texts.items()], "root BIGINT, node BIGINT, text STRING")
+    want = plain_components(texts, lambda a, b: plain_jaccard(a, b) >= 0.8)
+    for shingles, sets in ((1 << 18, 512), (1 << 18, 5), (600, 512)):
+        roots = {r.node: r.root for r in simhash.components(simhash.exact_links(frame, 5, 0.8, shingles, sets)).collect()}
+        assert {i: roots.get(i, i) for i in texts} == want
