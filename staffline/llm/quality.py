@@ -2,11 +2,12 @@
 
 Words and pairs of neighbouring words are hashed into a fixed number of bins. Their counts in the whole raw corpus and in a trusted
 target (documents labelled good) give two smoothed multinomials. A document's score is the mean, over its n-grams, of
-the log ratio of target to raw probability. Every document is kept or rejected by one threshold, found on labelled
+the log ratio of target to raw probability. Every document is kept or rejected by one threshold, found on all labelled
 documents. Plain rules on length and repetition come first.
 
-Everything is built-in functions, in two passes over the texts and no shuffle of them: counts leave a task as
-one row per bin, and ratios and threshold return as constants of bounded size.
+Everything is built-in functions, in three passes over the texts. The first joins them with the labels, which shuffles the texts
+where there are too many labels to share; counts leave a task as one row per bin, scores of labelled documents as one row per
+rounded score, and ratios and threshold return as constants of bounded size.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from staffline.llm.text import BLANKS, blank_words, without
 
 BINS = 1 << 14
 SMOOTHING = 1.0
-#: Bounds of the fit: trusted documents, and documents of each label that set the threshold.
-MAX_TRUSTED, MAX_JUDGED = 20_000, 5_000
+#: Decimals of the scores that are counted for the threshold.
+DECIMALS = 4
 SYMBOLS = "#*$%&|<>"
 SLACK = 0.01
 #: Repeated windows of a text that are looked up one by one; with more they are sorted.
@@ -117,29 +118,23 @@ class Model:
         return F.when(F.size(hashes) > 0, total / (2 * F.size(hashes) - 1)).otherwise(F.lit(0.0))
 
 
-def _sample(labels: DataFrame, id_col: str, label: str, value: int, n: int) -> DataFrame:
-    """At most ``n`` ids whose labels all have this value, by hash."""
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).alias("least"), F.max(label).alias("most"))
-    return known.where((F.col("least") == value) & (F.col("most") == value)).orderBy(F.xxhash64(id_col), id_col).limit(n).select(F.col(id_col).alias("known"))
+def _known(labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(known, good) of every id whose labels all are 1 or all are 0."""
+    each = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).alias("least"), F.max(label).alias("most"))
+    return each.where((F.col("least") == F.col("most")) & F.col("least").isin(0, 1)).select(F.col(id_col).alias("known"), F.col("least").cast("long").alias("good"))
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-    bins: int = BINS, max_trusted: int = MAX_TRUSTED, max_judged: int = MAX_JUDGED,
+    docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", bins: int = BINS,
 ) -> Model:
-    """Raw counts over all documents, target counts over at most ``max_trusted`` good ones, a threshold from at most
-    ``max_judged`` documents of each label.
+    """Raw counts over all documents, target counts over all good ones, a threshold from all labelled ones.
 
     The threshold separates the labels best (share of good kept plus share of bad rejected); of thresholds within ``SLACK`` of
     the best it is the lowest, so that in doubt documents stay. Without labels of both kinds every score passes.
     """
-    trusted = durable(_sample(labels, id_col, label, 1, max_trusted), "trusted")
-    judged = trusted.orderBy(F.xxhash64("known"), "known").limit(max_judged).withColumn("good", F.lit(1)).unionByName(
-        _sample(labels, id_col, label, 0, max_judged).withColumn("good", F.lit(0))
-    )
-    judged = durable(judged, "judged")
+    known = durable(_known(labels, id_col, label), "known")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    marked = rows.join(F.broadcast(trusted), rows["id"] == trusted["known"], "left")
+    marked = rows.join(known.where("good = 1"), F.col("id") == F.col("known"), "left")
     spread = with_words(marked, "body", "w", "h").select(F.col("known").isNotNull().cast("long").alias("target"), F.explode(_bins(F.col("h"), bins)).alias("bin")).where("bin IS NOT NULL")
     counts = durable(spread.groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target")), "bins")
     all_raw, all_target = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
@@ -148,9 +143,11 @@ def fit(
     each = whole.select("bin", (part("target", all_target) - part("raw", all_raw) if all_target else F.lit(0.0)).alias("ratio"))
     ratios = tuple(r["ratio"] for r in each.orderBy("bin").collect())
     model = Model(ratios, float("-inf"))
-    shown = rows.join(F.broadcast(judged), rows["id"] == judged["known"])
-    scored = with_words(shown, "body", "w", "h").where(F.size("h") >= LEAST_WORDS).select("good", F.round(model.score(F.col("h")), 6).alias("score"))
-    return Model(ratios, _best_threshold(scored.groupBy("score", "good").count().collect()))
+    # Scores, not texts, meet the labels; a generated row is computed once.
+    once = F.explode(F.array(F.struct(F.size("h").alias("n"), F.round(model.score(F.col("h")), DECIMALS).alias("score")))).alias("x")
+    scored = with_words(rows, "body", "w", "h").select("id", once).where(F.col("x.n") >= LEAST_WORDS).select("id", "x.score")
+    judged = scored.join(known, F.col("id") == F.col("known"))
+    return Model(ratios, _best_threshold(judged.groupBy("score", "good").count().collect()))
 
 
 def _best_threshold(judged: list) -> float:

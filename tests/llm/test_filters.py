@@ -78,6 +78,22 @@ def test_score_is_the_mean_log_ratio_and_the_threshold_separates(spark):
     assert quality.fit(docs, empty(marks)).threshold == float("-inf")
 
 
+def test_all_labelled_documents_are_counted(spark):
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "concat('w', id % 97, ' v', id % 89) AS text")
+    marks = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    # The target is the whole corpus, so no bin may differ from the raw counts.
+    assert set(quality.fit(docs, marks, bins=256).ratios) == {0.0}
+
+
+def test_the_threshold_rests_on_all_labelled_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "_best_threshold", lambda judged: seen.extend(judged) or 0.0)
+    docs = spark.range(10_400).selectExpr("id AS doc_id", "concat(repeat(concat('w', id % 7, ' '), 49), 'v') AS text")
+    marks = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality", "0 AS toxic")
+    quality.fit(docs, marks, bins=256)
+    assert [sum(r["count"] for r in seen if r["good"] == g) for g in (0, 1)] == [5200, 5200] and len(seen) <= 14
+
+
 # -- urls ------------------------------------------------------------------------------------------
 
 URLS = [
