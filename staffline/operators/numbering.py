@@ -1,26 +1,35 @@
 """Row numbers, successors, limits and samples that survive hot groups.
 
 A plain ``row_number`` over a group puts the whole group into one task. Here the
-group is cut into blocks along its order, rows are numbered inside a block and
-the block offsets come from a small aggregate, so a group that holds a third of
-all rows is still spread over many tasks.
+group is cut into ranges of about equal numbers of rows along its order, rows are numbered
+inside a range and the carries come from a small aggregate, so a group that holds
+most of all rows is still spread over many tasks.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
-# Fixed by the size of a hash prefix: 3 hex digits give 4096 buckets.
-HASH_DIGITS = 3
+# Hexadecimal digits of the seeded hash that one round of a selection looks at.
+ROUND_DIGITS = 3
+#: A boundary bucket of at most so many rows per group is ranked at once; a larger one takes another round.
+EDGE_ROWS = 10_000
+#: Blocks whose carries one window adds up; their sums go one level up.
+FAN = 512
 
+COMBINE = {"sum": F.sum, "count": F.count, "xor": F.bit_xor, "max": F.max}
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys), "inner")
+
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on ``keys`` where null equals null; the columns of ``right`` other than its keys are added."""
+    there = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(F.broadcast(there) if small else there, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _offsets(df: DataFrame, by: Sequence[str], block: str) -> DataFrame:
@@ -32,23 +41,70 @@ def _offsets(df: DataFrame, by: Sequence[str], block: str) -> DataFrame:
     )
 
 
+# -- scans along sequences -------------------------------------------------------------------------
+
+def sequence_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
+    """Rows dealt by ranges of (by, order, ties), each with ``_block``, the number of its range, and ``_uid``.
+
+    Ranges hold about equal numbers of rows whatever the values: a sequence with gaps, with ties or with most of all
+    rows is cut into many. Equal rows are told apart by ``_uid``, so they are cut as well. The result is written
+    down once, since bounds come from a sample.
+    """
+    rows = df.withColumn("_uid", F.monotonically_increasing_id())
+    return durable(rows.repartitionByRange(*by, *order, *ties, "_uid").withColumn("_block", F.spark_partition_id()))
+
+
+def _carries(totals: DataFrame, by: Sequence[str], how: dict[str, str]) -> DataFrame:
+    """(by, _block, _in_*): what the earlier blocks of a sequence amount to, for blocks that have earlier ones.
+
+    Blocks are combined in groups of ``FAN``, the groups' totals by one more window. Only the first
+    sequence of a block can have begun before it, so there is at most a row per block.
+    """
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    near = earlier(Window.partitionBy(*by, "_group").orderBy("_block"))
+    far = earlier(Window.partitionBy(*by).orderBy("_group"))
+    rows = totals.withColumn("_group", F.floor(F.col("_block") / FAN))
+    merge = lambda h: F.sum if h == "count" else COMBINE[h]
+    groups = rows.groupBy(*by, "_group").agg(*[merge(h)(f"_t_{n}").alias(f"_t_{n}") for n, h in how.items()], F.count(F.lit(1)).alias("_b"))
+    groups = groups.select(*by, "_group", F.sum("_b").over(far).alias("_far"), *[merge(h)(f"_t_{n}").over(far).alias(f"_far_{n}") for n, h in how.items()])
+    inside = rows.select(*by, "_block", "_group", F.count(F.lit(1)).over(near).alias("_near"), *[merge(h)(f"_t_{n}").over(near).alias(f"_near_{n}") for n, h in how.items()])
+    both = _match(inside, groups, [*by, "_group"])
+    parts = [join_values(h, F.col(f"_near_{n}"), F.col(f"_far_{n}")).alias(f"_in_{n}") for n, h in how.items()]
+    return both.where("_near > 0 OR _far > 0").select(*by, "_block", *parts)
+
+
+def join_values(how: str, a: Column, b: Column) -> Column:
+    """Two partial results as one; null is the absent one."""
+    if how == "max":
+        return F.greatest(a, b)
+    whole = a.bitwiseXOR(b) if how == "xor" else a + b
+    return F.coalesce(whole, a, b)
+
+
+def running(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], values: Mapping[str, tuple[str, Column]], ties: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``name``: the sum, count, xor or max of a column over the rows of the sequence up to this one.
+
+    ``values[name] = (how, column)``. A distributed prefix scan: windows inside range blocks, then the carries of earlier
+    blocks, one row per block at most, which is why they can be broadcast.
+    """
+    rows = sequence_blocks(df, by, order, ties)
+    inside = Window.partitionBy("_block", *by).orderBy(*order, *ties, "_uid").rowsBetween(Window.unboundedPreceding, 0)
+    how = {name: h for name, (h, _) in values.items()}
+    totals = rows.groupBy("_block", *by).agg(*[COMBINE[h](c).alias(f"_t_{n}") for n, (h, c) in values.items()])
+    out = rows.select("*", *[COMBINE[h](c).over(inside).alias(f"_w_{n}") for n, (h, c) in values.items()])
+    out = _match(out, _carries(totals, by, how), ["_block", *by], "left", small=True)
+    whole = [join_values(h, F.col(f"_w_{n}"), F.col(f"_in_{n}")).alias(n) for n, h in how.items()]
+    return out.select(*[c for c in df.columns if c not in how], *whole)
+
+
 def sequence_position(
-    df: DataFrame,
-    by: Sequence[str],
-    order: str,
-    ties: Sequence[str] = (),
-    block: int = BLOCK,
-    name: str = "pos",
+    df: DataFrame, by: Sequence[str], order: str | Sequence[str], ties: Sequence[str] = (), name: str = "pos"
 ) -> DataFrame:
-    """Zero-based position of each row in its sequence, ordered by an integer column."""
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-    w = Window.partitionBy(*by, "_block").orderBy(order, *ties)
-    numbered = cut.withColumn("_rn", F.row_number().over(w))
-    return (
-        _join(numbered, _offsets(cut, by, "_block"), [*by, "_block"])
-        .withColumn(name, F.col("_before") + F.col("_rn") - 1)
-        .drop("_block", "_rn", "_n", "_before")
-    )
+    """Zero-based position of each row in its sequence; ``by`` may be empty."""
+    order = [order] if isinstance(order, str) else list(order)
+    return running(df, by, order, {name: ("count", F.lit(1))}, ties).withColumn(name, F.col(name) - 1)
 
 
 def sequence_next(
@@ -58,45 +114,35 @@ def sequence_next(
     values: Sequence[str],
     steps: int = 1,
     ties: Sequence[str] = (),
-    block: int = BLOCK,
     prefix: str = "next_",
 ) -> DataFrame:
     """Add the values ``steps`` rows later in the sequence (NULL past the end).
 
-    ``lead`` runs inside each block; rows at the end of a block look into the
-    first rows of the following blocks, which are a ``1/block`` share of the data.
+    ``lead`` runs inside each range block. Rows at the end of a block look into the first rows of the following blocks;
+    only the last sequence of a block goes on after it, so those heads are at most a row per block.
     """
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-    inside = Window.partitionBy(*by, "_block").orderBy(order, *ties)
+    cut = sequence_blocks(df, by, [order], ties)
+    block = Window.partitionBy("_block", *by)
+    inside = block.orderBy(order, *ties, "_uid")
     payload = F.struct(*[F.col(v).alias(v) for v in values])
-    cut = cut.withColumn("_lead", F.lead(payload, steps).over(inside))
-    cut = cut.withColumn("_rn", F.row_number().over(inside))
-    tail = F.count(F.lit(1)).over(Window.partitionBy(*by, "_block"))
-    cut = cut.withColumn("_left", tail - F.col("_rn"))
-
-    heads = (
-        cut.filter(F.col("_rn") <= steps)
-        .groupBy(*by, "_block")
-        .agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct(F.col("_rn"), payload.alias("v")))),
-                lambda s: s["v"],
-            ).alias("_heads")
-        )
+    cut = cut.select(
+        "*", F.lead(payload, steps).over(inside).alias("_lead"), F.row_number().over(inside).alias("_rn"),
+        F.count(F.lit(1)).over(block).alias("_n"),
+    ).withColumn("_left", F.col("_n") - F.col("_rn"))
+    first = F.collect_list(F.struct(F.col("_rn"), payload.alias("v")))
+    heads = cut.where(F.col("_rn") <= steps).groupBy("_block", *by).agg(
+        F.transform(F.sort_array(first), lambda s: s["v"]).alias("_heads")
     )
     after = Window.partitionBy(*by).orderBy("_block").rowsBetween(1, steps)
-    following = heads.select(
-        *by, "_block", F.flatten(F.collect_list("_heads").over(after)).alias("_following")
-    )
+    following = heads.select("_block", *by, F.flatten(F.collect_list("_heads").over(after)).alias("_following"))
+    out = _match(cut, following.where(F.size("_following") > 0), ["_block", *by], "left", small=True)
     crossing = F.get(F.col("_following"), (F.lit(steps - 1) - F.col("_left")).cast("int"))
-    out = cut.join(following, [*by, "_block"], "left").withColumn(
-        "_value", F.when(F.col("_left") >= steps, F.col("_lead")).otherwise(crossing)
-    )
-    for v in values:
-        out = out.withColumn(f"{prefix}{v}", F.col("_value")[v])
-    return out.drop("_block", "_lead", "_rn", "_left", "_following", "_value")
+    out = out.withColumn("_value", F.when(F.col("_left") >= steps, F.col("_lead")).otherwise(crossing))
+    return out.select(*df.columns, *[F.col("_value")[v].alias(f"{prefix}{v}") for v in values])
 
 
+# -- samples ---------------------------------------------------------------------------------------
+
 def sample_key(seed: int, *columns: str | Column) -> Column:
     """Seeded order key that depends on the row's key only, not on its partition."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[
@@ -105,24 +151,37 @@ def sample_key(seed: int, *columns: str | Column) -> Column:
 
 
 def _cut_by_rank(df: DataFrame, by: Sequence[str], keys: Sequence[str], quota, seed: int) -> DataFrame:
-    """Keep the ``quota(group size)`` rows of each group with the smallest seeded hash."""
-    hashed = df.withColumn("_h", sample_key(seed, *keys)).withColumn(
-        "_block", F.conv(F.substring("_h", 1, HASH_DIGITS), 16, 10).cast("int")
-    )
-    offsets = (
-        _offsets(hashed, by, "_block")
-        .withColumn("_k", quota(F.sum("_n").over(Window.partitionBy(*by))))
-        .filter(F.col("_before") < F.col("_k"))
-    )
-    if not by:
-        offsets = F.broadcast(offsets)  # at most 16**HASH_DIGITS rows
-    w = Window.partitionBy(*by, "_block").orderBy("_h", *keys)
-    return (
-        hashed.join(offsets, [*by, "_block"])
-        .withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_before") + F.col("_rn") <= F.col("_k"))
-        .drop("_h", "_block", "_n", "_before", "_k", "_rn")
-    )
+    """Keep the ``quota(group size)`` rows of each group with the smallest seeded hash.
+
+    Selection by radix: a round counts rows by the next digits of the hash. Buckets below the quota are kept whole, those beyond
+    it go, and the one that the quota cuts takes the next round, until it is small enough to be ranked. Each round leaves
+    about 1/4096 of the rows, so the number of rounds follows the size of the table. Rows whose whole hashes
+    are equal are placed by a scan.
+    """
+    rows = df.withColumn("_h", sample_key(seed, *keys))
+    kept, left = [], F.sum("_n").over(Window.partitionBy(*by))
+    for first in range(1, 32, ROUND_DIGITS):
+        rows = rows.withColumn("_bucket", F.substring("_h", first, ROUND_DIGITS))
+        extra = [F.max("_k").alias("_k")] if first > 1 else []
+        counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"), *extra)
+        w = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select(
+            *by, "_bucket", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
+            (F.col("_k") if first > 1 else quota(left)).alias("_quota"),
+        ).where("_before < _quota")
+        counts = durable(counts.select(*by, "_bucket", "_n", (F.col("_quota") - F.col("_before")).alias("_k")))
+        placed = _match(rows.drop("_k"), counts, [*by, "_bucket"])
+        kept.append(placed.where("_n <= _k").select(*df.columns))
+        edge = placed.where("_n > _k").drop("_n", "_bucket")
+        if (counts.where("_n > _k").agg(F.max("_n")).first()[0] or 0) <= EDGE_ROWS:
+            w = Window.partitionBy(*by).orderBy("_h", *keys)
+            kept.append(edge.withColumn("_rn", F.row_number().over(w)).where("_rn <= _k").select(*df.columns))
+            break
+        rows = durable(edge)
+    else:
+        placed = sequence_position(rows, by, ["_h", *keys], name="_pos")
+        kept.append(placed.where("_pos < _k").select(*df.columns))
+    return reduce(DataFrame.unionAll, kept)
 
 
 def exact_sample(

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffline.functions import vectors as V
 from staffline.keys import INSTRUMENTS
-from staffline.operators.numbering import sequence_next, sequence_position
+from staffline.operators.numbering import running, sequence_next, sequence_position
 
 MAX_TEMPO = 240.0
 # The signatures of the one-hot feature, in order.
@@ -80,23 +80,7 @@ def condition_features(instrument: Column, tempo: Column, num: Column, den: Colu
     return [index.alias("instrument_index"), share.alias("tempo_share"), one_hot.alias("signature")]
 
 
-def causal_mean(
-    df: DataFrame, by: Sequence[str], order: str, value: str, name: str = "running_mean", block: int = 4096
-) -> DataFrame:
-    """Mean of ``value`` over rows up to and including the current one.
-
-    Running sums stay inside blocks of the order; totals of earlier blocks are added,
-    so a long sequence is not sorted by one task.
-    """
-    rows = df.withColumn("_block", F.floor(F.col(order) / block))
-    w = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_s", F.sum(value).over(w)).withColumn("_c", F.count(value).over(w))
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*by, "_block").agg(F.sum(value).alias("_bs"), F.count(value).alias("_bc")).select(
-        *by, "_block", F.coalesce(F.sum("_bs").over(before), F.lit(0)).alias("_ps"),
-        F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_pc"),
-    )
-    out = rows.join(blocks, [*by, "_block"])
-    return out.withColumn(
-        name, F.try_divide(F.col("_s") + F.col("_ps"), F.col("_c") + F.col("_pc"))
-    ).drop("_block", "_s", "_c", "_ps", "_pc")
+def causal_mean(df: DataFrame, by: Sequence[str], order: str, value: str, name: str = "running_mean") -> DataFrame:
+    """Mean of ``value`` over rows up to and including the current one, by a scan over range blocks."""
+    rows = running(df, by, [order], {"_sum": ("sum", F.col(value)), "_count": ("count", F.col(value))})
+    return rows.withColumn(name, F.try_divide("_sum", "_count")).drop("_sum", "_count")

@@ -344,7 +344,7 @@ def disentanglement(
     rows = df.select(
         F.col(label).cast("string").alias("label"), F.col(key).alias("key"), doubles(z).alias("z"),
     ).withColumn("_o", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)))
-    placed = sequence_position(rows, ["label"], "_o", ties=["key"], block=1 << 18)
+    placed = sequence_position(rows, ["label"], "_o", ties=["key"])
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     a = sizes.select(F.col("label").alias("la"), F.col("n").alias("na"))
     b = sizes.select(F.col("label").alias("lb"), F.col("n").alias("nb"))

@@ -101,5 +101,5 @@ def song_of_bar_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def causal_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features that see only the past: blocks of 256 events to exercise the offsets."""
     e = derived.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    out = S.causal_mean(e, ["event_type"], "event_id", "value", block=256)
+    out = S.causal_mean(e, ["event_type"], "event_id", "value")
     return out.select("event_id", stable(F.col("running_mean"), 4).alias("running_mean"))
