@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm import bpe, decontam, planes, quality, sharding, simhash, tokencount, toxicity, urlrep, warc
+from staffline.llm import bpe, decontam, planes, quality, ranked, sharding, simhash, tokencount, toxicity, urlrep, warc
 from staffline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,11 @@ def op10_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_planes(manifest, docs.schema["doc_id"].dataType)
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 # -- SQL twins -------------------------------------------------------------------------------------
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -157,3 +162,17 @@ SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for r,
        CASE {" ".join(f"WHEN {_fits(r)} THEN '{v}'" for r, v in _ORDERED)} WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict, rate, lower
 FROM j
 """
+
+_TERMS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x{{00}}-\x{{2F}}\x{{3A}}-\x{{40}}\x{{5B}}-\x{{60}}\x{{7B}}-\x{{7F}}]+')"
+ORACLES["op11_ranked_search"] = f"""
+WITH said AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+     sized AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM said WHERE len(w) > 0),
+     corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sized),
+     tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM sized) GROUP BY ALL),
+     weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, docs),
+     asked AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+     scored AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+                FROM asked JOIN tf USING (term) JOIN weight USING (term), corpus GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
