@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm import bpe, decontam, planes, quality, ranked, sharding, simhash, tokencount, toxicity, urlrep, warc
+from staffline.llm import bpe, decontam, planes, quality, ranked, rules, sharding, simhash, tokencount, toxicity, trie, urlrep, warc
 from staffline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,16 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+@query
+def op12_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 # -- SQL twins -------------------------------------------------------------------------------------
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -176,3 +186,23 @@ WITH said AS (SELECT doc_id, {_TERMS} AS w FROM documents),
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
 """
+
+# CRC-32 of a decimal number, bit by bit: the reflected polynomial is a fixed value.
+_CRC = """xor(list_reduce([ascii(d) FOR d IN string_split(CAST({c} AS VARCHAR), '')],
+       lambda r, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(r, CAST(b AS BIGINT))), CAST(4294967295 AS BIGINT)), 4294967295)"""
+ORACLES["op13_prefix_trie"] = f"""
+WITH said AS (SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS w
+              FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+     taken AS (SELECT c, w, CAST({_CRC.format(c="c")} % 9 AS INTEGER) AS h FROM said),
+     rebuilt AS (SELECT x.c, coalesce(y.w[1 : h], []) || x.w[h + 1 :] AS w FROM taken x LEFT JOIN said y ON y.c = x.c - x.c % 5),
+     prefixes AS (SELECT c, w[1 : d] AS p, d, d = len(w) AS ends FROM (SELECT c, w, unnest(range(len(w) + 1)) AS d FROM rebuilt)),
+     nodes AS (SELECT p, d, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS digest FROM prefixes GROUP BY p, d),
+     kids AS (SELECT p[1 : d - 1] AS p, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+     grown AS (SELECT nodes.*, coalesce(k, 0) AS k, CASE WHEN nodes.d > 0 THEN (n - 1) * octet_length(encode(nodes.p[nodes.d].t)) ELSE 0 END AS cost
+               FROM nodes LEFT JOIN kids ON kids.d = nodes.d AND kids.p = nodes.p),
+     below AS (SELECT p[1 : a] AS p, a AS d, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS leaves, sum(cost) AS cost
+               FROM (SELECT *, unnest(range(d + 1)) AS a FROM grown) GROUP BY ALL)
+SELECT g.c AS conv_id, CAST(g.d AS BIGINT) AS depth, up.c AS parent_conv_id, g.n AS n_convs, CAST(g.k AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(b.cost AS BIGINT) AS saved_tokens, g.digest AS ends_sha256
+FROM grown g JOIN below b ON b.d = g.d AND b.p = g.p LEFT JOIN nodes up ON up.d = g.d - 1 AND up.p = g.p[1 : g.d - 1]
+"""
