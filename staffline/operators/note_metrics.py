@@ -11,7 +11,8 @@ and velocity histograms; overlapping predicted notes count twice in step profile
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -398,24 +399,45 @@ def sequence_groove(onsets: DataFrame, by: Sequence[str] = TRACK, steps: int = S
     )
 
 
-def pitch_class_kl(true: DataFrame, pred: DataFrame, by: Sequence[str] = TRACK) -> DataFrame:
-    """KL of summed per-bar pitch-class histograms (each bar normalised first)."""
-    bars = pitch_class_counts(true, pred).groupBy(*BAR).agg(
-        F.sum("t").alias("x"), F.sum("p").alias("y"), F.collect_list(F.struct("pc", "t", "p")).alias("bins")
-    ).filter("x > 0")
-    share = lambda v, s: F.when(F.col(s) > 0, F.col(v) / F.col(s)).otherwise(0.0)
-    hist = (
-        bars.select(*BAR, "x", "y", F.inline("bins"))
-        .groupBy(*by, "pc")
-        .agg(F.sum(share("t", "x")).alias("t"), F.sum(share("p", "y")).alias("p"))
-    )
-    seq = hist.groupBy(*by).agg(
-        F.sum("t").alias("x"), F.sum("p").alias("y"),
-        F.collect_list(F.struct(F.col("t").alias("p"), F.col("p").alias("q"))).alias("pairs"),
-    )
-    kl = F.greatest(F.lit(0.0), V.sparse_kl(F.col("pairs"), F.col("x"), F.col("y"), 12))
-    return seq.select(
-        *by,
-        F.when(F.col("x") < 1e-10, 0.0).when(F.col("y") < 1e-10, float("inf"))
-        .otherwise(kl).alias("pitch_class_histogram_kl"),
+def pitch_class_shares(true: DataFrame, pred: DataFrame, plane: DataFrame | None = None, height: int = PITCHES) -> DataFrame:
+    """(bar, t0..t11, p0..p11): shares of the pitch classes among true cells and on the reconstructed side.
+
+    The reconstructed side counts notes. A bar without notes takes the rows of its image instead: a row's mean level goes to the
+    class of the pitch it lies nearest to. With neither the shares are 0.
+    """
+    zero, length = F.lit(0).cast("bigint"), (F.col("off") - F.col("on")).cast("bigint")
+    pc = (F.col("pitch") % 12).alias("pc")
+    rows = _stack(
+        true.select(*BAR, pc, length.alias("t"), zero.alias("n"), F.lit(0.0).alias("s")),
+        pred.select(*BAR, pc, zero.alias("t"), F.col("n").cast("bigint").alias("n"), F.lit(0.0).alias("s")),
     )
+    if plane is not None:
+        near = (F.bround(F.col("row") * 127.0 / max(height - 1, 1)).cast("int") % 12).alias("pc")
+        rows = _stack(rows, plane.select(*BAR, near, zero.alias("t"), zero.alias("n"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "value")).alias("s")))
+    of = lambda c, k: F.sum(F.when(F.col("pc") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+    bar = rows.groupBy(*BAR).agg(*[of(c, k) for c in "tns" for k in range(12)], *[F.sum(c).alias(c) for c in "tns"]).filter("t > 0")
+    played = lambda k: F.when(F.col("n") > 0, F.col(f"n{k}") / F.col("n")).when(F.col("s") > 0, F.col(f"s{k}") / F.col("s")).otherwise(0.0)
+    return bar.select(*BAR, *[(F.col(f"t{k}") / F.col("t")).alias(f"t{k}") for k in range(12)], *[played(k).alias(f"p{k}") for k in range(12)])
+
+
+def pitch_alignment(true: DataFrame, pred: DataFrame, plane: DataFrame | None = None, height: int = PITCHES) -> DataFrame:
+    """Cosine of the two pitch-class histograms of a bar; 0 where the reconstructed side is silent."""
+    shares = pitch_class_shares(true, pred, plane, height)
+    side = lambda s: F.array(*[F.col(f"{s}{k}") for k in range(12)])
+    return shares.select(*BAR, V.cosine(side("t"), side("p")).alias("conditioning_pitch_alignment"))
+
+
+def class_sums_kl(column: Callable[[str, int], Column]) -> Column:
+    """KL of summed histograms; ``column('t' or 'p', class)`` is a sum of shares."""
+    total = lambda side: reduce(lambda a, b: a + b, [column(side, k) for k in range(12)])
+    pairs = F.array(*[F.struct(column("t", k).alias("p"), column("p", k).alias("q")) for k in range(12)])
+    kl = F.greatest(F.lit(0.0), V.sparse_kl(pairs, total("t"), total("p"), 12))
+    return F.when(total("t") < 1e-10, 0.0).when(total("p") < 1e-10, float("inf")).otherwise(kl)
+
+
+def pitch_class_kl(
+    true: DataFrame, pred: DataFrame, by: Sequence[str] = TRACK, plane: DataFrame | None = None, height: int = PITCHES
+) -> DataFrame:
+    """KL of summed per-bar pitch-class histograms (each bar normalised first)."""
+    sums = pitch_class_shares(true, pred, plane, height).groupBy(*by).agg(*[F.sum(f"{s}{k}").alias(f"{s}{k}") for s in "tp" for k in range(12)])
+    return sums.select(*by, class_sums_kl(lambda side, k: F.col(f"{side}{k}")).alias("pitch_class_histogram_kl"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staffline.functions import vectors as V
-from staffline.operators.numbering import exact_fraction, exact_sample, sequence_next, sequence_position
+from staffline.operators.numbering import durable, exact_fraction, exact_sample, sequence_next
 
 PROBE_TRAIN = 0.8
 
@@ -198,49 +198,61 @@ def dominant_pitch_label(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     return best.select(*keys, ((127 - F.col("c") % 128) % 12).cast("int").alias("label"))
 
 
+def class_distances(df: DataFrame, keys: Sequence[str], label: str, z: str = "z", tile: int = 2048) -> DataFrame:
+    """(uid, own, other, n, s): number and sum of Euclidean distances from each row to all other rows of each class.
+
+    Exact and over all pairs, which is quadratic work, done in tiles: rows are dealt to tiles of about ``tile`` rows, every two
+    tiles meet in a task of their own as two matrices, and only sums per row and class leave it. A row is copied
+    once per tile, no pair is ever a row, and nothing is broadcast.
+    """
+    rows = df.select(F.col(label).cast("string").alias("label"), doubles(z).alias("z")).where(F.col("z").isNotNull() & F.col("label").isNotNull())
+    rows = durable(rows.withColumn("uid", F.monotonically_increasing_id()))
+    tiles = max(1, -(-rows.count() // tile))
+    placed = rows.withColumn("t", F.pmod(F.xxhash64("uid"), F.lit(tiles)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    left = placed.select(F.col("t").alias("a"), every.alias("b"), "uid", "label", "z").groupBy("a", "b")
+    right = placed.select(every.alias("a"), F.col("t").alias("b"), "uid", "label", "z").groupBy("a", "b")
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"uid": [], "own": [], "other": [], "n": [], "s": []})
+        there = np.stack(y["z"].to_numpy())
+        names, codes = np.unique(y["label"].to_numpy(dtype=str), return_inverse=True)
+        member, square = np.eye(len(names))[codes], (there**2).sum(1)
+        parts = []
+        for start in range(0, len(x), 512):
+            some = x.iloc[start : start + 512]
+            here = np.stack(some["z"].to_numpy())
+            gap = np.sqrt(np.maximum((here**2).sum(1)[:, None] + square - 2 * here @ there.T, 0.0))
+            self_ = some["uid"].to_numpy()[:, None] == y["uid"].to_numpy()[None]
+            gap[self_] = 0.0
+            n, s = member.sum(0)[None] - self_ @ member, gap @ member
+            parts.append(pd.DataFrame({
+                "uid": np.repeat(some["uid"].to_numpy(), len(names)), "own": np.repeat(some["label"].to_numpy(), len(names)),
+                "other": np.tile(names, len(some)), "n": n.reshape(-1).astype(np.int64), "s": s.reshape(-1),
+            }))
+        return pd.concat(parts)
+
+    sums = left.cogroup(right).applyInPandas(meet, "uid bigint, own string, other string, n bigint, s double")
+    return sums.groupBy("uid", "own", "other").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
 def silhouette(
-    df: DataFrame, keys: Sequence[str], label: str, z: str = "z", *, rows: int, seed: int = 42
+    df: DataFrame, keys: Sequence[str], label: str, z: str = "z", *, rows: int | None = None, seed: int = 42, tile: int = 2048
 ) -> DataFrame:
-    """Euclidean silhouette of a seeded sample of at most ``rows`` rows.
+    """Euclidean silhouette of all rows, or of a seeded sample of at most ``rows``, from exact distances.
 
-    The sample is the feature: exact distances are quadratic. Its vectors (at most
-    ``rows`` of D values) are broadcast; each sampled row measures itself against them
-    in one matrix step, so no pair is shuffled. A class of one row scores 0. NaN with
-    fewer than four rows or one class.
+    A class of one row scores 0. NaN with fewer than four rows or one class.
     """
-    sample = exact_sample(
-        df.select(*keys, F.col(label).cast("string").alias("label"), doubles(z).alias("z")), rows, keys, seed=seed
+    chosen = df if rows is None else exact_sample(df.select(*keys, label, z), rows, keys, seed=seed)
+    own = F.col("own") == F.col("other")
+    each = class_distances(chosen, keys, label, z, tile).groupBy("uid", "own").agg(
+        F.max(F.when(own & (F.col("n") > 0), F.col("s") / F.col("n"))).alias("inner"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("outer")
     )
-    peers = sample.select("label", "z").toPandas()
-    spark = df.sparkSession
-    names, codes = np.unique(peers["label"].to_numpy(dtype=str), return_inverse=True)
-    if len(peers) < 4 or len(names) < 2:
-        return spark.range(1).select(F.lit(float("nan")).alias("silhouette_score"))
-    shared = spark.sparkContext.broadcast((np.stack(peers["z"].to_numpy()), names, codes))
-
-    def score(batches):
-        x, labels, code = shared.value
-        members = np.eye(len(labels))[code]
-        size = members.sum(axis=0)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            y = np.stack(pdf["z"].to_numpy())
-            gap = np.sqrt(np.maximum((y**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * y @ x.T, 0.0))
-            gap[gap < 1e-7] = 0.0  # a row against itself
-            sums = gap @ members
-            own = np.searchsorted(labels, pdf["label"].to_numpy(dtype=str))
-            at = np.arange(len(y))
-            alone = size[own] <= 1
-            inner = sums[at, own] / np.maximum(size[own] - 1, 1)
-            means = sums / size
-            means[at, own] = np.inf
-            outer = means.min(axis=1)
-            top = np.maximum(inner, outer)
-            s = np.where(alone | (top <= 0), 0.0, (outer - inner) / np.where(top > 0, top, 1.0))
-            yield pd.DataFrame({"s": s})
-
-    return sample.select("label", "z").mapInPandas(score, "s double").agg(F.avg("s").alias("silhouette_score"))
+    top = F.greatest("inner", "outer")
+    score = F.when(F.col("inner").isNull() | (top <= 0), 0.0).otherwise((F.col("outer") - F.col("inner")) / top)
+    out = each.agg(F.avg(score).alias("v"), F.count(F.lit(1)).alias("n"), F.count_distinct("own").alias("k"))
+    return out.select(F.when((F.col("n") >= 4) & (F.col("k") >= 2), F.col("v")).otherwise(float("nan")).alias("silhouette_score"))
 
 
 def silhouette_squared(df: DataFrame, keys: Sequence[str], label: str, z: str = "z", max_labels: int = 10_000) -> DataFrame:
@@ -299,17 +311,15 @@ def smoothness(df: DataFrame, by: Sequence[str], order: str, z: str = "z") -> Da
     )
 
 
-def self_similarity(
-    df: DataFrame, by: Sequence[str], order: str, z: str = "z", block: int = 1024
-) -> DataFrame:
+def self_similarity(df: DataFrame, by: Sequence[str], z: str = "z") -> DataFrame:
     """Mean and spread of the cosine over all pairs of a sequence, without pairs.
 
     With unit vectors u and G = sum u u': the sum of cosines over ordered pairs is
     |sum u|^2 - n', the sum of their squares is |G|^2 - n', n' counting the non-zero
-    vectors. Linear in the rows. A sequence is cut along ``order`` into blocks of
-    ``block`` positions, so a hot one is spread over tasks.
+    vectors. Linear in the rows. Sums don't ask for an order, so a sequence is cut by the partitions
+    in which its rows lie, and a hot one stays spread over tasks.
     """
-    cut = F.floor(F.col(order) / block).alias("_split")
+    cut = F.spark_partition_id().alias("_split")
     rows = df.select(*by, V.unit(doubles(z)).alias("u"), cut)
     sums = rows.select(*by, F.posexplode("u").alias("i", "v")).groupBy(*by, "i").agg(F.sum("v").alias("s"))
     mean_part = sums.groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
@@ -331,42 +341,20 @@ def self_similarity(
     )
 
 
-def disentanglement(
-    df: DataFrame, key: str, label: str, z: str = "z", *, max_pairs: int, seed: int = 42
-) -> DataFrame:
-    """(inter - intra) / inter from sampled pairs of one label and of two labels.
+def disentanglement(df: DataFrame, keys: Sequence[str], label: str, z: str = "z", tile: int = 2048) -> DataFrame:
+    """(inter - intra) / inter, the mean distances over all pairs of one label and of two labels.
 
-    Up to ``max_pairs`` pairs per class and per class pair are drawn with replacement by
-    hashing the draw number to a position in the class; a row paired with itself is
-    dropped. Sampling is the feature; only the drawn positions are joined with rows.
-    NaN with fewer than four rows, one class or no inter-class distance.
+    NaN with fewer than four rows, one class, no pair of one class, or no inter-class distance.
     """
-    rows = df.select(
-        F.col(label).cast("string").alias("label"), F.col(key).alias("key"), doubles(z).alias("z"),
-    ).withColumn("_o", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)))
-    placed = sequence_position(rows, ["label"], "_o", ties=["key"])
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    a = sizes.select(F.col("label").alias("la"), F.col("n").alias("na"))
-    b = sizes.select(F.col("label").alias("lb"), F.col("n").alias("nb"))
-    same = F.col("la") == F.col("lb")
-    possible = F.when(same, F.floor(F.col("na") * (F.col("na") - 1) / 2)).otherwise(F.col("na") * F.col("nb"))
-    plan = a.join(b, F.col("la") <= F.col("lb")).withColumn("draws", F.least(F.lit(max_pairs), possible)).filter("draws > 0")
-    draws = plan.withColumn("d", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int"))))
-    pick = lambda side, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(side), "la", "lb", "d"), F.col(n))
-    draws = draws.select("la", "lb", pick(1, "na").alias("pa"), pick(2, "nb").alias("pb")).filter(
-        ~(same & (F.col("pa") == F.col("pb")))
+    own = F.col("own") == F.col("other")
+    part = lambda c, which: F.sum(F.when(which, F.col(c)))
+    sums = class_distances(df, keys, label, z, tile).agg(
+        F.try_divide(part("s", own), part("n", own)).alias("intra"), F.try_divide(part("s", ~own), part("n", ~own)).alias("inter"),
+        F.count_distinct("uid").alias("rows"),
     )
-    left = placed.select(F.col("label").alias("la"), F.col("pos").alias("pa"), F.col("z").alias("za"))
-    right = placed.select(F.col("label").alias("lb"), F.col("pos").alias("pb"), F.col("z").alias("zb"))
-    found = draws.join(left, ["la", "pa"]).join(right, ["lb", "pb"])
-    d = V.distance(F.col("za"), F.col("zb"))
-    out = found.agg(
-        F.avg(F.when(same, d)).alias("intra"), F.avg(F.when(~same, d)).alias("inter"),
-    )
-    enough = (sizes.agg(F.sum("n").alias("rows")).first()["rows"] or 0) >= 4
-    ok = F.lit(enough) & F.col("intra").isNotNull() & (F.col("inter") >= 1e-10)
+    ok = (F.col("rows") >= 4) & F.col("intra").isNotNull() & (F.col("inter") >= 1e-10)
     nan = F.lit(float("nan"))
-    return out.select(
+    return sums.select(
         F.when(ok, F.try_divide(F.col("inter") - F.col("intra"), F.col("inter"))).otherwise(nan).alias("disentanglement_score"),
         F.when(ok, F.col("intra")).otherwise(nan).alias("intra_class_distance"),
         F.when(ok, F.col("inter")).otherwise(nan).alias("inter_class_distance"),

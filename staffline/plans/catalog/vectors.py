@@ -67,7 +67,7 @@ def latent_channel_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat = latents(spark, sf_dir)
-    return rounded(M.self_similarity(lat, ["song_id"], "bar_index"))
+    return rounded(M.self_similarity(lat, ["song_id"]))
 
 
 @query(
@@ -82,8 +82,23 @@ def interpolation_smoothness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.smoothness(latents(spark, sf_dir), ["song_id"], "bar_index"))
 
 
+_DISTANCES = f"""{_LAT},
+    d AS (SELECT a.vec_id, a.label AS own, b.label AS other, list_distance(a.z, b.z) AS d FROM lat a JOIN lat b ON a.vec_id <> b.vec_id),
+    m AS (SELECT vec_id, own, other, sum(d) AS t, count(*) AS n FROM d GROUP BY ALL)"""
+
+
 @query(
     "silhouette",
+    f"""WITH {_DISTANCES},
+    ab AS (SELECT vec_id, max(CASE WHEN own = other THEN t / n END) AS a, min(CASE WHEN own <> other THEN t / n END) AS b FROM m GROUP BY 1)
+    SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) + 1e-10, 6) + 0.0 AS silhouette_score FROM ab""",
+)
+def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.silhouette(latents(spark, sf_dir), ["vec_id"], "label"))
+
+
+@query(
+    "silhouette_squared",
     f"""WITH {_LAT}, s AS (SELECT * FROM lat),
     d AS (SELECT a.vec_id, a.label AS own, b.label AS other, list_distance(a.z, b.z) * list_distance(a.z, b.z) AS d, a.vec_id = b.vec_id AS self FROM s a, s b),
     m AS (SELECT vec_id, own, other, sum(CASE WHEN self THEN 0 ELSE d END) AS t, count(*) AS n FROM d GROUP BY ALL),
@@ -91,7 +106,7 @@ def interpolation_smoothness(spark: SparkSession, sf_dir: str) -> DataFrame:
                   min(CASE WHEN own <> other THEN t / n END) AS b FROM m GROUP BY 1)
     SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) + 1e-10, 6) + 0.0 AS silhouette_score FROM ab""",
 )
-def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+def silhouette_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.silhouette_squared(latents(spark, sf_dir), ["vec_id"], "label"))
 
 
@@ -139,10 +154,16 @@ def dominant_pitch_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.dominant_pitch_label(derived.segments(spark, sf_dir), BAR)
 
 
-@query("disentanglement")
+@query(
+    "disentanglement",
+    f"""WITH {_DISTANCES},
+    s AS (SELECT sum(CASE WHEN own = other THEN t END) / sum(CASE WHEN own = other THEN n END) AS intra,
+                 sum(CASE WHEN own <> other THEN t END) / sum(CASE WHEN own <> other THEN n END) AS inter FROM m)
+    SELECT round((inter - intra) / inter + 1e-10, 6) + 0.0 AS disentanglement_score, round(intra + 1e-10, 6) AS intra_class_distance,
+           round(inter + 1e-10, 6) AS inter_class_distance FROM s""",
+)
 def disentanglement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled pairs; the draws depend on this engine's hash, so no SQL twin."""
-    return rounded(M.disentanglement(latents(spark, sf_dir), "vec_id", "label", max_pairs=2000))
+    return rounded(M.disentanglement(latents(spark, sf_dir), ["vec_id"], "label"))
 
 
 @query("reparameterised_sample")
