@@ -7,6 +7,8 @@ each score is a chain of hash aggregates without a further shuffle or sort.
 
 The true side counts cells and the predicted side counts notes in the pitch-class
 and velocity histograms; overlapping predicted notes count twice in step profiles.
+
+``keys`` names what is scored apart: bars, or bars under conditions. Frames that lie by bar need no shuffle for either.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def _both_sides() -> Column:
     return F.col("has_t") & F.col("has_p")
 
 
-def step_profiles(true: DataFrame, pred: DataFrame, steps: int = STEPS) -> DataFrame:
+def step_profiles(true: DataFrame, pred: DataFrame, steps: int = STEPS, keys: Sequence[str] = BAR) -> DataFrame:
     """Correlation of polyphony per step, and MSE and correlation of mean velocity per step.
 
     Both profiles are step functions that change only where a note begins or ends. The
@@ -59,30 +61,30 @@ def step_profiles(true: DataFrame, pred: DataFrame, steps: int = STEPS) -> DataF
     zero = F.lit(0).cast("bigint")
     change = lambda at, n, v: F.struct(at.alias("step"), n.cast("bigint").alias("n"), v.cast("bigint").alias("v"))
     velocity, one = F.col("velocity"), F.lit(1)
-    t = true.select(*BAR, F.inline(F.array(
+    t = true.select(*keys, F.inline(F.array(
         change(F.col("on"), one, velocity), change(F.col("off"), -one, -velocity)
-    ))).select(*BAR, "step", F.col("n").alias("tn"), F.col("v").alias("tv"), zero.alias("pn"), zero.alias("pv"), F.lit(True).alias("is_t"))
+    ))).select(*keys, "step", F.col("n").alias("tn"), F.col("v").alias("tv"), zero.alias("pn"), zero.alias("pv"), F.lit(True).alias("is_t"))
     on, off = F.greatest(F.lit(0), F.col("onset")), F.least(F.lit(steps), F.col("offset"))
     n, nv = F.col("n"), F.col("n") * velocity
     inside = F.array(change(on, n, nv), change(off, -n, -nv))
     outside = F.array(change(F.lit(0), F.lit(0), F.lit(0)))  # keeps the bar of a note beyond it
-    p = pred.select(*BAR, F.inline(F.when(off > on, inside).otherwise(outside))).select(
-        *BAR, "step", zero.alias("tn"), zero.alias("tv"), F.col("n").alias("pn"), F.col("v").alias("pv"), F.lit(False).alias("is_t")
+    p = pred.select(*keys, F.inline(F.when(off > on, inside).otherwise(outside))).select(
+        *keys, "step", zero.alias("tn"), zero.alias("tv"), F.col("n").alias("pn"), F.col("v").alias("pv"), F.lit(False).alias("is_t")
     )
-    changes = _stack(t, p).groupBy(*BAR, "step").agg(
+    changes = _stack(t, p).groupBy(*keys, "step").agg(
         F.sum("tn").alias("tn"), F.sum("tv").alias("tv"), F.sum("pn").alias("pn"), F.sum("pv").alias("pv"),
         F.bool_or("is_t").alias("has_t"), F.bool_or(~F.col("is_t")).alias("has_p"),
     )
-    w = Window.partitionBy(*BAR).orderBy("step")
+    w = Window.partitionBy(*keys).orderBy("step")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     level = changes.select(
-        *BAR, "has_t", "has_p", (F.lead("step", 1, steps).over(w) - F.col("step")).alias("len"),
+        *keys, "has_t", "has_p", (F.lead("step", 1, steps).over(w) - F.col("step")).alias("len"),
         *[F.sum(c).over(so_far).alias(c) for c in ("tn", "tv", "pn", "pv")],
     )
     mean = lambda v, c: F.when(c > 0, v / c).otherwise(0.0)
     level = level.withColumns({"a": mean(F.col("tv"), F.col("tn")), "b": mean(F.col("pv"), F.col("pn"))})
     tn, pn, a, b, k = (F.col(c) for c in ("tn", "pn", "a", "b", "len"))
-    bar = level.groupBy(*BAR).agg(
+    bar = level.groupBy(*keys).agg(
         F.bool_or("has_t").alias("has_t"), F.bool_or("has_p").alias("has_p"),
         F.sum(k * tn).alias("x"), F.sum(k * pn).alias("y"), F.sum(k * tn * tn).alias("xx"),
         F.sum(k * pn * pn).alias("yy"), F.sum(k * tn * pn).alias("xy"),
@@ -91,23 +93,23 @@ def step_profiles(true: DataFrame, pred: DataFrame, steps: int = STEPS) -> DataF
     )
     r = lambda *c: V.pearson(steps, *[F.col(i) for i in c])
     return bar.filter(_both_sides()).select(
-        *BAR,
+        *keys,
         r("x", "y", "xx", "yy", "xy").alias("note_density_pearson"),
         (F.col("dd") / steps).alias("velocity_mse"),
         r("a", "b", "aa", "bb", "ab").alias("velocity_correlation"),
     )
 
 
-def pitch_class_counts(true: DataFrame, pred: DataFrame) -> DataFrame:
+def pitch_class_counts(true: DataFrame, pred: DataFrame, keys: Sequence[str] = BAR) -> DataFrame:
     """(bar, pc, t, p): active cells and predicted notes per pitch class."""
     zero, length = F.lit(0).cast("bigint"), (F.col("off") - F.col("on")).cast("bigint")
     pc = (F.col("pitch") % 12).alias("pc")
-    t = true.select(*BAR, pc, length.alias("t"), zero.alias("p"))
-    p = pred.select(*BAR, pc, zero.alias("t"), F.col("n").cast("bigint").alias("p"))
-    return _stack(t, p).groupBy(*BAR, "pc").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
+    t = true.select(*keys, pc, length.alias("t"), zero.alias("p"))
+    p = pred.select(*keys, pc, zero.alias("t"), F.col("n").cast("bigint").alias("p"))
+    return _stack(t, p).groupBy(*keys, "pc").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
 
 
-def pitch_class_scores(true: DataFrame, pred: DataFrame) -> DataFrame:
+def pitch_class_scores(true: DataFrame, pred: DataFrame, keys: Sequence[str] = BAR) -> DataFrame:
     """Pitch-class correlation, cosine alignment and entropies of one bar.
 
     Bars without predicted notes are kept: their correlation is NULL (the score
@@ -115,7 +117,7 @@ def pitch_class_scores(true: DataFrame, pred: DataFrame) -> DataFrame:
     """
     t, p = F.col("t").cast("double"), F.col("p").cast("double")
     clog = lambda c: F.sum(F.when(c > 0, c * F.log(c)).otherwise(0.0))
-    bar = pitch_class_counts(true, pred).groupBy(*BAR).agg(
+    bar = pitch_class_counts(true, pred, keys).groupBy(*keys).agg(
         F.sum(t).alias("x"), F.sum(p).alias("y"), F.sum(t * t).alias("xx"),
         F.sum(p * p).alias("yy"), F.sum(t * p).alias("xy"),
         clog(t).alias("xl"), clog(p).alias("yl"),
@@ -126,7 +128,7 @@ def pitch_class_scores(true: DataFrame, pred: DataFrame) -> DataFrame:
     gt = V.entropy_from_sums(c["x"], c["xl"], c["xn"], 12)
     gen = V.entropy_from_sums(c["y"], c["yl"], c["yn"], 12)  # no notes: log 12
     return bar.select(
-        *BAR,
+        *keys,
         F.when(c["y"] > 0, r).alias("pitch_class_histogram_correlation"),
         F.when(c["y"] > 0, c["xy"] / F.sqrt(c["xx"] * c["yy"])).otherwise(0.0)
         .alias("conditioning_pitch_alignment"),
@@ -212,13 +214,13 @@ def velocity_histogram_kl(true: DataFrame, pred: DataFrame, bins: int = VELOCITY
     return bar.filter("x > 0 AND y > 0").select(*BAR, V.plus_zero(score).alias("velocity_histogram_kl"))
 
 
-def onset_arrays(true: DataFrame, pred: DataFrame, steps: int = STEPS, how: str = "inner") -> DataFrame:
+def onset_arrays(true: DataFrame, pred: DataFrame, steps: int = STEPS, how: str = "inner", keys: Sequence[str] = BAR) -> DataFrame:
     """(bar, t_on, p_on): ascending distinct onset steps of both sides, at most one per step."""
-    t = true.groupBy(*BAR).agg(
+    t = true.groupBy(*keys).agg(
         *words.named(words.collect_words(F.col("on"), steps, F.col("starts")), "o")
-    ).select(*BAR, words.members(words.columns("o", steps), steps).alias("t_on"))
-    p = pred.groupBy(*BAR).agg(F.array_sort(F.collect_set("onset")).alias("p_on"))
-    return t.join(p, list(BAR), how)  # both sides are partitioned by bar: no shuffle
+    ).select(*keys, words.members(words.columns("o", steps), steps).alias("t_on"))
+    p = pred.groupBy(*keys).agg(F.array_sort(F.collect_set("onset")).alias("p_on"))
+    return t.join(p, list(keys), how)  # both sides are partitioned by bar: no shuffle
 
 
 def _inside(onsets: Column, steps: int) -> Column:
@@ -241,14 +243,14 @@ def matched_onsets(true: Column, pred: Column, tolerance: int) -> Column:
     return F.size(true) - F.size(F.aggregate(pred, true, step))
 
 
-def onset_scores(onsets: DataFrame, tolerance: int = 1, steps: int = STEPS) -> DataFrame:
+def onset_scores(onsets: DataFrame, tolerance: int = 1, steps: int = STEPS, keys: Sequence[str] = BAR) -> DataFrame:
     """Onset precision, recall and F1 from :func:`onset_arrays`.
 
     Nothing on either side scores 1, 1, 1; no truth 0, 1, 0; no prediction 1, 0, 0.
     """
     none = F.array().cast("array<int>")
     o = onsets.select(
-        *BAR,
+        *keys,
         F.coalesce("t_on", none).alias("t"),
         F.coalesce(_inside(F.col("p_on"), steps), none).alias("p"),
     )
@@ -262,7 +264,7 @@ def onset_scores(onsets: DataFrame, tolerance: int = 1, steps: int = STEPS) -> D
     )
     f1 = F.when(((nt == 0) | (np_ == 0)) & (nt != np_), 0.0).otherwise(f1)
     return o.select(
-        *BAR, prec.alias("onset_precision"), rec.alias("onset_recall"), f1.alias("onset_f1")
+        *keys, prec.alias("onset_precision"), rec.alias("onset_recall"), f1.alias("onset_f1")
     )
 
 
