@@ -125,19 +125,42 @@ def steps_per_bar(num: Column, den: Column, use_denominator: bool = False) -> Co
     return (F.lit(STEPS_PER_BEAT) * num).cast("int")
 
 
+#: Name of the column with a song's own steps per bar, in notes, pieces, segments and cells.
+BAR_STEPS = "bar_steps"
+
+
+def with_bar_steps(notes: DataFrame, signatures: DataFrame, use_denominator: bool = False) -> DataFrame:
+    """Notes with the steps per bar of their song's signature (see ``song_signatures``); songs without a supported one go."""
+    lengths = signatures.select("song_id", steps_per_bar(F.col("num"), F.col("den"), use_denominator).alias(BAR_STEPS))
+    return notes.join(lengths, "song_id")
+
+
+def _length(notes: DataFrame, steps: int) -> Column:
+    return F.col(BAR_STEPS) if BAR_STEPS in notes.columns else F.lit(steps)
+
+
+def _own(frame: DataFrame) -> list[str]:
+    """The column of own lengths where there is one; it follows from the bar, so it may join any grouping by bar."""
+    return [c for c in (BAR_STEPS,) if c in frame.columns]
+
+
 def bar_pieces(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None) -> DataFrame:
     """Cut notes at bar lines: (bar, pitch, on, off, stamp), hash-partitioned by bar.
 
+    Notes with a column ``bar_steps`` are cut by the length of their own song's bars and keep the column.
+
     ``stamp`` packs the note's order above its velocity, so "the later note wins"
     is a plain ``max`` of a BIGINT. Notes that agree in bar, pitch and interval are
     combined before the bar shuffle: however many notes one bar receives, at most
     128 * steps * (steps + 1) / 2 of them reach its task.
     """
     n = notes.filter(F.col("offset_step") > F.col("onset_step"))
-    first = F.floor(F.col("onset_step") / steps).cast("int")
-    last = F.floor((F.col("offset_step") - 1) / steps).cast("int")
+    length, own = _length(notes, steps), _own(notes)
+    first = F.floor(F.col("onset_step") / length).cast("int")
+    last = F.floor((F.col("offset_step") - 1) / length).cast("int")
     pieces = n.select(
         *TRACK,
+        *own,
         "pitch",
         "onset_step",
         "offset_step",
@@ -146,16 +169,17 @@ def bar_pieces(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None)
     )
     if n_bars is not None:
         pieces = pieces.filter(F.col("bar_index") < n_bars)
-    start = F.col("bar_index") * steps
+    start = F.col("bar_index") * length
     combined = (
         pieces.select(
             *BAR,
+            *own,
             F.col("pitch").cast("int").alias("pitch"),
             F.greatest(F.col("onset_step") - start, F.lit(0)).cast("int").alias("on"),
-            F.least(F.col("offset_step") - start, F.lit(steps)).cast("int").alias("off"),
+            F.least(F.col("offset_step") - start, length).cast("int").alias("off"),
             "stamp",
         )
-        .groupBy(*BAR, "pitch", "on", "off")
+        .groupBy(*BAR, *own, "pitch", "on", "off")
         .agg(F.max("stamp").alias("stamp"))
     )
     return by_bar(combined)
@@ -168,30 +192,30 @@ def notes_to_segments(notes: DataFrame, steps: int = STEPS, n_bars: int | None =
     overlaps no other piece of its pitch passes as one row; only contested pieces are
     spread over their steps before the winner is taken, and equal neighbours are joined
     again. Without ``n_bars`` a track keeps floor((last offset + 1) / steps) bars: an
-    incomplete last bar is dropped.
+    incomplete last bar is dropped. ``steps`` is for notes without a column ``bar_steps``.
     """
-    segments = pieces_to_segments(bar_pieces(notes, steps, n_bars), steps)
+    segments = pieces_to_segments(bar_pieces(notes, steps, n_bars))
     if n_bars is not None:
         return segments
     # Only a track's last bar can be incomplete, so the join names that bar.
     incomplete = notes.groupBy(*TRACK).agg(
-        F.floor((F.max("offset_step") + 1) / steps).cast("int").alias("bar_index")
+        F.floor((F.max("offset_step") + 1) / F.max(_length(notes, steps))).cast("int").alias("bar_index")
     )
     return segments.join(incomplete, list(BAR), "left_anti")
 
 
 def merge_pieces(pieces: DataFrame) -> DataFrame:
     """Pieces from several batches as those of one: equal intervals combined, partitioned by bar."""
-    return by_bar(pieces.groupBy(*BAR, "pitch", "on", "off").agg(F.max("stamp").alias("stamp")))
+    return by_bar(pieces.groupBy(*BAR, *_own(pieces), "pitch", "on", "off").agg(F.max("stamp").alias("stamp")))
 
 
-def pieces_to_segments(pieces: DataFrame, steps: int = STEPS) -> DataFrame:
+def pieces_to_segments(pieces: DataFrame) -> DataFrame:
     """Resolve overlaps between all pieces of a bar; ``pieces`` are partitioned by bar."""
-    row = [*BAR, "pitch"]
+    row = [*BAR, *_own(pieces), "pitch"]
     w = Window.partitionBy(*row).orderBy("on", "off", "stamp")
     before = F.max("off").over(w.rowsBetween(Window.unboundedPreceding, -1))
     contested = (F.coalesce(before, F.lit(0)) > F.col("on")) | (
-        F.coalesce(F.lead("on").over(w), F.lit(steps)) < F.col("off")
+        F.coalesce(F.lead("on").over(w), F.col("off")) < F.col("off")
     )
     single = F.array(F.struct(F.col("on").alias("on"), F.col("off").alias("off")))
     spread = F.transform(
@@ -211,14 +235,15 @@ def pieces_to_segments(pieces: DataFrame, steps: int = STEPS) -> DataFrame:
 
 def _join_neighbours(parts: DataFrame, same: str) -> DataFrame:
     """Join adjacent intervals of a pitch that agree in ``same``; add ``starts``."""
-    w = Window.partitionBy(*BAR, "pitch").orderBy("on")
+    row = [*BAR, *_own(parts), "pitch"]
+    w = Window.partitionBy(*row).orderBy("on")
     apart = F.coalesce(F.lag("off").over(w) != F.col("on"), F.lit(True))
     new = apart | (F.lag(same).over(w) != F.col(same))
     marked = parts.withColumns({"_apart": apart, "_new": new})
     island = F.sum(F.when(F.col("_new"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (
         marked.withColumn("_i", island)
-        .groupBy(*BAR, "pitch", "_i")
+        .groupBy(*row, "_i")
         .agg(
             F.min("on").cast("int").alias("on"), F.max("off").cast("int").alias("off"),
             F.max(same).alias(same), F.bool_or(F.col("_new") & F.col("_apart")).alias("starts"),
@@ -229,11 +254,12 @@ def _join_neighbours(parts: DataFrame, same: str) -> DataFrame:
 
 def segments_to_cells(segments: DataFrame) -> DataFrame:
     """(bar, pitch, step, velocity, is_onset, is_sustain): a row per sounding position."""
+    own = _own(segments)
     cells = segments.select(
-        *BAR, "pitch", "velocity", "starts", "on", F.explode(F.sequence("on", F.col("off") - 1)).alias("step")
+        *BAR, *own, "pitch", "velocity", "starts", "on", F.explode(F.sequence("on", F.col("off") - 1)).alias("step")
     )
     onset = F.col("starts") & (F.col("step") == F.col("on"))
-    return cells.select(*BAR, "pitch", "step", "velocity", onset.alias("is_onset"), (~onset).alias("is_sustain"))
+    return cells.select(*BAR, *own, "pitch", "step", "velocity", onset.alias("is_onset"), (~onset).alias("is_sustain"))
 
 
 def notes_to_cells(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None) -> DataFrame:
@@ -300,3 +326,24 @@ def resample_time(cells: DataFrame, steps_in: int, steps_out: int = STEPS, metho
         .agg(F.sum(F.col("velocity") * F.col("t.w")).alias("velocity"))
         .filter(F.col("velocity") > 0)
     )
+
+
+def common_grid(cells: DataFrame, steps: int = STEPS, method: str = "bilinear", lengths: Sequence[int] | None = None) -> DataFrame:
+    """(bar, pitch, step, velocity): bars of their songs' own lengths on one grid, partitioned as before.
+
+    The weights of each source length are looked up by the column ``bar_steps``; bars that have ``steps`` already pass as they
+    are. ``lengths`` are those of the supported signatures unless named; a bar of another length is an error.
+    """
+    known = sorted(set(lengths or [num * STEPS_PER_BEAT for num, _ in SUPPORTED_SIGNATURES]))
+    kind = "array<struct<to:int,w:double>>"
+    targets = F.when(F.col(BAR_STEPS) == steps, F.array(F.struct(F.col("step").cast("int").alias("to"), F.lit(1.0).alias("w"))))
+    for n in known:
+        if n != steps:
+            targets = targets.when(F.col(BAR_STEPS) == n, taps.scatter(F.col("step"), n, steps, method))
+    other = F.raise_error(F.concat(F.lit("no weights for bars of this many steps: "), F.col(BAR_STEPS).cast("string"))).cast(kind)
+    spread = cells.select(*BAR, "pitch", "velocity", F.explode(targets.otherwise(other)).alias("t"))
+    return (
+        spread.groupBy(*BAR, "pitch", F.col("t.to").alias("step"))
+        .agg(F.sum(F.col("velocity") * F.col("t.w")).alias("velocity"))
+        .filter("velocity > 0")
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from staffline.keys import BAR, STEPS
 from staffline.operators import ingest
-from staffline.plans import derived
+from staffline.plans import derived, job
 from staffline.plans.catalog import query
 from staffline.plans.derived import with_tables
 from staffline.sources import notes as note_sources
@@ -323,6 +323,57 @@ def resample_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SIGNED = """
+signed AS (SELECT s_suppkey AS song_id, CASE s_nationkey % 6 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 6 ELSE 4 END * 24 AS len FROM supplier WHERE s_nationkey % 6 <> 4),
+won AS (SELECT song_id, track_idx, step // len AS bar_index, pitch, step % len AS step, any_value(len) AS len, arg_max(velocity, note_ord*128 + velocity) AS velocity
+        FROM (SELECT n.song_id, track_idx, pitch, velocity, note_ord, len, unnest(range(onset_step, offset_step)) AS step FROM notes n JOIN signed USING (song_id)) GROUP BY 1, 2, 3, 4, 5),
+whole AS (SELECT n.song_id, track_idx, (max(offset_step) + 1) // any_value(len) AS n_bars FROM notes n JOIN signed USING (song_id) GROUP BY ALL),
+weights AS (SELECT len, i, j, sum(w) AS w FROM (
+              SELECT len, i, CAST(floor(c) AS INT) AS a, c - floor(c) AS f FROM (SELECT len, i, greatest((i + 0.5::DOUBLE) * len / 96 - 0.5::DOUBLE, 0) AS c FROM range(96) r(i), (SELECT DISTINCT len FROM signed))),
+            LATERAL (SELECT a AS j, 1 - f AS w UNION ALL SELECT least(len - 1, a + 1), f) t GROUP BY ALL),
+grid AS (SELECT song_id, track_idx, bar_index, pitch, i AS step, sum(velocity * w) AS velocity FROM won JOIN whole USING (song_id, track_idx) JOIN weights ON weights.len = won.len AND weights.j = won.step
+         WHERE bar_index < n_bars GROUP BY ALL HAVING sum(velocity * w) > 0)"""
+
+
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First supported signature of every song: mixed 4/4, 3/4, 2/4 and 6/8, some songs unsupported, some without any event."""
+    s = derived.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("song_id"), (F.col("s_nationkey") % 6).alias("k"))
+    kinds = {0: (4, 4), 1: (3, 4), 2: (2, 4), 3: (6, 8), 4: (5, 4)}  # 5: no event
+    pick = lambda i: F.coalesce(*[F.when(F.col("k") == k, v[i]) for k, v in kinds.items()])
+    first = s.where("k < 5").select("song_id", F.lit(2).alias("ord"), pick(0).alias("num"), pick(1).alias("den"))
+    skipped = s.where("k < 5").select("song_id", F.lit(1).alias("ord"), F.lit(7).alias("num"), F.lit(8).alias("den"))
+    return ingest.song_signatures(s.select("song_id"), first.unionByName(skipped))
+
+
+@query(
+    "bars_by_signature",
+    with_tables(f"""
+    WITH {_SIGNED}
+    SELECT song_id, track_idx, CAST(bar_index AS INT) AS bar_index, count(*) AS n_cells, round(sum(velocity), 3) AS mass, round(sum(velocity * step), 2) AS moment FROM grid GROUP BY 1, 2, 3"""),
+)
+def bars_by_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every song cut by its own bar length, all bars on one grid of 96 steps."""
+    notes = ingest.with_bar_steps(derived.notes(spark, sf_dir), signatures(spark, sf_dir))
+    grid = ingest.common_grid(ingest.segments_to_cells(ingest.notes_to_segments(notes)))
+    return grid.groupBy(*BAR).agg(
+        F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("velocity"), 3).alias("mass"), F.round(F.sum(F.col("velocity") * F.col("step")), 2).alias("moment")
+    )
+
+
+@query(
+    "valid_bars_by_signature",
+    with_tables(f"""
+    WITH {_SIGNED},
+    marked AS (SELECT *, coalesce(step - lag(step) OVER (PARTITION BY song_id, track_idx, bar_index, pitch ORDER BY step), 0) <> 1 AS is_onset FROM grid),
+    v AS (SELECT song_id, track_idx, bar_index, sum(CASE WHEN is_onset THEN 1 ELSE 0 END) AS n FROM marked GROUP BY 1, 2, 3)
+    SELECT song_id, track_idx, CAST(bar_index AS INT) AS bar_index, CAST(n AS INT) AS note_count FROM v WHERE n >= 3"""),
+)
+def valid_bars_by_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main path's ingest under signatures: bars with at least three notes."""
+    true = job.ingest(derived.notes(spark, sf_dir), min_notes=3, signatures=signatures(spark, sf_dir))
+    return ingest.bar_note_counts(true)
+
+
 @query(
     "notes_from_files",
     """SELECT 'lineitem.parquet' AS file, l_returnflag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines

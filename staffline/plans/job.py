@@ -9,14 +9,32 @@ from pyspark.sql import functions as F
 
 from staffline.keys import BAR, PITCHES, STEPS
 from staffline.operators import codec, detect, image_metrics, note_metrics, render
-from staffline.operators.ingest import keep_valid, notes_to_segments, segments_to_cells, track_name
+from staffline.operators.ingest import (
+    cells_to_segments,
+    common_grid,
+    keep_valid,
+    notes_to_segments,
+    segments_to_cells,
+    track_name,
+    with_bar_steps,
+)
 
 Detector = Callable[[DataFrame], DataFrame]
 
 
-def ingest(notes: DataFrame, steps: int = STEPS, n_bars: int | None = None, min_notes: int = 0) -> DataFrame:
-    """Segments of the bars that pass the note-count threshold."""
-    segments = notes_to_segments(notes, steps, n_bars)
+def ingest(
+    notes: DataFrame, steps: int = STEPS, n_bars: int | None = None, min_notes: int = 0, signatures: DataFrame | None = None
+) -> DataFrame:
+    """Segments of the bars that pass the note-count threshold, on a grid of ``steps``.
+
+    With ``signatures`` (song, num, den) each song is cut by its own bar length and stretched to the grid; songs without a supported
+    signature go. Velocities that the stretching makes fractional stay so.
+    """
+    if signatures is None:
+        segments = notes_to_segments(notes, steps, n_bars)
+    else:
+        own = notes_to_segments(with_bar_steps(notes, signatures), n_bars=n_bars)
+        segments = cells_to_segments(common_grid(segments_to_cells(own), steps))
     return keep_valid(segments, min_notes) if min_notes > 0 else segments
 
 
@@ -30,14 +48,15 @@ def reconstruct(cells: DataFrame, size: tuple[int, int] = (PITCHES, STEPS)) -> D
 
 
 def run(
-    notes: DataFrame, detector: Detector | None = None, n_bars: int | None = None, min_notes: int = 2, threshold: float = 0.05
+    notes: DataFrame, detector: Detector | None = None, n_bars: int | None = None, min_notes: int = 2, threshold: float = 0.05,
+    signatures: DataFrame | None = None,
 ) -> DataFrame:
     """Means of the main scores per instrument for one condition.
 
     Without a ``detector`` a global ``threshold`` is used, below the detector's own default because the pooling codec
     spreads a note's level over its neighbours.
     """
-    true = ingest(notes, STEPS, n_bars, min_notes)
+    true = ingest(notes, STEPS, n_bars, min_notes, signatures)
     cells = segments_to_cells(true)
     plane = reconstruct(cells)
     found = (detector or (lambda p: detect.global_threshold(p, threshold)))(plane)

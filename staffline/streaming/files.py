@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from staffline.keys import STEPS
 from staffline.operators.ingest import bar_pieces, merge_pieces, pieces_to_segments
-from staffline.operators.numbering import sequence_next
+from staffline.operators.numbering import durable, sequence_next
 
 FILES_PER_BATCH = 100
 RELAY_SCHEMA = "condition_label STRING, rank INT, metrics_summary MAP<STRING, STRING>, _corrupt_record STRING"
@@ -58,7 +58,7 @@ def pieces_sink(
 
 def landed_segments(spark: SparkSession, path: str, steps: int = STEPS) -> DataFrame:
     """Segments of everything landed so far, the same however notes were dealt to batches."""
-    return pieces_to_segments(merge_pieces(spark.read.parquet(path)), steps)
+    return pieces_to_segments(merge_pieces(spark.read.parquet(path)))
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
@@ -101,27 +101,46 @@ def relay(spark: SparkSession, folder: str, max_files: int = FILES_PER_BATCH) ->
     )
 
 
-def transition_sink(out: str, carry: str, late: str, key: str = "sequence_id") -> Callable[[DataFrame, int], None]:
-    """Sink of (sequence, bar_index, pc) batches: appends (sequence, pc, next_pc).
+def transition_sink(folder: str, key: str = "sequence_id") -> Callable[[DataFrame, int], None]:
+    """Sink of (sequence, bar_index, pc) batches that keeps transitions as signed deltas; :func:`transitions` adds them up.
 
-    The last bar of each sequence is carried to the next batch (one small row per
-    sequence), so transitions join up across batches. A bar that is not later than the carried one would
-    change transitions already written: such rows go to ``late`` and count nowhere. Successors are found block-wise, so one busy sequence does not
-    fill a task. Folders are named by batch: a repeated batch writes the same rows again.
+    A bar that comes after all earlier ones of its sequence adds one move. A late bar takes back the move it breaks (-1) and adds the two
+    that it makes, so whatever the order of arrival the sum is that of the whole sequence; bars of one place follow each
+    other by ``pc``. The last bar of each sequence is carried from batch to batch (a small row per sequence). Sequences
+    with late bars, and only these, are read again from the landed bars. Folders are named by batch and read up to the batch
+    before, so a repeated batch writes the same rows again.
     """
+    part = lambda name, batch_id: f"{folder}/{name}/batch={batch_id}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(key, "bar_index", "pc")
+        new = durable(batch.select(key, "bar_index", "pc"))
+        new.write.mode("overwrite").parquet(part("bars", batch_id))
+        before = new.limit(0)
         if batch_id > 0:
-            carried = spark.read.parquet(f"{carry}/batch={batch_id - 1}")
-            seen = rows.join(carried.select(key, F.col("bar_index").alias("_seen")), key, "left")
-            behind = F.col("bar_index") <= F.col("_seen")
-            seen.where(behind).drop("_seen").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
-            rows = seen.where(~F.coalesce(behind, F.lit(False))).drop("_seen").unionByName(carried)
-        moves = sequence_next(rows, [key], "bar_index", ["pc"]).filter(F.col("next_pc").isNotNull())
-        moves.select(key, "pc", "next_pc").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        last = rows.groupBy(key).agg(F.max("bar_index").alias("bar_index"), F.max_by("pc", "bar_index").alias("pc"))
-        last.write.mode("overwrite").parquet(f"{carry}/batch={batch_id}")
+            last = spark.read.parquet(part("last", batch_id - 1))
+            first = new.groupBy(key).agg(F.min("bar_index").alias("_first"))
+            late = durable(first.join(last, key).where(F.col("_first") <= F.col("bar_index")).select(key))
+            landed = spark.read.parquet(f"{folder}/bars").where(F.col("batch") < batch_id).select(key, "bar_index", "pc")
+            before = last.join(late, key, "left_anti").unionByName(landed.join(late, key, "left_semi"))
+        old = sequence_next(before, [key], "bar_index", ["pc"], ties=["pc"], prefix="old_").withColumn("new", F.lit(False))
+        fresh = new.withColumn("old_pc", F.lit(None).cast(dict(new.dtypes)["pc"])).withColumn("new", F.lit(True))
+        # Of bars of one place and class the old come first, so that a new one changes no more than it must.
+        both = sequence_next(old.unionByName(fresh), [key], "bar_index", ["pc", "new"], ties=["pc", "new"])
+        touched = both.where(F.col("new") | F.col("next_new"))
+        made = touched.where(F.col("next_pc").isNotNull()).select(key, "pc", "next_pc", F.lit(1).alias("delta"))
+        broken = touched.where(~F.col("new") & F.col("old_pc").isNotNull()).select(key, "pc", F.col("old_pc").alias("next_pc"), F.lit(-1).alias("delta"))
+        sums = made.unionByName(broken).groupBy(key, "pc", "next_pc").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+        sums.write.mode("overwrite").parquet(part("deltas", batch_id))
+        ends = new if batch_id == 0 else new.unionByName(last)
+        ends.groupBy(key).agg(F.max_by("pc", F.struct("bar_index", "pc")).alias("pc"), F.max("bar_index").alias("bar_index")).write.mode(
+            "overwrite"
+        ).parquet(part("last", batch_id))
 
     return write
+
+
+def transitions(spark: SparkSession, folder: str, key: str = "sequence_id") -> DataFrame:
+    """(sequence, pc, next_pc, n): the moves of everything landed so far by :func:`transition_sink`."""
+    sums = spark.read.parquet(f"{folder}/deltas").groupBy(key, "pc", "next_pc").agg(F.sum("delta").alias("n"))
+    return sums.where("n <> 0")

@@ -1,6 +1,7 @@
 import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from staffline.plans import experiment as X
@@ -79,22 +80,30 @@ def test_streamed_means_equal_batch(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and got.count() == 3
 
 
-def test_transitions_join_up_across_batches(spark, tmp_path):
-    src, out, state = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "state")
+@pytest.mark.parametrize("seed", [0, 1])
+def test_transitions_of_late_bars_equal_the_batch(spark, tmp_path, seed):
+    """Bars of three sequences in files out of order, with places that repeat; a batch that is written twice changes nothing."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(seed)
     schema = "sequence_id STRING, bar_index INT, pc INT"
-    rows = [("a", i, (i * 5) % 12) for i in range(9)] + [("b", 0, 1), ("b", 1, 1)]
-    run = lambda: T.run_available(
-        T.read_files(spark, str(src), schema), T.transition_sink(out, str(tmp_path / "carry"), str(tmp_path / "late")), state
-    )
-    spark.createDataFrame([r for r in rows if r[1] < 4], schema).coalesce(1).write.parquet(str(src))
-    run()
-    more = [r for r in rows if r[1] >= 4] + [("a", 2, 11), ("c", 0, 3)]
-    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(str(src))
-    run()
-    assert [tuple(r)[:3] for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [("a", 2, 11)]
-    got = sorted((r["sequence_id"], r["pc"], r["next_pc"]) for r in spark.read.parquet(out).collect())
-    pcs = [(i * 5) % 12 for i in range(9)]
-    assert got == sorted([("a", x, y) for x, y in zip(pcs, pcs[1:])] + [("b", 1, 1)])
+    rows = [(s, rng.randrange(40), rng.randrange(4)) for s in "aaab" for _ in range(15)] + [("c", 0, 3)]
+    parts = [[r for r in rows if rng.random() < 0.4] for _ in range(3)] + [[("d", 1, 2)]]
+    parts[0] += [(s, i, i % 3) for i in range(10) for s in "ae"]
+    src, folder = str(tmp_path / "src"), str(tmp_path / "moves")
+    sink = T.transition_sink(folder)
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        T.run_available(T.read_files(spark, src, schema), sink, str(tmp_path / "state"))
+        if i == 2:
+            sink(spark.createDataFrame(part, schema), i)
+    want = Counter()
+    seen = sorted(r for part in parts for r in part)
+    for (s, _, x), (t, _, y) in zip(seen, seen[1:]):
+        if s == t:
+            want[s, x, y] += 1
+    assert {tuple(r)[:3]: r["n"] for r in T.transitions(spark, folder).collect()} == dict(want)
 
 
 def test_ingest_in_many_batches_equals_one(spark, tmp_path):
