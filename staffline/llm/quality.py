@@ -5,16 +5,16 @@ target (documents labelled good) give two smoothed multinomials. A document's sc
 the log ratio of target to raw probability. Every document is kept or rejected by one threshold, found on all labelled
 documents. Plain rules on length and repetition come first.
 
-Everything is built-in functions, in three passes over the texts. The first joins them with the labels, which shuffles the texts
-where there are too many labels to share; counts leave a task as one row per bin, scores of labelled documents as one row per
-rounded score, and ratios and threshold return as constants of bounded size.
+Everything is built-in functions. One pass counts the bins of all texts, one those of texts that may be good by a bitmap of ids and
+are after an exact join, one measures and scores; the threshold then comes from scores, not texts. Counts leave a task as one row per bin,
+scores of labelled documents as one row per rounded score, and ratios and threshold return as constants of bounded size.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ from staffline.llm.common import durable, fresh
 from staffline.llm.text import BLANKS, blank_words, without
 
 BINS = 1 << 14
+#: Bits of the map of good ids.
+FILTER_BITS = 1 << 20
 SMOOTHING = 1.0
 #: Decimals of the scores that are counted for the threshold.
 DECIMALS = 4
@@ -124,30 +126,67 @@ def _known(labels: DataFrame, id_col: str, label: str) -> DataFrame:
     return each.where((F.col("least") == F.col("most")) & F.col("least").isin(0, 1)).select(F.col(id_col).alias("known"), F.col("least").cast("long").alias("good"))
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", bins: int = BINS,
-) -> Model:
-    """Raw counts over all documents, target counts over all good ones, a threshold from all labelled ones.
+def _bitmap(ids: DataFrame) -> Callable[[Column], Column]:
+    """Whether an id may be among ``ids``: one bit of ``FILTER_BITS`` per hash, whatever the number of ids."""
+    at = F.pmod(F.xxhash64("known"), F.lit(FILTER_BITS))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 32 AS INT))")).alias("bits"))
+    bits = [0] * (FILTER_BITS // 32)
+    for r in words.collect():
+        bits[r["w"]] = r["bits"]
+    table = F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
 
-    The threshold separates the labels best (share of good kept plus share of bad rejected); of thresholds within ``SLACK`` of
-    the best it is the lowest, so that in doubt documents stay. Without labels of both kinds every score passes.
+    def may_hold(ident: Column) -> Column:
+        h = F.pmod(F.xxhash64(ident), F.lit(FILTER_BITS))
+        word = F.get(table, F.shiftright(h, 5).cast("int"))
+        return F.call_function("shiftright", word, (h % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return may_hold
+
+
+def _bin_counts(rows: DataFrame, bins: int, name: str) -> DataFrame:
+    each = with_words(rows, "body", "w", "h").select(F.explode(_bins(F.col("h"), bins)).alias("bin")).where("bin IS NOT NULL")
+    return durable(each.groupBy("bin").agg(F.count(F.lit(1)).alias(name)), name)
+
+
+def fit_ratios(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS) -> Model:
+    """Raw counts over all documents, target counts over all that are ``known`` to be good; no threshold yet.
+
+    Texts that may be good by a bitmap of ids are shuffled to the good ids; the others stay where they are. That is the plan
+    at every size.
     """
-    known = durable(_known(labels, id_col, label), "known")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    marked = rows.join(known.where("good = 1"), F.col("id") == F.col("known"), "left")
-    spread = with_words(marked, "body", "w", "h").select(F.col("known").isNotNull().cast("long").alias("target"), F.explode(_bins(F.col("h"), bins)).alias("bin")).where("bin IS NOT NULL")
-    counts = durable(spread.groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target")), "bins")
+    good = known.where("good = 1").select("known")
+    likely = rows.where(F.col("id").isNotNull() & _bitmap(good)(F.col("id")))
+    target = likely.join(good.hint("shuffle_hash"), F.col("id") == F.col("known"), "left_semi")
+    counts = _bin_counts(rows, bins, "raw").join(_bin_counts(target, bins, "target"), "bin", "full")
     all_raw, all_target = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
     whole = docs.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left")
     part = lambda c, n: F.log((F.coalesce(c, F.lit(0)) + SMOOTHING) / F.lit(n + SMOOTHING * bins))
     each = whole.select("bin", (part("target", all_target) - part("raw", all_raw) if all_target else F.lit(0.0)).alias("ratio"))
-    ratios = tuple(r["ratio"] for r in each.orderBy("bin").collect())
-    model = Model(ratios, float("-inf"))
-    # Scores, not texts, meet the labels; a generated row is computed once.
-    once = F.explode(F.array(F.struct(F.size("h").alias("n"), F.round(model.score(F.col("h")), DECIMALS).alias("score")))).alias("x")
-    scored = with_words(rows, "body", "w", "h").select("id", once).where(F.col("x.n") >= LEAST_WORDS).select("id", "x.score")
-    judged = scored.join(known, F.col("id") == F.col("known"))
-    return Model(ratios, _best_threshold(judged.groupBy("score", "good").count().collect()))
+    return Model(tuple(r["ratio"] for r in each.orderBy("bin").collect()), float("-inf"))
+
+
+def fit_threshold(scored: DataFrame, known: DataFrame) -> float:
+    """The threshold from (id, n_words, score) of all documents: scores, not texts, meet the labels.
+
+    It separates the labels best (share of good kept plus share of bad rejected); of thresholds within ``SLACK`` of
+    the best it is the lowest, so that in doubt documents stay. Without labels of both kinds every score passes.
+    """
+    rows = scored.where(F.col("n_words") >= LEAST_WORDS).select("id", F.round("score", DECIMALS).alias("score"))
+    judged = rows.join(known.hint("shuffle_hash"), F.col("id") == F.col("known"))
+    return _best_threshold(judged.groupBy("score", "good").count().collect())
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", bins: int = BINS,
+) -> Model:
+    """Ratios and threshold; ``judge_all`` gives verdicts along with them for one reading less."""
+    known = durable(_known(labels, id_col, label), "known")
+    model = fit_ratios(docs, known, id_col, text_col, bins)
+    words = with_words(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "body", "w", "h")
+    # A generated row is computed once.
+    once = F.explode(F.array(F.struct(F.size("h").alias("n_words"), model.score(F.col("h")).alias("score")))).alias("x")
+    return replace(model, threshold=fit_threshold(words.select("id", once).select("id", "x.*"), known))
 
 
 def _best_threshold(judged: list) -> float:
@@ -166,25 +205,51 @@ def _best_threshold(judged: list) -> float:
 
 # -- decisions -------------------------------------------------------------------------------------
 
+def measure(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """``docs`` with (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score), and those names."""
+    out, names, hashes = base_columns(docs, text_col)
+    score, measured = fresh(out, "score", "measured")
+    out = out.withColumn(score, model.score(F.col(hashes)))
+    # A generated row is computed once: filters on it are not pushed into the expressions it is made of.
+    once = F.explode(F.array(F.struct(*names, score))).alias(measured)
+    out = out.select(*docs.columns, once).select(*docs.columns, *[F.col(f"{measured}.{c}").alias(c) for c in (*names, score)])
+    return out, [*names, score]
+
+
+def _verdicts(measured: DataFrame, names: list[str], threshold: float) -> tuple[DataFrame, list[str]]:
+    failed, kept = fresh(measured, "base_failed", "kept")
+    n_words, repeats, score = F.col(names[0]), F.col(names[4]), F.col(names[5])
+    out = measured.withColumn(failed, (n_words < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * n_words))
+    return out.withColumn(kept, ~F.col(failed) & (F.round(score, 6) >= F.lit(threshold))), [*names, failed, kept]
+
+
 def judge(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """``docs`` with (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept), and those names.
 
     A name that ``docs`` has already gets a trailing underscore. Null and empty texts have no words and fail the
     base rules. Repeated rows are judged alike. An empty table gives an empty one.
     """
-    out, names, hashes = base_columns(docs, text_col)
-    score, failed, kept, measured = fresh(out, "score", "base_failed", "kept", "measured")
-    out = out.withColumn(score, model.score(F.col(hashes)))
-    # A generated row is computed once: filters on it are not pushed into the expressions it is made of.
-    once = F.explode(F.array(F.struct(*names, score))).alias(measured)
-    out = out.select(*docs.columns, once).select(*docs.columns, *[F.col(f"{measured}.{c}").alias(c) for c in (*names, score)])
-    n_words, repeats = F.col(names[0]), F.col(names[4])
-    out = out.withColumn(failed, (n_words < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * n_words))
-    out = out.withColumn(kept, ~F.col(failed) & (F.round(F.col(score), 6) >= F.lit(model.threshold))).drop(hashes)
-    return out, [*names, score, failed, kept]
+    return _verdicts(*measure(docs, model, text_col), model.threshold)
+
+
+def judge_all(
+    docs: DataFrame, labels: DataFrame, keep: Sequence[str], id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, list[str]]:
+    """Columns ``keep`` of every document with its verdict by a model of these very documents, and the names as in ``judge``.
+
+    Each text is measured and scored once and the outcome written down; the threshold is taken from what was
+    written, and a verdict is a comparison.
+    """
+    known = durable(_known(labels, id_col, "quality"), "known")
+    model = fit_ratios(docs, known, id_col, text_col)
+    measured, names = measure(docs, model, text_col)
+    measured = durable(measured.select(*dict.fromkeys([*keep, id_col]), *names), "measured")
+    scored = measured.select(F.col(id_col).alias("id"), F.col(names[0]).alias("n_words"), F.col(names[5]).alias("score"))
+    out, names = _verdicts(measured, names, fit_threshold(scored, known))
+    return out.select(*keep, *names), names
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``; edge cases as in ``judge``."""
-    judged, names = judge(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col)
+    judged, names = judge_all(docs, labels, docs.columns, id_col, text_col)
     return judged.where(F.col(names[-1])).select(*docs.columns)

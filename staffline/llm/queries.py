@@ -39,8 +39,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged, names = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return judged.select("doc_id", *names)
+    return quality.judge_all(docs, table(spark, sf_dir, "labels"), ["doc_id"])[0]
 
 
 @query

@@ -75,6 +75,39 @@ def test_score_is_the_mean_log_ratio_and_the_threshold_separates(spark):
         assert r.score == pytest.approx(sum(ratios[b] for b in found) / len(found))
         assert r.kept == (r.doc_id < 100)
     assert quality.drop_rejected(docs, marks).columns == docs.columns
+
+
+@pytest.mark.parametrize("limit", ["-1", "100000000"])
+def test_model_and_verdicts_do_not_depend_on_broadcasts(spark, limit):
+    """One plan at every size: joins with labels give the same numbers whatever Spark would broadcast."""
+    docs = odd_documents(spark, [(100 + i, " ".join(f"{'good' if i % 3 else 'bad'}{(i * k) % 71}" for k in range(60))) for i in range(40)])
+    marks = labels(spark, [(100 + i, int(i % 3 > 0), 0) for i in range(0, 40, 2)] + [(1, 0, 0), (1, 1, 0), (None, 1, 0)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        model = quality.fit(docs, marks)
+        want, names = quality.judge(docs, model)
+        got, same = quality.judge_all(docs, marks, ["doc_id"])
+        assert rows(got, "doc_id", *same) == rows(want, "doc_id", *names)
+        assert rows(quality.drop_rejected(docs, marks), "doc_id", "text") == rows(want.where(names[-1]), "doc_id", "text")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert round(sum(model.ratios), 6) == round(sum(_plain_ratios(docs, {100 + i for i in range(0, 40, 2) if i % 3})), 6)
+
+
+def _plain_ratios(docs, good):
+    import xxhash
+
+    raw, target = Counter(), Counter()
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    for r in docs.collect():
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(r.text or "")]
+        pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(hashes, hashes[1:])]
+        found = Counter(signed(h) % quality.BINS for h in hashes + pairs)
+        raw += found
+        target += found if r.doc_id in good else Counter()
+    part = lambda c, b: math.log((c[b] + 1) / (c.total() + quality.BINS))
+    return [part(target, b) - part(raw, b) for b in range(quality.BINS)]
     assert quality.fit(docs, empty(marks)).threshold == float("-inf")
 
 

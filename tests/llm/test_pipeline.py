@@ -4,11 +4,12 @@ import hashlib
 import os
 
 import pytest
+from corpus_helpers import empty, odd_documents
 from test_filters import plain_contamination
-from test_simhash import plain_components
+from test_simhash import plain_components, plain_jaccard
 
 import corpus_pipeline
-from staffline.llm import quality, simhash, toxicity
+from staffline.llm import quality, toxicity
 from staffline.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -23,10 +24,7 @@ def test_stages_keep_what_they_should(spark):
     judged, names = quality.judge(spark.createDataFrame(left, docs.schema), quality.fit(spark.createDataFrame(left, docs.schema), labels))
     good = {r.doc_id for r in judged.where(names[-1]).collect()}
     left = [r for r in left if r.doc_id in good]
-    prints = {r.doc_id: simhash.fingerprint(r.text or "", 5, True) for r in left}
-    ones = lambda x: x.bit_count()
-    near = lambda p, q: ones(p[0] ^ q[0]) <= 10 and ones(p[0] ^ q[0]) + ones(p[1] ^ q[1]) <= 21
-    groups = plain_components(prints, near)
+    groups = plain_components({r.doc_id: r.text or "" for r in left}, lambda a, b: plain_jaccard(a, b) >= 0.8)
     left = [r for r in left if groups[r.doc_id] == r.doc_id]
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     dirty = {p[0] for p in plain_contamination([(r.doc_id, r.text) for r in left], items) if p[-1]}
@@ -41,3 +39,13 @@ def test_all_stages_but_the_last_keep_the_columns(spark):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
+
+
+def test_stages_on_odd_rows_and_on_an_empty_table(spark):
+    """Null and repeated ids, null, empty and long texts and clashing columns go through every stage; nothing comes of nothing."""
+    odd = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        found = out.collect()
+        assert len(found) <= odd.count() and (name == "byte_bpe" or out.columns == odd.columns), name
+        assert stage(spark, empty(odd), SF).collect() == [], name
