@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 _MODULES = (
-    "ingest", "selection", "render", "notes", "images", "detection", "vectors", "sequences", "experiments", "whole", "sweeps",
+    "ingest", "selection", "render", "notes", "images", "detection", "vectors", "sequences", "experiments", "whole", "sweeps", "stores",
 )
 
 

@@ -73,34 +73,53 @@ def running_means(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
     return metrics.groupBy(*by).agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 
-def relay(spark: SparkSession, folder: str, max_files: int = FILES_PER_BATCH) -> DataFrame:
-    """Stream of ``cond_*.json`` result files, flattened to (key, value, rank).
+def relay(
+    spark: SparkSession, folder: str, max_files: int = FILES_PER_BATCH, pattern: str = "cond_*.json", once: bool = False
+) -> DataFrame:
+    """Stream of result files, flattened to (key, value, rank), with ``path`` and ``bad``.
 
     Keys are ``condition/codec/metric``, or ``condition/name`` for a plain number. A file
-    that cannot be parsed gives one row with the error text in ``bad`` and is not retried.
+    that cannot be parsed gives one row with the error text in ``bad`` and is not retried. With ``once`` a result that
+    arrives again, in whatever file, is passed on once: its digest is kept as streaming state, a row per result.
     """
     raw = (
         spark.readStream.schema(RELAY_SCHEMA).option("multiLine", "true").option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "cond_*.json").option("maxFilesPerTrigger", max_files).json(folder)
-    )
+        .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).json(folder)
+    ).withColumn("path", F.col("_metadata.file_path"))
+    if once:
+        entries = F.to_json(F.array_sort(F.map_entries("metrics_summary")))
+        digest = F.sha2(F.to_json(F.struct("condition_label", "rank", entries.alias("m"), F.col("_corrupt_record").alias("b"))), 256)
+        raw = raw.withColumn("_digest", digest).dropDuplicates(["_digest"]).drop("_digest")
     label = F.coalesce("condition_label", F.lit("unknown"))
     rank = F.coalesce("rank", F.lit(-1))
     bad = F.col("_corrupt_record").isNotNull()
     groups = raw.select(
-        label.alias("label"), rank.alias("rank"), F.col("_corrupt_record").alias("bad"),
+        label.alias("label"), rank.alias("rank"), F.col("_corrupt_record").alias("bad"), "path",
         F.explode(F.when(bad, F.create_map(F.lit(""), F.lit(""))).otherwise(F.col("metrics_summary"))).alias("name", "body"),
     )
     nested = F.from_json("body", "MAP<STRING, DOUBLE>")
     entries = F.when(F.col("body").startswith("{"), nested).otherwise(
         F.create_map(F.lit(""), F.expr("try_cast(body AS DOUBLE)"))
     )
-    flat = groups.select("label", "rank", "bad", "name", F.explode(entries).alias("metric", "value"))
+    flat = groups.select("label", "rank", "bad", "path", "name", F.explode(entries).alias("metric", "value"))
     parts = F.filter(F.array("label", "name", "metric"), lambda p: p != "")
     return flat.select(
-        F.when(F.col("bad").isNull(), F.array_join(parts, "/")).alias("key"), "value", "rank", "bad"
+        F.when(F.col("bad").isNull(), F.array_join(parts, "/")).alias("key"), "value", "rank", "bad", "path"
     )
 
 
+def ledger_sink(out: str, ledger: str) -> Callable[[DataFrame, int], None]:
+    """Sink of :func:`relay`: good rows to ``out``, a row per unreadable file to ``ledger``; repeated batches replace themselves."""
+    results, faults = batch_folder_sink(out), batch_folder_sink(ledger)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = durable(batch)
+        results(rows.where("bad IS NULL").select("key", "value", "rank"), batch_id)
+        faults(rows.where("bad IS NOT NULL").select("path", F.substring("bad", 1, 200).alias("text")).distinct(), batch_id)
+
+    return write
+
+
 def transition_sink(folder: str, key: str = "sequence_id") -> Callable[[DataFrame, int], None]:
     """Sink of (sequence, bar_index, pc) batches that keeps transitions as signed deltas; :func:`transitions` adds them up.
 
