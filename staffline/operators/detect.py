@@ -100,7 +100,9 @@ def global_threshold(plane: DataFrame, threshold: float = DEFAULT_THRESHOLD, min
     )
 
 
-def _bar_count(n_bars: int | None, bars: DataFrame) -> int:
+def _bar_count(n_bars: int | None, bars: DataFrame | None) -> int:
+    if n_bars is None and bars is None:
+        raise ValueError("a plane has no rows for silent bars: give n_bars or bars")
     return n_bars if n_bars is not None else bars.select(*BAR).distinct().count()
 
 
@@ -111,11 +113,11 @@ def fit_adaptive(
     """Per-row threshold clip(mean + k * population std, 0, 1) over all pixels, zeros included.
 
     A plane has no rows for silent bars, so their number comes from ``n_bars`` or from ``bars``, the table of
-    reconstructed bars; without either, bars without a pixel are not counted.
+    reconstructed bars; one of the two is needed.
 
     One aggregate with a row per image row comes back to the driver.
     """
-    count = _bar_count(n_bars, plane if bars is None else bars)
+    count = _bar_count(n_bars, bars)
     stats = {
         r["row"]: (r["s"], r["ss"])
         for r in plane.groupBy("row").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")).collect()
@@ -276,10 +278,11 @@ def fit_mixture(
 
     Each iteration is one aggregate by row over the distinct (row, value) counts, zeros
     included; parameters (height * components numbers) are literals of the next one.
-    A few hard-assignment steps from equally spaced means come first. Rows with fewer
-    than 2 * components values are left unfitted.
+    A few hard-assignment steps from equally spaced means come first. A row stops by itself, when its mean log
+    likelihood gains less than ``tol``, and no row depends on another. Rows with fewer
+    than 2 * components values are left unfitted. One of ``n_bars`` and ``bars`` is needed, as in :func:`fit_adaptive`.
     """
-    count = _bar_count(n_bars, plane if bars is None else bars)
+    count = _bar_count(n_bars, bars)
     counts = plane.groupBy("row", "value").agg(F.count(F.lit(1)).cast("double").alias("n")).persist()
     try:
         filled = {r["row"]: r for r in counts.groupBy("row").agg(
@@ -297,8 +300,10 @@ def fit_mixture(
         def densities(w, m, v, x):
             return w / np.sqrt(2 * np.pi * v) * np.exp(-0.5 * (x - m) ** 2 / v)
 
-        previous, done = None, 0
+        previous, done = {}, 0
         for it in range(max_iter + hard_steps):
+            if not active:
+                break
             hard = it < hard_steps
             table = [params.get(r, (np.zeros(n_components),) * 3) for r in range(height)]
             lit = lambda k, c: F.get(F.array(*[F.lit(float(t[k][c])) for t in table]), F.col("row"))
@@ -326,9 +331,8 @@ def fit_mixture(
             for c, p in enumerate(resp):
                 g = F.col("n") * p / total
                 parts += [F.sum(g).alias(f"g{c}"), F.sum(g * x).alias(f"s{c}"), F.sum(g * x * x).alias(f"q{c}")]
-            sums = {r["row"]: r for r in counts.groupBy("row").agg(*parts).collect()}
-            likelihood = 0.0
-            for r in active:
+            sums = {r["row"]: r for r in counts.where(F.col("row").isin(active)).groupBy("row").agg(*parts).collect()}
+            for r in list(active):
                 w, m, v = params[r]
                 row = sums[r]
                 if hard:
@@ -338,7 +342,10 @@ def fit_mixture(
                     d = densities(w, m, v, 0.0)
                     t = max(d.sum(), 1e-300)
                     z = zeros[r] * d / t
-                    likelihood += row["ll"] + zeros[r] * math.log(t)
+                    likelihood = (row["ll"] + zeros[r] * math.log(t)) / max(1.0, count * steps)
+                    if abs(likelihood - previous.get(r, math.inf)) < tol:
+                        active.remove(r)
+                    previous[r] = likelihood
                 g = np.array([row[f"g{c}"] for c in range(n_components)]) + z
                 s = np.array([row[f"s{c}"] for c in range(n_components)])
                 q = np.array([row[f"q{c}"] for c in range(n_components)])
@@ -348,11 +355,6 @@ def fit_mixture(
                 variances = np.where(keep, np.maximum(q / safe - means**2, 0.0) + floor, v)
                 params[r] = (g / g.sum(), means, variances)
             done = it + 1
-            if not hard:
-                likelihood /= max(1.0, count * steps * max(len(active), 1))
-                if previous is not None and abs(likelihood - previous) < tol:
-                    break
-                previous = likelihood
     finally:
         counts.unpersist()
     for r in fitted:

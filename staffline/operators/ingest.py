@@ -90,15 +90,15 @@ def keep_instruments(notes: DataFrame, instruments: Sequence[str]) -> DataFrame:
 def song_signatures(songs: DataFrame, events: DataFrame, key: str = "song_id") -> DataFrame:
     """(song, num, den): first supported signature event; 4/4 without events; else dropped.
 
-    ``events`` has (song, ord, num, den). The aggregate keeps one struct per song,
+    ``events`` has (song, ord, num, den); an event without numbers is none. The aggregate keeps one struct per song,
     so any number of events per song combines before the shuffle.
     """
     supported = F.lit(False)
     for num, den in SUPPORTED_SIGNATURES:
         supported = supported | ((F.col("num") == num) & (F.col("den") == den))
     code = F.col("ord").cast("bigint") * 4096 + F.col("num") * 64 + F.col("den")
-    first = events.groupBy(key).agg(F.min(F.when(supported, code)).alias("_c"), F.lit(True).alias("_any"))
-    out = songs.select(key).join(first, key, "left").filter(F.col("_any").isNull() | F.col("_c").isNotNull())
+    first = events.groupBy(key).agg(F.min(F.when(supported, code)).alias("_c"), F.bool_or(F.col("num").isNotNull() & F.col("den").isNotNull()).alias("_any"))
+    out = songs.select(key).join(first, key, "left").filter(~F.coalesce("_any", F.lit(False)) | F.col("_c").isNotNull())
     return out.select(
         key,
         F.coalesce((F.floor(F.col("_c") / 64) % 64).cast("int"), F.lit(4)).alias("num"),
@@ -109,10 +109,10 @@ def song_signatures(songs: DataFrame, events: DataFrame, key: str = "song_id") -
 def song_tempo(songs: DataFrame, events: DataFrame, key: str = "song_id") -> DataFrame:
     """(song, tempo): first tempo event, 120 without one. ``events`` has (song, tick, qpm) and perhaps ``ord``.
 
-    Events of one tick are taken in their order ``ord``, or by tempo where there is none.
+    Events without a tempo are none. Events of one tick are taken in their order ``ord``, or by tempo where there is none.
     """
     order = F.struct("tick", "ord" if "ord" in events.columns else "qpm")
-    first = events.groupBy(key).agg(F.min_by("qpm", order).alias("_q"))
+    first = events.groupBy(key).agg(F.min_by("qpm", F.when(F.col("qpm").isNotNull(), order)).alias("_q"))
     return songs.select(key).join(first, key, "left").select(
         key, F.coalesce(F.col("_q").cast("double"), F.lit(DEFAULT_TEMPO)).alias("tempo")
     )

@@ -71,7 +71,7 @@ def detect_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detect_per_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on all bars, then detect; rows that never sound get a zero threshold and pass it."""
     plane = derived.recon_plane(spark, sf_dir)
-    return digest(detect.by_row_threshold(plane, detect.fit_adaptive(plane)))
+    return digest(detect.by_row_threshold(plane, detect.fit_adaptive(plane, bars=plane)))
 
 
 _ONSET_PLANE = """ro AS (SELECT *, coalesce(step - lag(step) OVER (PARTITION BY song_id, track_idx, bar_index, "row" ORDER BY step), 0) <> 1 AS is_onset
@@ -119,7 +119,7 @@ def detect_morphological_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detect_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EM over every row of all bars; no SQL twin for the iteration."""
     plane = derived.recon_plane(spark, sf_dir)
-    thresholds = detect.fit_mixture(plane).thresholds()
+    thresholds = detect.fit_mixture(plane, bars=plane).thresholds()
     return digest(detect.by_row_threshold(plane, thresholds))
 
 
@@ -176,13 +176,13 @@ def hmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fit_with_silent_bars",
     with_tables("""WITH nb AS (SELECT count(DISTINCT (song_id, track_idx, bar_index)) * 96 AS n FROM recon_plane),
-    loud AS (SELECT * FROM recon_plane WHERE (song_id + bar_index) % 2 = 0)
+    loud AS (SELECT "row", CASE WHEN (song_id + bar_index) % 2 = 0 THEN value ELSE 0 END AS value FROM recon_plane)
     SELECT CAST(r AS INT) AS "row", round(greatest(0, least(1, coalesce(s, 0) / n + sqrt(greatest(0, coalesce(q, 0) / n - (coalesce(s, 0) / n) * (coalesce(s, 0) / n))))) + 1e-10, 6) + 0.0 AS threshold
     FROM range(128) g(r) CROSS JOIN nb LEFT JOIN (SELECT "row", sum(value) AS s, sum(value*value) AS q FROM loud GROUP BY 1) z ON z."row" = r"""),
 )
 def fit_with_silent_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second bar is silent: thresholds count its pixels although the plane has no rows for it."""
+    """Every second bar is silent: its pixels count as zeros."""
     plane = derived.recon_plane(spark, sf_dir)
-    found = detect.fit_adaptive(plane.filter("(song_id + bar_index) % 2 = 0"), bars=plane.select(*BAR))
+    found = detect.fit_adaptive(plane.withColumn("value", F.expr("CASE WHEN (song_id + bar_index) % 2 = 0 THEN value ELSE 0 END")), bars=plane.select(*BAR))
     rows = F.posexplode(F.array(*[F.lit(float(t)) for t in found])).alias("row", "threshold")
     return rounded(spark.range(1).select(rows))

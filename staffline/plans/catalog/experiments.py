@@ -239,7 +239,7 @@ def _rank_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank summaries built from the scores: one row per order-key class, as if read from its file."""
     s = scores(spark, sf_dir)
     ranked = s.withColumn("rank", (F.col("bar") % 5).cast("int")).withColumn("condition", F.col("codec"))
-    kept = X.summarise(ranked, ["rank", "condition"]).filter((F.col("rank") + F.substring("condition", 6, 1).cast("int")) % 3 != 0)
+    kept = X.summarise(ranked, ["rank", "condition"])
     per_condition = kept.groupBy("rank", "condition").agg(
         F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"), F.sum("n").alias("n")
     )
@@ -253,7 +253,7 @@ def _rank_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RANKS = f"""{_SCORES}, means AS (SELECT CAST(bar % 5 AS INT) AS rank, codec AS condition, metric, avg(value) AS value, count(*) AS n FROM scores GROUP BY ALL),
-  kept AS (SELECT * FROM means WHERE (rank + CAST(substr(condition, 6, 1) AS INT)) % 3 <> 0)"""
+  kept AS (SELECT * FROM means)"""
 
 
 @query(
@@ -279,7 +279,7 @@ def merged_rank_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "benchmark_diff",
     """WITH t AS (SELECT CASE l_linenumber % 5 WHEN 0 THEN 'ingest' WHEN 1 THEN 'render' WHEN 2 THEN 'detect' WHEN 3 THEN 'evaluate' ELSE 'encode' END AS stage,
-                 l_returnflag AS run, l_quantity AS seconds, l_extendedprice AS items FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber % 5 = 4)),
+                 l_returnflag AS run, CASE WHEN l_returnflag = 'A' AND l_linenumber % 5 = 4 THEN NULL ELSE l_quantity END AS seconds, l_extendedprice AS items FROM lineitem),
     r AS (SELECT stage, run, avg(seconds) AS mean_s, coalesce(stddev_samp(seconds), 0) AS std_s, avg(items) / avg(seconds) AS per_sec FROM t GROUP BY 1, 2),
     j AS (SELECT coalesce(b.stage, o.stage) AS stage, b.mean_s AS base_s, b.per_sec AS base_per_sec, o.mean_s AS opt_s, o.per_sec AS opt_per_sec, b.mean_s / o.mean_s AS speedup
           FROM (SELECT * FROM r WHERE run = 'A') b FULL JOIN (SELECT * FROM r WHERE run = 'R') o ON b.stage = o.stage)
@@ -289,9 +289,9 @@ def merged_rank_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
            coalesce(speedup = max(speedup) OVER (), false) AS is_best FROM j""",
 )
 def benchmark_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = derived.table(spark, sf_dir, "lineitem").filter("NOT (l_returnflag = 'A' AND l_linenumber % 5 = 4)").selectExpr(
+    t = derived.table(spark, sf_dir, "lineitem").selectExpr(
         "CASE l_linenumber % 5 WHEN 0 THEN 'ingest' WHEN 1 THEN 'render' WHEN 2 THEN 'detect' WHEN 3 THEN 'evaluate' ELSE 'encode' END AS stage",
-        "l_returnflag AS run", "l_quantity AS seconds", "l_extendedprice AS items",
+        "l_returnflag AS run", "CASE WHEN l_returnflag = 'A' AND l_linenumber % 5 = 4 THEN NULL ELSE l_quantity END AS seconds", "l_extendedprice AS items",
     )
     r = X.repeats(t, ["stage", "run"])
     return rounded(X.compare_benchmarks(r.filter("run = 'A'"), r.filter("run = 'R'")))
@@ -320,7 +320,7 @@ def job_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("whole_experiment")
 def whole_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes to cells, valid bars, pooling codec, detection, metrics, means per instrument."""
-    out = job.run(derived.notes(spark, sf_dir), n_bars=derived.N_BARS)
+    out = job.run(derived.notes(spark, sf_dir))
     return rounded(out, digits=5)
 
 
@@ -367,7 +367,7 @@ def stream_bounded_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _work_folder(spark)
     schema = derived.table(spark, sf_dir, "lineitem").schema.simpleString()[len("struct<"):-1].replace(":", " ")
     raw = streams.read_files(spark, sf_dir, schema.replace(",", ", "), pattern="lineitem.parquet")
-    sink = streams.pieces_sink(f"{folder}/pieces", derived.notes_of, n_bars=derived.N_BARS)
+    sink = streams.pieces_sink(f"{folder}/pieces", derived.notes_of)
     streams.run_available(raw, sink, f"{folder}/state")
-    segments = streams.landed_segments(spark, f"{folder}/pieces")
+    segments = streams.landed_segments(spark, f"{folder}/pieces", whole=True)
     return segments.groupBy("song_id", "track_idx").agg(F.sum(F.col("off") - F.col("on")).alias("n_cells"))

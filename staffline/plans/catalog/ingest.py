@@ -140,8 +140,7 @@ def rejected_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIGNATURE_EVENTS = """SELECT o_custkey % 5000 AS song_id, o_orderkey AS ord,
-    CAST(2 + o_orderkey % 6 AS INT) AS num, CASE WHEN o_orderkey % 3 = 0 THEN 8 ELSE 4 END AS den FROM orders
-    WHERE o_orderstatus <> 'P'"""
+    CASE WHEN o_orderstatus <> 'P' THEN CAST(2 + o_orderkey % 6 AS INT) END AS num, CASE WHEN o_orderkey % 3 = 0 THEN 8 ELSE 4 END AS den FROM orders"""
 
 
 @query(
@@ -150,17 +149,17 @@ _SIGNATURE_EVENTS = """SELECT o_custkey % 5000 AS song_id, o_orderkey AS ord,
     WITH ev AS ({_SIGNATURE_EVENTS}), songs AS (SELECT DISTINCT c_custkey % 5000 AS song_id FROM customer),
     ok AS (SELECT song_id, arg_min(num, ord) AS num, arg_min(den, ord) AS den FROM ev
            WHERE (num, den) IN ((2,4),(3,4),(4,4),(6,8)) GROUP BY 1),
-    anyev AS (SELECT DISTINCT song_id FROM ev)
+    anyev AS (SELECT DISTINCT song_id FROM ev WHERE num IS NOT NULL)
     SELECT coalesce(num, 4) AS num, coalesce(den, 4) AS den, count(*) AS songs,
            CAST(sum(24 * coalesce(num, 4)) AS BIGINT) AS steps, CAST(sum(96 * coalesce(num, 4) // coalesce(den, 4)) AS BIGINT) AS roll_steps
     FROM songs LEFT JOIN ok USING (song_id) LEFT JOIN (SELECT song_id, true AS has FROM anyev) USING (song_id)
     WHERE has IS NULL OR num IS NOT NULL GROUP BY 1, 2""",
 )
 def song_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = derived.table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").selectExpr(
+    events = derived.table(spark, sf_dir, "orders").selectExpr(
         "o_custkey % 5000 AS song_id",
         "o_orderkey AS ord",
-        "CAST(2 + o_orderkey % 6 AS INT) AS num",
+        "CASE WHEN o_orderstatus <> 'P' THEN CAST(2 + o_orderkey % 6 AS INT) END AS num",
         "CASE WHEN o_orderkey % 3 = 0 THEN 8 ELSE 4 END AS den",
     )
     songs = derived.table(spark, sf_dir, "customer").selectExpr("c_custkey % 5000 AS song_id").distinct()
@@ -179,14 +178,13 @@ def song_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "song_tempo",
     """
-    WITH t AS (SELECT o_custkey AS song_id, arg_min(60 + o_orderkey % 120, o_orderkey) AS q FROM orders
-               WHERE o_orderstatus = 'F' GROUP BY 1)
+    WITH t AS (SELECT o_custkey AS song_id, arg_min(60 + o_orderkey % 120, CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS q FROM orders GROUP BY 1)
     SELECT c_custkey AS song_id, CAST(coalesce(q, 120) AS DOUBLE) AS tempo
     FROM customer LEFT JOIN t ON c_custkey = song_id""",
 )
 def song_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = derived.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").selectExpr(
-        "o_custkey AS song_id", "o_orderkey AS tick", "60 + o_orderkey % 120 AS qpm"
+    events = derived.table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS song_id", "o_orderkey AS tick", "CASE WHEN o_orderstatus = 'F' THEN 60 + o_orderkey % 120 END AS qpm"
     )
     songs = derived.table(spark, sf_dir, "customer").selectExpr("c_custkey AS song_id")
     return ingest.song_tempo(songs, events)
@@ -297,23 +295,19 @@ def bars_capped_per_track(spark: SparkSession, sf_dir: str) -> DataFrame:
                - floor(greatest((i + 0.5::DOUBLE) * 0.75::DOUBLE - 0.5::DOUBLE, 0)) AS f FROM range(96) r(i)),
         LATERAL (SELECT CAST(base AS INT) AS j, 1 - f AS w UNION ALL
                  SELECT least(71, CAST(base AS INT) + 1), f) t),
-    b AS (SELECT song_id, track_idx, CAST(step // 72 AS INT) AS bar_index, pitch, step % 72 AS step, velocity FROM (
-            SELECT song_id, track_idx, bar_index*96 + step AS step, pitch, velocity FROM cells) WHERE step < 720),
+    b AS (SELECT song_id, track_idx, CAST(step // 72 AS INT) AS bar_index, pitch, step % 72 AS step, arg_max(velocity, note_ord*128 + velocity) AS velocity FROM (
+            SELECT *, unnest(range(onset_step, offset_step)) AS step
+            FROM (SELECT *, (max(offset_step) OVER (PARTITION BY song_id, track_idx) + 1) // 72 * 72 AS whole FROM notes))
+          WHERE step < whole GROUP BY 1, 2, 3, 4, 5),
     r AS (SELECT song_id, track_idx, bar_index, pitch, i AS step, sum(velocity*w) AS velocity
           FROM b JOIN taps ON b.step = taps.j GROUP BY ALL HAVING sum(velocity*w) > 0)
     SELECT bar_index, count(*) AS n_cells, round(sum(velocity), 3) AS mass, round(sum(velocity*step), 2) AS moment
     FROM r GROUP BY ALL"""),
 )
 def resample_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """3/4 bars of 72 steps stretched to 96."""
-    waltz = ingest.notes_to_cells(derived.notes(spark, sf_dir).filter("onset_step < 768"), 96, derived.N_BARS)
-    at = F.col("bar_index") * STEPS + F.col("step")
-    b = waltz.withColumn("at", at).filter("at < 720").select(
-        "song_id", "track_idx", F.floor(F.col("at") / 72).cast("int").alias("bar_index"),
-        "pitch", (F.col("at") % 72).cast("int").alias("step"), "velocity",
-    )
+    """All notes in 3/4 bars of 72 steps stretched to 96."""
     return (
-        ingest.resample_time(b, 72)
+        ingest.resample_time(ingest.notes_to_cells(derived.notes(spark, sf_dir), 72), 72)
         .groupBy("bar_index")
         .agg(
             F.count(F.lit(1)).alias("n_cells"),

@@ -17,7 +17,8 @@ from staffline.operators.ingest import (
     segments_to_cells,
 )
 
-N_BARS = 8
+#: Notes up to this velocity are not in the reconstruction.
+SOFTEST = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +60,7 @@ def notes_of(li: DataFrame) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes_to_segments(notes(spark, sf_dir), STEPS, N_BARS)
+    return notes_to_segments(notes(spark, sf_dir), STEPS)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +68,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rec_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reconstruction's notes, relative to their bar; ends may pass the bar line."""
-    n = notes(spark, sf_dir).filter((F.col("note_ord") * 31) % 10 != 0)
+    """The reconstruction's notes, relative to their bar; ends may pass the bar line. It loses the softest notes."""
+    n = notes(spark, sf_dir).filter(F.col("velocity") > SOFTEST)
     moved = F.greatest(
         F.lit(0), F.least(F.lit(95), F.col("on_in_bar") + (F.col("note_ord") % 3).cast("int") - 1)
     )
@@ -94,7 +95,7 @@ def rec_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("bar_index") * STEPS + F.col("onset")).alias("onset_step"),
         (F.col("bar_index") * STEPS + F.col("offset")).alias("offset_step"),
     )
-    return notes_to_cells(r, STEPS, N_BARS)
+    return notes_to_cells(r, STEPS)
 
 
 def recon_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,18 +131,21 @@ notes AS (
 cells AS (
   SELECT song_id, track_idx, CAST(step // 96 AS INT) AS bar_index, pitch, CAST(step % 96 AS INT) AS step,
          arg_max(velocity, note_ord*128 + velocity) AS velocity
-  FROM (SELECT *, unnest(range(onset_step, offset_step)) AS step FROM notes) WHERE step < 768
+  FROM (SELECT *, unnest(range(onset_step, offset_step)) AS step
+        FROM (SELECT *, (max(offset_step) OVER (PARTITION BY song_id, track_idx) + 1) // 96 * 96 AS whole FROM notes))
+  WHERE step < whole
   GROUP BY 1, 2, 3, 4, 5),
 rec_notes AS (
   SELECT song_id, track_idx, instrument, bar_index, pitch, onset, onset + dur AS "offset",
          greatest(1, least(127, velocity + CAST(note_ord % 11 AS INT) - 5)) AS velocity, note_ord
   FROM (SELECT *, greatest(0, least(95, on_in_bar + CAST(note_ord % 3 AS INT) - 1)) AS onset FROM notes)
-  WHERE (note_ord*31) % 10 <> 0),
+  WHERE velocity > 12),
 rec_cells AS (
   SELECT song_id, track_idx, CAST(step // 96 AS INT) AS bar_index, pitch, CAST(step % 96 AS INT) AS step,
          arg_max(velocity, note_ord*128 + velocity) AS velocity
-  FROM (SELECT *, unnest(range(bar_index*96 + onset, bar_index*96 + "offset")) AS step FROM rec_notes)
-  WHERE step < 768
+  FROM (SELECT *, unnest(range(bar_index*96 + onset, bar_index*96 + "offset")) AS step
+        FROM (SELECT *, (max(bar_index*96 + "offset") OVER (PARTITION BY song_id, track_idx) + 1) // 96 * 96 AS whole FROM rec_notes))
+  WHERE step < whole
   GROUP BY 1, 2, 3, 4, 5),
 recon_plane AS (
   SELECT song_id, track_idx, bar_index, pitch AS "row", step,

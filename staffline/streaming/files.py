@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from staffline.keys import STEPS
+from staffline.keys import STEPS, TRACK
 from staffline.operators.ingest import bar_pieces, merge_pieces, pieces_to_segments
 from staffline.operators.numbering import durable, sequence_next
 
@@ -56,9 +56,18 @@ def pieces_sink(
     return lambda batch, batch_id: write(bar_pieces(to_notes(batch), steps, n_bars), batch_id)
 
 
-def landed_segments(spark: SparkSession, path: str, steps: int = STEPS) -> DataFrame:
-    """Segments of everything landed so far, the same however notes were dealt to batches."""
-    return pieces_to_segments(merge_pieces(spark.read.parquet(path)))
+def landed_segments(spark: SparkSession, path: str, steps: int = STEPS, whole: bool = False) -> DataFrame:
+    """Segments of everything landed so far, the same however notes were dealt to batches.
+
+    With ``whole`` a track's last bar goes if its notes end before the bar does, as in :func:`notes_to_segments`.
+    """
+    pieces = merge_pieces(spark.read.parquet(path))
+    segments = pieces_to_segments(pieces)
+    if not whole:
+        return segments
+    last = pieces.groupBy(*TRACK).agg(F.max(F.struct("bar_index", "off")).alias("_last"))
+    cut = last.where(F.col("_last.off") < steps - 1).select(*TRACK, F.col("_last.bar_index").alias("bar_index"))
+    return segments.join(cut, [*TRACK, "bar_index"], "left_anti")
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:

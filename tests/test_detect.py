@@ -100,7 +100,7 @@ def test_velocity_aware(spark):
 
 def test_adaptive_thresholds(spark, rows):
     p = plane(spark, rows)
-    got = D.fit_adaptive(p, 1.0, steps=24)
+    got = D.fit_adaptive(p, 1.0, n_bars=1, steps=24)
     for r, v in rows.items():
         assert got[r] == pytest.approx(np.clip(np.mean(v) + np.std(v), 0, 1))
     assert got[0] == 0.0
@@ -124,14 +124,14 @@ def test_row_to_pitch(spark):
 def test_mixture_separates_two_levels(spark):
     rng = np.random.default_rng(2)
     v = np.where(rng.random(400) < 0.3, rng.normal(0.8, 0.03, 400), rng.normal(0.2, 0.03, 400)).clip(0.01, 1)
-    m = D.fit_mixture(plane(spark, {60: v.tolist()}), steps=400)
+    m = D.fit_mixture(plane(spark, {60: v.tolist()}), steps=400, n_bars=1)
     w, means, var = m.rows[60]
     assert sorted(means) == pytest.approx([0.2, 0.8], abs=0.02)
     t = m.thresholds()
     assert 0.4 < t[60] < 0.6 and t[5] == 0.0  # an all-silent row ends at zero
     assert D.mixture_threshold([0.2, 0.8], [0.1, 0.3]) == pytest.approx((0.2 * 0.3 + 0.8 * 0.1) / 0.4)
     assert D.mixture_threshold([0.1, 0.5, 0.9], [0.1, 0.1, 0.1]) == pytest.approx(0.7)
-    assert D.fit_mixture(plane(spark, {60: [0.5]}), steps=3).thresholds()[60] == 0.5  # too few values
+    assert D.fit_mixture(plane(spark, {60: [0.5]}), steps=3, n_bars=1).thresholds()[60] == 0.5  # too few values
 
 
 def viterbi(obs, p):
@@ -181,3 +181,12 @@ def test_strategy_lookup(spark):
     bars = spark.createDataFrame([(1, 0, 0), (1, 0, 1)], "song_id BIGINT, track_idx INT, bar_index INT")
     known = spark.createDataFrame([(1, 0, 1, "vos")], "song_id BIGINT, track_idx INT, bar_index INT, strategy STRING")
     assert [r["strategy"] for r in D.with_strategy(bars, known).orderBy("bar_index").collect()] == ["velocity_only", "vos"]
+
+
+def test_a_row_of_the_mixture_depends_on_no_other(spark):
+    rng = np.random.default_rng(3)
+    rows = {r: np.clip(rng.normal(0.2 + 0.01 * r, 0.05, 200), 0.01, 1).tolist()[:100] + np.clip(rng.normal(0.8, 0.02 * r + 0.01, 100), 0.01, 1).tolist() for r in (1, 2, 9)}
+    both = D.fit_mixture(plane(spark, rows), steps=200, n_bars=1)
+    for r in rows:
+        alone = D.fit_mixture(plane(spark, {r: rows[r]}), steps=200, n_bars=1)
+        assert np.array(alone.rows[r]) == pytest.approx(np.array(both.rows[r]))
