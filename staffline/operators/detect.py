@@ -25,6 +25,21 @@ from staffline.keys import BAR, PITCHES, STEPS, VELOCITY_MAX
 DEFAULT_THRESHOLD = 0.5
 
 
+PITCH_AXES = ("height", "width")
+
+
+def upright(plane: DataFrame, pitch_axis: str = "height") -> DataFrame:
+    """A plane with pitches along rows, as every detector reads it; ``width`` names one with pitches along columns.
+
+    Both axes lie inside a bar, so nothing is moved. Heights and steps of detectors are those of the turned plane.
+    """
+    if pitch_axis not in PITCH_AXES:
+        raise ValueError(f"unknown pitch axis {pitch_axis!r}; choose from {PITCH_AXES}")
+    if pitch_axis == "height":
+        return plane
+    return plane.withColumns({"row": F.col("step"), "step": F.col("row")})
+
+
 def row_pitch(row: Column, height: int = PITCHES, num_pitches: int = PITCHES, offset: int = 0) -> Column:
     """Pitch of an image row, rounding half to even."""
     if height == 1:

@@ -9,7 +9,7 @@ from staffline.keys import BAR
 from staffline.operators import detect
 from staffline.operators.ingest import with_masks
 from staffline.plans import derived
-from staffline.plans.catalog import query, rounded, stable
+from staffline.plans.catalog import ORACLES, query, rounded, stable
 from staffline.plans.derived import with_tables
 
 
@@ -186,3 +186,10 @@ def fit_with_silent_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.fit_adaptive(plane.withColumn("value", F.expr("CASE WHEN (song_id + bar_index) % 2 = 0 THEN value ELSE 0 END")), bars=plane.select(*BAR))
     rows = F.posexplode(F.array(*[F.lit(float(t)) for t in found])).alias("row", "threshold")
     return rounded(spark.range(1).select(rows))
+
+
+@query("detect_along_width", ORACLES["detect_global"])
+def detect_along_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes with pitches along columns give the same notes once they are turned."""
+    turned = derived.recon_plane(spark, sf_dir).withColumns({"row": F.col("step"), "step": F.col("row")})
+    return digest(detect.global_threshold(detect.upright(turned, "width")))

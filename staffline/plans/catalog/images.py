@@ -170,3 +170,26 @@ def scores_of_matched_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = derived.rec_notes(spark, sf_dir).select(*BAR).distinct()
     tables = Tables(true, None, plane, render.render(segments_to_cells(true)), render.plane_pixels(plane), bars=bars)
     return rounded(evaluate(tables, ["pixel_mse", "psnr"]), BAR)
+
+
+@query(
+    "pixel_scores_of_another_size",
+    with_tables("""
+    WITH small AS (SELECT song_id, track_idx, bar_index, "row" // 2 AS r, step // 2 AS c, sum(value) / 4 AS v FROM recon_plane GROUP BY ALL),
+    taps AS (SELECT n, i, j, sum(w) AS w FROM (SELECT n, i, CAST(floor(x) AS INT) AS a, x - floor(x) AS f FROM (
+               SELECT n, i, greatest((i + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5::DOUBLE, 0) AS x FROM (VALUES (128), (96)) s(n), range(128) g(i) WHERE i < n)),
+             LATERAL (SELECT a AS j, 1 - f AS w UNION ALL SELECT least(n // 2 - 1, a + 1), f) t GROUP BY ALL),
+    wide AS (SELECT song_id, track_idx, bar_index, r, taps.i AS step, sum(v * w) AS v FROM small JOIN taps ON taps.n = 96 AND taps.j = c GROUP BY ALL),
+    big AS (SELECT song_id, track_idx, bar_index, taps.i AS "row", step, sum(v * w) AS v FROM wide JOIN taps ON taps.n = 128 AND taps.j = r GROUP BY ALL),
+    allbars AS (SELECT DISTINCT song_id, track_idx, bar_index FROM cells),
+    px AS (SELECT song_id, track_idx, bar_index, pitch AS "row", step, velocity / 127.0::DOUBLE AS t, 0::DOUBLE AS p FROM cells
+           UNION ALL SELECT song_id, track_idx, bar_index, "row", step, 0, v FROM big JOIN allbars USING (song_id, track_idx, bar_index)),
+    pair AS (SELECT song_id, track_idx, bar_index, "row", step, sum(t) AS t, sum(p) AS p FROM px GROUP BY ALL)
+    SELECT song_id, track_idx, bar_index, round(sum(4 * (t-p) * (t-p)) / (128 * 96) + 1e-10, 6) AS value FROM pair GROUP BY ALL"""),
+)
+def pixel_scores_of_another_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reconstructions of half the size are enlarged before they are compared."""
+    true, plane = _sides(spark, sf_dir)
+    half = render.resize(render.plane_pixels(plane), (128, 96), (64, 48), "area")
+    tables = Tables(true, true_pixels=render.render(segments_to_cells(true)), recon_pixels=half, recon_size=(64, 48))
+    return rounded(evaluate(tables, ["pixel_mse"]).drop("metric"), BAR)

@@ -10,7 +10,7 @@ from staffline.operators import note_metrics, render
 from staffline.plans import derived
 from staffline.plans.catalog import ORACLES, query, stable
 from staffline.plans.derived import with_tables
-from staffline.plans.evaluate import Tables, evaluate
+from staffline.plans.evaluate import METRICS, Tables, evaluate, register_metric, register_sums, register_whole
 
 CHANNELS, AREA = 4, 16
 
@@ -132,3 +132,29 @@ def metrics_conditioning(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def metrics_generative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _group(spark, sf_dir, "generative")
+
+
+def _extremes(t: Tables) -> DataFrame:
+    return t.true.groupBy(*BAR).agg(F.min("pitch").cast("double").alias("lowest"), F.max("pitch").cast("double").alias("highest"), F.sum(F.col("off") - F.col("on")).alias("cells"))
+
+
+@query(
+    "own_metrics",
+    with_tables(f"""
+    WITH b AS (SELECT song_id, track_idx, bar_index, min(pitch) AS lo, max(pitch) AS hi, count(*) AS n FROM cells GROUP BY 1, 2, 3)
+    {_rows(3, "SELECT * FROM b", lowest="lo", highest="hi")}
+    UNION ALL {_rows(2, "SELECT song_id, track_idx, max(hi) - min(lo) AS s, sum(n) / count(*) AS m FROM b GROUP BY 1, 2", compass="s", mean_cells="m")}
+    UNION ALL {_rows(0, "SELECT max(hi) - min(lo) AS s FROM b", whole_compass="s")}"""),
+)
+def own_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's metrics: per bar, per sequence from merged states, and one job over the table."""
+    state = lambda: {"lo": F.min("lowest"), "hi": F.max("highest"), "n": F.sum("cells"), "bars": F.count(F.lit(1))}
+    register_metric("own/extremes", _extremes, ["lowest", "highest"])
+    register_sums("own/compass", _extremes, state, lambda: {"compass": F.col("hi") - F.col("lo"), "mean_cells": F.col("n") / F.col("bars")})
+    register_whole("own/whole", lambda t: _extremes(t).agg((F.max("highest") - F.min("lowest")).alias("whole_compass")), ["whole_compass"])
+    names = ("own/extremes", "own/compass", "own/whole")
+    try:
+        return evaluate(Tables(derived.segments(spark, sf_dir)), names).withColumn("value", stable(F.col("value")))
+    finally:
+        for name in names:
+            METRICS.pop(name)

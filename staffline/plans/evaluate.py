@@ -27,7 +27,8 @@ class Tables:
     reconstructed bars, silent ones included: a true bar that is not among them is not scored,
     one that is there without notes or pixels is scored as silent. Without ``bars`` every true bar counts
     as reconstructed. ``latents`` has the bar, ``z`` and perhaps ``condition_label``; ``latent_shape`` is its
-    (channels, height, width).
+    (channels, height, width). Where ``recon_pixels`` is of another size, ``recon_size`` (height, width) says so, and it
+    is brought to the true image's size before pixels are compared.
     """
 
     true: DataFrame
@@ -40,6 +41,7 @@ class Tables:
     latent_shape: tuple[int, int, int] = (4, 16, 16)
     height: int = PITCHES
     steps: int = STEPS
+    recon_size: tuple[int, int] | None = None
 
 
 def matched(tables: Tables) -> Tables:
@@ -98,12 +100,18 @@ def _groove(t: Tables) -> DataFrame:
     return note_metrics.groove_scores(_onsets(t), t.steps)
 
 
+def _same_size(t: Tables) -> DataFrame:
+    """The reconstructed pixels at the size of the true ones."""
+    size = (t.height, t.steps)
+    return t.recon_pixels if t.recon_size in (None, size) else render.resize(t.recon_pixels, t.recon_size, size, "bilinear")
+
+
 def _pixels(t: Tables) -> DataFrame:
-    return image_metrics.pixel_scores(t.true_pixels, t.recon_pixels, t.height, t.steps)
+    return image_metrics.pixel_scores(t.true_pixels, _same_size(t), t.height, t.steps)
 
 
 def _ssim(t: Tables) -> DataFrame:
-    return image_metrics.ssim(t.true_pixels, t.recon_pixels, t.height, t.steps)
+    return image_metrics.ssim(t.true_pixels, _same_size(t), t.height, t.steps)
 
 
 def _rows(t: Tables) -> DataFrame:
