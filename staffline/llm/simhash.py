@@ -11,8 +11,10 @@ with more fingerprints than a tile holds is cut by population count and by hash
 A pair of tiles returns a spanning forest of its links, not the links, and components are found by
 star contraction over those forests, so a group of thousands of near copies costs no square of rows.
 
-``drop_near_duplicates`` takes these components as candidates only: inside each of them shingle sets are compared
-exactly, block by block, and the forests of the pairs that are similar enough decide.
+``drop_near_duplicates`` decides by shared shingles. There the cells of the grid are bands of least hashes of a text's set of shingles, as
+agreement on bits would leave too many pairs at the wide radius that a similarity of 0.8 asks for. Tiles of a cell are compared by
+fingerprints as above; what they tie together inside one cell is a candidate group, and inside each group sets are compared
+exactly, block by block. Components are taken of exact links only.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,10 +39,12 @@ SEED = 42
 #: Fingerprints in a tile.
 TILE = 1024
 HASHES_AT_ONCE = 1 << 15
-#: From this radius on population counts keep nearly no tiles apart, and large cells are cut by hash alone.
-WIDE = 12
-#: About how many fingerprints a tile of wide radius holds, and how many shingles and sets a block holds that is compared exactly.
-WIDE_TILE, BLOCK_SHINGLES, BLOCK_SETS = 4096, 1 << 18, 512
+#: Bands of least hashes and the hashes in each: two sets of similarity 0.8 share a band in 99.8 of 100 cases.
+BANDS, BAND_ROWS = 16, 5
+#: About how many shingles and sets a block holds that is compared exactly.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 18, 512
+#: Parts in which the edges of one node are dealt.
+SALT = 16
 #: Columns of a dense matrix of sets by shingles.
 COLUMNS = 2048
 
@@ -83,7 +87,7 @@ def shingle_hashes(text: str, shingle: int) -> list[np.ndarray]:
 
 def _both_words(parts: list[np.ndarray], check: bool) -> tuple[int, int]:
     first, second = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64)
-    for h in parts:
+    for h in (part[i : i + HASHES_AT_ONCE] for part in parts for i in range(0, len(part), HASHES_AT_ONCE)):
         first += _ones(h)
         if check:
             second += _ones(_mix(h))
@@ -118,20 +122,37 @@ def fingerprints(docs: DataFrame, shingle: int = 4, check: bool = False, id_col:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+_ORDERS = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def bands(members: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes of a set; of the empty set all are zero."""
+    if not len(members):
+        return np.zeros(BANDS, np.uint64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(members), 4096):
+        h = members[start : start + 4096, None] * _ORDERS[0] + _ORDERS[1]
+        least = np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=0))
+    return np.bitwise_xor.reduce(_mix(least.reshape(BANDS, BAND_ROWS) + np.arange(BAND_ROWS, dtype=np.uint64)), axis=1)
+
+
 def named_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, key, fp, check_word, node) of ``docs`` (id, key, text): ``node`` is a hash of the set of shingles."""
-    schema = T.StructType([*docs.schema.fields[:2], *[T.StructField(c, T.LongType()) for c in ("fp", "check_word", "node")]])
+    """(id, key, fp, check_word, node, bands) of ``docs`` (id, key, text): ``node`` is a hash of the set of shingles, all others follow from the set."""
+    numbers = [T.StructField(c, T.LongType()) for c in ("fp", "check_word", "node")]
+    schema = T.StructType([*docs.schema.fields[:2], *numbers, T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in groups(batch, "text"):
-                made = []
+                made, keys = [], []
                 for text in texts:
-                    parts = shingle_hashes(text, shingle)
-                    made.append((*_both_words(parts, True), xxhash.xxh64_intdigest(shingle_set(parts).tobytes(), SEED)))
+                    members = shingle_set(shingle_hashes(text, shingle))
+                    made.append((*_both_words([members], True), xxhash.xxh64_intdigest(members.tobytes(), SEED)))
+                    keys.append(bands(members))
                 made = np.array(made, dtype=np.uint64).reshape(-1, 3).view(np.int64)
                 own = [batch.column(i).slice(first, len(texts)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, *[pa.array(made[:, i]) for i in range(3)]], names=schema.names)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(made[:, i]) for i in range(3)], lists], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -214,18 +235,22 @@ def _spanning(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return members, label[members]
 
 
-def tile_pairs(prints: DataFrame, radius: int, check_radius: int | None = None, tile: int = TILE, share: int | None = None) -> DataFrame:
-    """(grid, left, right): tiles to compare and the number of their mask, as arrays of (fp, check_word, rep); ``right`` is null for a tile with itself.
+def cells_of_bits(prints: DataFrame, radius: int, share: int) -> DataFrame:
+    """(grid, cell, fp, check_word, rep): the cells of each fingerprint, one for every choice of blocks."""
+    masks = [_signed(m) for m in block_masks(radius, share)]
+    cell = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell")
+    return prints.select(cell, "fp", "check_word", "rep")
+
+
+def tile_pairs(cells: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """(grid, left, right): tiles to compare, as arrays of (fp, check_word, rep); ``right`` is null for a tile with itself.
 
-    ``prints`` holds distinct (fp, check_word, rep). All fingerprints of a cell that fits one tile are together;
-    a larger cell is cut by population count and hash, and tiles whose counts differ by more than the radius
-    do not meet; from radius ``WIDE`` on it is cut by hash alone.
+    All fingerprints of a cell that fits one tile are together; a larger cell is cut by population count, in classes of a quarter
+    of the radius, and by hash, and tiles of classes that lie further apart than the radius do not meet.
     """
-    share = share or plan_share(prints.count(), radius, tile)
-    masks = [_signed(m) for m in block_masks(radius, share)]
-    cells = prints.select(
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"), "fp", "check_word", "rep",
-    ).withColumn("pop", F.bit_count("fp") if radius < WIDE else F.lit(0))
+    width = max(1, radius // 4)
+    reach = (radius + width - 1) // width
+    cells = cells.withColumn("pop", F.floor(F.bit_count("fp") / width).cast("int"))
     # Only cells above one tile are listed with their cuts; all others are one tile.
     sizes = cells.groupBy("grid", "cell", "pop").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.groupBy("grid", "cell").agg(F.sum("n").alias("cell_n"), F.collect_list(F.struct("pop", "n")).alias("pops"))
@@ -237,7 +262,7 @@ def tile_pairs(prints: DataFrame, radius: int, check_radius: int | None = None,
     cut = lambda pop: F.coalesce(F.col("cuts")[pop], F.lit(0))
     own = F.struct(F.col("pop").alias("pop"), F.pmod(F.xxhash64("fp"), F.greatest(cut(F.col("pop")), F.lit(1))).cast("int").alias("salt"))
     near = F.flatten(F.transform(
-        F.sequence(F.greatest(F.col("pop") - radius, F.lit(0)), F.least(F.col("pop") + radius, F.lit(BITS))),
+        F.sequence(F.greatest(F.col("pop") - reach, F.lit(0)), F.least(F.col("pop") + reach, F.lit(BITS // width))),
         lambda p: F.transform(
             F.when(cut(p) > 0, F.sequence(F.lit(0), cut(p) - 1)).otherwise(F.array().cast("array<int>")),
             lambda s: F.struct(p.alias("pop"), s.alias("salt")),
@@ -255,7 +280,8 @@ def tile_pairs(prints: DataFrame, radius: int, check_radius: int | None = None,
             F.collect_list(F.when(F.col("first"), F.col("item"))).alias("left"),
             F.collect_list(F.when(~F.col("first"), F.col("item"))).alias("right"),
         )
-        .where(F.size("left") + F.size("right") > 1)
+        # A tile to which the hash dealt nothing meets nobody.
+        .where((F.size("left") > 0) & F.when(F.col("low") == F.col("high"), F.size("left") > 1).otherwise(F.size("right") > 0))
         .select("grid", "left", "right")
     )
 
@@ -268,26 +294,51 @@ def links(prints: DataFrame, radius: int, check_radius: int | None = None, tile:
     share = share or plan_share(prints.count(), radius, tile)
     masks = block_masks(radius, share)
 
-    def rows_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat = lists.flatten()
-        fields = [np.asarray(flat.field(i)) for i in range(3)]
-        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])
-        return np.stack(fields[:2], axis=1).view(np.uint64), fields[2], ends
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grids = batch.column(0).to_pylist()
-            (lw, lr, le), (rw, rr, re) = rows_of(batch.column(1)), rows_of(batch.column(2))
             hi, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k in range(batch.num_rows):
-                left, right = lw[le[k] : le[k + 1]], rw[re[k] : re[k + 1]]
-                reps = np.concatenate([lr[le[k] : le[k + 1]], rr[re[k] : re[k + 1]]])
-                a, b = forest(left, right if len(right) else None, radius, check_radius, masks[: grids[k]])
+            for grid, reps, a, b in _forests(batch, radius, check_radius, masks):
                 hi.append(np.maximum(reps[a], reps[b]))
                 lo.append(np.minimum(reps[a], reps[b]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo))], names=["hi", "lo"])
 
-    return tile_pairs(prints, radius, check_radius, tile, share).mapInArrow(run, "hi long, lo long").distinct()
+    return tile_pairs(cells_of_bits(prints, radius, share), radius, tile).mapInArrow(run, "hi long, lo long").distinct()
+
+
+def _rows_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat = lists.flatten()
+    fields = [np.asarray(flat.field(i)) for i in range(3)]
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])
+    return np.stack(fields[:2], axis=1).view(np.uint64), fields[2], ends
+
+
+def _forests(batch: pa.RecordBatch, radius: int, check_radius: int | None, masks: Sequence[int]):
+    """(grid, representatives, members, their roots) of every pair of tiles; pairs that an earlier mask ties are left to it."""
+    grids = batch.column(0).to_pylist()
+    (lw, lr, le), (rw, rr, re) = _rows_of(batch.column(1)), _rows_of(batch.column(2))
+    for k in range(batch.num_rows):
+        left, right = lw[le[k] : le[k + 1]], rw[re[k] : re[k + 1]]
+        reps = np.concatenate([lr[le[k] : le[k + 1]], rr[re[k] : re[k + 1]]])
+        yield grids[k], reps, *forest(left, right if len(right) else None, radius, check_radius, masks[: grids[k]])
+
+
+def candidate_groups(cells: DataFrame, radius: int, check_radius: int | None, tile: int = TILE) -> DataFrame:
+    """(root, node): what fingerprints tie together inside one pair of tiles; ``root`` names the group by its members.
+
+    A group is no larger than two tiles, and one that several cells hold is returned once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, reps, a, b in _forests(batch, radius, check_radius, ()):
+                for root in np.unique(b):
+                    group = np.unique(np.append(reps[a[b == root]], reps[root]))
+                    names.append(np.full(len(group), xxhash.xxh64_intdigest(group.tobytes(), SEED), np.uint64).view(np.int64))
+                    nodes.append(group)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(nodes))], names=["root", "node"])
+
+    return tile_pairs(cells, radius, tile).mapInArrow(run, "root long, node long").distinct()
 
 
 # -- components ------------------------------------------------------------------------------------
@@ -301,9 +352,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("lo", "hi")).toDF("node", "next")
         least = both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("low"))
-        large = (
-            both.where(F.col("next") > F.col("node")).join(least, "node").select(F.col("next").alias("hi"), F.col("low").alias("lo")).distinct()
-        )
+        # The centre of a star has as many edges as the star has points: they are dealt to ``SALT`` parts.
+        parts = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        dealt = both.where(F.col("next") > F.col("node")).withColumn("part", F.pmod(F.xxhash64("next"), F.lit(SALT)).cast("int"))
+        large = dealt.join(parts, ["node", "part"]).select(F.col("next").alias("hi"), F.col("low").alias("lo")).distinct()
         lowest = large.groupBy("hi").agg(F.min("lo").alias("low"))
         small = large.join(lowest, "hi")
         small = small.select(F.explode(F.array(F.struct("lo", "low"), F.struct(F.col("hi").alias("lo"), "low"))).alias("e")).select(
@@ -370,22 +422,25 @@ def similar(sets: list[np.ndarray], split: int | None, least: Fraction) -> tuple
     return (a[a < b], b[a < b]) if split is None else (a, b + split)
 
 
-def exact_links(docs: DataFrame, shingle: int, similarity: float, most_shingles: int = BLOCK_SHINGLES, most_sets: int = BLOCK_SETS) -> DataFrame:
-    """(hi, lo): links of ``docs`` (root, node, text) with one root whose sets of shingles have this Jaccard similarity or more.
-
-    Texts of one root are together where they fit a block; more are dealt to blocks by hash, and every pair of blocks
-    returns a spanning forest of its links.
-    """
-    least = Fraction(str(similarity))
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of ``docs`` (node, text): distinct hashes of 64 bits, ascending, as bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in groups(batch, "text"):
-                made = [shingle_set(shingle_hashes(t, shingle)) for t in texts]
-                own = [batch.column(i).slice(first, len(texts)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([m.tobytes() for m in made], pa.binary())], names=["root", "node", "shingles"])
+                made = [shingle_set(shingle_hashes(t, shingle)).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(made, pa.binary())], names=["node", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(make, "node long, shingles binary")
+
+
+def set_links(sets: DataFrame, similarity: float, most_shingles: int = BLOCK_SHINGLES, most_sets: int = BLOCK_SETS) -> DataFrame:
+    """(hi, lo): links of ``sets`` (root, node, shingles) with one root that have this Jaccard similarity or more.
 
-    sets = durable(docs.select("root", "node", "text").mapInArrow(make, "root long, node long, shingles binary"), "sets")
+    Sets of one root are together where they fit a block; more are dealt to blocks by hash, and every pair of blocks
+    returns a spanning forest of its links.
+    """
+    least = Fraction(str(similarity))
     sizes = sets.groupBy("root").agg(
         F.greatest(F.ceil(F.sum(F.length("shingles")) / (8 * most_shingles)), F.ceil(F.count(F.lit(1)) / most_sets)).cast("int").alias("blocks")
     )
@@ -418,39 +473,40 @@ def exact_links(docs: DataFrame, shingle: int, similarity: float, most_shingles:
 
 
 def near_copies(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, check_radius: int = 30, tile: int = WIDE_TILE,
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, check_radius: int = 36, tile: int = TILE,
 ) -> DataFrame:
     """(id, key, root) of every row of ``docs`` (id, key, text): rows with one root are near copies or tied by near copies.
 
     Rows are linked if the sets of their shingles have a Jaccard similarity of ``similarity`` or more; texts without words
-    have equal sets. Only rows that fingerprints within the two radii tie together, directly or through others, are
-    compared. An id and a key name one text. Sets of shingles are known by hashes of 64 bits.
+    have equal sets. Pairs are compared that share a band and whose fingerprints lie within the two radii, or are tied by such pairs
+    of one cell. An id and a key name one text. Sets of shingles are known by hashes of 64 bits.
     """
     known = durable(named_sets(docs.select("id", "key", "text"), shingle), "fingerprints")
-    nodes = known.groupBy("node").agg(F.min("fp").alias("fp"), F.min("check_word").alias("check_word"), F.min(F.struct("id", "key")).alias("row"))
+    nodes = known.groupBy("node").agg(
+        F.min("fp").alias("fp"), F.min("check_word").alias("check_word"), F.min(F.struct("id", "key")).alias("row"), F.first("bands").alias("bands")
+    )
     nodes = durable(nodes, "prints")
-    # Texts with one set but other repeats differ in their fingerprints; each fingerprint stands for the set.
-    prints = known.select("fp", "check_word", F.col("node").alias("rep")).distinct()
-    loose = durable(components(links(durable(prints, "prints"), radius, check_radius, tile).where("hi <> lo")), "candidates")
-    members = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
-    members = members.join(nodes, "node").select("root", "node", "row.id", "row.key")
-    texts = docs.join(members, ["id", "key"]).select("root", "node", "text").dropDuplicates(["node"])
-    roots = components(exact_links(texts, shingle, similarity))
+    cells = nodes.select(F.posexplode("bands").alias("grid", "cell"), "fp", "check_word", F.col("node").alias("rep"))
+    found = durable(candidate_groups(cells, radius, check_radius, tile), "candidates")
+    members = found.select("node").distinct().join(nodes, "node").select("node", "row.id", "row.key")
+    texts = docs.join(members, ["id", "key"]).select("node", "text").dropDuplicates(["node"])
+    sets = durable(shingle_sets(texts, shingle), "sets")
+    roots = components(set_links(durable(found.join(sets, "node"), "groups"), similarity))
     return known.join(roots, "node", "left").select("id", "key", F.coalesce("root", "node").alias("root"))
 
 
 def drop_near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, check_radius: int = 30, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, check_radius: int = 36, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies, the one with the smallest id.
 
     Near copies are tied by links of a Jaccard similarity of ``similarity`` or more between the sets of their shingles, see
-    ``near_copies``. Of repeated rows with one id one stays; rows with a
-    null id can't be named and all stay. Columns are those of ``docs``.
+    ``near_copies``. A row is named by its id and its text, so unlike texts under one id are apart; of rows with both in common
+    one stays. Rows with a null id can't be named and all stay. Columns are those of ``docs``.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    found = near_copies(named.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")), shingle, similarity, radius, check_radius)
-    kept = found.groupBy("root").agg(F.min("id").alias(id_col)).select(id_col).distinct()
-    turn, = fresh(docs, "turn")
-    once = named.join(kept, id_col, "left_semi").withColumn(turn, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where(F.col(turn) == 1)
+    key, = fresh(docs, "key")
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(key, F.xxhash64(text_col))
+    found = near_copies(named.select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.col(text_col).alias("text")), shingle, similarity, radius, check_radius)
+    kept = found.groupBy("root").agg(F.min(F.struct("id", "key")).alias("r")).select(F.col("r.id").alias(id_col), F.col("r.key").alias(key))
+    once = named.join(kept, [id_col, key], "left_semi").dropDuplicates([id_col, key])
     return once.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -3,6 +3,8 @@ import pytest
 import xxhash
 from corpus_helpers import empty, odd_documents, rows
 
+from pyspark.sql import functions as F
+
 from staffline.llm import simhash
 
 
@@ -136,7 +138,53 @@ def test_shingle_similarity_decides_on_near_copies(spark):
 def test_exact_links_equal_all_pairs_for_any_block(spark):
     texts = near_and_far_copies(12)
     frame = spark.createDataFrame([(0, i, t) for i, t in texts.items()], "root BIGINT, node BIGINT, text STRING")
+    made = frame.select("root", "node").join(simhash.shingle_sets(frame, 5), "node")
     want = plain_components(texts, lambda a, b: plain_jaccard(a, b) >= 0.8)
     for shingles, sets in ((1 << 18, 512), (1 << 18, 5), (600, 512)):
-        roots = {r.node: r.root for r in simhash.components(simhash.exact_links(frame, 5, 0.8, shingles, sets)).collect()}
+        roots = {r.node: r.root for r in simhash.components(simhash.set_links(made, 0.8, shingles, sets)).collect()}
         assert {i: roots.get(i, i) for i in texts} == want
+
+
+def test_recall_on_given_data_against_an_unrestricted_brute_force(spark):
+    """Every pair of 0.8 or more on the tables of sf0.01, by counting common shingles without any restriction."""
+    import os
+    from collections import Counter
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables not present")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sets = {r.doc_id: frozenset(simhash.shingle_set(simhash.shingle_hashes(r.text or "", 5)).tolist()) for r in docs.collect()}
+    held = {}
+    for i, s in sets.items():
+        for x in s:
+            held.setdefault(x, []).append(i)
+    common = Counter((i, j) for ids in held.values() for n, i in enumerate(ids) for j in ids[n + 1 :])
+    near = [(i, j) for (i, j), n in common.items() if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n)]
+    found = simhash.near_copies(docs.selectExpr("doc_id AS id", "xxhash64(text) AS key", "text"))
+    root = {r.id: r.root for r in found.collect()}
+    lost = [(i, j) for i, j in near if root[i] != root[j]]
+    assert len(near) > 100 and len(lost) <= 0.01 * len(near), (len(lost), len(near))
+    want = plain_components(sets, lambda a, b: len(a & b) * 5 >= 4 * len(a | b)) if not lost else None
+    groups = {}
+    for i, r in root.items():
+        groups.setdefault(r, set()).add(i)
+    if want:
+        assert {min(g) for g in groups.values()} == set(want.values())
+
+
+def test_compared_rows_grow_with_the_documents(spark):
+    """Unlike texts share next to no cell, however many there are: nothing like all pairs meet."""
+    rng = np.random.default_rng(3)
+    frame = lambda n: spark.createDataFrame([(i, i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 60))) for i in range(n)], "id BIGINT, key BIGINT, text STRING")
+    for n in (200, 800):
+        sets = simhash.named_sets(frame(n), 5)
+        cells = sets.select(F.posexplode("bands").alias("grid", "cell"), "fp", "check_word", F.col("node").alias("rep"))
+        assert simhash.tile_pairs(cells, 20).count() <= n / 50
+
+
+def test_unlike_texts_of_one_id_stay_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, b), (None, a), (None, a)], "doc_id BIGINT, text STRING")
+    kept = sorted(((r.doc_id or 0), r.text) for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (0, a), (0, a)])
