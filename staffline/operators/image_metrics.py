@@ -7,9 +7,11 @@ The two sides are stacked by bar as in the note metrics.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,15 +202,54 @@ def _band(kernel: np.ndarray, n: int) -> np.ndarray:
     return sum(w * np.eye(n, k=i - r) for i, w in enumerate(kernel))
 
 
-def _ssim(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray, c1: float, c2: float) -> np.ndarray:
-    """Mean SSIM of each pair of a stack; the separable window is two matrix products."""
+def _ssim_sums(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray, c1: float, c2: float) -> np.ndarray:
+    """Sum of the SSIM map of each pair of a stack; the separable window is two matrix products."""
     blur = lambda z: rows @ z @ cols
     mx, my = blur(x), blur(y)
     mxx, myy, mxy = mx * mx, my * my, mx * my
     sx = np.maximum(blur(x * x) - mxx, 0.0)
     sy = np.maximum(blur(y * y) - myy, 0.0)
     sxy = blur(x * y) - mxy
-    return ((2 * mxy + c1) * (2 * sxy + c2) / ((mxx + myy + c1) * (sx + sy + c2) + 1e-10)).mean(axis=(1, 2))
+    return ((2 * mxy + c1) * (2 * sxy + c2) / ((mxx + myy + c1) * (sx + sy + c2) + 1e-10)).sum(axis=(1, 2))
+
+
+def _plane_scores(sides: list, height: int, width: int, kernel: np.ndarray, stack: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(plane numbers, mean SSIM) of all planes with a pixel on either side.
+
+    ``sides`` holds (plane, row, col, level) arrays of the truth and of the reconstruction. Only the rows that a
+    pixel's window reaches are blurred; every other place is background on both sides and scores a constant.
+    """
+    r, c1, c2 = len(kernel) // 2, 0.01**2, 0.03**2
+    background = c1 * c2 / (c1 * c2 + 1e-10)
+    cols = _band(kernel, width)
+    planes, at = np.unique(np.concatenate([s[0] for s in sides]), return_inverse=True)
+    row = np.concatenate([s[1] for s in sides])
+    low, high = np.full(len(planes), height), np.zeros(len(planes), dtype=np.int64)
+    np.minimum.at(low, at, row)
+    np.maximum.at(high, at, row)
+    low, high = np.maximum(low - r, 0), np.minimum(high + r + 1, height)
+    span = np.minimum(-(-(high - low) // 8) * 8, height)
+    low = np.minimum(low, height - span)
+    order = np.argsort(span, kind="stable")
+    place = np.empty(len(planes), dtype=np.int64)
+    place[order] = np.arange(len(planes))
+    rank = np.split(place[at], [len(sides[0][0])])
+    sorts = [np.argsort(k, kind="stable") for k in rank]
+    ranked = [k[o] for k, o in zip(rank, sorts)]
+    values = np.empty(len(planes))
+    tall, first = np.unique(span[order], return_index=True)
+    for h, begin, end in zip(tall, first, [*first[1:], len(planes)]):
+        rows = _band(kernel, h)
+        for start in range(begin, end, stack):
+            stop = min(start + stack, end)
+            pair = np.zeros((2, stop - start, h, width))
+            for image, side, o, k in zip(pair, sides, sorts, ranked):
+                own = o[slice(*np.searchsorted(k, [start, stop]))]
+                spot = place[np.searchsorted(planes, side[0][own])]
+                image[spot - start, side[1][own] - low[order[spot]], side[2][own]] = side[3][own]
+            inside = _ssim_sums(pair[0], pair[1], rows, cols, c1, c2)
+            values[order[start:stop]] = (inside + (height - h) * width * background) / (height * width)
+    return planes, values
 
 
 def ssim(
@@ -218,54 +259,37 @@ def ssim(
     """Structural similarity on [0, 1], Gaussian window, averaged over three channels.
 
     A bar's pixels (at most 3 * height * width per side) are packed into arrays by
-    a bar aggregate; an Arrow function blurs a batch of bars at a time.
+    a bar aggregate; an Arrow function scatters a batch of bars at once and blurs stacks of planes.
     """
     code = (F.col("channel") * height + F.col("row")) * width + F.col("col")
     side = lambda df, is_true: df.select(
-        *BAR, F.lit(is_true).alias("is_t"), "copies", F.struct(code.alias("i"), F.col("level").alias("v")).alias("px")
+        *BAR, F.lit(is_true).alias("is_t"), "copies", F.struct(code.cast("int").alias("i"), F.col("level").cast("double").alias("v")).alias("px")
     )
     packed = side(true, True).unionByName(side(recon, False)).groupBy(*BAR).agg(
         F.collect_list(F.when(F.col("is_t"), F.col("px"))).alias("t"),
         F.collect_list(F.when(~F.col("is_t"), F.col("px"))).alias("p"),
-        F.max("copies").alias("copies"),
+        F.max("copies").cast("double").alias("copies"),
     ).filter(F.size("t") > 0)
 
-    @F.pandas_udf("double")
-    def score(ti: pd.Series, tv: pd.Series, pi: pd.Series, pv: pd.Series, copies: pd.Series) -> pd.Series:
-        kernel = _gaussian(window, sigma)
-        rows, cols = _band(kernel, height), _band(kernel, width)  # symmetric windows
-        c1, c2 = 0.01**2, 0.03**2
-        area = height * width
-        # A channel that is background on both sides is a constant image pair.
-        blank = _ssim(np.zeros((1, height, width)), np.zeros((1, height, width)), rows, cols, c1, c2)[0]
-        out = np.zeros(len(ti))
-        batch = 32
-        for start in range(0, len(ti), batch):
-            stop = min(start + batch, len(ti))
-            planes = []
-            for j in range(start, stop):
-                for c in range(CHANNELS):
-                    a, b = np.asarray(ti[j]), np.asarray(pi[j])
-                    ma, mb = a // area == c, b // area == c
-                    if not (ma.any() or mb.any()):
-                        continue
-                    x, y = np.zeros(area), np.zeros(area)
-                    x[a[ma] % area] = np.asarray(tv[j])[ma]
-                    y[b[mb] % area] = np.asarray(pv[j])[mb]
-                    planes.append((j, copies[j], x, y))
-            if planes:
-                x = np.stack([q[2] for q in planes]).reshape(-1, height, width)
-                y = np.stack([q[3] for q in planes]).reshape(-1, height, width)
-                values = _ssim(x, y, rows, cols, c1, c2)
-                weight = np.zeros(stop - start)
-                for (j, k, _, _), v in zip(planes, values):
-                    out[j] += k * v
-                    weight[j - start] += k
-                out[start:stop] += (CHANNELS - weight) * blank
-            out[start:stop] /= CHANNELS
-        return pd.Series(out)
-
-    ints = lambda c: F.transform(F.col(c)["i"], lambda v: v.cast("int"))
-    return packed.select(
-        *BAR, score(ints("t"), F.col("t")["v"], ints("p"), F.col("p")["v"], F.col("copies")).alias("ssim")
-    )
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel, area = _gaussian(window, sigma), height * width
+        background = 0.01**2 * 0.03**2
+        background /= background + 1e-10
+        for batch in batches:
+            sides = []
+            for name in ("t", "p"):
+                lists = batch.column(name)
+                flat = lists.flatten()
+                at = flat.field("i").to_numpy(zero_copy_only=False).astype(np.int64)
+                bar = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                sides.append((bar * CHANNELS + at // area, at % area // width, at % width, flat.field("v").to_numpy(zero_copy_only=False)))
+            planes, values = _plane_scores(sides, height, width, kernel)
+            bar, n = planes // CHANNELS, len(batch)
+            copies = batch.column("copies").to_numpy(zero_copy_only=False)
+            seen = copies * np.bincount(bar, minlength=n)
+            # A channel that is background on both sides is a constant image pair.
+            total = copies * np.bincount(bar, weights=values, minlength=n) + (CHANNELS - seen) * background
+            kept = [batch.column(c) for c in BAR]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(total / CHANNELS)], names=[*BAR, "ssim"])
+
+    return packed.mapInArrow(score, packed.select(*BAR).schema.add("ssim", "double"))
