@@ -256,3 +256,20 @@ def test_metric_names(spark):
     assert got == {"note_total": 4.0}
     with pytest.raises(ValueError):
         evaluate(Tables(true, p), ["psnr"])
+
+
+def test_ssim_of_cropped_planes_equals_whole_planes():
+    """Pixels at the borders, one-sided planes, planes of all heights and none at all."""
+    h, w, rng = 37, 20, np.random.default_rng(5)
+    kernel = I._gaussian(11, 1.5)
+    x, y = np.zeros((2, 9, h, w))
+    x[0, 0, 0], x[1, h - 1, w - 1], y[2, 3, 4], x[3, 18, 2], y[3, 20, 3] = 1.0, 0.4, 0.7, 0.2, 0.9
+    x[5], y[5] = rng.random((2, h, w))
+    y[7, 5:9], x[8, 30:, 1] = 0.5, 0.3
+    sparse = lambda z: (np.nonzero(z)[0] * 3 + 1, *np.nonzero(z)[1:], z[np.nonzero(z)])
+    planes, got = I._plane_scores([sparse(x), sparse(y)], h, w, kernel, stack=2)
+    whole = I._ssim_sums(x, y, I._band(kernel, h), I._band(kernel, w), 0.01**2, 0.03**2) / (h * w)
+    assert planes.tolist() == [1, 4, 7, 10, 16, 22, 25]
+    np.testing.assert_allclose(got, whole[(planes - 1) // 3], atol=1e-12)
+    nothing = sparse(np.zeros((1, h, w)))
+    assert [len(a) for a in I._plane_scores([nothing, nothing], h, w, kernel)] == [0, 0]
