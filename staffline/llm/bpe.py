@@ -27,7 +27,9 @@ from staffline.llm.common import groups, id_field, spread
 NONE = np.int64(1) << 40
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512)
 CELLS = 1 << 20
+#: A worker forgets its chunks when they are more than this many, or have more characters than this.
 CACHED_WORDS = 300_000
+CACHED_CHARS = 1 << 24
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _SAFE = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -189,11 +191,12 @@ class ByteBpe:
     # -- texts -------------------------------------------------------------------------------------
 
     def _reset(self) -> None:
-        self.known, self.first = {}, {}
+        self.known, self.first, self.held = {}, {}, 0
         self.pool, self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks and append their ids to the pool."""
+        self.held += sum(map(len, chunks))
         pieces = [self.split(c) for c in chunks]
         own = np.array([len(p) for p in pieces], dtype=np.int64)
         distinct = list({p for ps in pieces for p in ps})
@@ -217,7 +220,7 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, how many each has)."""
-        if len(self.known) + len(self.first) > CACHED_WORDS:
+        if len(self.known) + len(self.first) > CACHED_WORDS or self.held > CACHED_CHARS:
             self._reset()
         chunks = [self._chunks(t) if t else [] for t in texts]
         heads, words = [c[0] for c in chunks if c], list(chain.from_iterable(c[1:] for c in chunks))

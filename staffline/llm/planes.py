@@ -29,8 +29,12 @@ from staffline.llm.common import durable, groups, open_folder, shared_folder, sp
 
 MAGIC = b"IDPLANE1"
 CHUNK_IDS = 1 << 15
+#: A file ends when it has so many ids, or so many documents: its footer names each of them.
 FILE_IDS = 1 << 25
+FILE_DOCS = 1 << 20
+#: A worker forgets its words when they are more than this many, or have more characters than this.
 CACHED_WORDS = 600_000
+CACHED_CHARS = 1 << 24
 TAIL_MARKS = ".,!?;:%$&*#"
 #: How vocabularies of this kind mark the last piece of a word.
 WORD_END = "</w>"
@@ -133,16 +137,20 @@ class Pool:
     """Ids of strings, one after the other, and where each string's are; number 0 is the empty string."""
 
     def __init__(self) -> None:
-        self.number = {"": 0}
+        self.number, self.held = {"": 0}, 0
         self.ids, self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         at, base = len(self.starts), len(self.ids)
+        self.held += sum(map(len, names))
         self.number.update(zip(names, range(at, at + len(names))))
         self.ids = np.concatenate([self.ids, ids])
         self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
 
+    def full(self) -> bool:
+        return len(self.number) > CACHED_WORDS or self.held > CACHED_CHARS
+
     def numbers(self, names: list[str]) -> np.ndarray:
         return np.fromiter(map(self.number.__getitem__, names), dtype=np.int64, count=len(names))
 
@@ -207,7 +215,7 @@ def word_encoder(path: str):
             pools["stems"].add(part, np.array([y for x in found for y in x], dtype=np.int64), lengths)
 
     def learn(words: list[str]) -> None:
-        if len(pools["stems"].number) > CACHED_WORDS:
+        if pools["stems"].full():
             pools["stems"] = Pool()
         stems = pools["stems"]
         pairs = [x for w in words for x in stem_and_tail(w)]
@@ -219,7 +227,7 @@ def word_encoder(path: str):
         pools["words"].add(words, stems.take(used), stems.lengths[used].reshape(-1, 2).sum(axis=1))
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(pools["words"].number) > CACHED_WORDS:
+        if pools["words"].full():
             pools["words"] = Pool()
         pool, words = pools["words"], " ".join(texts).split(" ")
         missing = list(set(words) - pool.number.keys())
@@ -241,7 +249,7 @@ def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndar
 
 def write_planes(
     docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    kind: str = "bit", chunk_ids: int = CHUNK_IDS, file_ids: int = FILE_IDS,
+    kind: str = "bit", chunk_ids: int = CHUNK_IDS, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS,
 ) -> DataFrame:
     """Encode ``docs`` and write id files in ascending order of the id column; returns the manifest.
 
@@ -271,7 +279,7 @@ def write_planes(
                     fs.create_dir(base, recursive=True)
                     writer = PlaneWriter(fs.open_output_stream(f"{base}/{name}"), kind, chunk_ids)
                 writer.add(batch.column(0).slice(first, len(texts)).to_pylist(), counts, ids)
-                if writer.n_ids >= file_ids:
+                if writer.n_ids >= file_ids or len(writer.counts) >= file_docs:
                     finish()
                     writer, number = None, number + 1
         if writer is not None:

@@ -24,7 +24,9 @@ SPACE_SIGN = "▁"
 #: A single space with something else on either side.
 SAFE = re.compile(f"(?<=[^ {SPACE_SIGN}]) (?=[^ {SPACE_SIGN}])")
 BATCH_BYTES = 128 << 10
+#: A worker forgets its pieces when they are more than this many, or have more characters than this.
 CACHED_PIECES = 400_000
+CACHED_CHARS = 1 << 24
 
 
 def balanced(pieces: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
@@ -63,12 +65,17 @@ def counter(model: str):
     if any(SPACE_SIGN in sp.id_to_piece(i).lstrip(SPACE_SIGN) for i in range(sp.get_piece_size())):
         raise ValueError("this vocabulary joins words; texts can't be cut at spaces")
     known: dict[str, int] = {}
+    held = 0
 
     def count(texts: list[str]) -> np.ndarray:
+        nonlocal held
         pieces = [cut(t) for t in texts]
-        if len(known) > CACHED_PIECES:
+        if len(known) > CACHED_PIECES or held > CACHED_CHARS:
             known.clear()
-        for batch in balanced(list({p for ps in pieces for p in ps} - known.keys())):
+            held = 0
+        missing = list({p for ps in pieces for p in ps} - known.keys())
+        held += sum(map(len, missing))
+        for batch in balanced(missing):
             known.update(zip(batch, map(len, sp.encode(batch, num_threads=1))))
         get = known.__getitem__
         return np.array([sum(map(get, ps)) for ps in pieces], dtype=np.int64)

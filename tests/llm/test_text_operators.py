@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import inspect
 import os
 import zlib
 
@@ -11,6 +12,7 @@ import pytest
 from corpus_helpers import empty, odd_documents, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from staffline.llm import bpe, planes, tokencount
 
@@ -53,6 +55,35 @@ def test_long_pieces_follow_the_same_rule(reference, text):
     assert ids.tolist() == reference["bpe"].encode_ordinary(text)
 
 
+def test_workers_keep_a_bounded_number_of_characters(reference, monkeypatch):
+    for module in (bpe, planes, tokencount):
+        monkeypatch.setattr(module, "CACHED_CHARS", 20_000)
+    coder, encode, count = bpe.ByteBpe(RANKS, P.PATTERN), planes.word_encoder.__wrapped__(WORDS), tokencount.counter.__wrapped__(MODEL)
+    for i in range(30):
+        texts = [f"{i}é" * 1500, "a short one", f"b{i} " * 3]
+        ids, _ = coder.encode(texts)
+        assert ids.tolist() == sum((reference["bpe"].encode_ordinary(t) for t in texts), [])
+        assert sum(map(len, coder.first)) + sum(map(len, coder.known)) <= 20_000 + sum(map(len, texts)) + 3 and len(coder.pool) < 60_000
+        assert encode(texts)[0].tolist() == sum((reference["words"].encode(t, add_special_tokens=False).ids for t in texts), [])
+        assert count(texts).tolist() == [len(x) for x in reference["pieces"].encode(texts)]
+        known = inspect.getclosurevars(count).nonlocals["known"]
+        pools = inspect.getclosurevars(encode).nonlocals["pools"]
+        for names in (known, pools["words"].number, pools["stems"].number):
+            assert sum(map(len, names)) <= 20_000 + sum(map(len, texts)), i
+
+
+def test_id_files_end_after_so_many_documents(spark):
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a word").alias("text")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        manifest = planes.write_planes(docs, WORDS, 1, file_docs=300)
+        assert manifest.agg(F.sum("n_docs")).first()[0] == 2500 and manifest.agg(F.max("n_docs")).first()[0] <= 300 + 100
+        got = planes.read_planes(manifest, docs.schema["doc_id"].dataType).orderBy("start").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r.doc_id for r in got] == list(range(2500)) and [r.n_tokens for r in got] == [3 if i % 3 == 0 else 1 for i in range(2500)]
+
+
 def test_the_pair_table_finds_what_was_put_and_nothing_else():
     rng = np.random.default_rng(1)
     pairs = np.unique(rng.integers(0, 300, (4000, 2)), axis=0)
