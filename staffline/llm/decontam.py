@@ -4,7 +4,7 @@ Test items are cut into windows of consecutive words. The terms of the test set
 window leads with its rarest terms, and the index stores the postings of those lead terms: term, document, position and
 the words around it. A window's lists are shifted by the terms' offsets and intersected from the rarest on; what
 is left at one start is compared word by word with the words around the posting, which gives exact phrases, and
-what is left at nearby starts gives proximity matches.
+starts that lie close together give proximity matches.
 
 All of it is built-in functions. Lists of the test set are broadcast below ``BROADCAST_ROWS`` rows; above that Spark joins them by
 shuffling. A term that fills the corpus is no hot key: postings meet the windows where they are read.
@@ -78,14 +78,19 @@ def corpus_frequency(docs: DataFrame, terms: DataFrame, id_col: str, text_col: s
 
 def build_index(
     docs: DataFrame, items: DataFrame, size: int = WINDOW, leads: int = LEADS,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", near: bool = False,
 ) -> Index:
-    """Choose the lead terms of every window and store their postings in the shared folder."""
+    """Choose the lead terms of every window and store their postings in the shared folder.
+
+    ``near`` keeps windows with terms that the corpus lacks, led by the terms it has: no phrase, but a near match.
+    """
     cut = durable(windows(items, size, item_col, item_text), "windows")
     terms = durable(cut.select(F.explode("phrase").alias("term")).distinct(), "terms")
     frequency = durable(corpus_frequency(docs, terms, id_col, text_col), "frequency")
     each = cut.select("window", "length", F.posexplode("phrase").alias("offset", "term")).join(frequency, "term")
     once = each.groupBy("window", "length", "term").agg(F.min("frequency").alias("frequency"), F.min("offset").alias("offset"))
+    if near:
+        once = once.where(F.col("frequency") > 0)
     order = Window.partitionBy("window").orderBy("frequency", "offset")
     chosen = once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leads)
     # A window with a term that the corpus lacks occurs nowhere.
@@ -127,14 +132,28 @@ def exact_matches(index: Index, leads: int = LEADS) -> DataFrame:
     )
 
 
-def proximity_matches(index: Index, slop: int = 5) -> DataFrame:
-    """(window, doc, start, gap): places where the two rarest terms of a window are within ``slop`` words of their distance."""
-    one, two = _lists(index, 1).select("window", "doc", "text_key", "start"), _lists(index, 2).select("window", "doc", "text_key", "start")
-    # A start meets its own stretch of ``slop`` words and the two beside it.
-    near = two.select("window", F.col("doc").alias("doc_2"), "text_key", F.col("start").alias("start_2"), F.explode(F.array(*[F.floor(F.col("start") / slop) + d for d in (-1, 0, 1)])).alias("stretch"))
-    one = one.withColumn("stretch", F.floor(F.col("start") / slop))
-    met = one.join(near, ["window", "text_key", "stretch"]).where(F.col("doc").eqNullSafe(F.col("doc_2")) & (F.abs(F.col("start_2") - F.col("start")) <= slop))
-    return met.groupBy("window", "doc", "text_key", "start").agg(F.min(F.abs(F.col("start_2") - F.col("start"))).alias("gap")).drop("text_key")
+def proximity_matches(index: Index, slop: int = 5, least: int = 2) -> DataFrame:
+    """(window, doc, text_key, start, n_terms, gap): places where most of a window's lead terms stand about as in the window.
+
+    A lead's posting, shifted by its offset, names a start of the window. A row is a start at which at least ``least`` leads name a
+    start within ``slop`` words, itself included; ``n_terms`` counts these leads and ``gap`` is the greatest of their
+    least distances. So words may be replaced, inserted or left out between the leads. Take more ``leads`` in ``build_index``
+    to find windows of which one lead was replaced, and ``near`` for those with terms that the corpus lacks. A window
+    with fewer leads than ``least`` has no near match. Repeated rows count once; null ids are kept.
+    """
+    if slop < 1:
+        raise ValueError("slop must be at least 1")
+    lead = index.leads.select("window", "term", "offset", "place")
+    spots = index.postings.join(bounded(lead), "term").select("window", "doc", "text_key", "place", (F.col("pos") - F.col("offset")).alias("start")).distinct()
+    same = ["window", "doc", "text_key", "start"]
+    # A start meets its own stretch of ``slop`` words and the two beside it: few rows, however long the document.
+    stretch = F.floor(F.col("start") / slop)
+    one = spots.select(*same).distinct().withColumn("stretch", stretch)
+    near = spots.select("window", F.col("doc").alias("doc_2"), "text_key", "place", F.col("start").alias("start_2"), F.explode(F.array(*[stretch + d for d in (-1, 0, 1)])).alias("stretch"))
+    away = F.abs(F.col("start_2") - F.col("start"))
+    met = one.join(near, ["window", "text_key", "stretch"]).where(F.col("doc").eqNullSafe(F.col("doc_2")) & (away <= slop))
+    nearest = met.groupBy(*same, "place").agg(F.min(away).alias("gap"))
+    return nearest.groupBy(*same).agg(F.count(F.lit(1)).alias("n_terms"), F.max("gap").alias("gap")).where(F.col("n_terms") >= least)
 
 
 def contamination(

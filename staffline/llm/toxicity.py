@@ -142,14 +142,14 @@ def fit(
 ) -> Model:
     """Train on a bounded sample of labelled documents (``max_toxic`` and ``max_clean``).
 
-    Equal texts count once. Spark finds the words and beginnings of words whose document frequencies differ most, and by at least
+    Equal texts count once, and not at all if their labels differ. Spark finds the words and beginnings of words whose document frequencies differ most, and by at least
     ``LEAST_GAP`` standard errors, between the classes (at most ``max_words``) and turns the sample into
     sentences of feature numbers; these bounded arrays are fitted on the driver. Without documents of both classes the model has no
     weights and scores every document 0.
     """
     sample = labelled_sample(labels.select(id_col, label), label, id_col, max_toxic, max_clean)
-    texts = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(sample), id_col).select(id_col, text_col, "label").dropDuplicates([text_col])
-    texts = texts.persist()
+    texts = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(sample), id_col).groupBy(text_col).agg(F.min("label").alias("label"), F.max("label").alias("_most"))
+    texts = texts.where("label = _most").drop("_most").persist()
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model({}, -50.0)
@@ -169,17 +169,19 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, y, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 bags = [[number[f] for w in re.findall(WORD, s) for f in features(w) if f in number] for s in SENTENCE.findall(text.lower()) if re.search(WORD, s)]
                 full = [b for b in bags if b]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([y], pa.int32()), pa.array([len(bags)], pa.int32()), pa.array([[x for b in full for x in b]], pa.list_(pa.int32())), pa.array([[len(b) for b in full]], pa.list_(pa.int32()))],
-                    names=["label", "n_sentences", "words", "lengths"],
+                    [pa.array([y], pa.int32()), pa.array([len(bags)], pa.int32()), pa.array([[x for b in full for x in b]], pa.list_(pa.int32())), pa.array([[len(b) for b in full]], pa.list_(pa.int32())), pa.array([key], pa.int64())],
+                    names=["label", "n_sentences", "words", "lengths", "key"],
                 )
 
-    bags = texts.select(text_col, F.col("label").cast("int")).mapInArrow(run, "label int, n_sentences int, words array<int>, lengths array<int>").toArrow()
+    keyed = texts.select(text_col, F.col("label").cast("int"), F.xxhash64(text_col))
+    bags = keyed.mapInArrow(run, "label int, n_sentences int, words array<int>, lengths array<int>, key long").toArrow()
     texts.unpersist()
-    return _train(bags, vocabulary, start, rounds)
+    # Sums follow the order of rows, which must not follow that of partitions.
+    return _train(bags.sort_by("key"), vocabulary, start, rounds)
 
 
 def _train(bags: pa.Table, vocabulary: list[str], start: np.ndarray, rounds: int, l1: float = 1e-4, rate: float = 0.1) -> Model:

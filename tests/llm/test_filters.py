@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -205,6 +206,15 @@ def test_toxicity_of_odd_documents(spark):
     assert toxicity.toxicity(empty(docs), marks).count() == 0
 
 
+def test_equal_texts_with_unlike_labels_teach_nothing(spark):
+    train, marks = toxic_corpus(spark)
+    torn = spark.createDataFrame([(900 + i, "you are vileax. torn words", 5) for i in range(40)], "doc_id BIGINT, text STRING, label INT")
+    both = train.withColumn("label", F.lit(0)).unionByName(torn)
+    more = marks.unionByName(labels(spark, [(900 + i, 1, i % 2) for i in range(40)]))
+    model = toxicity.fit(train, marks)
+    assert toxicity.fit(both.repartition(7), more) == model == toxicity.fit(both.orderBy(F.desc("doc_id")), more)
+
+
 # -- decontamination -------------------------------------------------------------------------------
 
 def plain_contamination(docs, items, size=10):
@@ -245,10 +255,53 @@ def test_contamination_of_odd_documents(spark):
     assert decontam.contamination(empty(docs), bench).count() == 0
 
 
-def test_proximity_finds_loose_quotes(spark):
+def plain_proximity(docs, items, leads, slop, least, near, size=10):
+    texts = set(docs)  # documents of one id with other texts have rows of their own
+    count = Counter(w for _, t in docs for w in PLAIN.findall(t or ""))
+    out = []
+    for phrase in {tuple(w[i : i + size]) for w in map(PLAIN.findall, items) for i in range(max(1, len(w) - size + 1))}:
+        if not near and any(not count[w] for w in phrase):
+            continue
+        own = sorted((count[w], phrase.index(w), w) for w in set(phrase) if count[w])[:leads]
+        for doc, text in texts:
+            starts = {w: [p - o for p, x in enumerate(PLAIN.findall(text or "")) if x == w] for _, o, w in own}
+            for s in {s for found in starts.values() for s in found}:
+                gaps = [min(abs(s - t) for t in found) for found in starts.values() if found]
+                gaps = [g for g in gaps if g <= slop]
+                if len(gaps) >= least:
+                    out.append((" ".join(phrase), doc, s, len(gaps), max(gaps)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("leads", "slop", "least", "near"), [(2, 5, 2, False), (4, 3, 3, True), (3, 1, 2, True)])
+def test_proximity_equals_brute_force(spark, leads, slop, least, near):
+    rng = random.Random(leads)
+    quote = [f"q{k}" for k in range(12)]
+    docs = [(None, " ".join(quote)), (None, " ".join(quote)), (1, None), (2, "")]
+    for i in range(60):
+        said = list(quote)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(said))
+            said[at : at + rng.randrange(2)] = ["um"] * rng.randrange(4)
+        docs.append((i % 50, " ".join(["pad"] * rng.randrange(300) + said + ["q3", "pad", "q7"] * rng.randrange(3))))
+    items = [" ".join(quote), " ".join([*quote[:5], "unheard", *quote[5:]]), "q3 q7", "unheard", ""]
+    table = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    index = decontam.build_index(table, spark.createDataFrame(list(enumerate(items)), "item_id BIGINT, text STRING"), leads=leads, near=near)
+    found = decontam.proximity_matches(index, slop, least).join(index.windows, "window").select(F.array_join("phrase", " "), "doc", "start", "n_terms", "gap")
+    want = plain_proximity(docs, items, leads, slop, least, near)
+    assert sorted(map(tuple, found.collect()), key=repr) == want
+    assert any("unheard" in w[0] for w in want) == near
+    exact = {r.doc for r in decontam.exact_matches(index, leads).collect()}
+    assert exact == {d for d, t in docs if t and " ".join(quote[:10]) in t or t and " ".join(quote[1:11]) in t or t and " ".join(quote[2:]) in t or t and "q3 q7" in t}
+
+
+def test_proximity_finds_loose_quotes_and_no_far_ones(spark):
     phrase = " ".join(f"q{k}" for k in range(10))
     docs = spark.createDataFrame([(1, phrase), (2, phrase.replace("q1 ", "q1 um um ")), (3, phrase.replace("q1 ", "q1 " + "um " * 30))], "doc_id BIGINT, text STRING")
     items = spark.createDataFrame([(1, phrase)], "item_id BIGINT, text STRING")
     index = decontam.build_index(docs.unionByName(docs.withColumn("text", F.lit("q2 q3 q4 q5 q6 q7 q8 q9"))), items)
     assert {r.doc for r in decontam.exact_matches(index).collect()} == {1}
-    assert {r.doc for r in decontam.proximity_matches(index).collect()} >= {1}
+    # The two rarest words are q0 and q1, which stand together in all three.
+    assert {(r.doc, r.gap) for r in decontam.proximity_matches(index).collect()} == {(1, 0), (2, 0), (3, 0)}
+    wide = decontam.build_index(docs, items, leads=10)
+    assert {(r.doc, r.n_terms) for r in decontam.proximity_matches(wide, least=9).collect()} == {(1, 10), (2, 10)}
