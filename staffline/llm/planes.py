@@ -16,9 +16,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,6 +175,20 @@ def stem_and_tail(word: str) -> tuple[str, str]:
     return (stem.lower() if stem.isascii() else stem), tail
 
 
+def stems_and_tails(words: list[str]) -> tuple[list[str], list[str]]:
+    """``stem_and_tail`` of every word, of ASCII words in one go."""
+    column = pa.array(words, pa.large_string())
+    ascii_only = pc.string_is_ascii(column)
+    bare = pc.utf8_rtrim(column, characters=TAIL_MARKS)
+    special = pc.match_substring(column, "<|")
+    parted = pc.and_not(pc.match_substring_regex(bare, "[A-Za-z]$"), special)
+    stems = pc.if_else(special, column, pc.ascii_lower(pc.if_else(parted, bare, column))).to_pylist()
+    tails = [w[len(s) :] if len(s) < len(w) else "" for w, s in zip(words, stems)]
+    for i in np.flatnonzero(~np.asarray(ascii_only)).tolist():
+        stems[i], tails[i] = stem_and_tail(words[i])
+    return stems, tails
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str):
     """Function from texts to (ids one after the other, counts).
@@ -212,30 +228,35 @@ def word_encoder(path: str):
             part = words[i : i + 20_000]
             found = [e.ids for e in coder.encode_batch_fast(part, add_special_tokens=False)]
             lengths = np.array([len(x) for x in found], dtype=np.int64)
-            pools["stems"].add(part, np.array([y for x in found for y in x], dtype=np.int64), lengths)
+            pools["stems"].add(part, np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(lengths.sum())), lengths)
 
     def learn(words: list[str]) -> None:
         if pools["stems"].full():
             pools["stems"] = Pool()
         stems = pools["stems"]
-        pairs = [x for w in words for x in stem_and_tail(w)]
-        missing = set(pairs) - stems.number.keys()
+        heads, tails = stems_and_tails(words)
+        missing = {*heads, *tails} - stems.number.keys()
         letters = [x for x in missing if x.isalpha()] if word_end.any() else []
         add_joined(letters)
         add_each([x for x in missing if x not in stems.number])
-        used = stems.numbers(pairs)
-        pools["words"].add(words, stems.take(used), stems.lengths[used].reshape(-1, 2).sum(axis=1))
+        used = np.zeros((len(words), 2), dtype=np.int64)
+        used[:, 0] = stems.numbers(heads)
+        tailed = [i for i, x in enumerate(tails) if x]
+        used[tailed, 1] = stems.numbers([tails[i] for i in tailed])
+        pools["words"].add(words, stems.take(used.ravel()), stems.lengths[used].sum(axis=1))
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if pools["words"].full():
             pools["words"] = Pool()
-        pool, words = pools["words"], " ".join(texts).split(" ")
-        missing = list(set(words) - pool.number.keys())
+        pool, lists = pools["words"], pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words = pc.list_flatten(lists).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        missing = [w for w in distinct if w not in pool.number]
         if missing:
             learn(missing)
-        used = pool.numbers(words)
+        used = pool.numbers(distinct)[np.asarray(words.indices)]
         ends = np.concatenate([[0], np.cumsum(pool.lengths[used])])
-        cuts = np.cumsum([0] + [t.count(" ") + 1 for t in texts])
+        cuts = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
         return pool.take(used), np.diff(ends[cuts])
 
     return encode
