@@ -10,6 +10,7 @@ plane: ``velocity_only`` repeats one plane three times and stores it once.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,15 +92,18 @@ def resize(
 ) -> DataFrame:
     """Resample to ``target`` (height, width): bilinear, nearest, bicubic or area.
 
-    A stored pixel is spread over the target pixels that read it (the weight tables
-    are constants of the plan), then summed per target; the frame stays by bar.
+    Along an axis that shrinks a stored pixel is spread over the target pixels that read it (the weight tables
+    are constants of the plan), then summed per target. Along one that grows the targets read from arrays, see ``_enlarge``.
+    The frame stays by bar.
     """
     taps.taps(1, 1, method)
     if min(*source, *target) <= 0:
         raise ValueError("sizes must be positive")
-    out = pixels
+    out, sizes = pixels, {"row": source[0], "col": source[1]}
     for axis, n_in, n_out in (("row", source[0], target[0]), ("col", source[1], target[1])):
-        if n_in == n_out:
+        if n_in >= n_out:
+            sizes[axis] = n_out
+        if n_in <= n_out:
             continue
         other = "col" if axis == "row" else "row"
         out = (
@@ -110,9 +114,50 @@ def resize(
             .groupBy(*BAR, "channel", "copies", other, F.col("t.to").alias(axis))
             .agg(F.sum(F.col("level") * F.col("t.w")).alias("level"))
         )
+    if (sizes["row"], sizes["col"]) != target:
+        out = _enlarge(out, (sizes["row"], sizes["col"]), target, method)
     return out.select(*BAR, "channel", "copies", "row", "col", "level")
 
 
+def _weighted(values: Sequence[Column], weights: Sequence[Column | float]) -> Column:
+    """The weighted sum of the values that are there; null if none is."""
+    terms = [F.coalesce(v, F.lit(0.0)) * w for v, w in zip(values, weights)]
+    return F.when(F.coalesce(*values).isNotNull(), reduce(lambda a, b: a + b, terms))
+
+
+def _enlarge(pixels: DataFrame, source: tuple[int, int], target: tuple[int, int], method: str) -> DataFrame:
+    """Resample where no axis shrinks, without grouping the many target pixels.
+
+    Stored pixels become lines with a null where there is none, lines are resampled as arrays, and each target line reads its
+    few source lines side by side. A target has a row if any stored pixel reaches it.
+    """
+    image = [*BAR, "channel", "copies"]
+    inside = F.col("row").between(0, source[0] - 1) & F.col("col").between(0, source[1] - 1)
+    stored = pixels.where(inside).groupBy(*image, "row", "col").agg(F.sum("level").alias("level"))
+    lines = stored.groupBy(*image, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "level"))).alias("m"))
+    lines = lines.select(*image, "row", F.transform(F.sequence(F.lit(0), F.lit(source[1] - 1)), lambda c: F.try_element_at("m", c)).alias("v"))
+    if source[1] != target[1]:
+        read = [_weighted([F.get("v", F.lit(j)) for j in w], list(w.values())) for w in taps.taps(source[1], target[1], method)]
+        lines = lines.select(*image, "row", F.array(*read).alias("v"))
+    images = lines.groupBy(*image).agg(F.map_from_entries(F.collect_list(F.struct("row", "v"))).alias("m"))
+    images = images.select(*image, F.transform(F.sequence(F.lit(0), F.lit(source[0] - 1)), lambda r: F.try_element_at("m", r)).alias("lines"))
+    rows = [{i: 1.0} for i in range(target[0])] if source[0] == target[0] else taps.taps(source[0], target[0], method)
+    most = max(map(len, rows))
+    blank = F.array().cast("array<double>")
+    reads = []
+    for i, weights in enumerate(rows):
+        pairs = [(F.coalesce(F.get("lines", F.lit(j)), blank), F.lit(w)) for j, w in weights.items()]
+        pairs += [(blank, F.lit(0.0))] * (most - len(pairs))
+        parts = [c.alias(f"{n}{k}") for k, pair in enumerate(pairs) for n, c in zip("vw", pair)]
+        reads.append(F.struct(F.lit(i).alias("row"), *parts))
+    wide = images.select(*image, F.inline(F.array(*reads)))
+    zipped = wide.select(
+        *image, "row", *[f"w{k}" for k in range(most)], F.posexplode(F.arrays_zip(*[f"v{k}" for k in range(most)])).alias("col", "z")
+    )
+    level = _weighted([F.col(f"z.v{k}") for k in range(most)], [F.col(f"w{k}") for k in range(most)])
+    return zipped.select(*image, "row", "col", level.alias("level")).where("level IS NOT NULL")
+
+
 def pad(pixels: DataFrame, source: tuple[int, int], size: int) -> DataFrame:
     """Centre on a size x size background; an odd remainder goes right and to the bottom."""
     height, width = source
