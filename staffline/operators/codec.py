@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffline.keys import BAR, PITCHES, STEPS
-from staffline.operators.layout import by_bar
 from staffline.operators.render import resize, to_range
 
 POOL = (16, 16)
@@ -97,15 +96,18 @@ def noisy_plane(
     """Every pixel of a plane plus hashed Gaussian noise, clamped to the value range.
 
     ``scale`` is in pixel values of [-1, 1]. Noise reaches the background too, so the
-    result is dense: height * width positions per bar, generated next to the bar's rows.
+    result is dense: height * width positions per bar, read off the bar's lines.
     """
-    bars = by_bar(plane.select(*BAR).distinct())
-    grid = bars.select(*BAR, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("row")).select(
-        *BAR, "row", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("step"), F.lit(0.0).alias("value")
-    )
-    full = grid.unionByName(plane.select(*BAR, "row", "step", "value")).groupBy(*BAR, "row", "step").agg(
-        F.sum("value").alias("value")
-    )
+    row = [*BAR, "row"]
+    stored = plane.groupBy(*row, "step").agg(F.sum("value").alias("value"))
+    lines = stored.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("step", "value"))).alias("m"))
+    level = lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))
+    lines = lines.select(*row, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), level).alias("values"))
+    # The lines of a bar side by side, blank ones included, then their positions: the dense rows are never grouped.
+    bars = lines.groupBy(*BAR).agg(F.map_from_entries(F.collect_list(F.struct("row", "values"))).alias("m"))
+    blank = F.array_repeat(F.lit(0.0), width)
+    every = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.coalesce(F.try_element_at("m", r), blank))
+    full = bars.select(*BAR, F.posexplode(every).alias("row", "values")).select(*row, F.posexplode("values").alias("step", "value"))
     noise = hashed_normal(seed, *[F.col(c) for c in (*BAR, "row", "step")]) * (scale / 2.0)
     level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") + noise))
     return full.withColumn("value", level).filter("value > 0")
