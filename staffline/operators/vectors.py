@@ -22,6 +22,8 @@ from staffline.functions import vectors as V
 from staffline.operators.numbering import durable, exact_fraction, exact_sample, sequence_next
 
 PROBE_TRAIN = 0.8
+#: Most rows and most numbers of a tile of vectors, and the tiles that give enough tasks.
+TILE_ROWS, TILE_NUMBERS, MIN_TILES = 1 << 16, 1 << 23, 8
 
 
 def doubles(column: str) -> Column:
@@ -198,47 +200,72 @@ def dominant_pitch_label(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     return best.select(*keys, ((127 - F.col("c") % 128) % 12).cast("int").alias("label"))
 
 
-def class_distances(df: DataFrame, keys: Sequence[str], label: str, z: str = "z", tile: int = 2048) -> DataFrame:
-    """(uid, own, other, n, s): number and sum of Euclidean distances from each row to all other rows of each class.
+def class_distances(df: DataFrame, keys: Sequence[str], label: str, z: str = "z", tile: int = TILE_ROWS) -> DataFrame:
+    """(uid, own, w, other, n, s): number and sum of Euclidean distances from a row of class ``own`` to all other rows of each class.
 
-    Exact and over all pairs, which is quadratic work, done in tiles: rows are dealt to tiles of about ``tile`` rows, every two
-    tiles meet in a task of their own as two matrices, and only sums per row and class leave it. A row is copied
-    once per tile, no pair is ever a row, and nothing is broadcast.
+    Rows of one vector and class have equal distances, so they are one row here, ``w`` says how many. Exact and over all pairs of distinct
+    vectors, which is quadratic work, done in tiles: vectors are dealt to at least ``MIN_TILES`` tiles (one per 2,048 where there are fewer) of at most
+    ``tile`` rows and ``TILE_NUMBERS`` numbers, every two tiles meet once in a task of their own as two matrices, and only sums per vector and
+    class leave it. A vector is copied once per tile, no pair is ever a row, and nothing is broadcast.
     """
     rows = df.select(F.col(label).cast("string").alias("label"), doubles(z).alias("z")).where(F.col("z").isNotNull() & F.col("label").isNotNull())
-    rows = durable(rows.withColumn("uid", F.monotonically_increasing_id()))
-    tiles = max(1, -(-rows.count() // tile))
-    placed = rows.withColumn("t", F.pmod(F.xxhash64("uid"), F.lit(tiles)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = placed.select(F.col("t").alias("a"), every.alias("b"), "uid", "label", "z").groupBy("a", "b")
-    right = placed.select(every.alias("a"), F.col("t").alias("b"), "uid", "label", "z").groupBy("a", "b")
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    counts = rows.groupBy("z", "label").agg(F.count(F.lit(1)).alias("w"))
+    members = F.sort_array(F.collect_list(F.struct("label", "w")))
+    own = counts.groupBy("z").agg(members.alias("m")).select(
+        "z", F.transform("m", lambda m: m["label"]).alias("labels"), F.transform("m", lambda m: m["w"]).alias("ws")
+    )
+    own = durable(own.withColumn("uid", F.monotonically_increasing_id()))
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("z")).alias("d")).first()
+    most = max(1, min(tile, TILE_NUMBERS // max(1, size["d"] or 1)))
+    tiles = max(1, -(-size["n"] // most), min(MIN_TILES, -(-size["n"] // 2048)))
+    placed = own.withColumn("t", F.pmod(F.xxhash64("uid"), F.lit(tiles)).cast("int"))
+    part = ["uid", "labels", "ws", "z"]
+    left = placed.select(F.col("t").alias("a"), F.explode(F.sequence("t", F.lit(tiles - 1))).alias("b"), *part).groupBy("a", "b")
+    right = placed.where("t > 0").select(F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("a"), F.col("t").alias("b"), *part).groupBy("a", "b")
+
+    def member(y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Classes, and how many rows of each a vector stands for."""
+        names, codes = np.unique(np.concatenate(y["labels"].to_numpy()).astype(str), return_inverse=True)
+        out = np.zeros((len(y), len(names)))
+        out[np.repeat(np.arange(len(y)), y["labels"].map(len)), codes] = np.concatenate(y["ws"].to_numpy())
+        return names, out
+
+    def table(uid: np.ndarray, names: np.ndarray, there: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({
+            "uid": np.repeat(uid, len(names)), "other": np.tile(names, len(uid)), "n": np.tile(there.sum(0).astype(np.int64), len(uid)), "s": sums.reshape(-1),
+        })
+
+    def meet(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        same = key[0] == key[1]
+        y = x if same else y
         if x.empty or y.empty:
-            return pd.DataFrame({"uid": [], "own": [], "other": [], "n": [], "s": []})
-        there = np.stack(y["z"].to_numpy())
-        names, codes = np.unique(y["label"].to_numpy(dtype=str), return_inverse=True)
-        member, square = np.eye(len(names))[codes], (there**2).sum(1)
-        parts = []
-        for start in range(0, len(x), 512):
-            some = x.iloc[start : start + 512]
-            here = np.stack(some["z"].to_numpy())
-            gap = np.sqrt(np.maximum((here**2).sum(1)[:, None] + square - 2 * here @ there.T, 0.0))
-            self_ = some["uid"].to_numpy()[:, None] == y["uid"].to_numpy()[None]
-            gap[self_] = 0.0
-            n, s = member.sum(0)[None] - self_ @ member, gap @ member
-            parts.append(pd.DataFrame({
-                "uid": np.repeat(some["uid"].to_numpy(), len(names)), "own": np.repeat(some["label"].to_numpy(), len(names)),
-                "other": np.tile(names, len(some)), "n": n.reshape(-1).astype(np.int64), "s": s.reshape(-1),
-            }))
-        return pd.concat(parts)
-
-    sums = left.cogroup(right).applyInPandas(meet, "uid bigint, own string, other string, n bigint, s double")
-    return sums.groupBy("uid", "own", "other").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+            return pd.DataFrame({"uid": [], "other": [], "n": [], "s": []})
+        here, there = np.stack(x["z"].to_numpy()), np.stack(y["z"].to_numpy())
+        (names, count), (x_names, x_count) = member(y), member(x)
+        square, sums, back = (there**2).sum(1), np.empty((len(x), len(names))), np.zeros((len(y), len(x_names)))
+        for start in range(0, len(x), 128):
+            some = slice(start, start + 128)
+            gap = np.matmul(here[some], there.T)
+            gap *= -2
+            gap += square
+            gap += (here[some] ** 2).sum(1)[:, None]
+            np.sqrt(np.maximum(gap, 0.0, out=gap), out=gap)
+            if same:
+                gap[np.arange(len(gap)), np.arange(start, start + len(gap))] = 0.0
+            sums[some] = gap @ count
+            if not same:
+                back += gap.T @ x_count[some]
+        out = table(x["uid"].to_numpy(), names, count, sums)
+        return out if same else pd.concat([out, table(y["uid"].to_numpy(), x_names, x_count, back)])
+
+    sums = left.cogroup(right).applyInPandas(meet, "uid bigint, other string, n bigint, s double")
+    sums = sums.groupBy("uid", "other").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    classes = own.select("uid", F.explode(F.arrays_zip("labels", "ws")).alias("m")).select("uid", F.col("m.labels").alias("own"), F.col("m.ws").alias("w"))
+    return classes.join(sums, "uid").select("uid", "own", "w", "other", (F.col("n") - (F.col("own") == F.col("other")).cast("bigint")).alias("n"), "s")
 
 
 def silhouette(
-    df: DataFrame, keys: Sequence[str], label: str, z: str = "z", *, rows: int | None = None, seed: int = 42, tile: int = 2048
+    df: DataFrame, keys: Sequence[str], label: str, z: str = "z", *, rows: int | None = None, seed: int = 42, tile: int = TILE_ROWS
 ) -> DataFrame:
     """Euclidean silhouette of all rows, or of a seeded sample of at most ``rows``, from exact distances.
 
@@ -247,11 +274,11 @@ def silhouette(
     chosen = df if rows is None else exact_sample(df.select(*keys, label, z), rows, keys, seed=seed)
     own = F.col("own") == F.col("other")
     each = class_distances(chosen, keys, label, z, tile).groupBy("uid", "own").agg(
-        F.max(F.when(own & (F.col("n") > 0), F.col("s") / F.col("n"))).alias("inner"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("outer")
+        F.max("w").alias("w"), F.max(F.when(own & (F.col("n") > 0), F.col("s") / F.col("n"))).alias("inner"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("outer")
     )
     top = F.greatest("inner", "outer")
     score = F.when(F.col("inner").isNull() | (top <= 0), 0.0).otherwise((F.col("outer") - F.col("inner")) / top)
-    out = each.agg(F.avg(score).alias("v"), F.count(F.lit(1)).alias("n"), F.count_distinct("own").alias("k"))
+    out = each.agg((F.sum(score * F.col("w")) / F.sum("w")).alias("v"), F.sum("w").alias("n"), F.count_distinct("own").alias("k"))
     return out.select(F.when((F.col("n") >= 4) & (F.col("k") >= 2), F.col("v")).otherwise(float("nan")).alias("silhouette_score"))
 
 
@@ -341,16 +368,16 @@ def self_similarity(df: DataFrame, by: Sequence[str], z: str = "z") -> DataFrame
     )
 
 
-def disentanglement(df: DataFrame, keys: Sequence[str], label: str, z: str = "z", tile: int = 2048) -> DataFrame:
+def disentanglement(df: DataFrame, keys: Sequence[str], label: str, z: str = "z", tile: int = TILE_ROWS) -> DataFrame:
     """(inter - intra) / inter, the mean distances over all pairs of one label and of two labels.
 
     NaN with fewer than four rows, one class, no pair of one class, or no inter-class distance.
     """
     own = F.col("own") == F.col("other")
-    part = lambda c, which: F.sum(F.when(which, F.col(c)))
+    part = lambda c, which: F.sum(F.when(which, F.col(c) * F.col("w")))
     sums = class_distances(df, keys, label, z, tile).agg(
         F.try_divide(part("s", own), part("n", own)).alias("intra"), F.try_divide(part("s", ~own), part("n", ~own)).alias("inter"),
-        F.count_distinct("uid").alias("rows"),
+        F.sum(F.when(own, F.col("w"))).alias("rows"),
     )
     ok = (F.col("rows") >= 4) & F.col("intra").isNotNull() & (F.col("inter") >= 1e-10)
     nan = F.lit(float("nan"))
