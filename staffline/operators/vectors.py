@@ -343,19 +343,38 @@ def self_similarity(df: DataFrame, by: Sequence[str], z: str = "z") -> DataFrame
 
     With unit vectors u and G = sum u u': the sum of cosines over ordered pairs is
     |sum u|^2 - n', the sum of their squares is |G|^2 - n', n' counting the non-zero
-    vectors. Linear in the rows. Sums don't ask for an order, so a sequence is cut by the partitions
-    in which its rows lie, and a hot one stays spread over tasks.
+    vectors. Linear in the rows. Where a batch has more than D vectors of one sequence they travel as the D rows of
+    their QR factor, which have the same G, so a hot sequence sends D rows per batch; a short one sends its
+    own vectors, and |G| is taken from the smaller of the two Gram matrices. G itself never leaves a task.
     """
-    cut = F.spark_partition_id().alias("_split")
-    rows = df.select(*by, V.unit(doubles(z)).alias("u"), cut)
-    sums = rows.select(*by, F.posexplode("u").alias("i", "v")).groupBy(*by, "i").agg(F.sum("v").alias("s"))
-    mean_part = sums.groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
-    sizes = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(V.norm(F.col("u")) > 0.5, 1).otherwise(0)).alias("nz")
-    )
-    square = gram(rows, by, "u", ["_split"]).groupBy(*by).agg(F.sum(F.col("v") * F.col("v")).alias("gg"))
+    rows = df.select(*by, V.unit(doubles(z)).alias("u")).where("u IS NOT NULL")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
     keys = list(by)
-    joined = sizes.join(mean_part, keys).join(square, keys)
+
+    def pack(batches):
+        for pdf in batches:
+            live = pdf["u"].map(lambda u: float(u @ u) > 0.25).astype("int64")
+            out = pdf.assign(s=pdf["u"], n=1, nz=live)
+            width = len(pdf["u"].iloc[0]) if len(pdf) else 0
+            many = out.groupby(keys, sort=False, dropna=False)["n"].transform("size") > width
+            yield out[~many]
+            for _, g in out[many].groupby(keys, sort=False, dropna=False):
+                x = np.stack(g["u"].to_numpy())
+                few = g.iloc[:width].copy()
+                few["u"] = list(np.linalg.qr(x, mode="r"))
+                few["s"] = [x.sum(0)] + [np.zeros(width)] * (width - 1)
+                few["n"] = [len(g)] + [0] * (width - 1)
+                few["nz"] = [int(g["nz"].sum())] + [0] * (width - 1)
+                yield few
+
+    def whole(pdf):
+        u, total = np.stack(pdf["u"].to_numpy()), np.stack(pdf["s"].to_numpy()).sum(0)
+        square = u @ u.T if len(u) <= u.shape[1] else u.T @ u
+        out = pdf.iloc[:1][keys].copy()
+        return out.assign(n=pdf["n"].sum(), nz=pdf["nz"].sum(), ss=float(total @ total), gg=float((square**2).sum()))
+
+    packed = rows.mapInPandas(pack, f"{kinds}, u array<double>, s array<double>, n bigint, nz bigint")
+    joined = packed.groupBy(*by).applyInPandas(whole, f"{kinds}, n bigint, nz bigint, ss double, gg double")
     pairs = F.col("n") * (F.col("n") - 1)
     mean = F.try_divide(F.col("ss") - F.col("nz"), pairs)
     second = F.try_divide(F.col("gg") - F.col("nz"), pairs)
