@@ -230,16 +230,19 @@ def class_distances(df: DataFrame, keys: Sequence[str], label: str, z: str = "z"
         out[np.repeat(np.arange(len(y)), y["labels"].map(len)), codes] = np.concatenate(y["ws"].to_numpy())
         return names, out
 
-    def table(uid: np.ndarray, names: np.ndarray, there: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+    def table(*sides: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+        """Rows of (vectors, classes, rows of each class, sums)."""
+        flat = lambda kind, parts: np.concatenate([np.empty(0, kind), *parts]).astype(kind)
         return pd.DataFrame({
-            "uid": np.repeat(uid, len(names)), "other": np.tile(names, len(uid)), "n": np.tile(there.sum(0).astype(np.int64), len(uid)), "s": sums.reshape(-1),
+            "uid": flat(np.int64, [np.repeat(uid, len(names)) for uid, names, _, _ in sides]), "other": pd.Series(flat(object, [np.tile(names.astype(object), len(uid)) for uid, names, _, _ in sides]), dtype=object),
+            "n": flat(np.int64, [np.tile(there.sum(0), len(uid)) for uid, _, there, _ in sides]), "s": flat(float, [sums.reshape(-1) for _, _, _, sums in sides]),
         })
 
     def meet(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         same = key[0] == key[1]
         y = x if same else y
         if x.empty or y.empty:
-            return pd.DataFrame({"uid": [], "other": [], "n": [], "s": []})
+            return table()
         here, there = np.stack(x["z"].to_numpy()), np.stack(y["z"].to_numpy())
         (names, count), (x_names, x_count) = member(y), member(x)
         square, sums, back = (there**2).sum(1), np.empty((len(x), len(names))), np.zeros((len(y), len(x_names)))
@@ -255,8 +258,8 @@ def class_distances(df: DataFrame, keys: Sequence[str], label: str, z: str = "z"
             sums[some] = gap @ count
             if not same:
                 back += gap.T @ x_count[some]
-        out = table(x["uid"].to_numpy(), names, count, sums)
-        return out if same else pd.concat([out, table(y["uid"].to_numpy(), x_names, x_count, back)])
+        forth = (x["uid"].to_numpy(), names, count, sums)
+        return table(forth) if same else table(forth, (y["uid"].to_numpy(), x_names, x_count, back))
 
     sums = left.cogroup(right).applyInPandas(meet, "uid bigint, other string, n bigint, s double")
     sums = sums.groupBy("uid", "other").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
