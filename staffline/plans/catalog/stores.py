@@ -177,7 +177,7 @@ def linear_codec_on_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = cells.select(*BAR).distinct()
     codec = linear.fit(pixels, 6, n_bars=bars.count(), steps=3)
     # Unclamped images, background included, so that the error is the variance that is left.
-    error = linear.squared_error(pixels, codec.decode(codec.encode(pixels, bars), floor=float("-inf"))).first()["error"]
+    error = codec.squared_error(pixels, codec.encode(pixels, bars)).first()["error"]
     pixels.unpersist()
     rest = codec.variance * (1 - codec.explained.sum())
     return spark.range(1).select(
