@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +61,15 @@ def taps(n_in: int, n_out: int, method: str = "bilinear") -> list[dict[int, floa
     return rows
 
 
+def matrix(n_in: int, n_out: int, method: str = "bilinear") -> np.ndarray:
+    """The weights as a matrix with a row per target."""
+    out = np.zeros((n_out, n_in))
+    rows = [{i: 1.0} for i in range(n_out)] if n_in == n_out else taps(n_in, n_out, method)
+    for i, weights in enumerate(rows):
+        out[i, list(weights)] = list(weights.values())
+    return out
+
+
 def scatter(index: Column, n_in: int, n_out: int, method: str) -> Column:
     """array<struct<to, w>> of the targets a source index contributes to."""
     targets: list[list[tuple[int, float]]] = [[] for _ in range(n_in)]

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from staffline.functions import taps
 from staffline.functions import vectors as V
 from staffline.keys import BAR, PITCHES, STEPS, VELOCITY_MAX
-from staffline.operators.render import CHANNELS
+from staffline.operators import packed
+from staffline.operators.render import CHANNELS, resize
 
 SPARSITY_LEVEL = 0.05
 MIN_SIGMA = 0.1
@@ -28,23 +29,62 @@ def _clog(c: Column) -> Column:
     return F.when(c > 0, c * F.log(c)).otherwise(0.0)
 
 
-def pixel_scores(true: DataFrame, recon: DataFrame, height: int = PITCHES, width: int = STEPS) -> DataFrame:
-    """Mean squared error over 3 * height * width values in [-1, 1], and PSNR."""
-    zero = F.lit(0.0)
-    t = true.select(*BAR, "channel", "copies", "row", "col", F.col("level").alias("t"), zero.alias("p"))
-    p = recon.select(*BAR, "channel", "copies", "row", "col", zero.alias("t"), F.col("level").alias("p"))
-    cell = t.unionByName(p).groupBy(*BAR, "channel", "row", "col").agg(
-        F.sum("t").alias("t"), F.sum("p").alias("p"), F.max("copies").alias("copies")
-    )
-    diff = 2.0 * (F.col("t") - F.col("p"))
-    bar = cell.groupBy(*BAR).agg(
-        F.sum(diff * diff * F.col("copies")).alias("ss"), F.bool_or(F.col("t") != 0).alias("has_t")
-    ).filter("has_t")
+def pixel_scores(
+    true: DataFrame, recon: DataFrame, height: int = PITCHES, width: int = STEPS, recon_size: tuple[int, int] | None = None,
+    method: str = "bilinear",
+) -> DataFrame:
+    """Mean squared error over 3 * height * width values in [-1, 1], and PSNR.
+
+    Pixels may come as strips (see ``packed``). A reconstruction of another size, ``recon_size``, is brought to the true one; where
+    no axis shrinks the enlarged image exists only as a stack of matrices in the task that compares it.
+    """
+    size = recon_size or (height, width)
+    if size[0] > height or size[1] > width:
+        recon, size = resize(recon, size, (height, width), method), (height, width)
+    if size != (height, width):
+        recon = recon.where(F.col("row").between(0, size[0] - 1) & F.col("col").between(0, size[1] - 1))
+    sides = {"t": packed.pixel_side(true, height, width), "p": packed.pixel_side(recon, *size)}
+    rows, cols = (None, None) if size == (height, width) else (taps.matrix(a, b, method) for a, b in zip(size, (height, width)))
+
+    def score(batch: pa.RecordBatch) -> list:
+        t, p = (packed.spread(batch.column(c)) for c in "tp")
+        has = np.bincount(t[0][t[2] != 0], minlength=len(batch)) > 0
+        if rows is None:
+            area = int(max([0, *(s[1].max() + 1 for s in (t, p) if len(s[1])) ]))
+            code, at = np.unique(np.concatenate([s[0] * area + s[1] for s in (t, p)]), return_inverse=True)
+            gap = np.bincount(at, np.concatenate([t[2], -p[2]]), len(code))
+            error = np.bincount(code // max(area, 1), gap * gap, len(batch))
+        else:
+            error = _enlarged_errors(t, p, len(batch), rows, cols)
+        return [pa.array(4.0 * error * batch.column("copies").to_numpy(zero_copy_only=False)), pa.array(has)]
+
+    bar = packed.per_bar(packed.pack(sides), {"ss": "double", "has_t": "boolean"}, score).filter("has_t")
     mse = F.col("ss") / (CHANNELS * height * width)
     psnr = F.when(mse > 0, 10.0 * F.log10(F.try_divide(F.lit(4.0), mse))).otherwise(float("inf"))
     return bar.select(*BAR, mse.alias("pixel_mse"), psnr.alias("psnr"))
 
 
+def _enlarged_errors(t: tuple, p: tuple, n: int, rows: np.ndarray, cols: np.ndarray, stack: int = 64) -> np.ndarray:
+    """Summed squared differences of ``n`` bars between pixels and smaller pixels enlarged by two matrices."""
+    (height, low), (width, narrow) = rows.shape, cols.shape
+    size, small = height * width, low * narrow
+    first, second = t[0] * CHANNELS + t[1] // size, p[0] * CHANNELS + p[1] // small
+    planes = np.unique(np.concatenate([first, second]))
+    out = np.zeros(n)
+    sides = [(side, np.searchsorted(planes, of), area) for side, of, area in ((t, first, size), (p, second, small))]
+    sorts = [np.argsort(k, kind="stable") for _, k, _ in sides]
+    for start in range(0, len(planes), stack):
+        part = planes[start:start + stack]
+        dense = []
+        for (side, k, area), o in zip(sides, sorts):
+            own = o[slice(*np.searchsorted(k, [start, start + len(part)], sorter=o))]
+            dense.append(np.bincount((k[own] - start) * area + side[1][own] % area, side[2][own], len(part) * area))
+        image = rows @ dense[1].reshape(-1, low, narrow) @ cols.T
+        gap = dense[0].reshape(-1, height, width) - image
+        out += np.bincount(part // CHANNELS, np.einsum("nij,nij->n", gap, gap), n)
+    return out
+
+
 def row_scores(
     true: DataFrame, plane: DataFrame, height: int = PITCHES, width: int = STEPS, steps: int = STEPS
 ) -> DataFrame:

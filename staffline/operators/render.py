@@ -82,6 +82,25 @@ def render(cells: DataFrame, strategy: str = "velocity_only", pitch_axis: str =
     )
 
 
+def strips(segments: DataFrame, strategy: str = "velocity_only") -> DataFrame:
+    """The pixels of :func:`render` as strips (see ``packed``): (bar, channel, copies, row, col, levels), a row per segment and mask."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; choose from {STRATEGIES}")
+    length = F.col("off") - F.col("on")
+    strip = lambda channel, level, at, n: F.struct(
+        F.lit(channel).alias("channel"), at.alias("col"), F.array_repeat(level, n.cast("int")).alias("levels")
+    )
+    parts = [strip(0, F.col("velocity") / VELOCITY_MAX, F.col("on"), length)]
+    if strategy != "velocity_only":
+        parts.append(F.when(F.col("starts"), strip(1, F.lit(1.0), F.col("on"), F.lit(1))))
+    if strategy == "vos":
+        first = F.when(F.col("starts"), 1).otherwise(0)
+        parts.append(F.when(length > first, strip(2, F.lit(1.0), F.col("on") + first, length - first)))
+    copies = CHANNELS if strategy == "velocity_only" else 1
+    rows = segments.select(*BAR, F.lit(copies).alias("copies"), F.col("pitch").alias("row"), F.explode(F.array(*parts)).alias("p")).where("p IS NOT NULL")
+    return rows.select(*BAR, "p.channel", "copies", "row", "p.col", "p.levels")
+
+
 def flip_rows(pixels: DataFrame, height: int = PITCHES) -> DataFrame:
     """Turn the pitch axis upside down."""
     return pixels.withColumn("row", F.lit(height - 1) - F.col("row"))
@@ -99,13 +118,19 @@ def resize(
     taps.taps(1, 1, method)
     if min(*source, *target) <= 0:
         raise ValueError("sizes must be positive")
-    out, sizes = pixels, {"row": source[0], "col": source[1]}
+    out, sizes, blocks = pixels, {"row": source[0], "col": source[1]}, False
     for axis, n_in, n_out in (("row", source[0], target[0]), ("col", source[1], target[1])):
         if n_in >= n_out:
             sizes[axis] = n_out
         if n_in <= n_out:
             continue
         other = "col" if axis == "row" else "row"
+        if method == "area" and n_in % n_out == 0:  # a pixel has one target: nothing is spread, and both axes are summed at once
+            size = n_in // n_out
+            inside = F.col(axis).between(0, n_in - 1)
+            out = out.where(inside).withColumns({axis: F.floor(F.col(axis) / size).cast("int"), "level": F.col("level") / size})
+            blocks = True
+            continue
         out = (
             out.select(
                 *BAR, "channel", "copies", other, "level",
@@ -114,6 +139,9 @@ def resize(
             .groupBy(*BAR, "channel", "copies", other, F.col("t.to").alias(axis))
             .agg(F.sum(F.col("level") * F.col("t.w")).alias("level"))
         )
+        blocks = False
+    if blocks:
+        out = out.groupBy(*BAR, "channel", "copies", "row", "col").agg(F.sum("level").alias("level"))
     if (sizes["row"], sizes["col"]) != target:
         out = _enlarge(out, (sizes["row"], sizes["col"]), target, method)
     return out.select(*BAR, "channel", "copies", "row", "col", "level")

@@ -107,7 +107,7 @@ def _same_size(t: Tables) -> DataFrame:
 
 
 def _pixels(t: Tables) -> DataFrame:
-    return image_metrics.pixel_scores(t.true_pixels, _same_size(t), t.height, t.steps)
+    return image_metrics.pixel_scores(t.true_pixels, t.recon_pixels, t.height, t.steps, t.recon_size)
 
 
 def _ssim(t: Tables) -> DataFrame:
