@@ -62,6 +62,13 @@ def _to_notes(
     )
 
 
+def notes_of_runs(
+    runs: DataFrame, min_duration: int = 1, height: int = PITCHES, num_pitches: int = PITCHES, pitch_offset: int = 0
+) -> DataFrame:
+    """Notes from (bar, row, onset, offset, mean), however the runs were found."""
+    return _to_notes(runs, min_duration, height, num_pitches, pitch_offset)
+
+
 def runs(active: DataFrame) -> DataFrame:
     """(bar, row, onset, offset, mean): maximal runs of consecutive steps of each row."""
     w = Window.partitionBy(*BAR, "row").orderBy("step")

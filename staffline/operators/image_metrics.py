@@ -58,7 +58,12 @@ def pixel_scores(
             error = _enlarged_errors(t, p, len(batch), rows, cols)
         return [pa.array(4.0 * error * batch.column("copies").to_numpy(zero_copy_only=False)), pa.array(has)]
 
-    bar = packed.per_bar(packed.pack(sides), {"ss": "double", "has_t": "boolean"}, score).filter("has_t")
+    return scores_of_errors(packed.per_bar(packed.pack(sides), {"ss": "double", "has_t": "boolean"}, score), height, width)
+
+
+def scores_of_errors(bars: DataFrame, height: int = PITCHES, width: int = STEPS) -> DataFrame:
+    """MSE and PSNR from (bar, ss, has_t): the summed squared differences of the pixel values of three channels."""
+    bar = bars.filter("has_t")
     mse = F.col("ss") / (CHANNELS * height * width)
     psnr = F.when(mse > 0, 10.0 * F.log10(F.try_divide(F.lit(4.0), mse))).otherwise(float("inf"))
     return bar.select(*BAR, mse.alias("pixel_mse"), psnr.alias("psnr"))
@@ -93,12 +98,19 @@ def row_scores(
     The true distribution counts active cells, the reconstructed one sums levels;
     silence has the entropy of a uniform distribution. KL is 0 for a silent truth
     (such bars have no cells) and infinite for a silent reconstruction.
+    The plane may come as strips (see ``packed``), or summed already: (bar, row, p, a), the sum of levels and the number of active ones.
     """
     zero, none = F.lit(0.0), F.lit(0)
     length = (F.col("off") - F.col("on")).cast("double")
     t = true.select(*BAR, F.col("pitch").alias("row"), length.alias("t"), zero.alias("p"), none.alias("a"))
-    active = F.when(F.col("value") < SPARSITY_LEVEL, 0).otherwise(1)
-    p = plane.select(*BAR, "row", zero.alias("t"), F.col("value").alias("p"), active.alias("a"))
+    if "a" in plane.columns:
+        level, active = F.col("p"), F.col("a")
+    elif "values" in plane.columns:
+        level = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+        active = F.size(F.filter("values", lambda v: v >= SPARSITY_LEVEL))
+    else:
+        level, active = F.col("value"), F.when(F.col("value") < SPARSITY_LEVEL, 0).otherwise(1)
+    p = plane.select(*BAR, "row", zero.alias("t"), level.alias("p"), active.alias("a"))
     same = height == PITCHES
     stacked = t.unionByName(p) if same else t
     by_row = stacked.groupBy(*BAR, "row").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("a").alias("a"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staffline.keys import BAR, PITCHES, STEPS
-from staffline.operators import codec, detect, image_metrics, note_metrics, render
+from staffline.operators import codec, detect, image_metrics, note_metrics, numbering, render
 from staffline.operators.ingest import (
     cells_to_segments,
     common_grid,
@@ -47,6 +47,15 @@ def reconstruct(cells: DataFrame, size: tuple[int, int] = (PITCHES, STEPS)) -> D
     )
 
 
+def _decoded(true: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pixel scores, sums of rows and notes of the pooling codec's planes; the planes are no rows of the plan."""
+    latent = codec.pool_encode(render.render(segments_to_cells(true), "velocity_only"))
+    bars = codec.decoded_bars(render.strips(true), latent, threshold, image_metrics.SPARSITY_LEVEL)
+    bars = numbering.durable(bars)  # read by four scores
+    notes = detect.notes_of_runs(bars.select(*BAR, F.inline("runs")))
+    return image_metrics.scores_of_errors(bars.select(*BAR, "ss", "has_t")), bars.select(*BAR, F.inline("rows")), notes
+
+
 def run(
     notes: DataFrame, detector: Detector | None = None, n_bars: int | None = None, min_notes: int = 2, threshold: float = 0.05,
     signatures: DataFrame | None = None,
@@ -57,11 +66,14 @@ def run(
     spreads a note's level over its neighbours.
     """
     true = ingest(notes, STEPS, n_bars, min_notes, signatures)
-    cells = segments_to_cells(true)
-    plane = reconstruct(cells)
-    found = (detector or (lambda p: detect.global_threshold(p, threshold)))(plane)
+    if detector is None and threshold > 0:
+        pixels, plane, found = _decoded(true, threshold)
+    else:
+        cells = segments_to_cells(true)
+        plane = reconstruct(cells)
+        found = (detector or (lambda p: detect.global_threshold(p, threshold)))(plane)
+        pixels = image_metrics.pixel_scores(render.strips(true), render.plane_pixels(plane))
     pred = found.withColumn("n", F.lit(1))  # detectors emit each note once, already by bar
-    pixels = image_metrics.pixel_scores(render.render(cells), render.plane_pixels(plane))
     rows = image_metrics.row_scores(true, plane)
     steps = note_metrics.step_profiles(true, pred)
     onset = note_metrics.onset_scores(note_metrics.onset_arrays(true, pred))
