@@ -12,11 +12,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffline.functions import taps
 from staffline.keys import BAR, PITCHES, STEPS, VELOCITY_MAX
+from staffline.operators import packed
 from staffline.operators.ingest import with_masks
 
 CHANNELS = 3
@@ -215,18 +219,33 @@ def compose(steps: Sequence[Callable[[DataFrame], DataFrame]]) -> Callable[[Data
 def image_rows(
     pixels: DataFrame, width: int = STEPS, low: float = -1.0, high: float = 1.0
 ) -> DataFrame:
-    """(bar, channel, row, values): dense rows in pixel values; all-background rows are omitted."""
-    filled = pixels.groupBy(*BAR, "channel", "copies", "row").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "level"))).alias("m")
-    )
-    values = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda c: to_range(F.coalesce(F.try_element_at("m", c), F.lit(0.0)), low, high),
-    )
-    channel = F.when(F.col("copies") == 1, F.array("channel")).otherwise(
-        F.sequence(F.lit(0), F.col("copies") - 1)
-    )
-    return filled.select(*BAR, F.explode(channel).alias("channel"), "row", values.alias("values"))
+    """(bar, channel, row, values): dense rows in pixel values; all-background rows are omitted. Pixels may come as strips."""
+    tall = 1 << 20  # rows have no bound here; positions need a number per channel and row
+    entry = F.struct(F.col("channel"), F.col("row"), F.col("col"), (F.col("levels") if "levels" in pixels.columns else F.array("level")).cast("array<double>").alias("v"))
+    bars = pixels.groupBy(*BAR, "copies").agg(F.collect_list(entry).alias("p"))
+
+    def lines(batch: pa.RecordBatch) -> list:
+        flat = batch.column("p").flatten()
+        bar = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column("p")).to_numpy(zero_copy_only=False))
+        channel, row, col = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("channel", "row", "col"))
+        n = pc.list_value_length(flat.field("v")).to_numpy(zero_copy_only=False).astype(np.int64)
+        level = flat.field("v").flatten().to_numpy(zero_copy_only=False)
+        code, line = np.unique((bar * CHANNELS + channel) * tall + row, return_inverse=True)
+        at = np.repeat(col, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        line, kept = np.repeat(line, n), (at >= 0) & (at < width)
+        values = np.zeros(len(code) * width)
+        values[line[kept] * width + at[kept]] = level[kept]
+        ends = pa.array(np.arange(len(code) + 1, dtype=np.int32) * width)
+        columns = {
+            "channel": pa.array(code // tall % CHANNELS, pa.int32()), "row": pa.array(code % tall, pa.int32()),
+            "values": pa.ListArray.from_arrays(ends, pa.array(values * (high - low) + low)),
+        }
+        return [batch.column("copies"), packed.listed(code // tall // CHANNELS, columns, len(batch))]
+
+    found = packed.per_bar(bars, {"copies": dict(bars.dtypes)["copies"], "lines": "array<struct<channel:int,row:int,values:array<double>>>"}, lines)
+    found = found.select(*BAR, "copies", F.inline("lines"))
+    channel = F.when(F.col("copies") == 1, F.array("channel")).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))
+    return found.select(*BAR, F.explode(channel).alias("channel"), F.col("row").cast(dict(pixels.dtypes)["row"]).alias("row"), "values")
 
 
 def rows_to_plane(rows: DataFrame, low: float = -1.0, high: float = 1.0) -> DataFrame:

@@ -141,7 +141,7 @@ def resize_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM cells CROSS JOIN range(3) r(channel) GROUP BY ALL"""),
 )
 def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = render.image_rows(render.render(derived.cells(spark, sf_dir), "velocity_only"))
+    rows = render.image_rows(render.strips(derived.segments(spark, sf_dir), "velocity_only"))
     total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
     return rows.select(
         *BAR, F.col("channel").cast("bigint").alias("channel"), "row",
