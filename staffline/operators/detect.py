@@ -12,15 +12,17 @@ inside the plan; unfitted detectors use their defaults.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staffline.keys import BAR, PITCHES, STEPS, VELOCITY_MAX
+from staffline.operators import packed
 
 DEFAULT_THRESHOLD = 0.5
 
@@ -84,17 +86,61 @@ def runs(active: DataFrame) -> DataFrame:
     )
 
 
-def _whole_rows(plane: DataFrame, rows: Sequence[int], steps: int) -> DataFrame:
-    """One run over the full bar for each of ``rows`` in every bar of the plane.
+#: Steps that a row can have in the numbers of positions below.
+_WIDE = 1 << 12
 
-    The case of a threshold at or below zero: silence passes it too.
+
+def found_runs(plane: DataFrame, upper: float | Sequence[float], lower: float | None = None, reshape: Callable | None = None, steps: int = STEPS) -> DataFrame:
+    """(bar, row, onset, offset, mean): runs of values from ``lower`` on, each from its first value of ``upper`` (one, or one per row) on.
+
+    The plane may come as strips. A bar's values are one row, and an Arrow function sorts those of a batch of bars; positions are not sorted
+    or grouped as rows. A row's limit at or below zero is passed by silence too: such rows are one run over ``steps`` in every bar. ``reshape(keys, start, end)`` may change the runs of a batch, whose keys are (row of a bar) * _WIDE + step.
     """
-    wanted = F.array(*[F.lit(r) for r in rows])
-    blank = plane.select(*BAR).distinct().select(*BAR, F.explode(wanted).alias("row"), F.lit(0.0).alias("value"))
-    sums = plane.filter(F.col("row").isin(*rows)).select(*BAR, "row", "value").unionByName(blank)
-    return sums.groupBy(*BAR, "row").agg((F.sum("value") / steps).alias("mean")).select(
-        *BAR, "row", F.lit(0).alias("onset"), F.lit(steps).alias("offset"), "mean"
-    )
+    limits = None if isinstance(upper, (int, float)) else np.array(upper, float)
+    always = np.zeros(0, np.int64) if limits is None else np.flatnonzero(limits <= 0)
+
+    def score(batch: pa.RecordBatch) -> list:
+        at, i, v = packed.spread(batch.column("p"))
+        tall = int(i.max() // _WIDE) + 1 if len(i) else 1
+        key = at * tall * _WIDE + i
+        order = np.argsort(key, kind="stable")
+        key, v = key[order], v[order]
+        row = key // _WIDE % tall
+        if limits is None:
+            high, inside = upper, np.ones(len(v), bool)
+        else:
+            high, inside = limits[np.minimum(row, len(limits) - 1)], row < len(limits)
+            inside &= high > 0
+        lit, starts = inside & (v >= (high if lower is None else lower)), v >= high
+        at_key, strong = key[lit], starts[lit]
+        edge = np.flatnonzero(np.diff(at_key, prepend=-2) != 1) if len(at_key) else np.zeros(0, np.int64)
+        edge = np.union1d(edge, np.flatnonzero(at_key % _WIDE == 0))
+        end = np.append(edge[1:], len(at_key))[: len(edge)]
+        ranked = np.flatnonzero(strong)
+        first = np.append(ranked, len(at_key))[np.searchsorted(ranked, edge)]
+        edge, end = first[first < end], end[first < end]
+        start, stop = at_key[edge], at_key[end - 1] + 1
+        if reshape is not None:
+            start, stop = reshape(start, stop)
+        spans = np.searchsorted(key, np.stack([start, stop], 1).ravel())
+        total = np.add.reduceat(np.append(v, 0.0), spans)[::2] if len(spans) else np.zeros(0)
+        total = np.where(spans[::2] < spans[1::2], total, 0.0)
+        line = start // _WIDE
+        onset = start - line * _WIDE
+        bar, found = line // tall, [line % tall, onset, onset + stop - start, total / (stop - start)]
+        if len(always):
+            n, kept = len(batch), row < len(limits)
+            sums = np.bincount((key // _WIDE // tall * len(limits) + row)[kept], v[kept], n * len(limits)).reshape(n, -1)[:, always]
+            whole = [np.tile(always, n), np.zeros(sums.size, np.int64), np.full(sums.size, steps), sums.ravel() / steps]
+            bar = np.concatenate([bar, np.repeat(np.arange(n), len(always))])
+            order = np.argsort(bar, kind="stable")
+            bar, found = bar[order], [np.concatenate(c)[order] for c in zip(found, whole)]
+        kinds = {"row": pa.int32(), "onset": pa.int32(), "offset": pa.int32(), "mean": pa.float64()}
+        return [packed.listed(bar, {name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), found)}, len(batch))]
+
+    side = packed.pack({"p": packed.plane_side(plane, _WIDE)})
+    found = packed.per_bar(side, {"runs": "array<struct<row:int,onset:int,offset:int,mean:double>>"}, score)
+    return found.select(*BAR, F.inline("runs"))
 
 
 def by_row_threshold(
@@ -104,11 +150,7 @@ def by_row_threshold(
     """Detect with one threshold per row; unfitted or misfitting thresholds mean ``fallback``."""
     if thresholds is None or len(thresholds) != height:
         thresholds = [fallback] * height
-    limit = F.get(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("row"))
-    found = runs(plane.filter((limit > 0) & (F.col("value") >= limit)))
-    always = [r for r, t in enumerate(thresholds) if t <= 0]
-    if always:
-        found = found.unionByName(_whole_rows(plane, always, steps))
+    found = found_runs(plane, thresholds, steps=steps)
     return _to_notes(found, min_duration, height, num_pitches, pitch_offset)
 
 
@@ -116,7 +158,7 @@ def global_threshold(plane: DataFrame, threshold: float = DEFAULT_THRESHOLD, min
     if threshold <= 0:
         height = image.get("height", PITCHES)
         return by_row_threshold(plane, [threshold] * height, min_duration=min_duration, **image)
-    found = runs(plane.filter(F.col("value") >= threshold))
+    found = found_runs(plane, threshold)
     return _to_notes(
         found, min_duration, image.get("height", PITCHES), image.get("num_pitches", PITCHES), image.get("pitch_offset", 0)
     )
@@ -182,16 +224,7 @@ def hysteresis(
                     (F.col("s") / (steps - F.col("_first"))).alias("mean"))
         )
     else:
-        w = Window.partitionBy(*BAR, "row").orderBy("step")
-        islands = plane.filter(F.col("value") >= tau_off).withColumn("_island", F.col("step") - F.row_number().over(w))
-        first = starts.over(Window.partitionBy(*BAR, "row", "_island"))
-        found = (
-            islands.withColumn("_first", first).filter(F.col("step") >= F.col("_first"))
-            .groupBy(*BAR, "row", "_island")
-            .agg(F.min("step").cast("int").alias("onset"), (F.max("step") + 1).cast("int").alias("offset"),
-                 F.avg("value").alias("mean"))
-            .drop("_island")
-        )
+        found = found_runs(plane, tau_on, tau_off)
     return _to_notes(found, min_duration, height, num_pitches, pitch_offset)
 
 
@@ -229,32 +262,19 @@ def morphological(
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
-    found = runs(plane.filter(F.col("value") >= threshold))
     er, dil = max(erosion, 1), max(dilation, 1)
-    moved = found.select(
-        *BAR, "row", (F.col("onset") + er // 2).alias("a"), (F.col("offset") - (er - 1 - er // 2)).alias("b")
-    ).filter("b > a").select(
-        *BAR, "row",
-        F.greatest(F.lit(0), F.col("a") - dil // 2).alias("a"),
-        F.least(F.lit(steps), F.col("b") + (dil - 1 - dil // 2)).alias("b"),
-    )
-    w = Window.partitionBy(*BAR, "row").orderBy("a", "b")
-    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    merged = (
-        moved.withColumn("_new", F.when(F.col("a") <= reach, 0).otherwise(1))
-        .withColumn("_g", F.sum("_new").over(w))
-        .groupBy(*BAR, "row", "_g").agg(F.min("a").alias("onset"), F.max("b").alias("offset"))
-    )
-    covered = merged.select(
-        *BAR, "row", "onset", "offset", F.explode(F.sequence("onset", F.col("offset") - 1)).alias("step")
-    )
-    means = (
-        covered.join(plane.select(*BAR, "row", "step", "value"), [*BAR, "row", "step"], "left")
-        .groupBy(*BAR, "row", "onset", "offset").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("s"))
-        .select(*BAR, "row", F.col("onset").cast("int").alias("onset"), F.col("offset").cast("int").alias("offset"),
-                (F.col("s") / (F.col("offset") - F.col("onset"))).alias("mean"))
-    )
-    return _to_notes(means, min_duration, height, num_pitches, pitch_offset)
+
+    def reshape(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        line = start // _WIDE * _WIDE
+        a, b = start + er // 2, stop - (er - 1 - er // 2)
+        kept = b > a
+        line, a, b = line[kept], a[kept], b[kept]
+        a, b = np.maximum(line, a - dil // 2), np.minimum(line + steps, b + (dil - 1 - dil // 2))
+        new = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (a[1:] > b[:-1]))[: len(a)])
+        return a[new], b[np.append(new[1:], len(b))[: len(new)] - 1]
+
+    found = found_runs(plane, threshold, reshape=reshape)
+    return _to_notes(found, min_duration, height, num_pitches, pitch_offset)
 
 
 # --- Gaussian mixture ---------------------------------------------------------------------

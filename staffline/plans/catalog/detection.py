@@ -36,7 +36,7 @@ def _runs_sql(active: str, name: str = "notes_out", low: str = "") -> str:
 
 @query("detect_global", _digest_sql(f"""WITH act AS (SELECT * FROM recon_plane WHERE value >= 0.5), {_runs_sql('act')}"""))
 def detect_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(detect.global_threshold(derived.recon_plane(spark, sf_dir)))
+    return digest(detect.global_threshold(derived.recon_strips(spark, sf_dir)))
 
 
 @query(
@@ -45,7 +45,7 @@ def detect_global(spark: SparkSession, sf_dir: str) -> DataFrame:
                 """(SELECT * FROM all_notes WHERE "offset" - onset >= 4)"""),
 )
 def detect_global_long_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(detect.global_threshold(derived.recon_plane(spark, sf_dir), 0.35, min_duration=4))
+    return digest(detect.global_threshold(derived.recon_strips(spark, sf_dir), 0.35, min_duration=4))
 
 
 _HYST = f"""WITH low AS (SELECT *, step - row_number() OVER (PARTITION BY song_id, track_idx, bar_index, "row" ORDER BY step) AS isl
@@ -56,7 +56,7 @@ _HYST = f"""WITH low AS (SELECT *, step - row_number() OVER (PARTITION BY song_i
 
 @query("detect_hysteresis", _digest_sql(_HYST))
 def detect_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(detect.hysteresis(derived.recon_plane(spark, sf_dir)))
+    return digest(detect.hysteresis(derived.recon_strips(spark, sf_dir)))
 
 
 @query(
@@ -70,8 +70,8 @@ def detect_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def detect_per_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on all bars, then detect; rows that never sound get a zero threshold and pass it."""
-    plane = derived.recon_plane(spark, sf_dir)
-    return digest(detect.by_row_threshold(plane, detect.fit_adaptive(plane, bars=plane)))
+    plane, strips = derived.recon_plane(spark, sf_dir), derived.recon_strips(spark, sf_dir)
+    return digest(detect.by_row_threshold(strips, detect.fit_adaptive(plane, bars=strips)))
 
 
 _ONSET_PLANE = """ro AS (SELECT *, coalesce(step - lag(step) OVER (PARTITION BY song_id, track_idx, bar_index, "row" ORDER BY step), 0) <> 1 AS is_onset
@@ -107,12 +107,12 @@ def _morph_sql(erosion: int, dilation: int) -> str:
 
 @query("detect_morphological", _digest_sql(_morph_sql(2, 2)))
 def detect_morphological(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(detect.morphological(derived.recon_plane(spark, sf_dir)))
+    return digest(detect.morphological(derived.recon_strips(spark, sf_dir)))
 
 
 @query("detect_morphological_closing", _digest_sql(_morph_sql(2, 5)))
 def detect_morphological_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(detect.morphological(derived.recon_plane(spark, sf_dir), erosion=2, dilation=5))
+    return digest(detect.morphological(derived.recon_strips(spark, sf_dir), erosion=2, dilation=5))
 
 
 @query("detect_mixture")

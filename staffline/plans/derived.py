@@ -5,13 +5,12 @@ The rule is arithmetic, so the same text runs in any SQL engine (see ``SQL``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffline.keys import BAR, STEPS, TRACK
 from staffline.operators.ingest import (
     instrument_position,
-    notes_to_cells,
     notes_to_segments,
     program_instrument,
     segments_to_cells,
@@ -86,7 +85,7 @@ def rec_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rec_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rec_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rec_notes(spark, sf_dir).select(
         *TRACK,
         "pitch",
@@ -95,15 +94,30 @@ def rec_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("bar_index") * STEPS + F.col("onset")).alias("onset_step"),
         (F.col("bar_index") * STEPS + F.col("offset")).alias("offset_step"),
     )
-    return notes_to_cells(r, STEPS)
+    return notes_to_segments(r, STEPS)
+
+
+def rec_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments_to_cells(rec_segments(spark, sf_dir))
+
+
+def _ripple(pitch: Column, step: Column) -> Column:
+    return 0.7 + 0.3 * ((pitch * 7 + step * 13) % 10) / 9
+
+
+def recon_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`recon_plane` as strips, (bar, row, step, values): a row per segment."""
+    s = rec_segments(spark, sf_dir)
+    level = lambda t: F.col("velocity") / 127 * _ripple(F.col("pitch"), t)
+    values = F.transform(F.sequence("on", F.col("off") - 1), level)
+    return s.select(*BAR, F.col("pitch").alias("row"), F.col("on").alias("step"), values.alias("values"))
 
 
 def recon_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bar, row, step, value): continuous velocity plane in [0, 1], zeros omitted."""
     c = rec_cells(spark, sf_dir)
-    ripple = 0.7 + 0.3 * ((F.col("pitch") * 7 + F.col("step") * 13) % 10) / 9
     return c.select(
-        *BAR, F.col("pitch").alias("row"), "step", (F.col("velocity") / 127 * ripple).alias("value")
+        *BAR, F.col("pitch").alias("row"), "step", (F.col("velocity") / 127 * _ripple(F.col("pitch"), F.col("step"))).alias("value")
     )
 
 
