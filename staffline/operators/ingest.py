@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from staffline.functions import taps
 from staffline.keys import BAR, INSTRUMENTS, PITCHES, STEPS, STEPS_PER_BEAT, TRACK
 from staffline.operators.layout import by_bar
 from staffline.operators.numbering import exact_sample
+from staffline.operators.packed import listed
 
 DEFAULT_TICKS = 480
 DEFAULT_TEMPO = 120.0
@@ -189,19 +193,19 @@ def notes_to_segments(notes: DataFrame, steps: int = STEPS, n_bars: int | None =
     """Sparse piano roll as disjoint intervals, partitioned by bar.
 
     On one (pitch, step) the note with the highest ``note_ord`` wins. A piece that
-    overlaps no other piece of its pitch passes as one row; only contested pieces are
-    spread over their steps before the winner is taken, and equal neighbours are joined
+    shares its pitch with no other piece passes as it is; others are
+    painted on their steps in the order of the notes, and equal neighbours are joined
     again. Without ``n_bars`` a track keeps floor((last offset + 1) / steps) bars: an
     incomplete last bar is dropped. ``steps`` is for notes without a column ``bar_steps``.
     """
-    segments = pieces_to_segments(bar_pieces(notes, steps, n_bars))
+    pieces = bar_pieces(notes, steps, n_bars)
     if n_bars is not None:
-        return segments
+        return pieces_to_segments(pieces)
     # Only a track's last bar can be incomplete, so the join names that bar.
     incomplete = notes.groupBy(*TRACK).agg(
         F.floor((F.max("offset_step") + 1) / F.max(_length(notes, steps))).cast("int").alias("bar_index")
     )
-    return segments.join(incomplete, list(BAR), "left_anti")
+    return pieces_to_segments(pieces, incomplete)
 
 
 def merge_pieces(pieces: DataFrame) -> DataFrame:
@@ -209,28 +213,82 @@ def merge_pieces(pieces: DataFrame) -> DataFrame:
     return by_bar(pieces.groupBy(*BAR, *_own(pieces), "pitch", "on", "off").agg(F.max("stamp").alias("stamp")))
 
 
-def pieces_to_segments(pieces: DataFrame) -> DataFrame:
-    """Resolve overlaps between all pieces of a bar; ``pieces`` are partitioned by bar."""
-    row = [*BAR, *_own(pieces), "pitch"]
-    w = Window.partitionBy(*row).orderBy("on", "off", "stamp")
-    before = F.max("off").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    contested = (F.coalesce(before, F.lit(0)) > F.col("on")) | (
-        F.coalesce(F.lead("on").over(w), F.col("off")) < F.col("off")
-    )
-    single = F.array(F.struct(F.col("on").alias("on"), F.col("off").alias("off")))
-    spread = F.transform(
-        F.sequence("on", F.col("off") - 1), lambda t: F.struct(t.alias("on"), (t + 1).alias("off"))
-    )
-    parts = pieces.withColumn("_c", contested).select(
-        *row, "stamp", F.inline(F.when(F.col("_c"), spread).otherwise(single))
-    )
-    winners = (
-        parts.groupBy(*row, "on").agg(F.max("stamp").alias("stamp"), F.max("off").alias("off"))
-        .filter(F.col("stamp") % 128 > 0)
-    )
-    return _join_neighbours(winners, "stamp").select(
-        *row, "on", "off", (F.col("stamp") % 128).cast("int").alias("velocity"), "starts"
-    )
+def pieces_to_segments(pieces: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """Resolve overlaps between all pieces of a bar; ``pieces`` are partitioned by bar, and so is the result.
+
+    A bar's pieces become one row, and an Arrow function resolves those of a batch of bars; pieces are not sorted as rows. Bars
+    of ``without`` are left out.
+    """
+    bar = [*BAR, *_own(pieces)]
+    piece = F.struct("pitch", "on", "off", "stamp")
+    bars = pieces.where("stamp IS NOT NULL").groupBy(*bar).agg(F.collect_list(piece).alias("p"))
+    if without is not None:
+        bars = bars.join(without, list(BAR), "left_anti")
+    kind = dict(pieces.dtypes)["pitch"]
+    resolve = F.arrow_udf(_resolved, f"array<struct<pitch:{kind},on:int,off:int,velocity:int,starts:boolean>>")
+    return bars.select(*bar, F.inline(resolve("p")))
+
+
+#: Positions that are painted at once, of one row at least.
+_CELLS = 1 << 21
+
+
+def _resolved(pieces: pa.Array) -> pa.Array:
+    """The segments of each bar of a batch: on every position the highest stamp wins, equal neighbours are joined.
+
+    A row (bar, pitch) with one piece passes as it is; others are painted in ascending order of their stamps.
+    """
+    flat = pieces.flatten()
+    n = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
+    known = flat.field("pitch").cast(pa.int64())
+    low, high = (v.as_py() or 0 for v in pc.min_max(known).values())
+    hole, span = low - 1, high - low + 2  # notes without a pitch share a row of their own
+    pitch = known.fill_null(hole).to_numpy(zero_copy_only=False)
+    on, off, stamp = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("on", "off", "stamp"))
+    row = np.repeat(np.arange(len(pieces)), n) * span + pitch - hole
+    order = np.lexsort((stamp, row))
+    row, on, off, stamp = (c[order] for c in (row, on, off, stamp))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    size = np.diff(np.append(first, len(row)))
+    alone = first[size == 1]
+    alone = alone[np.fmod(stamp[alone], 128) > 0]
+    found = [(row[alone], on[alone], off[alone], stamp[alone], np.ones(len(alone), bool))]
+    many, width = np.flatnonzero(size > 1), int(off.max(initial=1))
+    for begin in range(0, len(many), max(1, _CELLS // width)):
+        lines = many[begin:begin + max(1, _CELLS // width)]
+        found.append(_painted(row[first[lines]], size[lines], first[lines], on, off, stamp, width))
+    row, on, off, stamp, starts = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(row, kind="stable")
+    row, on, off, stamp, starts = (c[order] for c in (row, on, off, stamp, starts))
+    pitch = row % span + hole
+    columns = {
+        "pitch": pa.array(pitch, mask=pitch == hole).cast(flat.field("pitch").type), "on": pa.array(on, pa.int32()), "off": pa.array(off, pa.int32()),
+        "velocity": pa.array(np.fmod(stamp, 128), pa.int32()), "starts": pa.array(starts),
+    }
+    return listed(row // span, columns, len(pieces))
+
+
+def _painted(
+    row: np.ndarray, size: np.ndarray, first: np.ndarray, on: np.ndarray, off: np.ndarray, stamp: np.ndarray, width: int
+) -> tuple[np.ndarray, ...]:
+    """(row, on, off, stamp, starts) of rows whose ``size`` pieces from ``first`` on are in ascending order of their stamps."""
+    at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    line, n = np.repeat(np.arange(len(row)), size), off[at] - on[at]
+    plane = np.full(len(row) * width, np.iinfo(np.int64).min)  # no velocity
+    reach = np.cumsum(n)
+    cuts = np.searchsorted(reach, np.arange(0, reach[-1], _CELLS))
+    for a, b in zip(cuts, [*cuts[1:], len(at)]):
+        k = n[a:b]
+        inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        plane[np.repeat(line[a:b] * width + on[at[a:b]], k) + inside] = np.repeat(stamp[at[a:b]], k)  # the last one stays
+    plane = plane.reshape(-1, width)
+    lit = np.zeros((len(row), width + 2), bool)
+    lit[:, 1:-1] = np.fmod(plane, 128) > 0
+    change = np.ones((len(row), width + 1), bool)
+    change[:, 1:-1] = plane[:, 1:] != plane[:, :-1]
+    line, begin = np.nonzero(lit[:, 1:-1] & change[:, :-1])
+    end = np.nonzero(lit[:, 1:-1] & change[:, 1:])[1] + 1
+    return row[line], begin, end, plane[line, begin], ~lit[line, begin]
 
 
 def _join_neighbours(parts: DataFrame, same: str) -> DataFrame:

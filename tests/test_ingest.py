@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from helpers import ANCHOR, notes, one
+from helpers import ANCHOR, NOTE, notes, one
 from pyspark.sql import functions as F
 
 from staffline.keys import BAR
@@ -116,3 +116,26 @@ def test_cap_is_exact_and_stable(spark):
     b = ingest.cap_bars(bars.repartition(13), 7)
     assert a.groupBy("song_id").count().filter("count <> 7").count() == 0
     assert a.select(*BAR).exceptAll(b.select(*BAR)).count() == 0
+
+
+def test_overlaps_are_resolved_inside_bars_without_sorting_notes(spark):
+    """Against painting position by position, notes of several bars, silent ones and one without a pitch included."""
+    rng = random.Random(3)
+    rows = [(s, 0, rng.choice([None, 60, 61, 127]), a := rng.randrange(0, 60), a + rng.randrange(1, 30), rng.randrange(0, 128), i)
+            for i, s in enumerate([1, 2] * 60)]
+    found = ingest.notes_to_segments(spark.createDataFrame(rows, NOTE), 24, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 2
+    cells = {}
+    for s, _, p, a, b, v, i in rows:
+        for t in range(a, min(b, 96)):
+            cells[s, p, t] = max(cells.get((s, p, t), (-1, 0)), (i, v))
+    cells = {k: c for k, c in cells.items() if c[1] > 0}
+    got = {}
+    for r in found.collect():
+        for t in range(r["on"], r["off"]):
+            key = r["song_id"], r["pitch"], r["bar_index"] * 24 + t
+            assert key not in got
+            got[key] = r["velocity"], r["starts"] and t == r["on"]
+    before = lambda k: (k[0], k[1], k[2] - 1) in cells and k[2] % 24 > 0
+    assert got == {k: (v, not before(k)) for k, (_, v) in cells.items()}
