@@ -147,7 +147,7 @@ ons AS (SELECT * FROM ton JOIN pon USING (song_id, track_idx, bar_index))"""
            CASE WHEN hits = 0 THEN 0.0 ELSE round(2.0 * hits / (nt + np) + 1e-10, 6) END AS onset_f1 FROM done"""),
 )
 def onset_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.onset_scores(M.onset_arrays(*sides(spark, sf_dir))), BAR)
+    return rounded(M.bar_scores(*sides(spark, sf_dir), ["onsets"]).where("onset_f1 IS NOT NULL"), BAR)
 
 
 @query(
@@ -172,13 +172,12 @@ def onset_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM kl"""),
 )
 def ioi_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = M.onset_arrays(*sides(spark, sf_dir))
-    scored = M.ioi_kl(o).join(o.select(*BAR, F.size("t_on").alias("nt")), list(BAR))
+    scored = M.bar_scores(*sides(spark, sf_dir), ["ioi", "counts"]).where("true_onsets IS NOT NULL")
     v = F.col("ioi_distribution_kl")
     infinite = v == float("inf")
     return scored.select(
         *BAR,
-        F.when(F.col("nt") < 2, "no true gaps").when(infinite, "infinite").otherwise("finite").alias("status"),
+        F.when(F.col("true_onsets") < 2, "no true gaps").when(infinite, "infinite").otherwise("finite").alias("status"),
         F.when(~infinite, stable(v)).alias("ioi_distribution_kl"),
     )
 
@@ -198,7 +197,7 @@ def ioi_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT song_id, track_idx, bar_index, {_pearson('47', 'a', 'b')} AS groove_consistency FROM acf GROUP BY 1, 2, 3"""),
 )
 def groove_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.groove_scores(M.onset_arrays(*sides(spark, sf_dir))), BAR)
+    return rounded(M.bar_scores(*sides(spark, sf_dir), ["groove"]).where("groove_consistency IS NOT NULL"), BAR)
 
 
 @query(

@@ -64,10 +64,6 @@ class Metric:
     needs: frozenset[str]
 
 
-def _onsets(t: Tables) -> DataFrame:
-    return note_metrics.onset_arrays(t.true, t.pred, t.steps)
-
-
 def _steps(t: Tables) -> DataFrame:
     return note_metrics.step_profiles(t.true, t.pred, t.steps)
 
@@ -89,15 +85,19 @@ def _velocities(t: Tables) -> DataFrame:
 
 
 def _onset(t: Tables) -> DataFrame:
-    return note_metrics.onset_scores(_onsets(t), steps=t.steps)
+    return note_metrics.bar_scores(t.true, t.pred, ["onsets"], t.steps).where("onset_f1 IS NOT NULL")
 
 
 def _ioi(t: Tables) -> DataFrame:
-    return note_metrics.ioi_kl(_onsets(t))
+    return note_metrics.bar_scores(t.true, t.pred, ["ioi"], t.steps).where("ioi_distribution_kl IS NOT NULL")
 
 
 def _groove(t: Tables) -> DataFrame:
-    return note_metrics.groove_scores(_onsets(t), t.steps)
+    return note_metrics.bar_scores(t.true, t.pred, ["groove"], t.steps).where("groove_consistency IS NOT NULL")
+
+
+#: Families of per-bar note metrics that ``note_metrics.bar_scores`` gives together.
+_OF_NOTES: dict[Family, str] = {_steps: "steps", _classes: "classes", _onset: "onsets", _ioi: "ioi", _groove: "groove"}
 
 
 def _same_size(t: Tables) -> DataFrame:
@@ -379,6 +379,10 @@ def evaluate(tables: Tables, names: Sequence[str] = ("all",), exclude: Sequence[
             sums.setdefault((metric.rows, metric.scope), []).append(metric)
         else:
             parts.append(_long(metric.compute(tables), metric.scope, metric.columns, kinds))
+    together = [f for f in families if f in _OF_NOTES]
+    if len(together) > 1:  # one pass for all of them; a bar's score is null where its family has none
+        scores = note_metrics.bar_scores(tables.true, tables.pred, [_OF_NOTES[f] for f in together], tables.steps)
+        parts.append(_long(scores, BAR, [c for f in together for c in families.pop(f)], kinds))
     for family, columns in families.items():
         parts.append(_long(family(tables), BAR, columns, kinds))
     for (rows, scope), metrics in sums.items():

@@ -273,3 +273,24 @@ def test_ssim_of_cropped_planes_equals_whole_planes():
     np.testing.assert_allclose(got, whole[(planes - 1) // 3], atol=1e-12)
     nothing = sparse(np.zeros((1, h, w)))
     assert [len(a) for a in I._plane_scores([nothing, nothing], h, w, kernel)] == [0, 0]
+
+
+def test_scores_of_notes_are_taken_in_one_pass(spark):
+    """Several families cost one Python function and no sort, join or shuffle more; each is as it is alone."""
+    true = ingest.notes_to_segments(notes(spark, ANCHOR), T, 1)
+    p = M.compact_notes(pred(spark, [(60, 1, 30, 90), (64, 24, 40, 70), (66, 47, 60, 90), (40, 95, 99, 20)]))
+    families = [f for f in M.FAMILIES if f != "counts"]
+    together = M.bar_scores(true, p, families)
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("+- == Initial Plan ==")[-1]
+    assert "Window" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") <= 2
+    got = one(together).asDict()
+    arrays = M.onset_arrays(true, p)
+    alone = [M.step_profiles(true, p), M.pitch_class_scores(true, p), M.onset_scores(arrays), M.ioi_kl(arrays), M.groove_scores(arrays)]
+    for df in alone:
+        for name, value in one(df).asDict().items():
+            assert got[name] == pytest.approx(value, abs=1e-12), name
+    long = evaluate(Tables(true, p), ["harmony", "rhythm", "dynamics", "-interval_histogram_correlation"])
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 3
+    found = {r["metric"]: r["value"] for r in long.collect()}
+    assert found["onset_f1"] == got["onset_f1"] and found["groove_consistency"] == got["groove_consistency"]
