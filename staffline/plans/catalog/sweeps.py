@@ -17,7 +17,8 @@ METRICS = (
 
 def ripple(pixels: DataFrame) -> DataFrame:
     """A codec that dims every pixel by its place, in all channels alike."""
-    return pixels.withColumn("level", F.col("level") * (0.7 + 0.3 * ((F.col("row") * 7 + F.col("col") * 13) % 10) / 9))
+    dim = lambda col: 0.7 + 0.3 * ((F.col("row") * 7 + col * 13) % 10) / 9
+    return pixels.withColumn("levels", F.transform("levels", lambda v, i: v * dim(F.col("col") + i)))
 
 
 CODECS = {"plain": lambda pixels: pixels, "ripple": ripple}
@@ -83,5 +84,5 @@ def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "aware": sweep.detector("velocity_aware", threshold=0.4, onset_boost=2.0),
     })
     true = derived.segments(spark, sf_dir)
-    means = sweep.sweep(true, derived.cells(spark, sf_dir), CODECS, grid)
+    means = sweep.sweep(true, CODECS, grid)
     return rounded(sweep.summary_table(means, METRICS), ["condition"])
