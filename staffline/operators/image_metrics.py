@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -310,18 +309,10 @@ def ssim(
 ) -> DataFrame:
     """Structural similarity on [0, 1], Gaussian window, averaged over three channels.
 
-    A bar's pixels (at most 3 * height * width per side) are packed into arrays by
+    A bar's pixels (at most 3 * height * width per side), which may come as strips, are packed into arrays by
     a bar aggregate; an Arrow function scatters a batch of bars at once and blurs stacks of planes.
     """
-    code = (F.col("channel") * height + F.col("row")) * width + F.col("col")
-    side = lambda df, is_true: df.select(
-        *BAR, F.lit(is_true).alias("is_t"), "copies", F.struct(code.cast("int").alias("i"), F.col("level").cast("double").alias("v")).alias("px")
-    )
-    packed = side(true, True).unionByName(side(recon, False)).groupBy(*BAR).agg(
-        F.collect_list(F.when(F.col("is_t"), F.col("px"))).alias("t"),
-        F.collect_list(F.when(~F.col("is_t"), F.col("px"))).alias("p"),
-        F.max("copies").cast("double").alias("copies"),
-    ).filter(F.size("t") > 0)
+    bars = packed.pack({"t": packed.pixel_side(true, height, width), "p": packed.pixel_side(recon, height, width)}).filter(F.size("t") > 0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel, area = _gaussian(window, sigma), height * width
@@ -330,11 +321,8 @@ def ssim(
         for batch in batches:
             sides = []
             for name in ("t", "p"):
-                lists = batch.column(name)
-                flat = lists.flatten()
-                at = flat.field("i").to_numpy(zero_copy_only=False).astype(np.int64)
-                bar = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                sides.append((bar * CHANNELS + at // area, at % area // width, at % width, flat.field("v").to_numpy(zero_copy_only=False)))
+                bar, at, level = packed.spread(batch.column(name))
+                sides.append((bar * CHANNELS + at // area, at % area // width, at % width, level))
             planes, values = _plane_scores(sides, height, width, kernel)
             bar, n = planes // CHANNELS, len(batch)
             copies = batch.column("copies").to_numpy(zero_copy_only=False)
@@ -344,4 +332,4 @@ def ssim(
             kept = [batch.column(c) for c in BAR]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(total / CHANNELS)], names=[*BAR, "ssim"])
 
-    return packed.mapInArrow(score, packed.select(*BAR).schema.add("ssim", "double"))
+    return bars.mapInArrow(score, bars.select(*BAR).schema.add("ssim", "double"))

@@ -50,11 +50,9 @@ def velocity_plane(cells: DataFrame) -> DataFrame:
 
 
 def plane_pixels(plane: DataFrame, channel: int = 0, copies: int = CHANNELS) -> DataFrame:
-    """A velocity plane as the pixels of an image."""
-    return plane.select(
-        *BAR, F.lit(channel).alias("channel"), F.lit(copies).alias("copies"), "row",
-        F.col("step").alias("col"), F.col("value").alias("level"),
-    )
+    """A velocity plane as the pixels of an image; strips stay strips."""
+    level = F.col("values").alias("levels") if "values" in plane.columns else F.col("value").alias("level")
+    return plane.select(*BAR, F.lit(channel).alias("channel"), F.lit(copies).alias("copies"), "row", F.col("step").alias("col"), level)
 
 
 def render(cells: DataFrame, strategy: str = "velocity_only", pitch_axis: str = "height") -> DataFrame:

@@ -106,11 +106,11 @@ def _ripple(pitch: Column, step: Column) -> Column:
 
 
 def recon_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`recon_plane` as strips, (bar, row, step, values): a row per segment."""
+    """:func:`recon_plane` as strips, (bar, row, step, values, starts): a row per segment."""
     s = rec_segments(spark, sf_dir)
     level = lambda t: F.col("velocity") / 127 * _ripple(F.col("pitch"), t)
     values = F.transform(F.sequence("on", F.col("off") - 1), level)
-    return s.select(*BAR, F.col("pitch").alias("row"), F.col("on").alias("step"), values.alias("values"))
+    return s.select(*BAR, F.col("pitch").alias("row"), F.col("on").alias("step"), values.alias("values"), "starts")
 
 
 def recon_plane(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,3 +294,23 @@ def test_scores_of_notes_are_taken_in_one_pass(spark):
     assert long._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 3
     found = {r["metric"]: r["value"] for r in long.collect()}
     assert found["onset_f1"] == got["onset_f1"] and found["groove_consistency"] == got["groove_consistency"]
+
+
+def test_images_come_as_strips(spark):
+    """Strips score as their positions do, and the registered image scores spread none into rows."""
+    import __spark_entry__ as entry
+    from staffline.plans import derived
+    from staffline.plans.catalog.images import two_channel_recon
+
+    true = ingest.notes_to_segments(notes(spark, ANCHOR), T, 1)
+    plane_strips = true.selectExpr("song_id", "track_idx", "bar_index", "pitch + 1 AS row", "on AS step", "transform(sequence(on, off - 1), t -> (t % 7) / 10D) AS values", "starts")
+    recon = two_channel_recon(plane_strips)
+    positions = recon.selectExpr("song_id", "track_idx", "bar_index", "channel", "copies", "row", "col AS c", "posexplode(levels) AS (k, level)").selectExpr("*", "CAST(c + k AS INT) AS col")
+    cells = R.render(ingest.segments_to_cells(true), "vo_split")
+    for score in (I.pixel_scores, I.ssim):
+        got, want = one(score(R.strips(true, "vo_split"), recon)), one(score(cells, positions))
+        assert tuple(got) == pytest.approx(tuple(want), abs=1e-12)
+    assert derived.recon_strips(spark, "/root/testdata/sf0.001").where("starts").count() > 0
+    for name in ("pixel_scores", "pixel_scores_vo_split", "ssim", "scores_of_matched_bars", "row_scores"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(sequence(on" not in plan and "Window" not in plan, name
