@@ -116,6 +116,33 @@ def pool_latents(latent: DataFrame) -> DataFrame:
     )
 
 
+def pool_vectors(pixels: DataFrame, size: tuple[int, int] = (PITCHES, STEPS)) -> DataFrame:
+    """(bar, z_mu, z_sigma): :func:`pool_latents` of :func:`pool_encode`; pixels may come as strips.
+
+    Blocks are summed in the Arrow function that reads a batch of bars, positions and latent pixels are no rows. Sizes that the grid does not divide
+    take the two steps.
+    """
+    (height, width), (low, narrow) = size, POOL
+    if height % low or width % narrow:
+        return pool_latents(pool_encode(pixels, size))
+    area, own = low * narrow, LATENT_CHANNELS - 1
+    inside = pixels if "levels" in pixels.columns else pixels.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+
+    def score(batch: pa.RecordBatch) -> list:
+        at, i, v = packed.spread(batch.column("p"))
+        n, i = len(batch), i.astype(np.int64)
+        block = i // width // (height // low) * narrow + i % width // (width // narrow)  # channels lie above each other
+        sums = np.bincount(at * own * area + block, v / (height // low * (width // narrow)), n * own * area)
+        ends = pa.array(np.arange(n + 1, dtype=np.int32) * own * area)
+        return [pa.ListArray.from_arrays(ends, pa.array(sums * 2.0 - 1.0)), batch.column("copies").cast(pa.int32())]
+
+    bars = packed.per_bar(packed.pack({"p": packed.pixel_side(inside, height, width)}), {"v": "array<double>", "copies": "int"}, score)
+    first = F.slice("v", 1, area)
+    mu = F.when(F.col("copies") == 1, F.col("v")).otherwise(F.flatten(F.concat(F.array_repeat(first, F.least("copies", F.lit(own))), F.array_repeat(F.array_repeat(to_range(F.lit(0.0)), area), F.greatest(F.lit(own) - F.col("copies"), F.lit(0))))))
+    blank = F.array_repeat(F.lit(0.0), area)
+    return bars.select(*BAR, F.concat(mu, blank).alias("z_mu"), F.array_repeat(F.lit(POOL_SIGMA), LATENT_CHANNELS * area).alias("z_sigma"))
+
+
 def hashed_uniform(*parts: Column) -> Column:
     """Uniform number in (0, 1) that depends on its arguments only."""
     bits = F.shiftrightunsigned(F.xxhash64(*parts), 11)

@@ -178,8 +178,7 @@ def pool_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM z GROUP BY 1, 2, 3"""),
 )
 def pool_latents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = render.render(derived.cells(spark, sf_dir), "velocity_only")
-    z = codec.pool_latents(codec.pool_encode(pixels))
+    z = codec.pool_vectors(render.strips(derived.segments(spark, sf_dir)))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
     return z.select(
         *BAR, F.size("z_mu").alias("dims"), stable(total("z_mu")).alias("mu_sum"), stable(total("z_sigma")).alias("sigma_sum")

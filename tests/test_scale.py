@@ -193,3 +193,23 @@ def test_runs_are_found_without_rows_for_positions(spark):
     want = detect.notes_of_runs(detect.runs(single.where("value >= 0.5 AND row <> 4 OR value >= 0.3 AND row = 4")))
     whole = [(1, 0, b, 5, 0, 96, 1) for b in range(3)]
     assert sorted(map(tuple, detect.by_row_threshold(strips, limits).collect())) == sorted([*map(tuple, want.collect()), *whole])
+
+
+def test_pooled_vectors_and_hmm_sums_read_strips_as_they_read_positions(spark):
+    from staffline.operators import codec, detect, ingest, render
+    from staffline.plans import derived
+
+    sf = "/root/testdata/sf0.001"
+    true = derived.segments(spark, sf).where("song_id < 5")
+    for strategy in ("velocity_only", "vos"):
+        got = codec.pool_vectors(render.strips(true, strategy))
+        want = codec.pool_latents(codec.pool_encode(render.render(ingest.segments_to_cells(true), strategy)))
+        assert "explode(sequence(on" not in got._jdf.queryExecution().optimizedPlan().toString()
+        a, b = ({tuple(r[:3]): (r["z_mu"], r["z_sigma"]) for r in df.collect()} for df in (got, want))
+        assert a.keys() == b.keys() and a
+        for k in a:
+            assert a[k][0] == pytest.approx(b[k][0], abs=1e-12) and a[k][1] == b[k][1]
+    strips, plane = (df.where("song_id < 5") for df in (derived.recon_strips(spark, sf), derived.recon_plane(spark, sf)))
+    a, b = (detect.fit_hmm(p, true) for p in (strips, plane))
+    assert [getattr(a, n) for n in ("mu_on", "sigma_on", "mu_off", "sigma_off", "p_onset", "p_offset")] == pytest.approx(
+        [getattr(b, n) for n in ("mu_on", "sigma_on", "mu_off", "sigma_off", "p_onset", "p_offset")], rel=1e-9)
