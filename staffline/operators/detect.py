@@ -443,19 +443,31 @@ def fit_hmm(
     labelled = true.filter(F.col("on") < span).withColumn("off", F.least(F.col("off"), F.lit(span)))
     row = F.col("pitch") if height == PITCHES else F.explode(F.get(table, F.col("pitch")))
     labelled = labelled.withColumn("row", row)
-    zero = F.lit(0.0)
-    joint = plane.filter(F.col("step") < span).select(*BAR, "row", "step", "value", F.lit(0).alias("t")).unionByName(
-        labelled.select(
-            *BAR, "row", F.explode(F.sequence("on", F.col("off") - 1)).alias("step"), zero.alias("value"), F.lit(1).alias("t")
-        )
-    ).groupBy(*BAR, "row", "step").agg(F.sum("value").alias("v"), F.max("t").alias("t"))
-    on = F.col("t") == 1
-    v = F.col("v")
-    s = joint.agg(
-        F.count_if(on).alias("n1"), F.sum(F.when(on, v).otherwise(0.0)).alias("s1"), F.sum(F.when(on, v * v).otherwise(0.0)).alias("q1"),
-        F.sum(F.when(on, 0.0).otherwise(v)).alias("s0"), F.sum(F.when(on, 0.0).otherwise(v * v)).alias("q0"),
-    ).first()
-    count = _bar_count(n_bars, plane.select(*BAR).unionByName(true.select(*BAR)) if bars is None else bars)
+    # Bars beyond ``span`` count as well, so nothing is cut before the bars are packed.
+    length = F.greatest(F.least(F.col("off"), F.lit(span)) - F.col("on"), F.lit(0)).cast("int")
+    label = F.get(table, F.col("pitch")) if height != PITCHES else F.array("pitch")
+    lit = true.select(*BAR, F.explode(label).alias("row"), F.col("on").alias("step"), F.array_repeat(F.lit(1.0), length).alias("values"))
+    sides = {"p": packed.plane_side(plane, _WIDE), "t": packed.plane_side(lit, _WIDE)}
+    names = ("n1", "s1", "q1", "s0", "q0")
+
+    def sums(batch: pa.RecordBatch) -> list:
+        (pb, pi, pv), (tb, ti, _) = (packed.spread(batch.column(c)) for c in "pt")
+        kept = pi % _WIDE < span
+        pb, pi, pv = pb[kept], pi[kept], pv[kept]
+        area = int(max(pi.max(initial=0), ti.max(initial=0))) + 1
+        key, at = np.unique(np.concatenate([pb * area + pi, tb * area + ti]), return_inverse=True)
+        v = np.bincount(at, np.concatenate([pv, np.zeros(len(ti))]), len(key))
+        on = np.bincount(at[len(pi):], minlength=len(key)) > 0
+        bar = key // area
+        add = lambda w: np.bincount(bar, w, len(batch)).astype(float)
+        return [pa.array(add(w)) for w in (on, on * v, on * v * v, ~on * v, ~on * v * v)]
+
+    found = packed.per_bar(packed.pack(sides), {n: "double" for n in names}, sums)
+    s = found.agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names], F.count(F.lit(1)).alias("bars")).first()
+    if n_bars is None and bars is None and height == PITCHES:
+        count = s["bars"]
+    else:  # at another height a pitch may have no row, and its bar counts all the same
+        count = _bar_count(n_bars, plane.select(*BAR).unionByName(true.select(*BAR)) if bars is None else bars)
     length = F.col("off") - F.col("on")
     tr = labelled.agg(
         F.sum(length).alias("on"), F.count_if("starts").alias("onsets"),

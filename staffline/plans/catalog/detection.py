@@ -168,7 +168,7 @@ def detect_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
            round((on_off + 1e-6) / (stay + on_off + 2e-6) + 1e-10, 6) AS p_offset FROM f"""),
 )
 def hmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = detect.fit_hmm(derived.recon_plane(spark, sf_dir), derived.segments(spark, sf_dir))
+    p = detect.fit_hmm(derived.recon_strips(spark, sf_dir), derived.segments(spark, sf_dir))
     names = ("mu_on", "sigma_on", "mu_off", "sigma_off", "p_onset", "p_offset")
     return spark.range(1).select(*[stable(F.lit(getattr(p, n))).alias(n) for n in names])
 
