@@ -226,7 +226,8 @@ def pieces_to_segments(pieces: DataFrame, without: DataFrame | None = None) -> D
         bars = bars.join(without, list(BAR), "left_anti")
     kind = dict(pieces.dtypes)["pitch"]
     resolve = F.arrow_udf(_resolved, f"array<struct<pitch:{kind},on:int,off:int,velocity:int,starts:boolean>>")
-    return bars.select(*bar, F.inline(resolve("p")))
+    # Spark does not know the partitioning beyond a Python function, so the segments are laid by bar once for all their readers.
+    return by_bar(bars.select(*bar, F.inline(resolve("p"))))
 
 
 #: Positions that are painted at once, of one row at least.
