@@ -16,7 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -140,9 +140,10 @@ class Pool:
 
     def __init__(self) -> None:
         self.number, self.held = {"": 0}, 0
-        self.ids, self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Give ``names``, none of them known, the next numbers."""
         at, base = len(self.starts), len(self.ids)
         self.held += sum(map(len, names))
         self.number.update(zip(names, range(at, at + len(names))))
@@ -154,12 +155,18 @@ class Pool:
         return len(self.number) > CACHED_WORDS or self.held > CACHED_CHARS
 
     def numbers(self, names: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.number.__getitem__, names), dtype=np.int64, count=len(names))
+        """The number of each name, -1 where it is not known."""
+        return np.fromiter(map(self.number.get, names, repeat(-1)), dtype=np.int64, count=len(names))
 
     def take(self, numbers: np.ndarray) -> np.ndarray:
         return self.ids[spread(self.starts[numbers], self.lengths[numbers])]
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The strings of a column without nulls; ``to_pylist`` makes a scalar of each and takes several times as long."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def stem_and_tail(word: str) -> tuple[str, str]:
     """A word as two strings whose ids follow each other: closing marks are a run of their own for the tokenizer, and
     ASCII capitals count as small letters. Words that could hold a special string stay whole."""
@@ -182,7 +189,7 @@ def stems_and_tails(words: list[str]) -> tuple[list[str], list[str]]:
     bare = pc.utf8_rtrim(column, characters=TAIL_MARKS)
     special = pc.match_substring(column, "<|")
     parted = pc.and_not(pc.match_substring_regex(bare, "[A-Za-z]$"), special)
-    stems = pc.if_else(special, column, pc.ascii_lower(pc.if_else(parted, bare, column))).to_pylist()
+    stems = strings(pc.if_else(special, column, pc.ascii_lower(pc.if_else(parted, bare, column))))
     tails = [w[len(s) :] if len(s) < len(w) else "" for w, s in zip(words, stems)]
     for i in np.flatnonzero(~np.asarray(ascii_only)).tolist():
         stems[i], tails[i] = stem_and_tail(words[i])
@@ -195,28 +202,34 @@ def word_encoder(path: str):
 
     For tokenizers that split at white space and drop it, a text's ids are those of its words, so
     distinct words are encoded in batches and kept. ``path`` must name such a tokenizer, one that makes
-    letters small and parts letters from marks.
+    letters small and parts letters from marks. Small ASCII letters pass its normalizer and its splitting as they
+    are, so words of these alone are given to its model at once.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import tokenizers
 
     coder = tokenizers.Tokenizer.from_file(path)
     ids_of = lambda text: coder.encode(text, add_special_tokens=False).ids
-    for text, own in (("a b", "a|b"), ("1 1", "1|1"), ("b .", "b|."), ("é 's", "é|'s"), ("Word,.", "word|,."), ("é!", "é|!")):
+    for text, own in (("a b", "a|b"), ("1 1", "1|1"), ("b .", "b|."), ("é 's", "é|'s"), ("Word,.", "word|,."), ("é!", "é|!"), ("b.\n's", "b.|'s")):
         if ids_of(text) != sum(map(ids_of, own.split("|")), []):
             raise ValueError("this tokenizer does not treat words one by one")
     pools = {"words": Pool(), "stems": Pool()}
     # Ids that end a word: with them, words of letters alone can be told apart in one text.
     word_end = np.zeros(coder.get_vocab_size(), dtype=bool)
     word_end[[i for name, i in coder.get_vocab().items() if name.endswith(WORD_END)]] = True
+    plain = tokenizers.Tokenizer(coder.model)
+    plain.pre_tokenizer = tokenizers.pre_tokenizers.CharDelimiterSplit(" ")
+    letters = "the quick brown fox jumps over a lazy dog abcdefghijklmnopqrstuvwxyz"
+    if plain.encode(letters, add_special_tokens=False).ids != ids_of(letters):
+        plain = coder
 
-    def add_joined(words: list[str]) -> None:
+    def add_joined(words: list[str], coder: tokenizers.Tokenizer) -> None:
         """Encode words as texts of many; a text with another number of word ends is left out."""
         for i in range(0, len(words), 20_000):
             batch = []
             parts = [words[k : k + 200] for k in range(i, min(i + 20_000, len(words)), 200)]
             for part, found in zip(parts, coder.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
-                ids = np.array(found.ids, dtype=np.int64)
+                ids = np.array(found.ids, dtype=np.int32)
                 ends = np.flatnonzero(word_end[ids]) + 1
                 if len(ends) == len(part) and ends[-1] == len(ids):
                     batch.append((part, ids, np.diff(ends, prepend=0)))
@@ -228,33 +241,42 @@ def word_encoder(path: str):
             part = words[i : i + 20_000]
             found = [e.ids for e in coder.encode_batch_fast(part, add_special_tokens=False)]
             lengths = np.array([len(x) for x in found], dtype=np.int64)
-            pools["stems"].add(part, np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(lengths.sum())), lengths)
+            pools["stems"].add(part, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lengths.sum())), lengths)
 
     def learn(words: list[str]) -> None:
         if pools["stems"].full():
             pools["stems"] = Pool()
         stems = pools["stems"]
         heads, tails = stems_and_tails(words)
-        missing = {*heads, *tails} - stems.number.keys()
-        letters = [x for x in missing if x.isalpha()] if word_end.any() else []
-        add_joined(letters)
-        add_each([x for x in missing if x not in stems.number])
-        used = np.zeros((len(words), 2), dtype=np.int64)
-        used[:, 0] = stems.numbers(heads)
         tailed = [i for i, x in enumerate(tails) if x]
-        used[tailed, 1] = stems.numbers([tails[i] for i in tailed])
+        used = np.zeros((len(words), 2), dtype=np.int64)
+        for column, rows, names in ((0, slice(None), heads), (1, tailed, [tails[i] for i in tailed])):
+            numbers = stems.numbers(names)
+            new = np.flatnonzero(numbers < 0).tolist()
+            if new:
+                missing = {names[i] for i in new}
+                if word_end.any():
+                    letters = [x for x in missing if x.isalpha()]
+                    add_joined([x for x in letters if x.isascii()], plain)
+                    add_joined([x for x in letters if not x.isascii()], coder)
+                add_each([x for x in missing if x not in stems.number])
+                numbers[new] = stems.numbers([names[i] for i in new])
+            used[rows, column] = numbers
         pools["words"].add(words, stems.take(used.ravel()), stems.lengths[used].sum(axis=1))
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if pools["words"].full():
             pools["words"] = Pool()
-        pool, lists = pools["words"], pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        pool, column = pools["words"], pa.array(texts, pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         words = pc.list_flatten(lists).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        missing = [w for w in distinct if w not in pool.number]
-        if missing:
-            learn(missing)
-        used = pool.numbers(distinct)[np.asarray(words.indices)]
+        distinct = strings(words.dictionary)
+        numbers = pool.numbers(distinct)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            numbers[new] = np.arange(len(new)) + len(pool.starts)
+            learn([distinct[i] for i in new.tolist()])
+        used = numbers[np.asarray(words.indices)]
         ends = np.concatenate([[0], np.cumsum(pool.lengths[used])])
         cuts = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
         return pool.take(used), np.diff(ends[cuts])

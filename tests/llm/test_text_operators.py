@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import inspect
+import json
 import os
 import zlib
 
@@ -72,6 +73,56 @@ def test_workers_keep_a_bounded_number_of_characters(reference, monkeypatch):
             assert sum(map(len, names)) <= 20_000 + sum(map(len, texts)), i
 
 
+def test_words_parted_by_line_ends_are_kept_one_by_one(reference):
+    words = [f"{a}{b}{c}" for a in "abcÉ" for b in "eio" for c in ("rn", "S", "st.", "é,", "1", "<|", "İ.")]
+    texts = ["\n".join(f"{a}\n\n{b} {a}" for b in words) for a in words]
+    encode = planes.word_encoder.__wrapped__(WORDS)
+    for _ in range(2):
+        ids, counts = encode(texts)
+        want = [reference["words"].encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    pools = inspect.getclosurevars(encode).nonlocals["pools"]
+    assert set(pools["words"].number) == {"", *words}
+
+
+def test_small_letters_alone_skip_the_normalizer(reference, monkeypatch):
+    import tokenizers
+
+    class Watched:
+        def __new__(cls, model):
+            return type(reference["words"])(model)
+
+        @staticmethod
+        def from_file(path):
+            return object.__new__(Watched)
+
+        def __getattr__(self, name):
+            return getattr(reference["words"], name)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return reference["words"].encode_batch_fast(texts, **options)
+
+    seen = []
+    monkeypatch.setattr(tokenizers, "Tokenizer", Watched)
+    text = "Plain words, and PLAIN ones. " * 3 + "été x1"
+    assert planes.word_encoder.__wrapped__(WORDS)([text])[0].tolist() == reference["words"].encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == [",", ".", "x1", "été"]
+
+
+def test_a_normalizer_that_changes_small_letters_is_not_skipped(tmp_path):
+    import tokenizers
+
+    with open(WORDS) as file:
+        other = json.load(file)
+    other["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": "q"}, "content": "k"})
+    path = os.path.join(tmp_path, "other.json")
+    with open(path, "w") as file:
+        json.dump(other, file)
+    text = "quick Quiet queens, quite"
+    assert planes.word_encoder.__wrapped__(path)([text])[0].tolist() == tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_id_files_end_after_so_many_documents(spark):
     docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a word").alias("text")).coalesce(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
