@@ -7,7 +7,7 @@ the linear codec is the PCA of ``vectors``.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -171,24 +171,76 @@ def decode_input(latents: DataFrame) -> Column:
     return F.coalesce(F.col("z_sample"), F.col("z_mu")) if "z_sample" in latents.columns else F.col("z_mu")
 
 
+def _hash_int(state: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of columns whose hash is ``state`` and of one more INT column."""
+    one, two, three, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (state + (five + np.uint64(4))) ^ ((value.astype(np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF)) * one)
+    h = (h << np.uint64(23)) | (h >> np.uint64(41))
+    h *= two
+    h += three
+    h ^= h >> np.uint64(33)
+    h *= two
+    h ^= h >> np.uint64(29)
+    h *= three
+    h ^= h >> np.uint64(32)
+    return h
+
+
+#: Bars whose noise is made at once: their positions stay in a processor's cache.
+_NOISY_BARS = 8
+
+
+def _noisy(plane: DataFrame, columns: dict[str, str], result: Callable[[np.ndarray], list], scale: float, seed: int, height: int, width: int) -> DataFrame:
+    """(bar, columns) of each bar's plane with noise, of which ``result`` gets a stack of (bars, height, width).
+
+    The noise is ``hashed_normal(seed, *BAR, row, step)``: Spark hashes what a bar has in common, the Arrow function goes on with row and step.
+    """
+    side = packed.plane_side(plane, width)
+    if "values" not in plane.columns:  # positions beyond the image have no number, but their bars have noise
+        inside = F.col("row").between(0, height - 1) & F.col("step").between(0, width - 1)
+        side = packed.plane_side(plane.withColumns({"row": F.when(inside, F.col("row")).otherwise(-1), "step": F.when(inside, F.col("step")).otherwise(0)}), width)
+    bars = packed.pack({"p": side}).withColumns({f"h{k}": F.xxhash64(F.lit(seed), F.lit(k), *[F.col(c) for c in BAR]) for k in (1, 2)})
+    rows, steps = np.arange(height)[:, None], np.arange(width)
+
+    def uniform(state: pa.Array) -> np.ndarray:
+        bar = state.to_numpy(zero_copy_only=False).view(np.uint64)[:, None, None]
+        return ((_hash_int(_hash_int(bar, rows), steps) >> np.uint64(11)).view(np.int64) + 0.5) / float(1 << 53)
+
+    def image(batch: pa.RecordBatch) -> list:
+        at, i, v = packed.spread(batch.column("p"))
+        kept = i >= 0
+        level = np.bincount(at[kept] * (height * width) + i[kept], v[kept], len(batch) * height * width).reshape(-1, height, width)
+        noise = np.sqrt(-2.0 * np.log(uniform(batch.column("h1")))) * np.cos(2.0 * math.pi * uniform(batch.column("h2"))) * (scale / 2.0)
+        return result(np.clip(level + noise, 0.0, 1.0))
+
+    return packed.per_bar(bars, columns, image, _NOISY_BARS)
+
+
 def noisy_plane(
     plane: DataFrame, scale: float = 0.1, seed: int = 42, height: int = PITCHES, width: int = STEPS
 ) -> DataFrame:
-    """Every pixel of a plane plus hashed Gaussian noise, clamped to the value range.
+    """Every pixel of a plane plus hashed Gaussian noise, clamped to the value range; the plane may come as strips (see ``packed``).
 
     ``scale`` is in pixel values of [-1, 1]. Noise reaches the background too, so the
     result is dense: height * width positions per bar, read off the bar's lines.
     """
-    row = [*BAR, "row"]
-    stored = plane.groupBy(*row, "step").agg(F.sum("value").alias("value"))
-    lines = stored.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("step", "value"))).alias("m"))
-    level = lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))
-    lines = lines.select(*row, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), level).alias("values"))
-    # The lines of a bar side by side, blank ones included, then their positions: the dense rows are never grouped.
-    bars = lines.groupBy(*BAR).agg(F.map_from_entries(F.collect_list(F.struct("row", "values"))).alias("m"))
-    blank = F.array_repeat(F.lit(0.0), width)
-    every = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.coalesce(F.try_element_at("m", r), blank))
-    full = bars.select(*BAR, F.posexplode(every).alias("row", "values")).select(*row, F.posexplode("values").alias("step", "value"))
-    noise = hashed_normal(seed, *[F.col(c) for c in (*BAR, "row", "step")]) * (scale / 2.0)
-    level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") + noise))
-    return full.withColumn("value", level).filter("value > 0")
+
+    def lines(levels: np.ndarray) -> list:
+        listed = lambda values, n: pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, n, dtype=np.int32)), values)
+        return [listed(listed(pa.array(levels.reshape(-1)), width), height)]
+
+    full = _noisy(plane, {"lines": "array<array<double>>"}, lines, scale, seed, height, width)
+    full = full.select(*BAR, F.posexplode("lines").alias("row", "values")).select(*BAR, "row", F.posexplode("values").alias("step", "value"))
+    return full.filter("value > 0")
+
+
+def noisy_sums(
+    plane: DataFrame, scale: float = 0.1, seed: int = 42, height: int = PITCHES, width: int = STEPS
+) -> DataFrame:
+    """(bar, n, total, top): number, sum and largest of the values that :func:`noisy_plane` gives; they never leave the task."""
+
+    def sums(levels: np.ndarray) -> list:
+        flat = levels.reshape(len(levels), -1)
+        return [pa.array((flat > 0).sum(axis=1)), pa.array(flat.sum(axis=1)), pa.array(flat.max(axis=1))]
+
+    return _noisy(plane, {"n": "bigint", "total": "double", "top": "double"}, sums, scale, seed, height, width)

@@ -49,6 +49,12 @@ def velocity_plane(cells: DataFrame) -> DataFrame:
     return cells.select(*BAR, F.col("pitch").alias("row"), "step", (F.col("velocity") / VELOCITY_MAX).alias("value"))
 
 
+def velocity_strips(segments: DataFrame) -> DataFrame:
+    """:func:`velocity_plane` as strips (see ``packed``), (bar, row, step, values): a row per segment."""
+    values = F.array_repeat(F.col("velocity") / VELOCITY_MAX, (F.col("off") - F.col("on")).cast("int"))
+    return segments.select(*BAR, F.col("pitch").alias("row"), F.col("on").alias("step"), values.alias("values"))
+
+
 def plane_pixels(plane: DataFrame, channel: int = 0, copies: int = CHANNELS) -> DataFrame:
     """A velocity plane as the pixels of an image; strips stay strips."""
     level = F.col("values").alias("levels") if "values" in plane.columns else F.col("value").alias("level")

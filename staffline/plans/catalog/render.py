@@ -188,7 +188,7 @@ def pool_latents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("noisy_reconstruction")
 def noisy_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth plus clamped Gaussian noise on every pixel; the numbers depend on this engine's hash."""
-    noisy = codec.noisy_plane(render.velocity_plane(derived.cells(spark, sf_dir)))
+    noisy = codec.noisy_sums(render.velocity_strips(derived.segments(spark, sf_dir)))
     return noisy.groupBy("track_idx").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("top")
+        F.sum("n").alias("n"), F.round(F.try_divide(F.sum("total"), F.sum("n")), 4).alias("mean"), F.max("top").alias("top")
     )
