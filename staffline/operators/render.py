@@ -121,11 +121,13 @@ def resize(
 
     Along an axis that shrinks a stored pixel is spread over the target pixels that read it (the weight tables
     are constants of the plan), then summed per target. Along one that grows the targets read from arrays, see ``_enlarge``.
-    The frame stays by bar.
+    The frame stays by bar. Strips (see ``packed``) are resampled as the lines of a bar and come back as strips.
     """
     taps.taps(1, 1, method)
     if min(*source, *target) <= 0:
         raise ValueError("sizes must be positive")
+    if "levels" in pixels.columns:
+        return pixels if source == target else _resize_strips(pixels, source, target, method)
     out, sizes, blocks = pixels, {"row": source[0], "col": source[1]}, False
     for axis, n_in, n_out in (("row", source[0], target[0]), ("col", source[1], target[1])):
         if n_in >= n_out:
@@ -155,6 +157,53 @@ def resize(
     return out.select(*BAR, "channel", "copies", "row", "col", "level")
 
 
+def _resize_strips(strips: DataFrame, source: tuple[int, int], target: tuple[int, int], method: str, most: int = 1024) -> DataFrame:
+    """The strips of a resized image: only lines with stored pixels are resampled, in an Arrow function over ``most`` bars at once.
+
+    A line is a row of a matrix, so its columns are one product with the weights; then each target row adds up the lines that it reads. A target is
+    stored if any stored pixel reaches it, and each run of such targets in a row is a strip.
+    """
+    (height, width), (tall, wide) = source, target
+    down, across = taps.matrix(height, tall, method), taps.matrix(width, wide, method)
+    reached = (across != 0).astype(float)
+    to, read = np.nonzero(down)
+    order = np.argsort(read, kind="stable")
+    to, weight, fan = to[order], down[to, read][order], np.bincount(read, minlength=height)
+    begin = np.cumsum(fan) - fan
+
+    def score(batch: pa.RecordBatch) -> list:
+        at, i, v = packed.spread(batch.column("p"))
+        lines, line = np.unique((at * CHANNELS * height) + i // width, return_inverse=True)
+        dense = lambda x: np.bincount(line * width + i % width, x, len(lines) * width).reshape(-1, width)
+        level, stored = dense(v) @ across.T, dense(np.ones(len(v))) @ reached.T > 0
+        plane, row = lines // height, lines % height
+        k = fan[row]
+        own = np.repeat(np.arange(len(lines)), k)
+        tap = np.repeat(begin[row] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        code = plane[own] * tall + to[tap]
+        order = np.argsort(code, kind="stable")
+        own, tap, code = own[order], tap[order], code[order]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        if len(first):
+            level = np.add.reduceat(level[own] * weight[tap][:, None], first)
+            stored = np.logical_or.reduceat(stored[own], first)
+        else:
+            level, stored = np.zeros((0, wide)), np.zeros((0, wide), bool)
+        edge = np.diff(np.pad(stored, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (found, col), end = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+        image, out = np.divmod(code[first][found], tall)
+        ends = pa.array(np.concatenate([[0], np.cumsum(end - col)]).astype(np.int32))
+        columns = {
+            "channel": pa.array(image % CHANNELS, pa.int32()), "row": pa.array(out, pa.int32()), "col": pa.array(col, pa.int32()),
+            "levels": pa.ListArray.from_arrays(ends, pa.array(level[stored])),
+        }
+        return [batch.column("copies").cast(pa.int32()), packed.listed(image // CHANNELS, columns, len(batch))]
+
+    bars = packed.pack({"p": packed.pixel_side(strips, height, width)})
+    kinds = {"copies": "int", "strips": "array<struct<channel:int,row:int,col:int,levels:array<double>>>"}
+    return packed.per_bar(bars, kinds, score, most).select(*BAR, "copies", F.inline("strips")).select(*BAR, "channel", "copies", "row", "col", "levels")
+
+
 def _weighted(values: Sequence[Column], weights: Sequence[Column | float]) -> Column:
     """The weighted sum of the values that are there; null if none is."""
     terms = [F.coalesce(v, F.lit(0.0)) * w for v, w in zip(values, weights)]

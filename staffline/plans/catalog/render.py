@@ -14,7 +14,10 @@ from staffline.plans.derived import with_tables
 
 
 def checksum(pixels: DataFrame, low: float = -1.0, high: float = 1.0) -> DataFrame:
-    """Per bar and channel: stored pixels, sum of values and a position-weighted sum."""
+    """Per bar and channel: stored pixels, sum of values and a position-weighted sum; pixels may come as strips."""
+    if "levels" in pixels.columns:
+        parts = pixels.select(*BAR, "channel", "copies", "row", F.col("col").alias("first"), F.posexplode("levels").alias("i", "level"))
+        pixels = parts.withColumn("col", F.col("first") + F.col("i"))
     value = render.to_range(F.col("level"), low, high)
     place = (F.col("row") * 3 + F.col("col") + 1) % 101
     return (
@@ -109,8 +112,8 @@ def _resize_sql(method: str, height: int, width: int) -> str:
 
 
 def _resized(spark: SparkSession, sf_dir: str, method: str, height: int, width: int) -> DataFrame:
-    pixels = render.render(derived.cells(spark, sf_dir), "velocity_only")
-    return checksum(render.resize(pixels, (128, 96), (height, width), method))
+    strips = render.strips(derived.segments(spark, sf_dir), "velocity_only")
+    return checksum(render.resize(strips, (128, 96), (height, width), method))
 
 
 @query("resize_bilinear", _resize_sql("bilinear", 128, 128))
