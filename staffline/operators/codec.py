@@ -34,6 +34,41 @@ def pool_decode(latent: DataFrame, size: tuple[int, int] = (PITCHES, STEPS)) ->
     return resize(latent, POOL, size, "bilinear")
 
 
+Found = tuple[np.ndarray, ...]
+
+
+def decoded_arrays(
+    t: Found, z: Found, n: int, threshold: float, active: float, size: tuple[int, int] = (PITCHES, STEPS), stack: int = 64
+) -> tuple[np.ndarray, Found, Found]:
+    """What scores and notes need of the decoded planes of ``n`` bars, ``stack`` of them at once.
+
+    ``t`` and ``z`` are (bar, position, level) of the true plane and of the latent one, bars ascending. Gives the summed squared differences of levels, (bar,
+    row, sum, number of levels from ``active`` on) of lines with a level, and (bar, row, onset, offset, mean) of the runs of levels from ``threshold`` on.
+    """
+    height, width = size
+    down, across = (taps.matrix(a, b) for a, b in zip(POOL, size))
+    error, rows, runs = np.zeros(n), [], []
+    for start in range(0, n, stack):
+        stop = min(start + stack, n)
+        dense = []
+        for side, area in ((t, height * width), (z, POOL[0] * POOL[1])):
+            own = slice(*np.searchsorted(side[0], [start, stop]))
+            dense.append(np.bincount((side[0][own] - start) * area + side[1][own], side[2][own], (stop - start) * area))
+        plane = np.clip(down @ dense[1].reshape(-1, *POOL) @ across.T, 0.0, 1.0)
+        gap = dense[0].reshape(plane.shape) - plane
+        error[start:stop] = np.einsum("nij,nij->n", gap, gap)
+        sums = plane.sum(axis=2)
+        bar, row = np.nonzero(sums)
+        rows.append((bar + start, row, sums[bar, row], (plane >= active).sum(axis=2)[bar, row]))
+        on = np.zeros((*plane.shape[:2], width + 2), np.int8)
+        on[:, :, 1:-1] = plane >= threshold
+        edge = np.diff(on, axis=2)
+        (bar, row, onset), offset = np.nonzero(edge == 1), np.nonzero(edge == -1)[2]
+        so_far = np.concatenate([np.zeros((*plane.shape[:2], 1)), np.cumsum(plane, axis=2)], axis=2)
+        runs.append((bar + start, row, onset, offset, (so_far[bar, row, offset] - so_far[bar, row, onset]) / (offset - onset)))
+    return error, tuple(map(np.concatenate, zip(*rows))), tuple(map(np.concatenate, zip(*runs)))
+
+
 def decoded_bars(
     true: DataFrame, latent: DataFrame, threshold: float, active: float, size: tuple[int, int] = (PITCHES, STEPS), stack: int = 64
 ) -> DataFrame:
@@ -42,36 +77,15 @@ def decoded_bars(
     ``true`` and ``latent`` are pixels whose first channel is read. ``ss`` sums the squared differences of pixel values, ``rows`` has (row, p, a), the sum
     and the number of levels from ``active`` on, ``runs`` (row, onset, offset, mean) of the levels from ``threshold`` (above 0) on.
     """
-    height, width = size
     inside = F.col("row").between(0, POOL[0] - 1) & F.col("col").between(0, POOL[1] - 1)
     sides = {"t": packed.pixel_side(true.where("channel = 0"), *size), "z": packed.pixel_side(latent.where("channel = 0").where(inside), *POOL)}
-    down, across = (taps.matrix(a, b) for a, b in zip(POOL, size))
 
     def score(batch: pa.RecordBatch) -> list:
         n = len(batch)
         t, z = (packed.spread(batch.column(c)) for c in "tz")
-        error, rows, runs = np.zeros(n), [], []
-        for start in range(0, n, stack):
-            stop = min(start + stack, n)
-            dense = []
-            for side, area in ((t, height * width), (z, POOL[0] * POOL[1])):
-                own = slice(*np.searchsorted(side[0], [start, stop]))
-                dense.append(np.bincount((side[0][own] - start) * area + side[1][own], side[2][own], (stop - start) * area))
-            plane = np.clip(down @ dense[1].reshape(-1, *POOL) @ across.T, 0.0, 1.0)
-            gap = dense[0].reshape(plane.shape) - plane
-            error[start:stop] = np.einsum("nij,nij->n", gap, gap)
-            sums = plane.sum(axis=2)
-            bar, row = np.nonzero(sums)
-            rows.append((bar + start, row, sums[bar, row], (plane >= active).sum(axis=2)[bar, row]))
-            on = np.zeros((*plane.shape[:2], width + 2), np.int8)
-            on[:, :, 1:-1] = plane >= threshold
-            edge = np.diff(on, axis=2)
-            (bar, row, onset), offset = np.nonzero(edge == 1), np.nonzero(edge == -1)[2]
-            so_far = np.concatenate([np.zeros((*plane.shape[:2], 1)), np.cumsum(plane, axis=2)], axis=2)
-            runs.append((bar + start, row, onset, offset, (so_far[bar, row, offset] - so_far[bar, row, onset]) / (offset - onset)))
-        join = lambda parts, *names: packed.listed(
-            np.concatenate([p[0] for p in parts]),
-            {k: pa.array(np.concatenate([p[j] for p in parts]), pa.float64() if k in ("mean", "p") else pa.int32()) for j, k in enumerate(names, 1)}, n,
+        error, rows, runs = decoded_arrays(t, z, n, threshold, active, size, stack)
+        join = lambda found, *names: packed.listed(
+            found[0], {k: pa.array(found[j], pa.float64() if k in ("mean", "p") else pa.int32()) for j, k in enumerate(names, 1)}, n
         )
         has = np.bincount(t[0][t[2] != 0], minlength=n) > 0
         ss = 4.0 * error * batch.column("copies").to_numpy(zero_copy_only=False)

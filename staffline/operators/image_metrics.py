@@ -7,7 +7,7 @@ The two sides are stacked by bar as in the note metrics.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +60,12 @@ def pixel_scores(
     return scores_of_errors(packed.per_bar(packed.pack(sides), {"ss": "double", "has_t": "boolean"}, score), height, width)
 
 
-def scores_of_errors(bars: DataFrame, height: int = PITCHES, width: int = STEPS) -> DataFrame:
-    """MSE and PSNR from (bar, ss, has_t): the summed squared differences of the pixel values of three channels."""
+def scores_of_errors(bars: DataFrame, height: int = PITCHES, width: int = STEPS, keep: Sequence[str] = ()) -> DataFrame:
+    """MSE and PSNR from (bar, ss, has_t): the summed squared differences of the pixel values of three channels. ``keep`` are columns that stay."""
     bar = bars.filter("has_t")
     mse = F.col("ss") / (CHANNELS * height * width)
     psnr = F.when(mse > 0, 10.0 * F.log10(F.try_divide(F.lit(4.0), mse))).otherwise(float("inf"))
-    return bar.select(*BAR, mse.alias("pixel_mse"), psnr.alias("psnr"))
+    return bar.select(*BAR, mse.alias("pixel_mse"), psnr.alias("psnr"), *keep)
 
 
 def _enlarged_errors(t: tuple, p: tuple, n: int, rows: np.ndarray, cols: np.ndarray, stack: int = 64) -> np.ndarray:

@@ -64,15 +64,15 @@ def classes(notes: Side, weight: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(bar * CLASSES + at, weight, n * CLASSES).reshape(n, -1)
 
 
-def _entropy(counts: np.ndarray) -> np.ndarray:
-    """As ``vectors.entropy_from_sums`` over 12 bins."""
+def entropy(counts: np.ndarray, bins: int = 12) -> np.ndarray:
+    """As ``vectors.entropy_from_sums``."""
     mass = counts.sum(axis=1)
     some = np.where(mass > 0, mass, 1.0)
     positive = np.where(counts > 0, counts, 1.0)
-    zeros = 12 - (counts > 0).sum(axis=1)
+    zeros = bins - (counts > 0).sum(axis=1)
     z = 1.0 + zeros * ENTROPY_FLOOR
     s = (positive * np.log(positive)).sum(axis=1) / some - np.log(some) + zeros * ENTROPY_FLOOR * math.log(ENTROPY_FLOOR)
-    return np.where(mass > 0, np.log(z) - s / z, math.log(12))
+    return np.where(mass > 0, np.log(z) - s / z, math.log(bins))
 
 
 def class_scores(t: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
@@ -84,7 +84,7 @@ def class_scores(t: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
     spread = np.sqrt(vx) * np.sqrt(vy)
     r = np.where(flat | (spread == 0), 0.0, (12 * both - x * y) / np.where(spread == 0, 1.0, spread))
     norm = np.sqrt((t * t).sum(axis=1) * (p * p).sum(axis=1))
-    gt, gen = _entropy(t), _entropy(p)
+    gt, gen = entropy(t), entropy(p)
     return {
         "pitch_class_histogram_correlation": np.where(y > 0, r, np.nan),
         "conditioning_pitch_alignment": np.where(y > 0, both / np.where(norm > 0, norm, 1.0), 0.0),

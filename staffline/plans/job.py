@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffline.keys import BAR, PITCHES, STEPS
-from staffline.operators import codec, detect, image_metrics, note_metrics, numbering, render
+from staffline.keys import BAR, PITCHES, STEPS, VELOCITY_MAX
+from staffline.operators import codec, detect, image_metrics, note_arrays, note_metrics, packed, render
 from staffline.operators.ingest import (
     cells_to_segments,
     common_grid,
@@ -47,13 +49,41 @@ def reconstruct(cells: DataFrame, size: tuple[int, int] = (PITCHES, STEPS)) -> D
     )
 
 
-def _decoded(true: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pixel scores, sums of rows and notes of the pooling codec's planes; the planes are no rows of the plan."""
-    latent = codec.pool_encode(render.render(segments_to_cells(true), "velocity_only"))
-    bars = codec.decoded_bars(render.strips(true), latent, threshold, image_metrics.SPARSITY_LEVEL)
-    bars = numbering.durable(bars)  # read by four scores
-    notes = detect.notes_of_runs(bars.select(*BAR, F.inline("runs")))
-    return image_metrics.scores_of_errors(bars.select(*BAR, "ss", "has_t")), bars.select(*BAR, F.inline("rows")), notes
+#: Scores of a bar's decoded plane and of the notes in it, beside those of its pixels.
+_ROWS, _NOTES = ("note_entropy_diff", "activation_sparsity_recon"), ("steps", "onsets")
+
+
+def _decoded(true: DataFrame, threshold: float, most: int = 1024) -> DataFrame:
+    """(bar, scores) of the pooling codec's planes: encoded, decoded, searched for notes and scored in one Arrow function over ``most`` bars at once.
+
+    Planes and notes exist only inside a task, so nothing of theirs is written down or shuffled.
+    """
+    note = F.struct("pitch", "on", "off", F.col("velocity").cast("double").alias("velocity"), "starts")
+    bars = true.groupBy(*BAR).agg(F.collect_list(note).alias("t"))
+    names = [*_ROWS, *[name for family in _NOTES for name in note_metrics.FAMILIES[family]]]
+    (low, narrow), size = codec.POOL, PITCHES * STEPS
+    high, wide = PITCHES // low, STEPS // narrow
+
+    def score(batch: pa.RecordBatch) -> list:
+        n = len(batch)
+        notes = note_arrays.side(batch.column("t"), ("pitch", "on", "off", "velocity", "starts"))
+        bar, c = notes
+        length = c["off"] - c["on"]
+        at, pitch, level = (np.repeat(v, length) for v in (bar, c["pitch"], c["velocity"] / VELOCITY_MAX))
+        step = np.repeat(c["on"] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        latent = at, pitch // high * narrow + step // wide, level / (high * wide)
+        error, rows, runs = codec.decoded_arrays((at, pitch * STEPS + step, level), latent, n, threshold, image_metrics.SPARSITY_LEVEL)
+        planes = [np.bincount(b * PITCHES + r, v, n * PITCHES).reshape(n, -1) for b, r, v in ((bar, c["pitch"], length), rows[:3])]
+        truth, found = (note_arrays.entropy(p, PITCHES) for p in planes)
+        sparse = (size - np.bincount(rows[0], rows[3], n)) / size
+        velocity = np.clip(np.rint(np.round(runs[4] * VELOCITY_MAX, 9)), 1, VELOCITY_MAX)
+        pred = runs[0], {"pitch": runs[1], "onset": runs[2], "offset": runs[3], "velocity": velocity, "n": np.ones(len(velocity), np.int64)}
+        scores = dict(zip(_ROWS, (truth - found, sparse))) | note_metrics.score_arrays(notes, pred, n, _NOTES)
+        has = np.bincount(bar[c["velocity"] != 0], minlength=n) > 0
+        return [pa.array(4.0 * render.CHANNELS * error), pa.array(has), *[pa.array(scores[k], mask=np.isnan(scores[k])) for k in names]]
+
+    scored = packed.per_bar(bars, {"ss": "double", "has_t": "boolean"} | dict.fromkeys(names, "double"), score, most)
+    return image_metrics.scores_of_errors(scored, keep=names)
 
 
 def run(
@@ -67,18 +97,18 @@ def run(
     """
     true = ingest(notes, STEPS, n_bars, min_notes, signatures)
     if detector is None and threshold > 0:
-        pixels, plane, found = _decoded(true, threshold)
+        bars = _decoded(true, threshold)
     else:
         cells = segments_to_cells(true)
         plane = reconstruct(cells)
         found = (detector or (lambda p: detect.global_threshold(p, threshold)))(plane)
         pixels = image_metrics.pixel_scores(render.strips(true), render.plane_pixels(plane))
-    pred = found.withColumn("n", F.lit(1))  # detectors emit each note once, already by bar
-    rows = image_metrics.row_scores(true, plane)
-    steps = note_metrics.step_profiles(true, pred)
-    onset = note_metrics.onset_scores(note_metrics.onset_arrays(true, pred))
-    keys = list(BAR)
-    bars = pixels.join(rows, keys, "left").join(steps, keys, "left").join(onset, keys, "left")
+        pred = found.withColumn("n", F.lit(1))  # detectors emit each note once, already by bar
+        rows = image_metrics.row_scores(true, plane)
+        steps = note_metrics.step_profiles(true, pred)
+        onset = note_metrics.onset_scores(note_metrics.onset_arrays(true, pred))
+        keys = list(BAR)
+        bars = pixels.join(rows, keys, "left").join(steps, keys, "left").join(onset, keys, "left")
     names = (
         "pixel_mse", "psnr", "note_entropy_diff", "activation_sparsity_recon", "note_density_pearson",
         "velocity_mse", "velocity_correlation", "onset_precision", "onset_recall", "onset_f1",
