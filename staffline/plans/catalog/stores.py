@@ -172,13 +172,13 @@ def ordered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def linear_codec_on_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six components of all velocity planes of 12,288 positions; images come back with the error that the components leave."""
-    cells = derived.cells(spark, sf_dir)
-    pixels = linear.flat(render.render(cells, "velocity_only")).persist()
-    bars = cells.select(*BAR).distinct()
+    segments = derived.segments(spark, sf_dir).persist()
+    pixels = linear.flat(render.strips(segments, "velocity_only"))
+    bars = segments.select(*BAR).distinct()
     codec = linear.fit(pixels, 6, n_bars=bars.count(), steps=3)
     # Unclamped images, background included, so that the error is the variance that is left.
     error = codec.squared_error(pixels, codec.encode(pixels, bars)).first()["error"]
-    pixels.unpersist()
+    segments.unpersist()
     rest = codec.variance * (1 - codec.explained.sum())
     return spark.range(1).select(
         F.lit(codec.rows).cast("long").alias("n"), F.round(F.lit(codec.variance), 3).alias("variance"),
