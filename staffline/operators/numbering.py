@@ -121,24 +121,30 @@ def sequence_next(
     ``lead`` runs inside each range block. Rows at the end of a block look into the first rows of the following blocks;
     only the last sequence of a block goes on after it, so those heads are at most a row per block.
     """
-    cut = sequence_blocks(df, by, [order], ties)
+    return sequence_ahead(df, by, order, values, {prefix: steps}, ties)
+
+
+def sequence_ahead(
+    df: DataFrame, by: Sequence[str], order: str, values: Sequence[str], steps: Mapping[str, int], ties: Sequence[str] = ()
+) -> DataFrame:
+    """As :func:`sequence_next` for several distances at once, ``steps`` by prefix: rows are dealt and written down once."""
+    cut, reach = sequence_blocks(df, by, [order], ties), max(steps.values())
     block = Window.partitionBy("_block", *by)
     inside = block.orderBy(order, *ties, "_uid")
     payload = F.struct(*[F.col(v).alias(v) for v in values])
     cut = cut.select(
-        "*", F.lead(payload, steps).over(inside).alias("_lead"), F.row_number().over(inside).alias("_rn"),
+        "*", *[F.lead(payload, k).over(inside).alias(f"_lead{k}") for k in sorted(set(steps.values()))], F.row_number().over(inside).alias("_rn"),
         F.count(F.lit(1)).over(block).alias("_n"),
     ).withColumn("_left", F.col("_n") - F.col("_rn"))
     first = F.collect_list(F.struct(F.col("_rn"), payload.alias("v")))
-    heads = cut.where(F.col("_rn") <= steps).groupBy("_block", *by).agg(
+    heads = cut.where(F.col("_rn") <= reach).groupBy("_block", *by).agg(
         F.transform(F.sort_array(first), lambda s: s["v"]).alias("_heads")
     )
-    after = Window.partitionBy(*by).orderBy("_block").rowsBetween(1, steps)
+    after = Window.partitionBy(*by).orderBy("_block").rowsBetween(1, reach)
     following = heads.select("_block", *by, F.flatten(F.collect_list("_heads").over(after)).alias("_following"))
     out = _match(cut, following.where(F.size("_following") > 0), ["_block", *by], "left", small=True)
-    crossing = F.get(F.col("_following"), (F.lit(steps - 1) - F.col("_left")).cast("int"))
-    out = out.withColumn("_value", F.when(F.col("_left") >= steps, F.col("_lead")).otherwise(crossing))
-    return out.select(*df.columns, *[F.col("_value")[v].alias(f"{prefix}{v}") for v in values])
+    ahead = lambda k: F.when(F.col("_left") >= k, F.col(f"_lead{k}")).otherwise(F.get("_following", (F.lit(k - 1) - F.col("_left")).cast("int")))
+    return out.select(*df.columns, *[ahead(k)[v].alias(f"{prefix}{v}") for prefix, k in steps.items() for v in values])
 
 
 # -- samples ---------------------------------------------------------------------------------------

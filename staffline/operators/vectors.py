@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staffline.functions import vectors as V
-from staffline.operators.numbering import durable, exact_fraction, exact_sample, sequence_next
+from staffline.operators.numbering import durable, exact_fraction, exact_sample, sample_key, sequence_ahead
 
 PROBE_TRAIN = 0.8
 #: Most rows and most numbers of a tile of vectors, and the tiles that give enough tasks.
@@ -168,7 +168,7 @@ def probe_accuracy(
 ) -> float:
     """Held-out accuracy of a multinomial logistic regression, 80/20 seeded split.
 
-    NaN with fewer than four rows, a single class or an empty test side.
+    NaN with fewer than four rows, a single class or an empty test side. ``df`` is read several times: write it down where it is costly.
     """
     rows = df.select(*keys, F.col(label).cast("string").alias("_label"), array_to_vector(doubles(z)).alias("features"))
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_label").alias("k")).first()
@@ -177,20 +177,20 @@ def probe_accuracy(
     # Class names become consecutive numbers; there is one small row per class.
     names = rows.groupBy("_label").count().select("_label").orderBy("_label")
     codes = names.withColumn("label", (F.row_number().over(Window.orderBy("_label")) - 1).cast("double"))
-    rows = rows.join(codes, "_label").persist()
-    try:
-        train = exact_fraction(rows, PROBE_TRAIN, keys, seed=seed)
-        test = rows.join(train.select(*keys), list(keys), "left_anti")
-        n = max(1, int(PROBE_TRAIN * sizes["n"]))
-        if n >= sizes["n"]:
-            return float("nan")
-        model = LogisticRegression(
-            family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter
-        ).fit(train.select("features", "label"))
-        hit = model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()
-        return float("nan") if hit["a"] is None else float(hit["a"])
-    finally:
-        rows.unpersist()
+    rows = rows.join(F.broadcast(codes), "_label")
+    n = max(1, int(PROBE_TRAIN * sizes["n"]))
+    if n >= sizes["n"]:
+        return float("nan")
+    # The sample is all rows up to the last one in the order of a seeded hash, so only keys are dealt for it and vectors stay where they are.
+    place = F.struct(sample_key(seed, *keys).alias("_h"), *keys)
+    last = exact_fraction(rows.select(*keys), PROBE_TRAIN, keys, seed=seed).agg(F.max(place).alias("p")).first()["p"]
+    kinds = {f.name: f.dataType for f in rows.select(*keys).schema.fields}
+    cut = F.struct(F.lit(last["_h"]).alias("_h"), *[F.lit(last[k]).cast(kinds[k]).alias(k) for k in keys])
+    model = LogisticRegression(
+        family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter
+    ).fit(rows.where(place <= cut).select("features", "label"))
+    hit = model.transform(rows.where(place > cut)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()
+    return float("nan") if hit["a"] is None else float(hit["a"])
 
 
 def dominant_pitch_label(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -329,8 +329,7 @@ def smoothness(df: DataFrame, by: Sequence[str], order: str, z: str = "z") -> Da
     Fewer than two rows give NaN for both, two rows NaN for the second difference.
     """
     rows = df.select(*by, order, doubles(z).alias("z"))
-    one = sequence_next(rows, by, order, ["z"], steps=1, prefix="n1_")
-    two = sequence_next(one, by, order, ["z"], steps=2, prefix="n2_")
+    two = sequence_ahead(rows, by, order, ["z"], {"n1_": 1, "n2_": 2})
     first = V.distance(F.col("n1_z"), F.col("z"))
     bend = V.norm(F.zip_with(V.difference(F.col("n2_z"), F.col("n1_z")), V.difference(F.col("n1_z"), F.col("z")), lambda a, b: a - b))
     nan = F.lit(float("nan"))
@@ -357,7 +356,7 @@ def self_similarity(df: DataFrame, by: Sequence[str], z: str = "z") -> DataFrame
     def pack(batches):
         for pdf in batches:
             live = pdf["u"].map(lambda u: float(u @ u) > 0.25).astype("int64")
-            out = pdf.assign(s=pdf["u"], n=1, nz=live)
+            out = pdf.assign(s=None, n=1, nz=live)  # a vector that stands for itself is sent once
             width = len(pdf["u"].iloc[0]) if len(pdf) else 0
             many = out.groupby(keys, sort=False, dropna=False)["n"].transform("size") > width
             yield out[~many]
@@ -365,13 +364,13 @@ def self_similarity(df: DataFrame, by: Sequence[str], z: str = "z") -> DataFrame
                 x = np.stack(g["u"].to_numpy())
                 few = g.iloc[:width].copy()
                 few["u"] = list(np.linalg.qr(x, mode="r"))
-                few["s"] = [x.sum(0)] + [np.zeros(width)] * (width - 1)
+                few["s"] = pd.Series([x.sum(0)] + [np.zeros(width)] * (width - 1), few.index)
                 few["n"] = [len(g)] + [0] * (width - 1)
                 few["nz"] = [int(g["nz"].sum())] + [0] * (width - 1)
                 yield few
 
     def whole(pdf):
-        u, total = np.stack(pdf["u"].to_numpy()), np.stack(pdf["s"].to_numpy()).sum(0)
+        u, total = np.stack(pdf["u"].to_numpy()), np.stack(pdf["s"].where(pdf["s"].notna(), pdf["u"]).to_numpy()).sum(0)
         square = u @ u.T if len(u) <= u.shape[1] else u.T @ u
         out = pdf.iloc[:1][keys].copy()
         return out.assign(n=pdf["n"].sum(), nz=pdf["nz"].sum(), ss=float(total @ total), gg=float((square**2).sum()))

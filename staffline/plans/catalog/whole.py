@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffline.keys import BAR, STEPS
 from staffline.operators import note_metrics, render
+from staffline.operators.layout import by_bar
+from staffline.operators.numbering import durable
 from staffline.plans import derived
 from staffline.plans.catalog import ORACLES, query, stable
 from staffline.plans.derived import with_tables
@@ -15,18 +19,23 @@ from staffline.plans.evaluate import METRICS, Tables, evaluate, register_metric,
 CHANNELS, AREA = 4, 16
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Bars with notes and planes; the latent of a bar is the embedding that its key picks."""
-    true = derived.segments(spark, sf_dir)
+def tables(spark: SparkSession, sf_dir: str, once: Sequence[str] = ()) -> Tables:
+    """Bars with notes and planes; the latent of a bar is the embedding that its key picks.
+
+    Frames in ``once`` (true, pred, plane, latents) are written down, since several metrics read them: of the plane its segments, of the latents
+    only which vector a bar has.
+    """
+    held = lambda name, frame: durable(frame) if name in once else frame
+    true = held("true", derived.segments(spark, sf_dir))
     z = derived.table(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("z"), F.col("label").cast("string").alias("condition_label")
     )
     n = z.count()
     at = F.pmod(F.col("song_id") * 40 + F.col("track_idx") * 8 + F.col("bar_index"), F.lit(n))
-    latents = true.select(*BAR).distinct().withColumn("vec_id", at).join(z, "vec_id").drop("vec_id")
+    latents = held("latents", by_bar(true.select(*BAR).distinct().withColumn("vec_id", at))).join(z, "vec_id").drop("vec_id")
+    pred = held("pred", note_metrics.compact_notes(derived.rec_notes(spark, sf_dir)))
     return Tables(
-        true, note_metrics.compact_notes(derived.rec_notes(spark, sf_dir)), derived.recon_plane(spark, sf_dir),
-        latents=latents, latent_shape=(CHANNELS, 4, 4), steps=STEPS,
+        true, pred, derived.plane_of(held("plane", derived.rec_segments(spark, sf_dir))), latents=latents, latent_shape=(CHANNELS, 4, 4), steps=STEPS,
     )
 
 
@@ -64,10 +73,10 @@ def _of(name: str, scope: int, *columns: str) -> str:
     return _rows(scope, f"SELECT * FROM ({ORACLES[name]}) WHERE {' OR '.join(f'{c} IS NOT NULL' for c in columns)}", **{c: c for c in columns})
 
 
-def _group(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _group(spark: SparkSession, sf_dir: str, name: str, once: Sequence[str]) -> DataFrame:
     """Long rows of one group; the accuracy of a probe depends on the optimiser, so only its range is compared."""
     value = F.when(F.col("metric").rlike("accuracy|fidelity"), F.col("value").between(0, 1).cast("double")).otherwise(stable(F.col("value")))
-    return evaluate(tables(spark, sf_dir), [name]).withColumn("value", value)
+    return evaluate(tables(spark, sf_dir, once), [name]).withColumn("value", value)
 
 
 _PROBED = {"linear_probe_pitch_accuracy": "1", "linear_probe_instrument_accuracy": "1"}
@@ -90,7 +99,7 @@ _PROBED = {"linear_probe_pitch_accuracy": "1", "linear_probe_instrument_accuracy
     UNION ALL {_rows(0, "SELECT 1", **_PROBED)}""").replace("GROUP BY ALL, a.c, b.c", "GROUP BY a.song_id, a.track_idx, a.bar_index, a.c, b.c"),
 )
 def metrics_latent_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _group(spark, sf_dir, "latent_space")
+    return _group(spark, sf_dir, "latent_space", ["true", "latents"])
 
 
 @query(
@@ -109,7 +118,7 @@ def metrics_latent_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL {_rows(0, "SELECT 1", conditioning_fidelity="1", conditioning_attribute_accuracy="1")}"""),
 )
 def metrics_conditioning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _group(spark, sf_dir, "conditioning")
+    return _group(spark, sf_dir, "conditioning", ["true", "latents"])
 
 
 @query(
@@ -131,7 +140,7 @@ def metrics_conditioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL {_of("pitch_class_scores", 3, "seq_coherence_gt_entropy", "seq_coherence_gen_entropy", "seq_coherence_entropy_diff")}"""),
 )
 def metrics_generative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _group(spark, sf_dir, "generative")
+    return _group(spark, sf_dir, "generative", ["true", "pred", "plane", "latents"])
 
 
 def _extremes(t: Tables) -> DataFrame:

@@ -115,7 +115,12 @@ def recon_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recon_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bar, row, step, value): continuous velocity plane in [0, 1], zeros omitted."""
-    c = rec_cells(spark, sf_dir)
+    return plane_of(rec_segments(spark, sf_dir))
+
+
+def plane_of(rec: DataFrame) -> DataFrame:
+    """:func:`recon_plane` of the reconstruction's segments."""
+    c = segments_to_cells(rec)
     return c.select(
         *BAR, F.col("pitch").alias("row"), "step", (F.col("velocity") / 127 * _ripple(F.col("pitch"), F.col("step"))).alias("value")
     )

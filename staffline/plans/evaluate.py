@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from staffline.keys import BAR, PITCHES, STEPS, TRACK
 from staffline.operators import image_metrics, note_metrics, render, vectors
 from staffline.operators.ingest import track_name
+from staffline.operators.numbering import durable
 from staffline.plans.experiment import to_long
 
 log = logging.getLogger(__name__)
@@ -185,7 +186,7 @@ def _value(t: Tables, name: str, value: float) -> DataFrame:
 
 
 def _pitch_probe(t: Tables) -> DataFrame:
-    rows = features(t).drop("label").join(vectors.dominant_pitch_label(t.true, BAR), list(BAR))
+    rows = durable(features(t).drop("label").join(vectors.dominant_pitch_label(t.true, BAR), list(BAR)))  # a probe reads them several times
     return _value(t, "linear_probe_pitch_accuracy", vectors.probe_accuracy(rows, BAR, "label"))
 
 
