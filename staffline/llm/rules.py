@@ -1,6 +1,6 @@
 """Quality classifier: a sparse ensemble of rules over statistics of a text.
 
-Statistics of every text are column expressions and written down once, without the text. Shallow trees are grown on labelled rows; every path
+Statistics of every text are counted in an Arrow function and written down once, without the text. Shallow trees are grown on labelled rows; every path
 from a root to a node is a rule, a conjunction of bounds on statistics. A lasso-penalised logistic regression weighs the rules
 and leaves few of them; these are compiled back into one column expression, so scoring runs as plain Spark code without a
 model object, and a model can be read as a list of sentences.
@@ -15,14 +15,17 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
+from operator import eq
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffline.llm.common import LOWER, UPPER, durable, fresh
-from staffline.llm.text import BLANKS, blank_words, without
+from staffline.llm.text import BLANKS
 
 #: Bounds of a fit: labelled rows of each label, trees, their depth, and the lasso's strength.
 MAX_ROWS, TREES, DEPTH, LASSO = 12_000, 24, 3, 0.001
@@ -35,31 +38,51 @@ STOPS = ".,;:?"
 
 # -- statistics ------------------------------------------------------------------------------------
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+#: The statistics of a text in their order, see ``_of_text``.
+STATISTICS = (
+    "n_chars", "n_words", "n_lines", "word_chars", "longest_word", "line_words", "upper", "lower", "digits", "symbols", "bangs", "stops", "bars",
+    "blanks", "distinct_words", "same_as_last", "repeated_lines",
+)
+#: Bytes of UTF-8 that begin no character.
+_INNER = bytes(range(0x80, 0xC0))
+_SETS = [chars.encode() for chars in (UPPER, LOWER, "0123456789", SYMBOLS, "!", STOPS, "|", BLANKS)]
+
+
+def _share(part: float, whole: float) -> float:
+    return part / whole if whole > 0 else 0.0
+
+
+def _of_text(text: bytes) -> tuple[float, ...]:
+    """Statistics of one text in UTF-8: the sets are ASCII, so their characters are bytes; words lie between ASCII white space."""
+    chars = text if text.isascii() else text.translate(None, _INNER)  # a byte per character
+    n = len(chars)
+    upper, lower, digits, symbols, bangs, stops, bars, blanks = (n - len(chars.translate(None, s)) for s in _SETS)
+    words, lines = text.split(), [line for line in text.split(b"\n") if line.strip()]
+    w, solid = len(words), n - blanks
+    return (
+        n, w, len(lines), _share(solid, w), max(map(len, chars.split()), default=0), _share(w, len(lines)),
+        _share(upper, solid), _share(lower, solid), _share(digits, solid), _share(symbols, solid), _share(bangs, solid),
+        _share(stops, w), _share(bars, w), _share(blanks, n), _share(len(set(words)), w),
+        _share(sum(map(eq, words, islice(words, 1, None))), w), _share(len(lines) - len(set(lines)), len(lines)),
+    )
+
+
+def _of_texts(texts: pa.Array) -> pa.Array:
+    columns = zip(*[_of_text(text.as_py()) for text in texts])
+    return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns] or [pa.array([], pa.float64())] * len(STATISTICS), names=list(STATISTICS))
 
 
 def statistics(docs: DataFrame, text_col: str, keep: list[Column]) -> tuple[DataFrame, list[str]]:
-    """``keep`` and the statistics of each text, as doubles; null is the empty text, all of whose statistics are 0."""
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    rows = rows.withColumn("_w", blank_words(F.col("_t"))).withColumn("_n", F.length("_t"))
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    rows = rows.withColumn("_l", lines).withColumn("_c", F.length(without(F.col("_t"), BLANKS)))
-    t, w, n, c = F.col("_t"), F.col("_w"), F.col("_n"), F.col("_c")
-    count = lambda chars: n - F.length(without(t, chars))
-    again = F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1))))
-    each = {
-        "n_chars": n, "n_words": F.size(w), "n_lines": F.size("_l"),
-        "word_chars": _share(c, F.size(w)), "longest_word": F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0)),
-        "line_words": _share(F.size(w), F.size("_l")), "upper": _share(count(UPPER), c), "lower": _share(count(LOWER), c),
-        "digits": _share(count("0123456789"), c), "symbols": _share(count(SYMBOLS), c), "bangs": _share(count("!"), c),
-        "stops": _share(count(STOPS), F.size(w)), "bars": _share(count("|"), F.size(w)),
-        "blanks": _share(n - c, n), "distinct_words": _share(F.size(F.array_distinct(w)), F.size(w)),
-        "same_as_last": _share(again, F.size(w)), "repeated_lines": _share(F.size("_l") - F.size(F.array_distinct("_l")), F.size("_l")),
-    }
-    names = fresh(rows, *[f"s_{k}" for k in each])
-    kept = [c for c in rows.columns if c not in ("_t", "_w", "_n", "_l", "_c")]
-    return rows.select(*kept, *[e.cast("double").alias(a) for a, e in zip(names, each.values())]), names
+    """``keep`` and the statistics of each text, as doubles; null is the empty text, all of whose statistics are 0.
+
+    They are counted in an Arrow function: the built-in ``translate`` looks up every character of a text in a map, once per set of characters.
+    """
+    count = F.arrow_udf(_of_texts, f"struct<{', '.join(f'{k}:double' for k in STATISTICS)}>")
+    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t"))
+    kept = [c for c in rows.columns if c != "_t"]
+    names = fresh(rows, *[f"s_{k}" for k in STATISTICS])
+    rows = rows.select(*kept, count("_t").alias("_s"))
+    return rows.select(*kept, *[F.col(f"_s.{k}").alias(a) for k, a in zip(STATISTICS, names)]), names
 
 
 # -- the model -------------------------------------------------------------------------------------
